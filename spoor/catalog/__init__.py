@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("stacks",)
+MODULES = ("stacks", "polls")
 
 
 def load_all():
