@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("stacks", "polls")
+MODULES = ("stacks", "polls", "rebuild", "spans")
 
 
 def load_all():

@@ -187,7 +187,9 @@ class Tables:
         return e.select(
             eid.alias("seq"), (micros("ts") * 1000).alias("ts_ns"), F.col("event_type").alias("name"),
             F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string")).alias("host"),
-            ((F.col("user_id") + eid) % 4).cast("int").alias("worker_id"),
+            F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string"), F.lit("/"),
+                     F.expr(f"unix_micros(cast(ts as timestamp)) div {WEEK_US}").cast("string")).alias("source_key"),
+            F.col("user_id").alias("task_id"), ((F.col("user_id") + eid) % 4).cast("int").alias("worker_id"),
             F.when(eid % 6 != 0, k.cast("long")).alias("k"),
             F.when(eid % 6 != 0, F.create_map(F.lit("k"), k, F.lit("unit"), F.lit("ms"), F.lit("who"), F.concat(F.lit("u"), F.col("user_id").cast("string"))))
             .otherwise(F.create_map(F.lit("unit"), F.lit("s"), F.lit("who"), F.concat(F.lit("u"), F.col("user_id").cast("string")))).alias("fields"))
@@ -321,8 +323,9 @@ SELECT event_id AS seq, epoch_us(ts) * 1000 AS ts_ns, concat('h', cast(user_id %
        event_id * 200000000000 + cast(floor(value * 2000000000) AS bigint) AS user_cpu_ns,
        event_id * 50000000000 + cast(floor(value * 300000000) AS bigint) AS system_cpu_ns
 FROM events""",
-    "v_custom": """
+    "v_custom": f"""
 SELECT event_id AS seq, epoch_us(ts) * 1000 AS ts_ns, event_type AS name, concat('h', cast(user_id % 3 AS varchar)) AS host,
+       {_HOSTW} AS source_key, user_id AS task_id,
        cast((user_id + event_id) % 4 AS int) AS worker_id,
        CASE WHEN event_id % 6 = 0 THEN NULL ELSE cast(json_extract_string(props, '$.k') AS bigint) END AS k,
        CASE WHEN event_id % 6 = 0 THEN 's' ELSE 'ms' END AS unit, concat('u', cast(user_id AS varchar)) AS who
