@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from spoor.catalog.rebuild import CLOSED
 from spoor.catalog.registry import query
 from spoor.operators import rebuild, spans as op
+from spoor.session import cut_lineage
 
 SEGD = """sg AS (SELECT *, coalesce(sum(CASE WHEN kind = 'SpanClose' THEN 1 ELSE 0 END) OVER (PARTITION BY source_key, span_id ORDER BY ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS segment FROM v_span_events)"""
 LANES = CLOSED + ", " + SEGD + """, np AS (SELECT * FROM polls WHERE task_id <> 0),
@@ -42,12 +43,23 @@ built AS (SELECT {K3}, name, parent_span_id, start_ns, end_ns, active_ns, wall A
   CASE WHEN owner IS NOT NULL THEN 11 ELSE 15 END | CASE WHEN cl <= elapsed_ns THEN 0 ELSE 2 END AS attribution_flags, k FROM b1)"""
 
 
-def lanes(t):
-    return op.pairing_lanes(op.close_segments(t.span_events()), rebuild.polls(t.events()))
+def polls_table(t):
+    """The rebuilt polls, written once as the ingest job does."""
+    return cut_lineage(rebuild.polls(t.events()))
+
+
+def lanes(t, polls=None):
+    slot = rebuild.time_slot(t.span_events())
+    segmented = op.close_segments(t.span_events(), slot)
+    return op.pairing_lanes(segmented, polls_table(t) if polls is None else polls, slot)
+
+
+def pairs(t, polls=None):
+    return op.pair_lifo(lanes(t, polls), [*op.SPAN, "lane"], rebuild.time_slot(t.span_events()))
 
 
 def built(t):
-    return op.spans_enter_exit(t.span_events(), rebuild.polls(t.events()))
+    return op.spans_enter_exit(t.span_events(), polls_table(t))
 
 
 @query("close_segments", f"WITH {SEGD} SELECT seq, source_key, span_id, kind, segment FROM sg")
@@ -62,12 +74,12 @@ def _(t):
 
 @query("pair_lifo", f"WITH {PAIR} SELECT * FROM pairs")
 def _(t):
-    return op.pair_lifo(lanes(t), [*op.SPAN, "lane"])
+    return pairs(t)
 
 
 @query("union_duration", f"WITH {PAIR}, {UNION_IV} SELECT {K3}, sum(end_ns - start_ns)::bigint AS union_ns FROM ent GROUP BY {K3}")
 def _(t):
-    done = op.pair_lifo(lanes(t), [*op.SPAN, "lane"]).filter("state = 'paired'")
+    done = cut_lineage(pairs(t)).filter("state = 'paired'")
     return rebuild.union_duration(done, op.SPAN)
 
 
@@ -94,21 +106,23 @@ CUT = PAIR + f""", raw AS (SELECT {K3}, start_ns, end_ns, lane AS task_id, enter
 cut AS (SELECT r.enter_seq, greatest(r.start_ns, p.start_ns) AS start_ns, least(r.end_ns, p.end_ns) AS end_ns FROM raw r JOIN polls p ON p.source_key = r.source_key AND p.task_id = r.task_id AND p.start_ns < r.end_ns AND p.end_ns > r.start_ns)"""
 
 
-def tasked(t):
-    done = op.pair_lifo(lanes(t), [*op.SPAN, "lane"]).filter("state = 'paired' and lane > 0")
+def tasked(t, polls):
+    done = cut_lineage(pairs(t, polls)).filter("state = 'paired' and lane > 0")
     return done.select(*op.SPAN, "start_ns", "end_ns", F.col("lane").alias("task_id"), "enter_seq")
 
 
 @query("interval_intersect", f"WITH {CUT} SELECT * FROM cut")
 def _(t):
-    return op.overlap_time(tasked(t), rebuild.polls(t.events())).select(
+    polls = polls_table(t)
+    return op.overlap_time(tasked(t, polls), polls).select(
         "enter_seq", F.col("cut_start").alias("start_ns"), F.col("cut_end").alias("end_ns"))
 
 
 @query("span_active_segments", f"""WITH {CUT} SELECT enter_seq, start_ns, end_ns, true AS cut FROM cut
 UNION ALL SELECT enter_seq, start_ns, end_ns, false FROM raw WHERE enter_seq NOT IN (SELECT enter_seq FROM cut)""")
 def _(t):
-    return op.active_segments(tasked(t), rebuild.polls(t.events()), ["enter_seq"])
+    polls = polls_table(t)
+    return op.active_segments(tasked(t, polls), polls, ["enter_seq"])
 
 
 SINGLE = """se AS (SELECT seq, name, host, source_key, worker_id, CASE WHEN task_id % 3 = 0 THEN task_id END AS task_id,
@@ -133,12 +147,11 @@ def _(t):
     return out.select("seq", "name", "start_ns", "end_ns", "task_id")
 
 
-INNER = f"""{CLOSED}, {SINGLE}, inn AS (SELECT s.name, s.seq, p.seq AS poll_seq FROM single s JOIN polls p ON p.source_key = s.source_key AND p.worker_id = s.worker_id AND s.start_ns >= p.start_ns AND s.end_ns <= p.end_ns
- AND s.start_ns < p.end_ns)"""
+INNER = f"""{CLOSED}, {SINGLE}, inn AS (SELECT s.name, s.seq, p.seq AS poll_seq FROM single s JOIN polls p ON p.source_key = s.source_key AND p.worker_id = s.worker_id AND s.start_ns >= p.start_ns AND s.end_ns <= p.end_ns)"""
 
 
 def inside(t):
-    return op.spans_inside_polls(op.spans_single_event(single_events(t), None, 1_000_000_000), rebuild.polls(t.events()))
+    return op.spans_inside_polls(op.spans_single_event(single_events(t), None, 1_000_000_000), polls_table(t))
 
 
 @query("inner_spans_of_poll", f"WITH {INNER} SELECT poll_seq, name, count(*) AS n FROM inn GROUP BY 1, 2")
@@ -150,7 +163,7 @@ def _(t):
 SELECT c.{K3.replace(', ', ', c.')}, c.parent_span_id, p.parent_segment, p.parent_start FROM ch c LEFT JOIN LATERAL (SELECT * FROM pr WHERE pr.source_key = c.source_key AND pr.pid = c.parent_span_id AND pr.parent_start <= c.start_ns
  ORDER BY parent_start DESC, parent_segment DESC LIMIT 1) p ON true""")
 def _(t):
-    return op.resolve_parents(built(t)).select(*op.SPAN, "parent_span_id", "parent_segment", "parent_start")
+    return op.resolve_parents(cut_lineage(built(t))).select(*op.SPAN, "parent_span_id", "parent_segment", "parent_start")
 
 
 @query("span_identity", f"""WITH {SEGD} SELECT DISTINCT md5(concat('abcd-', source_key, chr(0), span_id, '-', segment)) AS span_uid, md5(concat('tracing', chr(0), 'svc', chr(0), span_name, chr(0), 'src/a.rs', chr(0), span_id)) AS span_type_uid FROM sg""")
@@ -289,8 +302,8 @@ def _(t):
 
 
 @query("attribute_facets", """WITH a AS (SELECT span_type_uid, span_uid, start_ns, unnest(['status', 'segment', 'cust']) AS key, unnest([attr_status, attr_segment, attr_cust]) AS value FROM v_spans),
-v AS (SELECT span_type_uid, key, value, count(*) AS n, min((start_ns, span_uid)) AS at FROM a GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY span_type_uid, key ORDER BY at, value) AS rn FROM v)
+v AS (SELECT span_type_uid, key, value, count(*) AS n, min((start_ns, span_uid)) AS seen FROM a GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY span_type_uid, key ORDER BY seen, value) AS rn FROM v)
 SELECT span_type_uid, key, sum(n)::bigint AS occurrences, count(*) > 10 AS high_cardinality, array_to_string(list(value ORDER BY rn) FILTER (rn <= 10), ',') AS first_values FROM r GROUP BY 1, 2""")
 def _(t):
     return op.attribute_facets(t.spans()).withColumn("first_values", F.array_join("first_values", ","))

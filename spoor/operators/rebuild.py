@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoor.plans.timeline import AUTO, asof, following, measure_slot, prev, running_max, running_sum, with_order
+from spoor.session import cut_lineage
 
 LANE = ["source_key", "worker_id"]
 TASK = ["source_key", "task_id"]
@@ -275,7 +276,7 @@ def spawn_delays(events: DataFrame, poll_rows: DataFrame, floor_ns: int = 0) ->
 def points_of_interest(events: DataFrame, samples: DataFrame, k: int = 50, max_delay_ns: int = MAX_DELAY_NS, slot=AUTO) -> DataFrame:
     """The worst ``k`` points of seven kinds with the number matched before the cut."""
     slot = time_slot(events, slot)
-    poll_rows = polls_open_ended(events, slot)
+    poll_rows = cut_lineage(polls_open_ended(events, slot))  # read by five of the kinds
     dur = F.col("end_ns") - F.col("start_ns")
 
     def point(df, kind, time, value):

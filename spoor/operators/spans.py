@@ -86,7 +86,7 @@ def spans_enter_exit(events: DataFrame, polls: DataFrame, slot=AUTO) -> DataFram
     slot = time_slot(events, slot)
     segmented = close_segments(events, slot)
     lanes = pairing_lanes(segmented, polls, slot)
-    pairs = pair_lifo(lanes, [*SPAN, "lane"], slot)
+    pairs = cut_lineage(pair_lifo(lanes, [*SPAN, "lane"], slot))  # read four times below
     pos = F.struct(*ORDER)
     is_enter, is_exit = F.col("kind") == "SpanEnter", F.col("kind") == "SpanExit"
     frame = segmented.groupBy(*SPAN).agg(
@@ -435,10 +435,10 @@ def samples_per_span(samples: DataFrame, intervals: DataFrame, keys=("worker_id"
 
 
 def spans_inside_polls(spans: DataFrame, polls: DataFrame) -> DataFrame:
-    """Spans wholly inside a poll of their worker. Polls of a worker are disjoint, so the latest start decides."""
+    """Spans wholly inside a poll of their worker."""
     runs = polls.select(*LANE, F.col("start_ns").alias("run_start"), F.col("end_ns").alias("run_end"), F.col("seq").alias("poll_seq"))
-    hit = asof(spans, runs, LANE, "start_ns", "run_start", ["run_start", "run_end", "poll_seq"], right_tie=["poll_seq"])
-    return hit.filter(F.col("run_end").isNotNull() & (F.col("end_ns") <= F.col("run_end")))
+    hit = point_in_intervals(spans, runs, LANE, "start_ns", "run_start", "run_end", closed=True)
+    return hit.filter(F.col("end_ns") <= F.col("run_end"))
 
 
 def overlapping_slowest(spans: DataFrame, name: str) -> DataFrame:
@@ -477,15 +477,24 @@ def span_tree(spans: DataFrame) -> DataFrame:
         kids.withColumnRenamed("parent_span_id", "span_id"), "span_id", "left").fillna(0, ["children", "children_ns"])
 
 
-def descendants(spans: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Closure of ``seeds`` (span_id) under the child relation; every span is visited once, cycles end."""
-    edges = spans.select("span_id", "parent_span_id").filter(F.col("parent_span_id").isNotNull())
-    visited = frontier = cut_lineage(seeds.select("span_id").distinct())
-    while not frontier.isEmpty():
-        step = edges.join(frontier.select(F.col("span_id").alias("parent_span_id")), "parent_span_id", "left_semi").select("span_id").distinct()
-        frontier = cut_lineage(step.join(visited, "span_id", "left_anti"))
-        visited = visited.unionByName(frontier)
-    return visited
+def descendants(spans: DataFrame, seeds: DataFrame, max_steps: int = 1024) -> DataFrame:
+    """Closure of ``seeds`` (span_id) under the child relation.
+
+    Asked from below: every span looks for a seed among itself and its ancestors by pointer doubling, log2 of the
+    depth many joins, and drops out once it has the answer. Cycles end after ``max_steps`` ancestors.
+    """
+    chosen = seeds.select(F.col("span_id").alias("seed")).distinct()
+    nodes = spans.select("span_id", "parent_span_id").join(chosen, F.col("span_id") == F.col("seed"), "left")
+    hit = F.col("seed").isNotNull()
+    state = cut_lineage(nodes.select("span_id", hit.alias("hit"), F.when(~hit, F.col("parent_span_id")).alias("up")))
+    steps = 1
+    while steps <= max_steps and not state.filter(F.col("up").isNotNull()).isEmpty():
+        above = state.select(F.col("span_id").alias("a_id"), F.col("up").alias("a_up"), F.col("hit").alias("a_hit"))
+        hit = F.col("hit") | F.coalesce("a_hit", F.lit(False))
+        state = cut_lineage(state.join(above, F.col("up") == F.col("a_id"), "left").select(
+            "span_id", hit.alias("hit"), F.when(~hit, F.col("a_up")).alias("up")))
+        steps *= 2
+    return state.filter("hit").select("span_id")
 
 
 def ancestry_at(spans: DataFrame, probes: DataFrame, max_steps: int = 1024) -> DataFrame:
