@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("stacks", "polls", "rebuild", "spans")
+MODULES = ("stacks", "polls", "rebuild", "spans", "series")
 
 
 def load_all():
