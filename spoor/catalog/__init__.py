@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("stacks", "polls", "rebuild", "spans", "series")
+MODULES = ("stacks", "polls", "rebuild", "spans", "series", "memory", "fleet", "scalars")
 
 
 def load_all():

@@ -181,10 +181,10 @@ def _(t):
 SPAN_NS = T1 - T0
 
 
-@query("tid_census", f"""WITH s AS (SELECT *, frames[1] AS leaf FROM v_cpu WHERE t BETWEEN {T0} AND {T1}), lf AS (SELECT source_key, tid, leaf, count(*) AS n FROM s WHERE source = 0 GROUP BY 1, 2, 3),
+@query("tid_census", f"""WITH s AS (SELECT *, frames[1] AS leaf FROM v_cpu WHERE t BETWEEN {T0} AND {T1}), lf AS (SELECT source_key, tid, leaf, count(*) AS n FROM s GROUP BY 1, 2, 3),
 tp AS (SELECT source_key, tid, leaf FROM (SELECT *, row_number() OVER (PARTITION BY source_key, tid ORDER BY n DESC, leaf) AS rn FROM lf) WHERE rn = 1),
-p AS (SELECT source_key, tid, count(*) FILTER (source = 0) AS on_cpu, count(*) FILTER (source = 1) AS off_cpu, min(t) FILTER (source = 0) AS a, max(t) FILTER (source = 0) AS b FROM s GROUP BY 1, 2)
-SELECT source_key, tid, on_cpu, off_cpu, round(on_cpu * 1000 / 0.0001, 3) AS est_ms, round(CASE WHEN on_cpu > 1 THEN (b - a) / (on_cpu - 1) END, 0) AS mean_gap_ns, leaf AS top_leaf, round(on_cpu / ({SPAN_NS} / 1e9 * 0.0001), 6) AS coverage,
+p AS (SELECT source_key, tid, count(*) AS n, count(*) FILTER (source = 0) AS on_cpu, count(*) FILTER (source = 1) AS off_cpu, min(t) AS a, max(t) AS b FROM s GROUP BY 1, 2)
+SELECT source_key, tid, on_cpu, off_cpu, round(on_cpu * 1000 / 0.0001, 3) AS est_ms, round(CASE WHEN n >= 3 THEN (b - a) / (n - 1) END, 0) AS mean_gap_ns, leaf AS top_leaf, round(least(1.0, on_cpu / ({SPAN_NS} / 1e9 * 0.0001)), 6) AS coverage,
  on_cpu / ({SPAN_NS} / 1e9 * 0.0001) >= 0.6 AND on_cpu >= 3 AS pinned FROM p LEFT JOIN tp USING (source_key, tid)""")
 def _(t):
     c = op.tid_census(t.cpu(), T0, T1, 0.0001)
@@ -192,7 +192,7 @@ def _(t):
 
 
 @query("task_detail", f"""WITH {W2}, pl AS (SELECT source_key, task_id, arg_min(spawn_loc, ts_ns) AS loc FROM v_events WHERE kind IN ('TaskSpawn', 'PollStart') GROUP BY 1, 2)
-SELECT p.source_key, p.seq, p.start_ns, p.end_ns, s.wake_ns, s.delay_ns, CASE WHEN s.wake_ns IS NOT NULL THEN CASE WHEN s.waker_task_id = 0 THEN 'io' ELSE coalesce(loc, concat('0x', lower(to_hex(s.waker_task_id)))) END END AS waker
+SELECT p.source_key, p.seq, p.start_ns, p.end_ns, s.wake_ns, s.delay_ns, CASE WHEN s.wake_ns IS NOT NULL THEN CASE WHEN s.waker_task_id = 0 THEN 'io' ELSE coalesce(loc, concat('task 0x', lower(to_hex(s.waker_task_id)))) END END AS waker
 FROM po p LEFT JOIN sd s ON s.source_key = p.source_key AND s.seq = p.seq LEFT JOIN pl ON pl.source_key = p.source_key AND pl.task_id = s.waker_task_id WHERE p.task_id = 21""")
 def _(t):
     e = t.events()

@@ -189,27 +189,30 @@ def blocking_view(attributed: DataFrame) -> DataFrame:
     return per_leaf.join(shown, "leaf").select("leaf", "n", "stacks", (F.floor(F.col("n") / total * 1000 + 0.5) / 10).alias("pct"), "examples")
 
 
-def tid_census(samples: DataFrame, start_ns: int, end_ns: int, hz: float, slot=AUTO) -> DataFrame:
-    """Per thread in a window: on and off CPU samples, estimated on-CPU time, mean gap, commonest leaf, and
-    whether the thread was pinned (coverage of the window at least 0.6 over enough samples)."""
+def tid_census(samples: DataFrame, start_ns: int, end_ns: int, hz: float) -> DataFrame:
+    """Per thread in a window: on and off CPU samples, estimated on-CPU time, mean gap between samples (from three
+    on), commonest leaf, and whether the thread was pinned: on CPU for at least 0.6 of a window long enough to tell."""
     inside = samples.filter(F.col("t").between(start_ns, end_ns)).withColumn("leaf", F.get("frames", F.lit(0)))
-    per = inside.groupBy("source_key", "tid").agg(
-        F.count_if(F.col("source") == 0).alias("on_cpu"), F.count_if(F.col("source") == 1).alias("off_cpu"),
-        F.min(F.when(F.col("source") == 0, F.col("t"))).alias("_a"), F.max(F.when(F.col("source") == 0, F.col("t"))).alias("_b"))
-    leaves = inside.filter(F.col("source") == 0).groupBy("source_key", "tid", "leaf").agg(F.count(F.lit(1)).alias("n"))
-    top = leaves.groupBy("source_key", "tid").agg(F.min(F.struct((-F.col("n")).alias("c"), "leaf")).alias("l"))
+    # Two levels: the leaf counts are combined map-side, a thread's rows are never gathered.
+    leaves = inside.groupBy("source_key", "tid", "leaf").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("source") == 0).alias("on"), F.count_if(F.col("source") == 1).alias("off"),
+        F.min("t").alias("a"), F.max("t").alias("b"))
+    per = leaves.groupBy("source_key", "tid").agg(
+        F.sum("n").alias("n"), F.sum("on").alias("on_cpu"), F.sum("off").alias("off_cpu"), F.min("a").alias("a"), F.max("b").alias("b"),
+        F.min(F.struct((-F.col("n")).alias("c"), "leaf")).alias("l"))
     expected = (end_ns - start_ns) / 1e9 * hz
-    cover = F.col("on_cpu") / expected
-    return per.join(top, ["source_key", "tid"], "left").select(
+    cover = F.least(F.lit(1.0), F.col("on_cpu") / expected)
+    return per.select(
         "source_key", "tid", "on_cpu", "off_cpu", (F.col("on_cpu") * 1000 / hz).alias("est_ms"),
-        F.when(F.col("on_cpu") > 1, (F.col("_b") - F.col("_a")) / (F.col("on_cpu") - 1)).alias("mean_gap_ns"),
+        F.when(F.col("n") >= 3, (F.col("b") - F.col("a")) / (F.col("n") - 1)).alias("mean_gap_ns"),
         F.col("l.leaf").alias("top_leaf"), cover.alias("coverage"),
         ((cover >= 0.6) & (F.col("on_cpu") >= 3) & F.lit(expected >= 3)).alias("pinned"))
 
 
-def waker_label(waker: Column, loc: Column) -> Column:
-    """io for no task, else the waker's spawn location, else its hex id."""
-    return F.when(waker.isNull() | (waker == 0), "io").otherwise(F.coalesce(loc, task_label(waker)))
+def waker_label(waker: Column, loc: Column, workers: int = 0) -> Column:
+    """io for no task or a worker's own id, else the file name of the waker's spawn location, else its hex id."""
+    io = waker.isNull() | (waker == 0) | waker.between(1, workers)
+    return F.when(io, "io").otherwise(F.coalesce(F.regexp_replace(loc, "^.*/", ""), F.concat(F.lit("task "), task_label(waker))))
 
 
 def task_label(task: Column) -> Column:
