@@ -45,14 +45,15 @@ def _(t):
     return stack_of(t).groupBy(fr.blocking_category(F.element_at("frames", 1)).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("symbolize", """WITH sy AS (SELECT DISTINCT l_partkey AS addr, d AS inline_depth, concat('fn', l_partkey, '_', d) AS name FROM lineitem, (SELECT unnest([0, 1, 2]) AS d) WHERE d <= l_partkey % 3 AND l_partkey % 10 <> 9),
+@query("symbolize", """WITH sy AS (SELECT DISTINCT l_partkey AS addr, d AS inline_depth, concat('fn', l_partkey, '_', d) AS name FROM lineitem, (SELECT unnest([0, 1, 2]) AS d) WHERE d <= l_partkey % 3 AND l_quantity >= 48),
 s AS (SELECT event_id AS stack_id, [value::bigint, user_id, event_id % 2000] AS c FROM (SELECT event_id, user_id, floor(value) AS value FROM events)), x AS (SELECT stack_id, unnest(c) AS addr, generate_subscripts(c, 1) AS i FROM s),
 j AS (SELECT x.*, coalesce(name, concat('0x', lower(to_hex(x.addr)))) AS f, coalesce(inline_depth, 0) AS d FROM x LEFT JOIN sy ON sy.addr = x.addr) SELECT stack_id, array_to_string(list(f ORDER BY i, d DESC), ';') AS stack FROM j GROUP BY 1""")
 def _(t):
     e = t.table("events")
     samples = e.select(F.col("event_id").alias("stack_id"), F.array(F.floor("value"), F.col("user_id"), F.col("event_id") % 2000).alias("callchain"))
-    part = t.table("lineitem").select(F.col("l_partkey").alias("addr")).distinct().withColumn("inline_depth", F.explode(F.array(*[F.lit(i) for i in range(3)])))
-    known = part.filter((F.col("inline_depth") <= F.col("addr") % 3) & (F.col("addr") % 10 != 9))  # every tenth address has no symbol
+    sold = t.table("lineitem").filter(F.col("l_quantity") >= 48)  # parts never sold in bulk have no symbol
+    part = sold.select(F.col("l_partkey").alias("addr")).distinct().withColumn("inline_depth", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    known = part.filter(F.col("inline_depth") <= F.col("addr") % 3)
     symbols = known.withColumn("symbol_name", F.concat(F.lit("fn"), F.col("addr").cast("string"), F.lit("_"), F.col("inline_depth").cast("string")))
     return fr.symbolize(samples, symbols).select("stack_id", F.array_join("frames", ";").alias("stack"))
 
