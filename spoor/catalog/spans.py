@@ -369,11 +369,8 @@ def _(t):
 
 @query("interval_overlap", """SELECT span_id FROM v_spans s WHERE EXISTS (SELECT 1 FROM v_polls p WHERE p.worker_id = s.worker_id AND p.start_ns < s.end_ns AND p.end_ns > s.start_ns)""")
 def _(t):
-    from spoor.plans.interval_join import interval_pairs
-
-    polls = t.polls().select("worker_id", F.col("start_ns").alias("p_start"), F.col("end_ns").alias("p_end"))
-    pairs = interval_pairs(t.spans().select("span_id", "worker_id", "start_ns", "end_ns"), polls, ["worker_id"], ("start_ns", "end_ns"), ("p_start", "p_end"))
-    return pairs.select("span_id").distinct()
+    spans = t.spans().select("span_id", "worker_id", "start_ns", "end_ns")
+    return op.overlapping_any(spans, t.polls(), ["worker_id"]).select("span_id")
 
 
 @query("overlapping_spans", """WITH s AS (SELECT * FROM v_spans WHERE name = '1-URGENT' ORDER BY elapsed_ns DESC, start_ns, span_uid LIMIT 1)

@@ -12,7 +12,7 @@ from spoor.functions.buckets import edge, span_bucket, span_bucket_bounds, ZERO_
 from spoor.operators.rebuild import LANE, ORDER, TASK, merge_intervals, time_slot
 from spoor.plans.interval_join import interval_pairs, point_in_intervals
 from spoor.plans.ranks import order_statistics, value_counts
-from spoor.plans.timeline import AUTO, asof, following, running_min, running_sum, with_order
+from spoor.plans.timeline import AUTO, asof, following, measure_slot, running_max, running_min, running_sum, with_order
 from spoor.session import cut_lineage
 
 SPAN = ["source_key", "span_id", "segment"]
@@ -426,12 +426,38 @@ def degenerate_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return lows.select(F.explode(flags).alias("f")).select("f.*")
 
 
-def samples_per_span(samples: DataFrame, intervals: DataFrame, keys=("worker_id",)) -> DataFrame:
-    """CPU and scheduler samples inside each span's active intervals, a sample counted once per span."""
-    hits = point_in_intervals(samples, intervals, list(keys), "ts_ns", "start_ns", "end_ns")
-    once = hits.select("span_uid", "sample_id", "source").distinct()
-    return once.groupBy("span_uid").agg(
-        F.count_if(F.col("source") == 0).alias("cpu_samples"), F.count_if(F.col("source") == 1).alias("sched_samples"))
+def samples_per_span(samples: DataFrame, intervals: DataFrame, keys=("worker_id",), slot=AUTO) -> DataFrame:
+    """CPU and scheduler samples inside each span's active intervals, a sample counted once per span.
+
+    A count needs no (sample, span) pairs: it is the running sample count at the interval's end minus the one at
+    its start, two as-of lookups, however many spans enclose a sample. Intervals of a span are merged first.
+    """
+    keys = list(keys)
+    width = measure_slot(samples, keys, "ts_ns", slot)
+    per_t = samples.groupBy(*keys, "ts_ns").agg(
+        F.count_if(F.col("source") == 0).alias("c"), F.count_if(F.col("source") == 1).alias("s"))
+    cum = with_order(per_t, keys, ["ts_ns"], {"cpu": running_sum(F.col("c")), "sched": running_sum(F.col("s"))}, width)
+    cum = cum.select(*keys, "ts_ns", "cpu", "sched")
+    active = merge_intervals(intervals, ["span_uid", *keys])
+    edges = active.select("span_uid", *keys, F.explode(F.array(
+        F.struct(F.col("start_ns").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("end_ns").alias("at"), F.lit(1).alias("sign")))).alias("e")
+    ).select("span_uid", *keys, F.col("e.at").alias("at"), F.col("e.sign").alias("sign"))
+    seen = asof(edges, cum, keys, "at", "ts_ns", ["cpu", "sched"], inclusive=False, slot=width)
+    return seen.groupBy("span_uid").agg(
+        F.sum(F.col("sign") * F.coalesce("cpu", F.lit(0))).alias("cpu_samples"),
+        F.sum(F.col("sign") * F.coalesce("sched", F.lit(0))).alias("sched_samples")).filter("cpu_samples + sched_samples > 0")
+
+
+def overlapping_any(left: DataFrame, right: DataFrame, keys, left_span=("start_ns", "end_ns"), right_span=("start_ns", "end_ns"), slot=AUTO) -> DataFrame:
+    """Left intervals overlapped by at least one right interval of their keys, without forming pairs: of the right
+    intervals that start before the left one ends, the furthest end decides."""
+    keys = list(keys)
+    (ls, le), (rs, re) = left_span, right_span
+    furthest = right.groupBy(*keys, F.col(rs).alias("_rs")).agg(F.max(re).alias("_re"))
+    width = measure_slot(furthest, keys, "_rs", slot)
+    reach = with_order(furthest, keys, ["_rs"], {"_reach": running_max(F.col("_re"))}, width)
+    hit = asof(left, reach, keys, le, "_rs", ["_reach"], inclusive=False, slot=width)
+    return hit.filter(F.col("_reach") > F.col(ls)).drop("_reach")
 
 
 def spans_inside_polls(spans: DataFrame, polls: DataFrame) -> DataFrame:

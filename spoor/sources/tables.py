@@ -11,12 +11,11 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spoor.schema import conform
 
 PARTITIONS = ("service", "date", "host", "leaf")
-LEDGER = T.StructType.fromDDL("source_key string")
+LEDGER = "source_key string"
 # Samples last: their presence completes a file.
 WRITE_ORDER = ("stacks", "polls", "spans", "samples")
 

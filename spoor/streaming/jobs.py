@@ -64,7 +64,8 @@ def coverage_sessions(events: DataFrame, gap: str = "60 seconds", late: str = WA
         "host", F.unix_micros("s.start").alias("start_us"), F.unix_micros("s.end").alias("end_us"), "n")
 
 
-CARRY = T.StructType.fromDDL("source_key string, worker_id int, task_id bigint, spawn_loc string, ts_ns bigint, seq bigint, kind string")
+CARRY = "source_key string, worker_id int, task_id bigint, spawn_loc string, ts_ns bigint, seq bigint, kind string"
+CARRIED = [c.split()[0] for c in CARRY.split(", ")]
 
 
 def stream_polls(spark: SparkSession, events: DataFrame, out: str, checkpoint: str, slot=AUTO) -> None:
@@ -78,13 +79,13 @@ def stream_polls(spark: SparkSession, events: DataFrame, out: str, checkpoint: s
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        rows = batch.filter(F.col("kind").isin(*LIFECYCLE)).select(*CARRY.fieldNames())
+        rows = batch.filter(F.col("kind").isin(*LIFECYCLE)).select(*CARRIED)
         if batch_id > 0:
             rows = rows.unionByName(session.read.schema(CARRY).parquet(f"{out}/open/batch={batch_id - 1}"))
         width = measure_slot(rows, ["source_key"], "ts_ns", slot)
         stepped = with_order(rows, LANE, ORDER, {"n": following(F.struct("kind", *ORDER))}, width)
         starts = stepped.filter(F.col("kind") == "PollStart")
-        starts.filter(F.col("n").isNull()).select(*CARRY.fieldNames()).write.mode("overwrite").parquet(f"{out}/open/batch={batch_id}")
+        starts.filter(F.col("n").isNull()).select(*CARRIED).write.mode("overwrite").parquet(f"{out}/open/batch={batch_id}")
         starts.filter(F.col("n").isNotNull()).select(
             *LANE, "task_id", "spawn_loc", "seq", F.col("ts_ns").alias("start_ns"), F.col("n.kind").alias("closed_by"),
             F.col("n.ts_ns").alias("end_ns"), F.col("n.seq").alias("end_seq"),
@@ -97,7 +98,7 @@ def streamed_polls(spark: SparkSession, out: str, slot=AUTO) -> DataFrame:
     """Polls with a proven end from the streamed starts. A start whose task started elsewhere before its end is
     dropped; the starts still open take part in that test."""
     closed = spark.read.parquet(f"{out}/closed").drop("batch")
-    still = spark.read.schema(T.StructType([*CARRY.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{out}/open")
+    still = spark.read.schema(CARRY + ", batch int").parquet(f"{out}/open")
     last = still.filter(F.col("batch") == still.agg(F.max("batch")).scalar())
     left = last.select(*LANE, "task_id", "spawn_loc", "seq", F.col("ts_ns").alias("start_ns"))
     starts = closed.unionByName(left, allowMissingColumns=True)

@@ -74,13 +74,16 @@ def main(argv):
     from spoor.session import build_session
 
     sf = argv[1] if len(argv) > 1 and argv[1].startswith("sf") else "sf0.01"
-    picks = [a for a in argv[1:] if not a.startswith("sf")]
+    slots = "--slots" in argv
+    picks = [a for a in argv[1:] if not a.startswith(("sf", "--"))]
     spec = importlib.util.spec_from_file_location("entry", Path(__file__).resolve().parents[1] / "__spark_entry__.py")
     entry = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(entry)
     spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                                    "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
+    if slots:  # force the many-slot plans that large keys get
+        spark.conf.set("spoor.window.rows", "60")
     sf_dir = f"/root/testdata/{sf}"
     con = connect(sf_dir)
     oracles = entry.oracle_sql()
