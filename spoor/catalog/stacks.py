@@ -144,7 +144,9 @@ def _(t):
 SELECT path, round(greatest(-1.0, least(1.0, log2((b / tb + 0.5 / greatest(ta, tb)) / (a / ta + 0.5 / greatest(ta, tb))) / 4)), 6) AS score
 FROM d, tot WHERE a + b > 0""")
 def _(t):
-    d = diff(t)
+    poll = F.col("poll_duration_ns")
+    counts = t.samples().groupBy("stack_id").agg(F.count_if(poll < CUT).alias("a"), F.count_if(poll >= CUT).alias("b"))
+    d = op.diff_tree(op.resolve_stacks(counts, t.stacks()))
     ta, tb = d.agg(F.sum("self_a")).scalar(), d.agg(F.sum("self_b")).scalar()
     return d.select("path", F.round(op.diff_score(F.col("a"), F.col("b"), ta, tb), 6).alias("score"))
 

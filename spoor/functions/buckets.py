@@ -16,12 +16,14 @@ def octave(ns: Column) -> Column:
         .when(F.pow(F.lit(2.0), guess + 1) <= ns, guess + 1).otherwise(guess))
 
 
+# Above the rounding error of four times a logarithm, below the distance of any whole number of ns to an edge that
+# is not a power of two (up to minutes): an exact power of two lands in its own bucket.
+_NUDGE = 1e-12
+
+
 def log_bucket(ns: Column) -> Column:
     """floor(4 * log2(ns)); null for ns <= 0."""
-    whole = octave(ns)
-    mantissa = ns / F.pow(F.lit(2.0), whole)
-    quarter = sum((mantissa >= F.pow(F.lit(2.0), F.lit(i / PER_OCTAVE))).cast("int") for i in range(1, PER_OCTAVE))
-    return F.when(ns > 0, (whole * PER_OCTAVE + quarter).cast("bigint"))
+    return F.when(ns > 0, F.floor(F.log2(ns.cast("double")) * PER_OCTAVE + _NUDGE))
 
 
 def edge(bucket: Column) -> Column:

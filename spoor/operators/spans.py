@@ -12,7 +12,7 @@ from spoor.functions.buckets import edge, span_bucket, span_bucket_bounds, ZERO_
 from spoor.operators.rebuild import LANE, ORDER, TASK, merge_intervals, time_slot
 from spoor.plans.interval_join import interval_pairs, point_in_intervals
 from spoor.plans.ranks import order_statistics, value_counts
-from spoor.plans.timeline import AUTO, asof, following, measure_slot, running_max, running_min, running_sum, with_order
+from spoor.plans.timeline import AUTO, asof, following, measure_slot, prev, running_max, running_min, running_sum, with_order
 from spoor.session import cut_lineage
 
 SPAN = ["source_key", "span_id", "segment"]
@@ -34,14 +34,16 @@ def pairing_lanes(segmented: DataFrame, polls: DataFrame, slot=AUTO) -> DataFram
     slot = time_slot(segmented, slot)
     moves = segmented.filter(F.col("kind") != "SpanClose")
     runs = polls.filter(F.col("task_id") != 0).select(
-        *LANE, "start_ns", F.col("end_ns").alias("run_end"), F.col("task_id").alias("run_task"), F.col("seq").alias("run_seq"))
-    take = ["run_end", "run_task"]
-    at = asof(moves, runs, LANE, "ts_ns", "start_ns", take, right_tie=["run_seq"], slot=slot)
-    at = at.withColumn("now_task", F.when(F.col("ts_ns") < F.col("run_end"), F.col("run_task"))).drop(*take)
-    before = asof(at, runs, LANE, "ts_ns", "start_ns", take, inclusive=False, right_tie=["run_seq"], slot=slot)
-    ended = F.when((F.col("kind") == "SpanExit") & (F.col("ts_ns") <= F.col("run_end")), F.col("run_task"))
-    told = before.withColumn("lane", F.coalesce(
-        F.when(F.col("task_id") != 0, F.col("task_id")), ended, F.col("now_task"))).drop(*take, "now_task")
+        *LANE, F.col("start_ns").alias("run_start"), F.col("end_ns").alias("run_end"), F.col("task_id").alias("run_task"), F.col("seq").alias("run_seq"))
+    # A poll brings its predecessor along, for the exit that shares its start time.
+    runs = with_order(runs, LANE, ["run_start", "run_seq"], {"run_before": prev(F.struct("run_end", "run_task"))}, slot)
+    take = ["run_start", "run_end", "run_task", "run_before"]
+    at = asof(moves, runs, LANE, "ts_ns", "run_start", take, right_tie=["run_seq"], slot=slot)
+    now = F.when(F.col("ts_ns") < F.col("run_end"), F.col("run_task"))
+    just_ended = F.when(F.col("run_start") < F.col("ts_ns"), F.when(F.col("ts_ns") <= F.col("run_end"), F.col("run_task"))).otherwise(
+        F.when(F.col("ts_ns") <= F.col("run_before.run_end"), F.col("run_before.run_task")))
+    told = at.withColumn("lane", F.coalesce(
+        F.when(F.col("task_id") != 0, F.col("task_id")), F.when(F.col("kind") == "SpanExit", just_ended), now)).drop(*take)
     known = told.groupBy(*SPAN).agg(F.min("lane").alias("_a"), F.max("lane").alias("_b"))
     sole = known.filter(F.col("_a") == F.col("_b")).select(*SPAN, F.col("_a").alias("_sole"))
     return told.join(sole, SPAN, "left").withColumn(

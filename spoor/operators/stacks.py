@@ -163,6 +163,11 @@ def diff_join(a: DataFrame, b: DataFrame, weight: str = "samples") -> DataFrame:
         "path", *[F.coalesce(c, zero).alias(c) for c in ("a", "b", "self_a", "self_b")])
 
 
+def diff_tree(resolved: DataFrame) -> DataFrame:
+    """Both sides of a diff of one table in one pass: ``resolved`` carries the two counts ``a`` and ``b`` per stack."""
+    return flamegraph_tree(resolved, ("a", "b")).select("path", "a", "b", "self_a", "self_b").filter((F.col("a") > 0) | (F.col("b") > 0))
+
+
 def diff_score(a: Column, b: Column, total_a: Column, total_b: Column) -> Column:
     """log2 ratio of shares over four octaves, clamped to [-1, 1]; one shared epsilon for both sides."""
     ta = F.when(total_a > 0, total_a).otherwise(F.lit(1))

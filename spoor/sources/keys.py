@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 from spoor.plans.timeline import AUTO, following, prev, with_order
 
 DATE, TIME = "[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{4}"
-SEGMENT_FILE = r"(-?[0-9]+)-([0-9]+)\.bin(\.gz)?$"
-VERSIONED = f"(?:^|/)version=1/date=({DATE})/service=([^/]*)/time=({TIME})/instance=([^/]*)/boot=([^/]*)/[^/]*$"
-WITH_BOOT = f"(?:^|/)({DATE})/({TIME})/([^/]*)/([^/]*)/([^/]*)/[^/]*$"
-WITHOUT_BOOT = f"(?:^|/)({DATE})/({TIME})/([^/]*)/([^/]*)/[^/]*$"
+SEGMENT_FILE = r"^(-?[0-9]+)-([0-9]+)\.bin(\.gz)?$"
 
 
 def strip_bucket(key: Column) -> Column:
@@ -21,29 +18,33 @@ def strip_bucket(key: Column) -> Column:
 
 
 def parse_key(df: DataFrame, key: str = "key") -> DataFrame:
-    """Adds layout, date, time, service, instance, boot_id, filename, epoch_secs and segment_index."""
-    path = strip_bucket(F.col(key))
-    df = df.withColumn("_path", path)
-    p = F.col("_path")
-    layout = (F.when(F.rlike(p, F.lit(VERSIONED)), "version1").when(F.rlike(p, F.lit(WITH_BOOT)), "positional_with_boot")
-              .when(F.rlike(p, F.lit(WITHOUT_BOOT)), "positional_without_boot").otherwise("unknown"))
-    df = df.withColumn("layout", layout)
-    name = F.element_at(F.split(p, "/"), -1)
-
-    def part(v1: int, boot: int | None, flat: int | None) -> Column:
-        out = F.when(F.col("layout") == "version1", F.try_url_decode(F.regexp_replace(F.regexp_extract(p, VERSIONED, v1), r"\+", "%2B")))
-        if boot:
-            out = out.when(F.col("layout") == "positional_with_boot", F.regexp_extract(p, WITH_BOOT, boot))
-        if flat:
-            out = out.when(F.col("layout") == "positional_without_boot", F.regexp_extract(p, WITHOUT_BOOT, flat))
-        return out
-
-    is_file = F.rlike(name, F.lit("^" + SEGMENT_FILE))
+    """Adds layout, date, time, service, instance, boot_id, filename, epoch_secs and segment_index.
+
+    The path is split once and its last seven parts are tested one by one: no pattern runs over a whole key.
+    """
+    df = df.withColumn("_parts", F.split(strip_bucket(F.col(key)), "/"))
+    part = lambda i: F.try_element_at(F.col("_parts"), F.lit(-i))
+    named = lambda i, name: F.startswith(part(i), F.lit(f"{name}="))
+    is_date = lambda i, prefix="": F.rlike(part(i), F.lit(f"^{prefix}{DATE}$"))
+    is_time = lambda i, prefix="": F.rlike(part(i), F.lit(f"^{prefix}{TIME}$"))
+    v1 = (part(7) == "version=1") & is_date(6, "date=") & named(5, "service") & is_time(4, "time=") & named(3, "instance") & named(2, "boot")
+    layout = (F.when(F.coalesce(v1, F.lit(False)), "version1").when(F.coalesce(is_date(6) & is_time(5), F.lit(False)), "positional_with_boot")
+              .when(F.coalesce(is_date(5) & is_time(4), F.lit(False)), "positional_without_boot").otherwise("unknown"))
+    # Generated rather than projected, so that later filters use the value and do not repeat its expression.
+    name = part(1)
+    number = lambda i: F.when(F.rlike(name, F.lit(SEGMENT_FILE)), F.regexp_extract(name, SEGMENT_FILE, i).cast("bigint"))
+    told = F.struct(layout.alias("layout"), name.alias("filename"), number(1).alias("epoch_secs"), number(2).alias("segment_index"))
+    df = df.select("*", F.inline(F.array(told)))
+
+    def field(v1_at: int, boot_at: int, flat_at: int | None) -> Column:
+        value = F.substring_index(part(v1_at), "=", -1) if v1_at in (6, 4) else F.regexp_replace(part(v1_at), "^[a-z]+=", "")
+        decoded = F.try_url_decode(F.regexp_replace(value, r"\+", "%2B"))
+        out = F.when(F.col("layout") == "version1", decoded).when(F.col("layout") == "positional_with_boot", part(boot_at))
+        return out if flat_at is None else out.when(F.col("layout") == "positional_without_boot", part(flat_at))
+
     return df.select(
-        "*", part(1, 1, 1).alias("date"), part(3, 2, 2).alias("time"), part(2, 3, 3).alias("service"), part(4, 4, 4).alias("instance"),
-        part(5, 5, None).alias("boot_id"), name.alias("filename"),
-        F.when(is_file, F.regexp_extract(name, SEGMENT_FILE, 1).cast("bigint")).alias("epoch_secs"),
-        F.when(is_file, F.regexp_extract(name, SEGMENT_FILE, 2).cast("bigint")).alias("segment_index")).drop("_path")
+        "*", field(6, 6, 5).alias("date"), field(4, 5, 4).alias("time"), field(5, 4, 3).alias("service"), field(3, 3, 2).alias("instance"),
+        field(2, 2, None).alias("boot_id")).drop("_parts")
 
 
 def boot_identity(df: DataFrame, key: str = "key", metadata_boot: Column | None = None) -> DataFrame:
