@@ -302,7 +302,7 @@ def _(t):
 
 
 @query("attribute_facets", """WITH a AS (SELECT span_type_uid, span_uid, start_ns, unnest(['status', 'segment', 'cust']) AS key, unnest([attr_status, attr_segment, attr_cust]) AS value FROM v_spans),
-v AS (SELECT span_type_uid, key, value, count(*) AS n, min((start_ns, span_uid)) AS seen FROM a GROUP BY 1, 2, 3),
+v AS (SELECT span_type_uid, key, value, count(*) AS n, min(start_ns) AS seen FROM a GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY span_type_uid, key ORDER BY seen, value) AS rn FROM v)
 SELECT span_type_uid, key, sum(n)::bigint AS occurrences, count(*) > 10 AS high_cardinality, array_to_string(list(value ORDER BY rn) FILTER (rn <= 10), ',') AS first_values FROM r GROUP BY 1, 2""")
 def _(t):

@@ -90,10 +90,9 @@ class Tables:
 
     def stacks(self) -> DataFrame:
         """Stack dictionary, frames leaf to root."""
-        stack = F.concat_ws("|", "p_name", "p_type", "p_brand", "n_name", "r_name")
-        return self._sampled().select(
-            F.md5(stack).alias("stack_id"), F.array("p_name", "p_type", "p_brand", "n_name", "r_name").alias("frames"),
-        ).dropDuplicates(["stack_id"])
+        names = ["p_name", "p_type", "p_brand", "n_name", "r_name"]
+        return self._sampled().select(*names).distinct().select(
+            F.md5(F.concat_ws("|", *names)).alias("stack_id"), F.array(*names).alias("frames"))
 
     def _sampled(self) -> DataFrame:
         return (

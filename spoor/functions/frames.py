@@ -59,7 +59,7 @@ def _any(conds):
 def symbolize(samples: DataFrame, symbols: DataFrame, id_col: str = "stack_id") -> DataFrame:
     """Address stacks to frame stacks, leaf to root: inlined callees come innermost first, an unknown address stays
     as hex text. Each distinct stack is resolved once; ``symbols``: addr, inline_depth, symbol_name."""
-    stacks = samples.select(id_col, "callchain").dropDuplicates([id_col])
+    stacks = samples.select(id_col, "callchain").distinct()
     addrs = stacks.select(id_col, F.posexplode("callchain").alias("pos", "addr"))
     hit = addrs.join(symbols, "addr", "left")
     text = F.coalesce("symbol_name", F.concat(F.lit("0x"), F.lower(F.hex("addr"))))

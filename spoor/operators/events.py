@@ -44,9 +44,9 @@ def clock_align(events: DataFrame, keys=("source_key",)) -> DataFrame:
     """Monotonic to wall time by the source's first clock sync; the raw time where the offset is missing or would
     leave the valid range for the source's first or last event."""
     keys = list(keys)
-    sync = F.col("kind") == "ClockSync"
-    offset = F.min_by((F.col("realtime_ns") - F.col("ts_ns")).cast("decimal(20,0)"), F.when(sync, F.struct("ts_ns", "seq")))
-    per = events.groupBy(*keys).agg(offset.alias("offset"), F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi"))
+    offset = (F.col("realtime_ns").cast("decimal(20,0)") - F.col("ts_ns")).cast("decimal(20,0)")
+    sync = events.filter(F.col("kind") == "ClockSync").groupBy(*keys).agg(F.min_by(offset, F.struct("ts_ns", "seq")).alias("offset"))
+    per = events.groupBy(*keys).agg(F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi")).join(sync, keys)
     top = F.lit("9223372036854775807").cast("decimal(20,0)")
     valid = (F.col("lo") + F.col("offset") >= 0) & (F.col("hi") + F.col("offset") <= top)
     good = per.filter(valid).select(*keys, F.col("offset").cast("bigint").alias("offset"))

@@ -42,11 +42,13 @@ def spawn_loc_durations(polls: DataFrame) -> DataFrame:
 
 def worst_exemplars(polls: DataFrame) -> DataFrame:
     """Longest poll per (location, class); ties go to the earliest start, then source and host."""
-    best = F.min(F.struct(
-        (-F.col("duration_ns")).alias("neg"), "start_ns", "source_key", "host", "end_ns")).alias("b")
-    return (
-        classified(polls).filter(F.col("duration_ns") >= NOTABLE_NS).groupBy("spawn_loc", "class").agg(best)
-        .select("spawn_loc", "class", (-F.col("b.neg")).alias("duration_ns"), "b.start_ns", "b.end_ns", "b.host", "b.source_key"))
+    rows = classified(polls).filter(F.col("duration_ns") >= NOTABLE_NS).select(
+        "spawn_loc", "class", "duration_ns", "start_ns", "source_key", "host", "end_ns")
+    longest = rows.groupBy("spawn_loc", "class").agg(F.max("duration_ns").alias("duration_ns"))
+    tied = rows.join(longest, ["spawn_loc", "class", "duration_ns"], "left_semi")
+    first = F.min(F.struct("start_ns", "source_key", "host", "end_ns")).alias("b")
+    return tied.groupBy("spawn_loc", "class", "duration_ns").agg(first).select(
+        "spawn_loc", "class", "duration_ns", "b.start_ns", "b.end_ns", "b.host", "b.source_key")
 
 
 def worker_activity(polls: DataFrame) -> DataFrame:
@@ -141,9 +143,11 @@ def busyness_tier(pct: Column) -> Column:
 def task_index(polls: DataFrame, lifetimes: DataFrame | None = None) -> DataFrame:
     """Per task: polls, busy time, longest poll, first poll and its worker, number of workers; joined with
     spawn and termination times when given (all tasks of either side, missing polls are zero)."""
-    per_task = polls.groupBy("task_id").agg(
-        F.count(F.lit(1)).alias("polls"), F.sum("duration_ns").alias("total_ns"), F.max("duration_ns").alias("longest_ns"),
-        F.min(F.struct("start_ns", "worker_id")).alias("_first"), F.countDistinct("worker_id").alias("workers"))
+    per_worker = polls.groupBy("task_id", "worker_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("duration_ns").alias("ns"), F.max("duration_ns").alias("longest"), F.min("start_ns").alias("start_ns"))
+    per_task = per_worker.groupBy("task_id").agg(
+        F.sum("n").alias("polls"), F.sum("ns").alias("total_ns"), F.max("longest").alias("longest_ns"),
+        F.min(F.struct("start_ns", "worker_id")).alias("_first"), F.count(F.lit(1)).alias("workers"))
     per_task = per_task.select(
         "task_id", "polls", "total_ns", "longest_ns", F.col("_first.start_ns").alias("first_poll_ns"),
         F.col("_first.worker_id").alias("first_worker"), "workers")

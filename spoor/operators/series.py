@@ -96,9 +96,8 @@ def gauge_series(custom: DataFrame, event: str, field: str, keys=("host",)) -> D
 
 def field_unit(custom: DataFrame, event: str, keys=("host",)) -> DataFrame:
     """Unit of the series; null where annotations disagree."""
-    unit = F.col("fields")["unit"]
-    return custom.filter(F.col("name") == event).groupBy(*keys).agg(
-        F.when(F.min(unit) == F.max(unit), F.min(unit)).alias("unit"))
+    units = custom.filter(F.col("name") == event).select(*keys, F.col("fields")["unit"].alias("unit")).distinct()
+    return units.groupBy(*keys).agg(F.when(F.min("unit") == F.max("unit"), F.min("unit")).alias("unit"))
 
 
 def counter_series(custom: DataFrame, event: str, field: str, keys=("host",), monotonic: bool = True, slot=AUTO) -> DataFrame:
@@ -120,7 +119,8 @@ def field_catalog(custom: DataFrame) -> DataFrame:
     """Chartable (event, field) pairs: their one agreed kind, or no kind but numbers seen."""
     fields = custom.select("name", "kinds", F.explode("fields").alias("field", "value"))
     rows = fields.select("name", "field", F.col("kinds")[F.col("field")].alias("kind"), numeric_value(F.col("value")).isNotNull().alias("num"))
-    pairs = rows.groupBy("name", "field").agg(F.bool_or("num").alias("numeric_seen"), F.min("kind").alias("_a"), F.max("kind").alias("_b"))
+    kinds = rows.groupBy("name", "field", "kind").agg(F.bool_or("num").alias("num"))
+    pairs = kinds.groupBy("name", "field").agg(F.bool_or("num").alias("numeric_seen"), F.min("kind").alias("_a"), F.max("kind").alias("_b"))
     kind = F.when(F.col("_a") == F.col("_b"), F.col("_a"))
     return pairs.select("name", "field", kind.alias("kind"), "numeric_seen").filter(F.col("kind").isNotNull() | F.col("numeric_seen"))
 

@@ -324,9 +324,10 @@ def span_stats(spans: DataFrame, k: int = 1000) -> DataFrame:
 
     One pass to (type, bucket), then everything else is computed from those few rows.
     """
-    cells = spans.groupBy("span_type_uid", span_bucket(F.col("elapsed_ns")).alias("bucket")).agg(
+    # The name is part of the type; as a key it keeps the pass a hash aggregate.
+    cells = spans.groupBy("span_type_uid", "name", span_bucket(F.col("elapsed_ns")).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"), F.min("elapsed_ns").alias("lo"), F.max("elapsed_ns").alias("hi"),
-        F.count_if("details_complete").alias("done"), F.count_if(~F.col("details_complete")).alias("part"), F.min("name").alias("name"))
+        F.count_if("details_complete").alias("done"), F.count_if(~F.col("details_complete")).alias("part"))
     mid = F.when(F.col("bucket") == ZERO_BUCKET, F.lit(0.0)).otherwise((edge(F.col("bucket")) + edge(F.col("bucket") + 1)) / 2)
     reached = lambda p: F.col("cum") >= F.ceil(F.lit(p) * F.col("total"))
     value = F.round(mid).cast("bigint")
@@ -382,10 +383,9 @@ def band_composition(composition: DataFrame, low: int | None = None, high: int |
 
 
 def attribute_facets(spans: DataFrame, max_keys: int = 50, max_values: int = 10) -> DataFrame:
-    """Per type the first-seen attribute keys and values (seen order: start time, then span id), occurrences and
+    """Per type the first-seen attribute keys and values (seen order: start time, then the text), occurrences and
     whether a key has more values than shown."""
-    seen = F.struct("start_ns", "span_uid")
-    rows = spans.select("span_type_uid", seen.alias("at"), F.explode("attributes").alias("key", "value")).filter(F.col("key") != "")
+    rows = spans.select("span_type_uid", F.col("start_ns").alias("at"), F.explode("attributes").alias("key", "value")).filter(F.col("key") != "")
     values = rows.groupBy("span_type_uid", "key", "value").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     keys = values.groupBy("span_type_uid", "key").agg(
         F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("distinct_values"), F.min("at").alias("key_at"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spoor.functions.buckets import edge_ns, log_bucket
 from spoor.plans.timeline import AUTO, running_sum, with_order
+from spoor.session import cut_lineage
 
 SEP = ";"
 
@@ -117,6 +118,7 @@ def flamegraph_tree(resolved: DataFrame, weights: Sequence[str] = ("samples",),
 def flat_layout(tree: DataFrame, total: Column | int | None = None, weight: str = "samples", floor: float = 0.001,
                 slot=AUTO) -> DataFrame:
     """Drawable nodes: share of the total at least ``floor``; x = offsets of earlier siblings up the path."""
+    tree = cut_lineage(tree)  # read four times below; a tree is small beside its samples
     whole = tree.filter(F.col("depth") == 1).agg(F.sum(weight)).scalar() if total is None else F.lit(total)
     sized = tree.withColumn("total", whole)
     sized = sized.withColumn("_rank", -F.col(weight)).withColumn("_par", F.coalesce("parent_path", F.lit("")))
@@ -228,8 +230,8 @@ def frame_time_extent(samples: DataFrame, stacks: DataFrame, root_path: Sequence
 
 def dedupe_stacks(samples: DataFrame, frames: str = "frames") -> DataFrame:
     """Groups of identical stacks with their count and leaf."""
-    return samples.groupBy(F.array_join(frames, SEP).alias("stack")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.element_at(frames, 1)).alias("leaf"))
+    groups = samples.groupBy(F.array_join(frames, SEP).alias("stack")).agg(F.count(F.lit(1)).alias("n"))
+    return groups.withColumn("leaf", F.substring_index("stack", SEP, 1))
 
 
 def off_cpu_split(samples: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def write_samples(df: DataFrame, out: str) -> None:
 
 
 def write_stacks(df: DataFrame, out: str) -> None:
-    write_table(df.dropDuplicates([*PARTITIONS, "stack_id"]), f"{out}/stacks")
+    write_table(df.distinct(), f"{out}/stacks")
 
 
 def write_polls(df: DataFrame, out: str) -> None:
