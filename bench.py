@@ -20,7 +20,7 @@ HEADLINE = (
     "flamegraph_tree", "flamegraph_weighted", "diff_join", "facets", "poll_hist_samples", "span_member_filter", "spawn_loc_stats",
     "worker_activity", "period_stats", "top_long_polls", "polls", "readiness", "point_in_interval", "sched_delays", "pair_lifo",
     "spans_enter_exit", "span_stats", "composition_hist", "attribute_facets", "point_in_overlapping_intervals", "span_depth",
-    "counter_series", "alloc_sites", "alloc_free_match", "coverage", "red_flags", "stream_polls")
+    "counter_series", "alloc_sites", "alloc_free_match", "coverage", "red_flags", "stateful_polls")
 
 
 def main() -> None:

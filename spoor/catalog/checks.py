@@ -17,7 +17,7 @@ def sel(check, severity, subject, value, rest):
     return f"SELECT '{check}' AS \"check\", {severity} AS severity, cast({subject} AS varchar) AS subject, cast({value} AS double) AS value {rest}"
 
 
-@query("check_incomplete_file", sel("incomplete-file", "'warning'", "source_key", "1", "FROM (SELECT source_key, count(*) AS n FROM v_events GROUP BY 1) WHERE n % 2 = 1"))
+@query("incomplete_file", sel("incomplete-file", "'warning'", "source_key", "1", "FROM (SELECT source_key, count(*) AS n FROM v_events GROUP BY 1) WHERE n % 2 = 1"))
 def _(t):
     per = t.events().groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
     meta = F.create_map(F.lit("segment.complete"), F.when(F.col("n") % 2 == 1, "false").otherwise("true"))
@@ -30,7 +30,7 @@ LONG_SQL = (sel("long-poll", "sev", "concat_ws('/', host, worker_id, task_id, st
             + sel("long-poll", "sev", "'total'", "count(*)", "FROM lr GROUP BY sev"))
 
 
-@query("check_long_poll", f"WITH {LONG} {LONG_SQL}")
+@query("long_poll", f"WITH {LONG} {LONG_SQL}")
 def _(t):
     return op.long_poll(t.polls())
 
@@ -39,7 +39,7 @@ LEAK = f"""lk AS (SELECT source_key, count(*) AS n, arg_min(alive, ts_ns) AS f,
 LEAK_SQL = sel("task-leak", "'warning'", "source_key", "l", "FROM lk WHERE n > 10 AND l > f * 2 AND l = p")
 
 
-@query("check_task_leak", f"WITH t0 AS (SELECT source_key, ts_ns, seq, sum(1) OVER (PARTITION BY source_key ORDER BY ts_ns, seq) AS alive FROM v_events WHERE kind = 'TaskSpawn'), {LEAK.replace('FROM tl', 'FROM t0')} {LEAK_SQL}")
+@query("task_leak", f"WITH t0 AS (SELECT source_key, ts_ns, seq, sum(1) OVER (PARTITION BY source_key ORDER BY ts_ns, seq) AS alive FROM v_events WHERE kind = 'TaskSpawn'), {LEAK.replace('FROM tl', 'FROM t0')} {LEAK_SQL}")
 def _(t):
     return op.task_leak(series.active_task_timeline(t.events().filter("kind = 'TaskSpawn'")))  # no terminations: it leaks
 
@@ -47,7 +47,7 @@ def _(t):
 SD = sel("sched-delay", f"CASE WHEN max(delay_ns) > {HOUR} THEN 'critical' ELSE 'warning' END", "source_key", "count(*)", f"FROM sd WHERE delay_ns > {HOUR // 60} GROUP BY source_key")
 
 
-@query("check_sched_delay", f"WITH {W2} {SD}")
+@query("sched_delay", f"WITH {W2} {SD}")
 def _(t):
     return op.sched_delay(rebuild.sched_delays(t.events(), max_delay_ns=DELAY), HOUR // 60, HOUR)
 
@@ -55,7 +55,7 @@ def _(t):
 BLOCK = """bg AS (SELECT source_key, array_to_string(frames, ';') AS stack, count(*) AS n FROM v_cpu WHERE source = 1 GROUP BY 1, 2), br AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY n DESC, stack) AS rn FROM bg)"""
 
 
-@query("check_blocking_calls", f"WITH {BLOCK} " + sel("blocking-calls", "'warning'", "concat(source_key, ' ', stack)", "n", "FROM br WHERE rn = 1 AND n > 5"))
+@query("blocking_calls", f"WITH {BLOCK} " + sel("blocking-calls", "'warning'", "concat(source_key, ' ', stack)", "n", "FROM br WHERE rn = 1 AND n > 5"))
 def _(t):
     return op.blocking_calls(t.cpu())
 
@@ -64,7 +64,7 @@ QUEUE = "q AS (SELECT ts_ns, sum(global_queue_depth)::bigint AS depth FROM v_met
 QUEUE_SQL = sel("queue-depth", "CASE WHEN max(depth) > 1000 THEN 'critical' ELSE 'warning' END", "max(depth)", "count(*) FILTER (depth > 100)", "FROM q HAVING count(*) FILTER (depth > 100) > 0")
 
 
-@query("check_queue_depth", f"WITH {QUEUE} {QUEUE_SQL}")
+@query("queue_depth", f"WITH {QUEUE} {QUEUE_SQL}")
 def _(t):
     return op.queue_depth(series.queue_series(t.metrics()))
 
@@ -73,7 +73,7 @@ IMB = "wc AS (SELECT host, worker_id, count(*) AS n FROM v_polls GROUP BY 1, 2)"
 IMB_SQL = sel("worker-imbalance", "'info'", "host", "max(n) / min(n)", "FROM wc GROUP BY host HAVING count(*) > 1 AND max(n) > min(n) * 1.05")
 
 
-@query("check_worker_imbalance", f"WITH {IMB} {IMB_SQL}")
+@query("worker_imbalance", f"WITH {IMB} {IMB_SQL}")
 def _(t):
     return op.worker_imbalance(t.polls(), "host", 1.05)  # the synthetic workers are nearly even
 
@@ -83,7 +83,7 @@ CONT = f"aa AS ({ACT}), ab AS (SELECT source_key, worker_id, count(*) AS n, coun
 CONT_SQL = sel("cpu-contention", "'warning'", "concat(source_key, '/', worker_id)", "low", "FROM ab WHERE n > 10 AND low > n * 0.1")
 
 
-@query("check_cpu_contention", f"WITH {PK}, {CONT} {CONT_SQL}")
+@query("cpu_contention", f"WITH {PK}, {CONT} {CONT_SQL}")
 def _(t):
     return op.cpu_contention(rebuild.active_periods(t.events()))
 
@@ -92,29 +92,29 @@ WAIT_SQL = sel("kernel-sched-wait", "CASE WHEN max(nw) > 10000000 THEN 'warning'
                "FROM pk WHERE kind = 'WorkerPark' AND nk = 'WorkerUnpark' AND nw > 1000000 GROUP BY source_key, worker_id")
 
 
-@query("check_kernel_sched_wait", f"WITH {PK} {WAIT_SQL}")
+@query("kernel_sched_wait", f"WITH {PK} {WAIT_SQL}")
 def _(t):
     return op.kernel_sched_wait(rebuild.parks(t.events()))
 
 
-@query("check_many_spans_per_poll", f"WITH {span_cat.INNER} " + sel("many-spans-per-poll", "'warning'", "poll_seq", "count(*)", "FROM inn GROUP BY poll_seq HAVING count(*) > 1"))
+@query("many_spans_per_poll", f"WITH {span_cat.INNER} " + sel("many-spans-per-poll", "'warning'", "poll_seq", "count(*)", "FROM inn GROUP BY poll_seq HAVING count(*) > 1"))
 def _(t):
     return op.many_spans_per_poll(span_cat.inside(t), 1)
 
 
-@query("check_span_outlier", "WITH m AS (SELECT name, list(elapsed_ns ORDER BY elapsed_ns) AS l FROM v_spans GROUP BY 1), p AS (SELECT name, l[1 + cast(floor(len(l) * 0.5) AS bigint)] AS p50 FROM m WHERE len(l) >= 10) "
+@query("span_outlier", "WITH m AS (SELECT name, list(elapsed_ns ORDER BY elapsed_ns) AS l FROM v_spans GROUP BY 1), p AS (SELECT name, l[1 + cast(floor(len(l) * 0.5) AS bigint)] AS p50 FROM m WHERE len(l) >= 10) "
        + sel("span-duration-outlier", "'info'", "v.name", "count(*)", "FROM v_spans v JOIN p USING (name) WHERE elapsed_ns > p50 * 1.9 GROUP BY v.name"))
 def _(t):
     return op.span_outlier(t.spans(), 1.9)
 
 
-@query("check_unmatched_spans", f"WITH {span_cat.PAIR} " + sel("unmatched-spans", "'info'", "span_name", "count(*)", "FROM pairs p JOIN v_span_events e ON e.seq = p.enter_seq WHERE state = 'unmatched_enter' GROUP BY span_name"))
+@query("unmatched_spans", f"WITH {span_cat.PAIR} " + sel("unmatched-spans", "'info'", "span_name", "count(*)", "FROM pairs p JOIN v_span_events e ON e.seq = p.enter_seq WHERE state = 'unmatched_enter' GROUP BY span_name"))
 def _(t):
     names = t.span_events().select(F.col("seq").alias("enter_seq"), "span_name")
     return op.unmatched_spans(span_cat.pairs(t), names)
 
 
-@query("check_idle_worker", f"WITH {PK}, {QUEUE}, sl AS (SELECT source_key, worker_id, ts_ns AS s, nt AS e FROM pk WHERE kind = 'WorkerPark' AND nk = 'WorkerUnpark' AND nt - ts_ns > 1000000), h AS (SELECT sl.*, q.depth FROM sl ASOF JOIN q ON q.ts_ns <= sl.e) "
+@query("idle_worker", f"WITH {PK}, {QUEUE}, sl AS (SELECT source_key, worker_id, ts_ns AS s, nt AS e FROM pk WHERE kind = 'WorkerPark' AND nk = 'WorkerUnpark' AND nt - ts_ns > 1000000), h AS (SELECT sl.*, q.depth FROM sl ASOF JOIN q ON q.ts_ns <= sl.e) "
        + sel("idle-worker", "'warning'", "concat_ws('/', source_key, worker_id, s)", "depth", "FROM h WHERE depth > 0"))
 def _(t):
     e = t.events()
@@ -123,21 +123,49 @@ def _(t):
     return op.idle_worker(woken, series.queue_series(t.metrics()))
 
 
-@query("check_wake_delay", f"WITH {W1} " + sel("wake-delay", "'warning'", "seq", "delay_ns", f"FROM w1 WHERE delay_ns >= {HOUR}"))
+@query("wake_delay", f"WITH {W1} " + sel("wake-delay", "'warning'", "seq", "delay_ns", f"FROM w1 WHERE delay_ns >= {HOUR}"))
 def _(t):
     return op.wake_delay(rebuild.wake_to_poll(t.events(), DELAY), HOUR)
 
 
-@query("check_setup", f"""WITH e AS (SELECT count(*) FILTER (kind = 'TaskSpawn') AS spawns, count(*) FILTER (kind = 'WorkerUnpark') AS unparks FROM v_events), s AS (SELECT count(*) FILTER (source = 0) AS n_on FROM v_cpu)
-{sel("missing-frame-pointers", "'critical'", "'trace'", "2", "FROM s WHERE n_on > 10")} UNION ALL {sel("missing-wake-events", "'warning'", "'trace'", "spawns", "FROM e")}
-UNION ALL {sel("no-scheduling-events", "'info'", "'trace'", "n_on", "FROM s")} UNION ALL {sel("no-task-polls", "'warning'", "'trace'", "unparks", "FROM e")}
-UNION ALL {sel("missing-debug-symbols", "'warning'", "'trace'", "0", "FROM s")}""")
-def _(t):
+SETUP = {
+    "missing_frame_pointers": sel("missing-frame-pointers", "'critical'", "'trace'", "2", "FROM s WHERE n_on > 10"),
+    "missing_wake_events": sel("missing-wake-events", "'warning'", "'trace'", "spawns", "FROM e"),
+    "missing_symbols": sel("missing-debug-symbols", "'warning'", "'trace'", "0", "FROM s"),
+    "no_sched_events": sel("no-scheduling-events", "'info'", "'trace'", "n_on", "FROM s"),
+    "no_task_polls": sel("no-task-polls", "'warning'", "'trace'", "unparks", "FROM e"),
+}
+SETUP_CTE = """WITH e AS (SELECT count(*) FILTER (kind = 'TaskSpawn') AS spawns, count(*) FILTER (kind = 'WorkerUnpark') AS unparks FROM v_events), s AS (SELECT count(*) FILTER (source = 0) AS n_on FROM v_cpu) """
+
+
+def faulty(t, unstable=True):
     """A recording with every fault: short stacks, no wakes, no polls, no scheduler samples, no symbols."""
     events = t.events().withColumn("kind", F.when(F.col("kind").isin("Wake", "PollStart"), "PollEnd").otherwise(F.col("kind")))
     short = t.cpu().filter("source = 0").withColumn("frames", F.slice("frames", 1, 2))
     symbols = t.cpu().filter("source = 2").select(F.lit("a").alias("addr"), F.lit("").alias("location"))
-    return op.setup_checks(events, short, symbols)
+    return op.setup_checks(events, short, symbols, unstable)
+
+
+@query("setup_checks", SETUP_CTE + " UNION ALL ".join(SETUP.values()))
+def _(t):
+    return faulty(t)
+
+
+def _register_setup(name, sql):
+    check = sql.split("'")[1]
+
+    @query(name, SETUP_CTE + sql)
+    def _(t):
+        return faulty(t).filter(F.col("check") == check)
+
+
+for _name, _sql in SETUP.items():
+    _register_setup(_name, _sql)
+
+
+@query("no_unstable_flag", sel("no-unstable-flag", "'warning'", "'trace'", "1", "FROM (SELECT count(*) AS n FROM v_events) WHERE n > 0"))
+def _(t):
+    return faulty(t, unstable=False).filter(F.col("check") == "no-unstable-flag")
 
 
 HZ = 0.002

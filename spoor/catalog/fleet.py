@@ -123,6 +123,12 @@ def _(t):
     return op.coverage(scoped(t), folded(t))
 
 
+@query("fold_errors", f"WITH {PARSED} SELECT count(*) AS errors, substr(min(concat('no place for ', key)), 1, 300) AS sample FROM k WHERE layout = 'unknown'")
+def _(t):
+    lost = parsed(t).filter("layout = 'unknown'")
+    return op.fold_errors(lost.select(F.concat(F.lit("no place for "), "key").alias("message")))
+
+
 @query("segment_extents", f"""WITH {PARSED}, x AS (SELECT key, instance, epoch_secs * 1000000000 AS start_ns, CASE WHEN modified_s > epoch_secs THEN modified_s * 1000000000 ELSE epoch_secs * 1000000000 + 1000000000 END AS e FROM k WHERE epoch_secs > 0 AND instance IS NOT NULL),
 y AS (SELECT *, lead(start_ns) OVER (PARTITION BY instance ORDER BY start_ns, key) AS nx FROM x) SELECT key, start_ns, e AS real_end_ns, CASE WHEN nx > start_ns AND nx < e THEN nx ELSE e END AS end_ns FROM y""")
 def _(t):

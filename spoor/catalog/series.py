@@ -191,13 +191,13 @@ def _(t):
     return c.withColumn("est_ms", F.round("est_ms", 3)).withColumn("mean_gap_ns", F.round("mean_gap_ns", 0)).withColumn("coverage", F.round("coverage", 6))
 
 
-@query("task_detail", f"""WITH {W2}, pl AS (SELECT source_key, task_id, arg_min(spawn_loc, ts_ns) AS loc FROM v_events WHERE kind IN ('TaskSpawn', 'PollStart') GROUP BY 1, 2)
+@query("task_detail", f"""WITH {W2.replace("start_ns - eff > 0", "start_ns - eff >= 0")}, pl AS (SELECT source_key, task_id, arg_min(spawn_loc, ts_ns) AS loc FROM v_events WHERE kind IN ('TaskSpawn', 'PollStart') GROUP BY 1, 2)
 SELECT p.source_key, p.seq, p.start_ns, p.end_ns, s.wake_ns, s.delay_ns, CASE WHEN s.wake_ns IS NOT NULL THEN CASE WHEN s.waker_task_id = 0 THEN 'io' ELSE coalesce(loc, concat('task 0x', lower(to_hex(s.waker_task_id)))) END END AS waker
 FROM po p LEFT JOIN sd s ON s.source_key = p.source_key AND s.seq = p.seq LEFT JOIN pl ON pl.source_key = p.source_key AND pl.task_id = s.waker_task_id WHERE p.task_id = 21""")
 def _(t):
     e = t.events()
     polls = cut_lineage(rebuild.polls_open_ended(e))
-    return op.task_detail(polls, rebuild.sched_delays(e, polls, DELAY), e, 21)
+    return op.task_detail(polls, rebuild.sched_delays(e, polls, DELAY, allow_zero=True), e, 21)
 
 
 @query("event_task", f"""WITH {CLOSED}, c AS (SELECT source_key, seq, ts_ns, worker_id, CASE WHEN seq % 3 = 0 THEN task_id END AS own FROM v_custom),

@@ -104,7 +104,7 @@ class Streamed:
         return lambda: getattr(type(self.t), view)(self)
 
 
-@query("stream_snapshots", "SELECT source_key, kind, count(*) AS n, max(ts_ns) AS last_ns FROM v_events GROUP BY 1, 2")
+@query("progressive_snapshots", "SELECT source_key, kind, count(*) AS n, max(ts_ns) AS last_ns FROM v_events GROUP BY 1, 2")
 def _(t):
     out = scratch(t)
     answer = Streamed(t).events().groupBy("source_key", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("ts_ns").alias("last_ns"))
@@ -112,7 +112,7 @@ def _(t):
     return jobs.latest_snapshot(t.spark, f"{out}/answer")
 
 
-@query("stream_incremental_merge", f"SELECT md5(o_orderpriority) AS span_type_uid, bucket, count(*) AS n FROM (SELECT o_orderpriority, {BUCKET.replace('elapsed_ns', 'cast(floor(o_totalprice * 1000) AS bigint)')} AS bucket FROM orders) GROUP BY 1, 2")
+@query("incremental_merge", f"SELECT md5(o_orderpriority) AS span_type_uid, bucket, count(*) AS n FROM (SELECT o_orderpriority, {BUCKET.replace('elapsed_ns', 'cast(floor(o_totalprice * 1000) AS bigint)')} AS bucket FROM orders) GROUP BY 1, 2")
 def _(t):
     out = scratch(t)
     orders = Streamed(t).table("orders")
@@ -121,7 +121,7 @@ def _(t):
     return jobs.latest_snapshot(t.spark, f"{out}/answer")
 
 
-@query("stream_exactly_once_fold", f"WITH {PLACED} SELECT source_key, count(*) AS n FROM pp GROUP BY 1")
+@query("exactly_once_fold", f"WITH {PLACED} SELECT source_key, count(*) AS n FROM pp GROUP BY 1")
 def _(t):
     out = scratch(t)
     named = polls(Streamed(t))
@@ -133,14 +133,14 @@ def _(t):
     return op.read_table(t.spark, out, "polls").groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_polls", f"WITH {CLOSED} SELECT * FROM polls")
+@query("stateful_polls", f"WITH {CLOSED} SELECT * FROM polls")
 def _(t):
     out = scratch(t)
     jobs.stream_polls(t.spark, Streamed(t).events(), f"{out}/polls", f"{out}/ckpt")
     return jobs.streamed_polls(t.spark, f"{out}/polls")
 
 
-@query("stream_windowed_rates", """WITH w AS (SELECT ts_ns // 10000000000 * 10000000 AS start_us, kind, count(*) AS n FROM v_events GROUP BY 1, 2) SELECT start_us, kind, n FROM w WHERE start_us + 10000000 <= (SELECT max(ts_ns) // 1000000 * 1000 FROM v_events) - 120000000""")
+@query("windowed_rates", """WITH w AS (SELECT ts_ns // 10000000000 * 10000000 AS start_us, kind, count(*) AS n FROM v_events GROUP BY 1, 2) SELECT start_us, kind, n FROM w WHERE start_us + 10000000 <= (SELECT max(ts_ns) // 1000000 * 1000 FROM v_events) - 120000000""")
 def _(t):
     out = scratch(t)
     events = Streamed(t).events().withColumn("ts", F.timestamp_micros(F.expr("ts_ns div 1000")))
@@ -148,7 +148,7 @@ def _(t):
     return t.spark.read.parquet(f"{out}/rates").drop("batch")
 
 
-@query("stream_coverage_sessions", """WITH s AS (SELECT host, ts_ns // 1000 AS us, CASE WHEN ts_ns // 1000 < lag(ts_ns // 1000) OVER (PARTITION BY host ORDER BY ts_ns) + 60000000 THEN 0 ELSE 1 END AS fresh FROM v_events),
+@query("coverage_sessions", """WITH s AS (SELECT host, ts_ns // 1000 AS us, CASE WHEN ts_ns // 1000 < lag(ts_ns // 1000) OVER (PARTITION BY host ORDER BY ts_ns) + 60000000 THEN 0 ELSE 1 END AS fresh FROM v_events),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY host ORDER BY us ROWS UNBOUNDED PRECEDING) AS g FROM s), r AS (SELECT host, min(us) AS start_us, max(us) + 60000000 AS end_us, count(*) AS n FROM g GROUP BY host, g)
 SELECT * FROM r WHERE end_us <= (SELECT max(us) // 1000 * 1000 FROM s) - 120000000""")
 def _(t):

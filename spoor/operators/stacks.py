@@ -6,7 +6,7 @@ dictionary join, so the path explosion multiplies distinct stacks, never samples
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,20 +18,15 @@ from spoor.session import cut_lineage
 SEP = ";"
 
 # Facet registry: a new facet is one more entry.
-FACETS: dict[str, Column] = {}
+FACETS: dict[str, Callable[[], Column]] = {
+    "source": lambda: F.when(F.col("source") == 0, "cpu").when(F.col("source") == 1, "sched"),
+    "thread_class": lambda: F.when(F.col("worker_id").isNull(), "off-worker").otherwise("worker"),
+    "host": lambda: F.col("host"),
+    "spawn_location": lambda: F.col("spawn_location"),
+}
 FACET_DEFAULTS = {"source": "cpu"}
 
 
-def facet_columns() -> dict[str, Column]:
-    if not FACETS:
-        FACETS.update(
-            source=F.when(F.col("source") == 0, "cpu").when(F.col("source") == 1, "sched"),
-            thread_class=F.when(F.col("worker_id").isNull(), "off-worker").otherwise("worker"),
-            host=F.col("host"),
-            spawn_location=F.col("spawn_location"))
-    return FACETS
-
-
 def time_range(df: DataFrame, start_ns: int | None, end_ns: int | None, t: str = "ts_ns") -> DataFrame:
     """Rows of the half-open range."""
     if start_ns is not None:
@@ -44,10 +39,9 @@ def facet_filter(df: DataFrame, chosen: Mapping[str, str] | None = None, phase:
     values = {**FACET_DEFAULTS, **(chosen or {})}
     if phase is not None:
         values["source"] = {"on_cpu": "cpu", "blocking": "sched"}[phase]
-    columns = facet_columns()
     for name, want in values.items():
         if want not in ("", "all"):
-            df = df.filter(columns[name] == want)
+            df = df.filter(FACETS[name]() == want)
     return df
 
 
@@ -83,8 +77,7 @@ def sample_totals(samples: DataFrame) -> DataFrame:
 
 def facets(samples: DataFrame) -> DataFrame:
     """Distinct values per facet before facet filters: (facet, value)."""
-    columns = facet_columns()
-    pairs = F.array(*[F.struct(F.lit(n).alias("facet"), c.alias("value")) for n, c in columns.items()])
+    pairs = F.array(*[F.struct(F.lit(n).alias("facet"), column().alias("value")) for n, column in FACETS.items()])
     return (
         samples.select(F.explode(pairs).alias("p")).select("p.facet", "p.value")
         .filter(F.col("value").isNotNull()).distinct())

@@ -162,6 +162,11 @@ def coverage(matched: DataFrame, folded: DataFrame) -> DataFrame:
         F.sum(F.when(done, part).otherwise(F.lit(0).cast("decimal(20,0)"))).cast("string").alias("folded_digest"))
 
 
+def fold_errors(errors: DataFrame) -> DataFrame:
+    """Files that could not be folded, and one message of at most 300 characters."""
+    return errors.agg(F.count(F.lit(1)).alias("errors"), F.substring(F.min("message"), 1, 300).alias("sample"))
+
+
 # Segments of a host on the time axis ----------------------------------------------------------------------
 
 def segment_extents(parsed: DataFrame, keys=("instance",), slot=AUTO) -> DataFrame:
