@@ -168,7 +168,7 @@ def _(t):
     return faulty(t, unstable=False).filter(F.col("check") == "no-unstable-flag")
 
 
-HZ = 0.002
+HZ = 0.0004
 
 
 @query("corroborate", f"""WITH {ATTR}, {OPEN.replace('life AS', 'lf9 AS').replace('FROM life', 'FROM lf9')}, d AS (SELECT source_key, seq, task_id, start_ns, end_ns, end_ns - start_ns AS dur FROM po),
@@ -180,8 +180,8 @@ nm AS (SELECT seq, tid, n, leaf FROM su WHERE rn = 1 AND dur / 1e9 * {HZ} >= 3 A
 sn AS (SELECT DISTINCT l.seq AS other, unnest(c.frames) AS leaf FROM lg l JOIN v_cpu c ON c.source_key = l.source_key AND c.source <> 1 AND c.t BETWEEN l.start_ns AND l.end_ns),
 co AS (SELECT nm.seq, count(*) AS k FROM nm JOIN sn ON sn.leaf = nm.leaf AND sn.other <> nm.seq GROUP BY 1),
 ct AS (SELECT source_key, poll_seq, count(*) FILTER (source = 0) AS c0, count(*) FILTER (source = 1) AS c1 FROM attr WHERE poll_seq IS NOT NULL GROUP BY 1, 2)
-SELECT b.source_key, b.seq AS poll_seq, b.task_id, b.dur AS duration_ns, CASE WHEN coalesce(c0, 0) > 0 THEN 'on_cpu' ELSE 'off_cpu' END AS class, coalesce(c0, 0) AS cpu_samples, coalesce(c1, 0) AS sched_samples, nm.tid AS suspect_tid,
- nm.n::bigint AS suspect_samples, nm.leaf AS suspect_leaf, CASE WHEN nm.tid IS NOT NULL THEN coalesce(k, 0) END AS coincided, (SELECT count(*) - 1 FROM lg) AS others FROM best b LEFT JOIN ct ON ct.source_key = b.source_key AND ct.poll_seq = b.seq
+SELECT b.source_key, b.seq AS poll_seq, b.task_id, b.dur AS duration_ns, CASE WHEN coalesce(c0, 0) > 0 THEN 'on_cpu' ELSE 'off_cpu' END AS class, coalesce(c0, 0) AS cpu_samples, coalesce(c1, 0) AS sched_samples, CASE WHEN coalesce(c0, 0) = 0 THEN nm.tid END AS suspect_tid,
+ CASE WHEN coalesce(c0, 0) = 0 THEN nm.n::bigint END AS suspect_samples, CASE WHEN coalesce(c0, 0) = 0 THEN nm.leaf END AS suspect_leaf, CASE WHEN coalesce(c0, 0) = 0 AND nm.tid IS NOT NULL THEN coalesce(k, 0) END AS coincided, (SELECT count(*) - 1 FROM lg) AS others FROM best b LEFT JOIN ct ON ct.source_key = b.source_key AND ct.poll_seq = b.seq
  LEFT JOIN nm ON nm.seq = b.seq LEFT JOIN co ON co.seq = b.seq""")
 def _(t):
     e = t.events()
@@ -191,7 +191,7 @@ def _(t):
 
 
 @query("diagnose_long_poll", f"""WITH {OPEN}, d AS (SELECT seq, end_ns - start_ns AS dur, start_ns FROM po), p9 AS (SELECT list(dur ORDER BY dur) AS l FROM d)
-SELECT seq AS poll_seq, dur AS duration_ns FROM d, p9 WHERE dur >= greatest(1000000.0, 3 * l[1 + least(len(l) - 1, cast(floor(len(l) * 0.99) AS bigint))]) OR dur >= 1.05 * l[1 + least(len(l) - 1, cast(floor(len(l) * 0.99) AS bigint))] ORDER BY dur DESC, start_ns, seq LIMIT 3""")
+SELECT seq AS poll_seq, dur AS duration_ns FROM d, p9 WHERE dur >= greatest(1000000.0, 1.05 * l[1 + least(len(l) - 1, cast(floor(len(l) * 0.99) AS bigint))]) ORDER BY dur DESC, start_ns, seq LIMIT 3""")
 def _(t):
     e = t.events()
     polls = cut_lineage(rebuild.polls_open_ended(e))

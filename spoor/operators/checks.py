@@ -178,10 +178,12 @@ def diagnose_long_polls(polls: DataFrame, attributed: DataFrame, samples: DataFr
     co = named.join(seen, "suspect_leaf").filter(F.col("other_seq") != F.col("poll_seq")).groupBy("poll_seq").agg(F.count(F.lit(1)).alias("coincided"))
     others = longs.agg(F.count(F.lit(1)) - 1).scalar()
     rows = best.join(counts, ["source_key", "poll_seq"], "left").fillna(0, ["cpu_samples", "sched_samples"]).join(named, "poll_seq", "left").join(co, "poll_seq", "left")
+    off = F.col("cpu_samples") == 0  # a poll that ran on a CPU needs no suspect
+    found = off & F.col("suspect_tid").isNotNull()
     return rows.select(
-        "source_key", "poll_seq", "task_id", "duration_ns", F.when(F.col("cpu_samples") > 0, "on_cpu").otherwise("off_cpu").alias("class"),
-        "cpu_samples", "sched_samples", "suspect_tid", "suspect_samples", "suspect_leaf",
-        F.when(F.col("suspect_tid").isNotNull(), F.coalesce("coincided", F.lit(0))).alias("coincided"), others.alias("others"))
+        "source_key", "poll_seq", "task_id", "duration_ns", F.when(off, "off_cpu").otherwise("on_cpu").alias("class"),
+        "cpu_samples", "sched_samples", *[F.when(off, F.col(c)).alias(c) for c in ("suspect_tid", "suspect_samples", "suspect_leaf")],
+        F.when(found, F.coalesce("coincided", F.lit(0))).alias("coincided"), others.alias("others"))
 
 
 def zoom_window(polls: DataFrame, samples: DataFrame, queue: DataFrame, spans: DataFrame, center_ns: int, half_ns: int) -> DataFrame:
