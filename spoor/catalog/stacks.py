@@ -146,9 +146,11 @@ FROM d, tot WHERE a + b > 0""")
 def _(t):
     poll = F.col("poll_duration_ns")
     counts = t.samples().groupBy("stack_id").agg(F.count_if(poll < CUT).alias("a"), F.count_if(poll >= CUT).alias("b"))
-    d = op.diff_tree(op.resolve_stacks(counts, t.stacks()))
-    ta, tb = d.agg(F.sum("self_a")).scalar(), d.agg(F.sum("self_b")).scalar()
-    return d.select("path", F.round(op.diff_score(F.col("a"), F.col("b"), ta, tb), 6).alias("score"))
+    known = op.resolve_stacks(counts, t.stacks())
+    d = op.diff_tree(known)
+    total = known.agg(F.struct(F.sum("a").alias("a"), F.sum("b").alias("b"))).scalar()
+    scored = d.withColumn("t", total)
+    return scored.select("path", F.round(op.diff_score(F.col("a"), F.col("b"), F.col("t.a"), F.col("t.b")), 6).alias("score"))
 
 
 FOCUS = "ECONOMY"

@@ -125,8 +125,8 @@ def thread_gaps(gaps: DataFrame, slot=AUTO) -> DataFrame:
 def merge_intervals(df: DataFrame, keys, slot=AUTO) -> DataFrame:
     """Union of intervals per key; touching intervals join."""
     keys = list(keys)
+    slot = measure_slot(df, keys, "start_ns", slot)
     distinct = df.groupBy(*keys, "start_ns").agg(F.max("end_ns").alias("end_ns"))
-    slot = measure_slot(distinct, keys, "start_ns", slot)
     reach = with_order(distinct, keys, ["start_ns"], {"reach": running_max(F.col("end_ns"), False)}, slot)
     fresh = (F.col("reach").isNull() | (F.col("start_ns") > F.col("reach"))).cast("int")
     islands = with_order(reach, keys, ["start_ns"], {"island": running_sum(fresh)}, slot)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from spoor.operators.rebuild import ORDER, TASK
 from spoor.plans.ranks import order_statistics
-from spoor.plans.timeline import AUTO, asof, prev, running_sum, with_order
+from spoor.plans.timeline import AUTO, asof, measure_slot, prev, running_sum, with_order
 
 
 def queue_series(metrics: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
@@ -133,6 +133,7 @@ def bin_timestamps(df: DataFrame, t: str, start_ns: int, end_ns: int, bins: int)
 
 def peak_per_window(df: DataFrame, t: str, window_ns: int = 1_000_000_000, slot=AUTO) -> DataFrame:
     """Most rows in any sliding window ``(t - window, t]``: running count minus the running count one window ago."""
+    slot = measure_slot(df, [], t, slot)
     counts = df.groupBy(F.col(t).alias("t")).agg(F.count(F.lit(1)).alias("n"))
     cum = with_order(counts, [], ["t"], {"cum": running_sum(F.col("n"))}, slot)
     now = cum.select((F.col("t") - window_ns).alias("back"), F.col("cum"))

@@ -455,8 +455,8 @@ def overlapping_any(left: DataFrame, right: DataFrame, keys, left_span=("start_n
     intervals that start before the left one ends, the furthest end decides."""
     keys = list(keys)
     (ls, le), (rs, re) = left_span, right_span
+    width = measure_slot(right, keys, rs, slot)
     furthest = right.groupBy(*keys, F.col(rs).alias("_rs")).agg(F.max(re).alias("_re"))
-    width = measure_slot(furthest, keys, "_rs", slot)
     reach = with_order(furthest, keys, ["_rs"], {"_reach": running_max(F.col("_re"))}, width)
     hit = asof(left, reach, keys, le, "_rs", ["_reach"], inclusive=False, slot=width)
     return hit.filter(F.col("_reach") > F.col(ls)).drop("_reach")
