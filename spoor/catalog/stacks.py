@@ -65,7 +65,7 @@ def _(t):
 
 @query("flamegraph_tree", f"WITH paths AS {PATHS.format(SCOPE)}, {TREE} SELECT * FROM tree")
 def _(t):
-    return op.flamegraph_tree(op.resolve_stacks(op.stack_counts(scoped(t)), t.stacks()))
+    return op.flamegraph_tree(op.resolve_stacks(op.stack_counts(scoped(t)), t.stacks()), combine=False)
 
 
 @query("flamegraph_weighted", """WITH paths AS (SELECT list_reverse(frames) AS r, count(*) AS n, sum(coalesce(poll_duration_ns, 0)) AS w
@@ -76,7 +76,7 @@ FROM (SELECT r, n, w, unnest(range(1, len(r) + 1)) AS d FROM paths) GROUP BY pat
 def _(t):
     counts = t.samples().groupBy("stack_id").agg(
         F.count(F.lit(1)).alias("samples"), F.sum(F.coalesce("poll_duration_ns", F.lit(0))).alias("poll_ns"))
-    tree = op.flamegraph_tree(op.resolve_stacks(counts, t.stacks()), ("samples", "poll_ns"))
+    tree = op.flamegraph_tree(op.resolve_stacks(counts, t.stacks()), ("samples", "poll_ns"), combine=False)
     return tree.select("path", "depth", "samples", "poll_ns", "self_poll_ns")
 
 
@@ -87,13 +87,13 @@ lay AS (SELECT path, depth, name, samples, self_samples, o AS x FROM offs WHERE
   UNION ALL SELECT c.path, c.depth, c.name, c.samples, c.self_samples, p.x + c.o FROM lay p JOIN offs c ON c.parent_path = p.path)
 SELECT path, depth, name, samples, self_samples, round(x / total, 9) AS x, round(samples / total, 9) AS w FROM lay, tot WHERE samples / total >= 0.001""")
 def _(t):
-    lay = op.flat_layout(op.flamegraph_tree(resolved(t)))
+    lay = op.flat_layout(op.flamegraph_tree(resolved(t), combine=False))
     return lay.withColumn("x", F.round("x", 9)).withColumn("w", F.round("w", 9))
 
 
 @query("to_folded_stacks", f"SELECT concat(array_to_string(list_reverse(frames), ';'), ' ', count(*)) AS value FROM v_samples JOIN v_stacks USING (stack_id) {SCOPE} GROUP BY frames")
 def _(t):
-    return op.folded_lines(op.flamegraph_tree(op.resolve_stacks(op.stack_counts(scoped(t)), t.stacks())))
+    return op.folded_lines(op.flamegraph_tree(op.resolve_stacks(op.stack_counts(scoped(t)), t.stacks()), combine=False))
 
 
 @query("facets", """SELECT DISTINCT facet, value FROM (
@@ -131,7 +131,7 @@ def diff(t):
     s = t.samples()
     fast = op.stack_counts(op.poll_band(s, None, CUT - 1))
     slow = op.stack_counts(op.poll_band(s, CUT, None))
-    trees = [op.flamegraph_tree(op.resolve_stacks(c, t.stacks())) for c in (fast, slow)]
+    trees = [op.flamegraph_tree(op.resolve_stacks(c, t.stacks()), combine=False) for c in (fast, slow)]
     return op.diff_join(*trees)
 
 

@@ -89,11 +89,16 @@ def resolve_stacks(counts: DataFrame, stacks: DataFrame) -> DataFrame:
 
 
 def flamegraph_tree(resolved: DataFrame, weights: Sequence[str] = ("samples",), frames: str = "frames",
-                    root_first: bool = False) -> DataFrame:
-    """Node table (path, parent_path, depth, name, inclusive and ``self_`` weight per weight column)."""
+                    root_first: bool = False, combine: bool = True) -> DataFrame:
+    """Node table (path, parent_path, depth, name, inclusive and ``self_`` weight per weight column).
+
+    ``combine`` merges equal stacks before each is exploded into its prefixes; leave it out when rows already are
+    one per stack, as :func:`resolve_stacks` over :func:`stack_counts` gives them.
+    """
     path = F.col(frames) if root_first else F.reverse(F.col(frames))
-    rows = resolved.groupBy(path.alias("_root")).agg(*[F.sum(w).alias(w) for w in weights])
-    rows = rows.filter(F.size("_root") > 0)
+    rows = resolved.select(path.alias("_root"), *weights).filter(F.size("_root") > 0)
+    if combine:
+        rows = rows.groupBy("_root").agg(*[F.sum(w).alias(w) for w in weights])
     nodes = rows.select(
         "*", F.explode(F.sequence(F.lit(1), F.size("_root"))).alias("depth")
     ).select(
@@ -160,7 +165,7 @@ def diff_join(a: DataFrame, b: DataFrame, weight: str = "samples") -> DataFrame:
 
 def diff_tree(resolved: DataFrame) -> DataFrame:
     """Both sides of a diff of one table in one pass: ``resolved`` carries the two counts ``a`` and ``b`` per stack."""
-    return flamegraph_tree(resolved, ("a", "b")).select("path", "a", "b", "self_a", "self_b").filter((F.col("a") > 0) | (F.col("b") > 0))
+    return flamegraph_tree(resolved, ("a", "b"), combine=False).select("path", "a", "b", "self_a", "self_b").filter((F.col("a") > 0) | (F.col("b") > 0))
 
 
 def diff_score(a: Column, b: Column, total_a: Column, total_b: Column) -> Column:
