@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spoor.llm import common
 
@@ -36,3 +37,51 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoor.llm.token_planes import token_planes
 
     return token_planes(common.documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
+@query
+def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 ids, packed along a Hilbert curve through hashed document vectors."""
+    from spoor.llm.hilbert_packing import hilbert_packing
+
+    return hilbert_packing(common.documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=1)
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, huge ones by overlapping chunks."""
+    from spoor.llm.token_counts import token_counts
+
+    return token_counts(common.documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op5_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies, up to the case of A-Z, by names of blocks."""
+    from spoor.llm.block_names import exact_dedup
+
+    return exact_dedup(common.documents(spark, sf_dir))
+
+
+ORACLES["op5_block_names"] = f"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}') AS body FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY body)"""
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints over 3-word shingles and their components at three differing bits."""
+    from spoor.llm.simhash import simhash_components
+
+    return simhash_components(common.documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without passages that an earlier document (or place) has, and what was cut."""
+    from spoor.llm.chunk_dedup import without_repeats
+
+    rows = without_repeats(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "text", "repeats", F.size("repeats").alias("n_repeats"),
+                       F.aggregate("repeats", F.lit(0).cast("long"), lambda n, r: n + r["size"]).alias("repeated_bytes"))
