@@ -47,8 +47,8 @@ def salted_md5(block: Column, salt: int) -> Column:
 
 def block_hashes(docs: DataFrame, size: int, hash_of: Callable[[Column, int], Column], salt: int) -> DataFrame:
     """Every row, numbered, with the hash of each of its blocks; written, so that the numbers stay."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("body"))
-    return stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.unhex(F.sha2("body", 256)).alias("sha"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), normalised(F.col("text")).alias("body"))
+    return stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", F.unhex(F.sha2("body", 256)).alias("sha"),
                               F.transform(blocks_of(F.col("body"), size), lambda b: hash_of(b, salt)).alias("hashes")), "block-hashes")
 
 
@@ -86,10 +86,10 @@ def identities(names: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, size: int = BLOCK_BYTES, hash_of: Callable[[Column, int], Column] = salted_md5) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text)``: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row for each row of ``docs(doc_id, text)``: doc_id, keep_id, group_size, kept, text_sha256, text_key (hash of the text as it is)."""
     rows, names = named_blocks(docs, size, hash_of)
-    named = stored(rows.select("row", "doc_id", "sha").join(identities(names), "row"), "identities")
+    named = stored(rows.select("row", "doc_id", "text_key", "sha").join(identities(names), "row"), "identities")
     best = F.max(F.struct("doc_id", (-F.col("row")).alias("row"))).alias("best")
     groups = named.groupBy("levels", "name").agg(best, F.count("*").alias("group_size"))
     return named.join(groups, ["levels", "name"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("best.row") == -F.col("row")).alias("kept"),
-                                                       F.lower(F.hex("sha")).alias("text_sha256"))
+                                                       F.lower(F.hex("sha")).alias("text_sha256"), "text_key")

@@ -60,7 +60,7 @@ def op5_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies, up to the case of A-Z, by names of blocks."""
     from spoor.llm.block_names import exact_dedup
 
-    return exact_dedup(common.documents(spark, sf_dir))
+    return exact_dedup(common.documents(spark, sf_dir)).drop("text_key")
 
 
 ORACLES["op5_block_names"] = f"""
@@ -85,3 +85,36 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = without_repeats(common.documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", "text", "repeats", F.size("repeats").alias("n_repeats"),
                        F.aggregate("repeats", F.lit(0).cast("long"), lambda n, r: n + r["size"]).alias("repeated_bytes"))
+
+
+@query
+def op2_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules whose cutoffs are certified on labelled documents, by language."""
+    from spoor.llm.risk_rules import quality_rules
+
+    rows = quality_rules(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "first_step", "step")
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: family first, then one-versus-one machines within it."""
+    from spoor.llm.lang_id import language_id
+
+    return language_id(common.documents(spark, sf_dir))
+
+
+@query
+def op8_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document: posterior of overlapping heuristics, and the linear scorer that it trains."""
+    from spoor.llm.weak_labels import weak_labels
+
+    return weak_labels(common.documents(spark, sf_dir))
+
+
+@query
+def op9_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document by batched Viterbi search, decoded again."""
+    from spoor.llm.piece_viterbi import piece_ids
+
+    return piece_ids(common.documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))

@@ -284,11 +284,11 @@ def _checked(key: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: int) ->
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """doc_id, text_key, fp (signed), fingerprint (16 hex digits), component_id of every row of ``docs(doc_id, text)``."""
+    """doc_id, text_key, root (a component's smallest fingerprint), fingerprint (16 hex digits), component_id of every row of ``docs(doc_id, text)``."""
     base = fingerprints(docs, size)
     distinct = stored(base.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = components(links(distinct, radius)).withColumnRenamed("node", "fp")
     rooted = stored(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = rooted.join(least, "root").select("fp", "component_id")
-    return base.join(known, "fp").select("doc_id", "text_key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    known = rooted.join(least, "root").select("fp", "root", "component_id")
+    return base.join(known, "fp").select("doc_id", "text_key", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
