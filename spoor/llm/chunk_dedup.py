@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoor.llm.common import steps
+from spoor.llm.stages import keyed
 
 MEAN_WORDS, MIN_WORDS = 4, 20
 WINDOW = 16
@@ -135,8 +136,9 @@ def runs(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, mean_words: int = MEAN_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated passages cut out of ``text``, and ``repeats``: what was cut, as (start, size) in bytes of the old text."""
+def without_repeats(docs: DataFrame, mean_words: int = MEAN_WORDS, min_words: int = MIN_WORDS, spans: str = "repeats") -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``, and a column ``spans``: what was cut, as (start, size) in bytes of the old
+    text. A column of that name in ``docs`` is replaced."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,14 +155,14 @@ def without_repeats(docs: DataFrame, mean_words: int = MEAN_WORDS, min_words: in
                     text = (b"".join(parts) + raw[at:]).decode("utf-8", "replace")
                 texts.append(text)
                 found.append(drop)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(found, spans), *batch.columns[2:]], ["_clean", "_repeats", *batch.schema.names[2:]])
-
-    spans = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
-    dups = (repeated_chunks(docs.select("doc_id", "text"), mean_words).groupBy("doc_id", "text_key")
-            .agg(F.collect_list(F.struct("pos", "size")).alias("_places")).withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_key", "_key"))
-    others = [c for c in docs.columns if c != "text"]
-    rows = docs.withColumn("_row_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_row_key", F.xxhash64("text"))
-    joined = rows.join(dups, (F.col("_row_doc") == F.col("_doc")) & (F.col("_row_key") == F.col("_key")), "left").select("text", "_places", *others)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    done = joined.mapInArrow(cut, f"_clean string, _repeats array<struct<start: bigint, size: bigint>>, {kinds}")
-    return done.select(*(F.col("_clean").alias("text") if c == "text" else F.col(c) for c in docs.columns), F.col("_repeats").alias("repeats"))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(found, kind), batch.column(2)], ["text", "cut", "row"])
+
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
+    dups = (repeated_chunks(docs.select("doc_id", "text"), mean_words).groupBy(F.col("doc_id").alias("doc"), F.col("text_key").alias("key"))
+            .agg(F.collect_list(F.struct("pos", "size")).alias("places")))
+    # all other columns travel in one, so that no name can clash
+    others = [c for c in docs.columns if c not in ("text", spans)]
+    rows = keyed(docs).select("doc", "key", F.col("row.text").alias("text"), F.struct(*(F.col(f"row.`{c}`") for c in others)).alias("row"))
+    joined = rows.join(dups, ["doc", "key"], "left").select("text", "places", "row")
+    done = joined.mapInArrow(cut, f"text string, cut array<struct<start: bigint, size: bigint>>, row {joined.schema['row'].dataType.simpleString()}")
+    return done.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != spans), F.col("cut").alias(spans))
