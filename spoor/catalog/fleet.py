@@ -64,7 +64,7 @@ def _(t):
     return op.list_segments(parsed(t), *LW).select("key", "date", "time")
 
 
-@query("list_segments_hourly", f"""WITH {PARSED} SELECT key FROM k WHERE epoch(date_trunc('hour', strptime(date || ' ' || time, '%Y-%m-%d %H%M'))) BETWEEN ({T0} // 1000000000 // 3600 - 1) * 3600 AND ({T0} // 1000000000 // 3600 - 1) * 3600 + 72 * 3600""")
+@query("list_segments_hourly", f"""WITH {PARSED} SELECT key FROM k WHERE epoch(date_trunc('hour', strptime(date || ' ' || time, '%Y-%m-%d %H%M'))) BETWEEN ({T0} // 1000000000 // 3600 - 1) * 3600 AND ({T1} // 1000000000 + 3600) // 3600 * 3600""")
 def _(t):
     return op.list_segments(parsed(t), T0, T1).select("key")
 
@@ -89,11 +89,10 @@ def _(t):
     return t.keys().select("key", op.order_key(F.col("key")).alias("order_key"))
 
 
-CAPPED = f"""m AS ({SCOPED}), c AS (SELECT *, md5(concat('1', key)) AS order_key, row_number() OVER (ORDER BY md5(concat('1', key)), key) AS rank FROM m),
-cap AS (SELECT * FROM c WHERE rank <= least(greatest(least(ceil((SELECT count(*) FROM m) * 0.05), 100), 4), (SELECT count(*) FROM m)))"""
+RANKED = f"""m AS ({SCOPED}), c AS (SELECT *, md5(concat('1', key)) AS order_key, row_number() OVER (ORDER BY md5(concat('1', key)), key) AS rank FROM m)"""
 
 
-@query("sampling_cap", f"WITH {PARSED}, {CAPPED} SELECT key, order_key, rank FROM cap")
+@query("sampling_cap", f"WITH {PARSED}, {RANKED} SELECT key, order_key, rank FROM c")
 def _(t):
     return op.sampled_files(scoped(t)).select("key", "order_key", "rank")
 
@@ -106,9 +105,9 @@ def folded(t):
     return t.keys().filter(F.col("size") < 3000).select("key")
 
 
-@query("unfolded", f"WITH {PARSED}, {CAPPED}, {FOLDED} SELECT key FROM cap WHERE key NOT IN (SELECT key FROM fd)")
+@query("unfolded", f"WITH {PARSED}, m AS ({SCOPED}), {FOLDED} SELECT key FROM m WHERE key NOT IN (SELECT key FROM fd)")
 def _(t):
-    return op.unfolded(op.sampled_files(scoped(t)), folded(t)).select("key")
+    return op.unfolded(scoped(t), folded(t)).select("key")
 
 
 @query("folded_intersect", f"WITH {PARSED}, m AS ({SCOPED}), {FOLDED} SELECT key FROM m WHERE key IN (SELECT key FROM fd)")
@@ -123,7 +122,7 @@ def _(t):
     return op.coverage(scoped(t), folded(t))
 
 
-@query("fold_errors", f"WITH {PARSED} SELECT count(*) AS errors, substr(min(concat('no place for ', key)), 1, 300) AS sample FROM k WHERE layout = 'unknown'")
+@query("fold_errors", f"WITH {PARSED} SELECT count(*) AS errors, min(concat('no place for ', key)) AS sample FROM k WHERE layout = 'unknown'")
 def _(t):
     lost = parsed(t).filter("layout = 'unknown'")
     return op.fold_errors(lost.select(F.concat(F.lit("no place for "), "key").alias("message")))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from spoor.catalog.rebuild import CLOSED
 from spoor.catalog.registry import query
 from spoor.catalog.spans import BUCKET
+from spoor.catalog.stacks import PATHS, TREE
 from spoor.catalog.views import WEEK_US
 from spoor.functions.buckets import span_bucket
+from spoor.operators import stacks
 from spoor.session import checkpoint_dir
 from spoor.sources import tables as op
 from spoor.streaming import jobs
@@ -50,6 +52,17 @@ def _(t):
     return op.read_table(t.spark, out, "stacks").select("stack_id", F.array_join("frames", ";").alias("stack"))
 
 
+@query("stored_flamegraph", f"WITH RECURSIVE paths AS {PATHS.format('')}, {TREE} SELECT path, depth, samples FROM tree")
+def _(t):
+    """Every host is a file with its own copy of the stacks it saw; read back, each stack counts once."""
+    out = scratch(t)
+    samples = t.samples().select("ts_ns", "stack_id", "worker_id", "source", "service", "host").withColumn("date", F.lit("all")).withColumn("source_key", F.concat("host", F.lit("/"), F.expr("ts_ns % 2").cast("string")))
+    seen = samples.select("stack_id", "service", "date", "host", "source_key").distinct().join(t.stacks(), "stack_id")
+    op.fold_write(t.spark, out, samples.select("source_key"), {"samples": samples, "stacks": seen.select("stack_id", "frames", "service", "date", "host", "source_key")})
+    counts = stacks.stack_counts(op.read_table(t.spark, out, "samples"))
+    return stacks.flamegraph_tree(stacks.resolve_stacks(counts, op.read_table(t.spark, out, "stacks")), combine=False).select("path", "depth", "samples")
+
+
 @query("write_polls", "SELECT host, worker_id, count(*) AS n, sum(duration_ns)::bigint AS busy_ns, count(scheduling_delay_ns) AS measured FROM v_polls GROUP BY 1, 2")
 def _(t):
     out = scratch(t)
@@ -121,38 +134,54 @@ def _(t):
     return jobs.latest_snapshot(t.spark, f"{out}/answer")
 
 
-@query("exactly_once_fold", f"WITH {PLACED} SELECT source_key, count(*) AS n FROM pp GROUP BY 1")
+@query("exactly_once_fold", f"WITH {PLACED} SELECT source_key AS origin, count(*) AS n, sum(duration_ns)::bigint AS busy_ns FROM pp GROUP BY 1")
 def _(t):
+    """A source is a file of the stream, whole in one batch; the month and host of its rows stay a column."""
     out = scratch(t)
-    named = polls(Streamed(t))
 
-    def fold(batch, _batch_id):
-        op.fold_write(batch.sparkSession, out, batch.select("source_key"), {"polls": batch})
+    def fold(files):
+        named = polls(Files(t, files)).withColumnRenamed("source_key", "origin").join(F.broadcast(files.select(F.first("source_file").alias("source_key"))))  # one row
+        op.fold_write(t.spark, f"{out}/tables", named.select("source_key"), {"polls": named.withColumn("host", F.lit("all"))})
+
+    jobs.fold_files(t.spark, f"{t.sf_dir}/lineitem.parque[t]", t.table("lineitem").schema, fold, out, files_per_trigger=1)
+    assert jobs.failed_files(t.spark, out).isEmpty()
+    return op.read_table(t.spark, f"{out}/tables", "polls").groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ns").alias("busy_ns"))
+
+
+class Files(Streamed):
+    """The views over one batch of files of a table."""
+
+    def __init__(self, t, rows):
+        super().__init__(t)
+        self.rows = rows
+
+    def table(self, name):
+        return self.rows
+
 
-    jobs.run_available(named, fold, f"{out}/ckpt", "append")
-    return op.read_table(t.spark, out, "polls").groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
+STREAMED = CLOSED
 
 
-@query("stateful_polls", f"WITH {CLOSED} SELECT * FROM polls")
+@query("stateful_polls", f"WITH {STREAMED} SELECT * FROM polls")
 def _(t):
+    """Every week of a host is a process of its own, as in the table's other queries."""
     out = scratch(t)
-    jobs.stream_polls(t.spark, Streamed(t).events(), f"{out}/polls", f"{out}/ckpt")
-    return jobs.streamed_polls(t.spark, f"{out}/polls")
+    events = Streamed(t).events().withColumn("boot_id", F.col("source_key"))
+    jobs.stream_polls(t.spark, events, f"{out}/polls", f"{out}/ckpt")
+    return jobs.streamed_polls(t.spark, f"{out}/polls").drop("host", "boot_id")
 
 
-@query("windowed_rates", """WITH w AS (SELECT ts_ns // 10000000000 * 10000000 AS start_us, kind, count(*) AS n FROM v_events GROUP BY 1, 2) SELECT start_us, kind, n FROM w WHERE start_us + 10000000 <= (SELECT max(ts_ns) // 1000000 * 1000 FROM v_events) - 120000000""")
+@query("windowed_rates", "SELECT ts_ns // 10000000000 * 10000000 AS start_us, kind, count(*) AS n FROM v_events GROUP BY 1, 2")
 def _(t):
     out = scratch(t)
-    events = Streamed(t).events().withColumn("ts", F.timestamp_micros(F.expr("ts_ns div 1000")))
-    jobs.append_table(jobs.windowed_rates(events), f"{out}/rates", f"{out}/ckpt")
-    return t.spark.read.parquet(f"{out}/rates").drop("batch")
+    jobs.windowed_rates(Streamed(t).events().withColumn("ts_us", F.expr("ts_ns div 1000")), f"{out}/rates", f"{out}/ckpt")
+    return jobs.read_rates(t.spark, f"{out}/rates")
 
 
 @query("coverage_sessions", """WITH s AS (SELECT host, ts_ns // 1000 AS us, CASE WHEN ts_ns // 1000 < lag(ts_ns // 1000) OVER (PARTITION BY host ORDER BY ts_ns) + 60000000 THEN 0 ELSE 1 END AS fresh FROM v_events),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY host ORDER BY us ROWS UNBOUNDED PRECEDING) AS g FROM s), r AS (SELECT host, min(us) AS start_us, max(us) + 60000000 AS end_us, count(*) AS n FROM g GROUP BY host, g)
-SELECT * FROM r WHERE end_us <= (SELECT max(us) // 1000 * 1000 FROM s) - 120000000""")
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY host ORDER BY us ROWS UNBOUNDED PRECEDING) AS g FROM s)
+SELECT host, min(us) AS start_us, max(us) + 60000000 AS end_us, count(*) AS n FROM g GROUP BY host, g""")
 def _(t):
     out = scratch(t)
-    events = Streamed(t).events().withColumn("ts", F.timestamp_micros(F.expr("ts_ns div 1000")))
-    jobs.append_table(jobs.coverage_sessions(events), f"{out}/sessions", f"{out}/ckpt")
-    return t.spark.read.parquet(f"{out}/sessions").drop("batch")
+    jobs.coverage_sessions(Streamed(t).events().withColumn("ts_us", F.expr("ts_ns div 1000")), f"{out}/sessions", f"{out}/ckpt")
+    return jobs.read_sessions(t.spark, f"{out}/sessions")

@@ -213,9 +213,9 @@ def _(t):
     return op.percentile_rank(t.spans()).select("span_id", "name", "pct")
 
 
-@query("visible_spans", "SELECT span_id, name FROM v_spans s WHERE parent_span_id IS NULL OR parent_span_id NOT IN (SELECT span_id FROM v_spans)")
+@query("visible_spans", "SELECT source_key, span_id, name FROM v_spans s WHERE parent_span_id IS NULL OR NOT EXISTS (SELECT 1 FROM v_spans p WHERE p.source_key = s.source_key AND p.span_id = s.parent_span_id)")
 def _(t):
-    return op.root_spans(t.spans()).select("span_id", "name")
+    return op.root_spans(t.spans()).select("source_key", "span_id", "name")
 
 
 @query("group_by_field_value", "SELECT attr_cust AS who, count(*) AS n, count(DISTINCT worker_id) AS workers, min(start_ns) AS first_ns, max(end_ns) AS last_ns FROM v_spans GROUP BY 1")
@@ -224,9 +224,9 @@ def _(t):
         F.count(F.lit(1)).alias("n"), F.countDistinct("worker_id").alias("workers"), F.min("start_ns").alias("first_ns"), F.max("end_ns").alias("last_ns"))
 
 
-@query("trace_request", "SELECT span_id, worker_id, start_ns, end_ns FROM v_spans WHERE attr_cust = 'c7'")
+@query("trace_request", "SELECT source_key, span_id, worker_id, start_ns, end_ns FROM v_spans WHERE attr_cust = 'c7'")
 def _(t):
-    return op.by_field_value(t.spans(), "cust", "c7").select("span_id", "worker_id", "start_ns", "end_ns")
+    return op.by_field_value(t.spans(), "cust", "c7").select("source_key", "span_id", "worker_id", "start_ns", "end_ns")
 
 
 # Statistics
@@ -250,7 +250,7 @@ def _(t):
 
 @query("span_stats", f"""WITH {H}, pc AS (SELECT span_type_uid, min(mid) FILTER (cum >= ceil(0.5 * tot)) AS p50_ns, min(mid) FILTER (cum >= ceil(0.95 * tot)) AS p95_ns, min(mid) FILTER (cum >= ceil(0.99 * tot)) AS p99_ns FROM hc GROUP BY 1)
 SELECT span_type_uid, min(name) AS name, count(*) AS n, min(elapsed_ns) AS min_ns, max(elapsed_ns) AS max_ns, min(p50_ns) AS p50_ns, min(p95_ns) AS p95_ns, min(p99_ns) AS p99_ns,
- count(*) FILTER (details_complete) AS complete, count(*) FILTER (NOT details_complete) AS partial FROM v_spans JOIN pc USING (span_type_uid) GROUP BY 1 ORDER BY n DESC, span_type_uid LIMIT 1000""")
+ count(*) FILTER (details_complete) AS complete, count(*) FILTER (NOT details_complete) AS partial, 0::bigint AS types_overflow FROM v_spans JOIN pc USING (span_type_uid) GROUP BY 1""")
 def _(t):
     return op.span_stats(t.spans())
 
@@ -304,7 +304,7 @@ def _(t):
 @query("attribute_facets", """WITH a AS (SELECT span_type_uid, span_uid, start_ns, unnest(['status', 'segment', 'cust']) AS key, unnest([attr_status, attr_segment, attr_cust]) AS value FROM v_spans),
 v AS (SELECT span_type_uid, key, value, count(*) AS n, min(start_ns) AS seen FROM a GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY span_type_uid, key ORDER BY seen, value) AS rn FROM v)
-SELECT span_type_uid, key, sum(n)::bigint AS occurrences, count(*) > 10 AS high_cardinality, array_to_string(list(value ORDER BY rn) FILTER (rn <= 10), ',') AS first_values FROM r GROUP BY 1, 2""")
+SELECT span_type_uid, key, sum(n)::bigint AS occurrences, count(*) AS distinct_values, count(*) > 10 AS high_cardinality, 0::bigint AS keys_overflow, array_to_string(list(value ORDER BY rn) FILTER (rn <= 10), ',') AS first_values FROM r GROUP BY 1, 2""")
 def _(t):
     return op.attribute_facets(t.spans()).withColumn("first_values", F.array_join("first_values", ","))
 
@@ -348,7 +348,7 @@ def span_samples(t):
 
 
 SID = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
-HITS = f"""hits AS (SELECT {SID} AS sample_id, x.source, s.span_uid, s.span_id FROM v_samples x JOIN v_spans s ON x.worker_id % 4 = s.worker_id AND x.ts_ns >= s.start_ns AND x.ts_ns < s.end_ns)"""
+HITS = f"""hits AS (SELECT {SID} AS sample_id, x.source, s.span_uid, s.source_key, s.span_id FROM v_samples x JOIN v_spans s ON x.worker_id % 4 = s.worker_id AND x.ts_ns >= s.start_ns AND x.ts_ns < s.end_ns)"""
 
 
 @query("point_in_overlapping_intervals", f"WITH {HITS} SELECT span_uid, count(*) FILTER (source = 0) AS cpu_samples, count(*) FILTER (source = 1) AS sched_samples FROM hits GROUP BY 1")
@@ -356,27 +356,29 @@ def _(t):
     return op.samples_per_span(span_samples(t), t.spans().select("span_uid", "worker_id", "start_ns", "end_ns"))
 
 
-DEPTH = """dep AS (SELECT span_id, 0 AS depth FROM v_spans WHERE parent_span_id IS NULL UNION ALL SELECT s.span_id, d.depth + 1 FROM v_spans s JOIN dep d ON s.parent_span_id = d.span_id)"""
+DEPTH = """dep AS (SELECT s.source_key, s.span_id, CASE WHEN parent_span_id IS NULL THEN 0 ELSE 1 END AS depth FROM v_spans s WHERE parent_span_id IS NULL OR NOT EXISTS (SELECT 1 FROM v_spans p WHERE p.source_key = s.source_key AND p.span_id = s.parent_span_id)
+ UNION ALL SELECT s.source_key, s.span_id, d.depth + 1 FROM v_spans s JOIN dep d ON s.source_key = d.source_key AND s.parent_span_id = d.span_id)"""
 
 
-@query("enclosing_spans", f"""WITH RECURSIVE {DEPTH}, {HITS} SELECT sample_id, span_id, depth FROM hits JOIN dep USING (span_id)""")
+@query("enclosing_spans", f"""WITH RECURSIVE {DEPTH}, {HITS} SELECT source_key, span_id, depth, count(*) AS samples, min(sample_id) AS first_sample FROM hits JOIN dep USING (source_key, span_id) GROUP BY 1, 2, 3""")
 def _(t):
     from spoor.plans.interval_join import point_in_intervals
 
-    spans = t.spans().select("span_id", "worker_id", "start_ns", "end_ns").join(op.span_depth(t.spans()), "span_id")
-    return point_in_intervals(span_samples(t), spans, ["worker_id"], "ts_ns", "start_ns", "end_ns").select("sample_id", "span_id", "depth")
+    spans = t.spans().select("source_key", "span_id", "worker_id", "start_ns", "end_ns").join(op.span_depth(t.spans()), ["source_key", "span_id"])
+    hits = point_in_intervals(span_samples(t), spans, ["worker_id"], "ts_ns", "start_ns", "end_ns")
+    return hits.groupBy("source_key", "span_id", "depth").agg(F.count(F.lit(1)).alias("samples"), F.min("sample_id").alias("first_sample"))
 
 
-@query("interval_overlap", """SELECT span_id FROM v_spans s WHERE EXISTS (SELECT 1 FROM v_polls p WHERE p.worker_id = s.worker_id AND p.start_ns < s.end_ns AND p.end_ns > s.start_ns)""")
+@query("interval_overlap", """SELECT source_key, span_id FROM v_spans s WHERE EXISTS (SELECT 1 FROM v_polls p WHERE p.worker_id = s.worker_id AND p.start_ns < s.end_ns AND p.end_ns > s.start_ns)""")
 def _(t):
-    spans = t.spans().select("span_id", "worker_id", "start_ns", "end_ns")
-    return op.overlapping_any(spans, t.polls(), ["worker_id"]).select("span_id")
+    spans = t.spans().select("source_key", "span_id", "worker_id", "start_ns", "end_ns")
+    return op.overlapping_any(spans, t.polls(), ["worker_id"]).select("source_key", "span_id")
 
 
 @query("overlapping_spans", """WITH s AS (SELECT * FROM v_spans WHERE name = '1-URGENT' ORDER BY elapsed_ns DESC, start_ns, span_uid LIMIT 1)
-SELECT v.span_id, v.name FROM v_spans v, s WHERE v.start_ns < s.end_ns AND v.end_ns > s.start_ns AND v.span_uid <> s.span_uid""")
+SELECT v.source_key, v.span_id, v.name FROM v_spans v, s WHERE v.start_ns < s.end_ns AND v.end_ns > s.start_ns AND v.span_uid <> s.span_uid""")
 def _(t):
-    return op.overlapping_slowest(t.spans(), "1-URGENT").select("span_id", "name")
+    return op.overlapping_slowest(t.spans(), "1-URGENT").select("source_key", "span_id", "name")
 
 
 # Hierarchies
@@ -386,27 +388,27 @@ def _(t):
     return op.span_depth(t.spans())
 
 
-@query("span_tree", """SELECT s.span_id, s.name, s.elapsed_ns, coalesce(c.n, 0) AS children, coalesce(c.ns, 0)::bigint AS children_ns FROM v_spans s
-LEFT JOIN (SELECT parent_span_id, count(*) AS n, sum(elapsed_ns) AS ns FROM v_spans GROUP BY 1) c ON c.parent_span_id = s.span_id""")
+@query("span_tree", """SELECT s.source_key, s.span_id, s.name, s.elapsed_ns, coalesce(c.n, 0) AS children, coalesce(c.ns, 0)::bigint AS children_ns FROM v_spans s
+LEFT JOIN (SELECT source_key, parent_span_id, count(*) AS n, sum(elapsed_ns) AS ns FROM v_spans GROUP BY 1, 2) c ON c.source_key = s.source_key AND c.parent_span_id = s.span_id""")
 def _(t):
     return op.span_tree(t.spans())
 
 
-@query("descendants", """WITH RECURSIVE d AS (SELECT span_id FROM v_spans WHERE span_id IN (3, 7) UNION SELECT s.span_id FROM v_spans s JOIN d ON s.parent_span_id = d.span_id) SELECT * FROM d""")
+@query("descendants", """WITH RECURSIVE d AS (SELECT source_key, span_id FROM v_spans WHERE span_id IN (3, 7) UNION SELECT s.source_key, s.span_id FROM v_spans s JOIN d ON s.source_key = d.source_key AND s.parent_span_id = d.span_id) SELECT * FROM d""")
 def _(t):
     spans = t.spans()
     return op.descendants(spans, spans.filter(F.col("span_id").isin(3, 7)))
 
 
-@query("span_ancestry", """WITH RECURSIVE w AS (SELECT span_id, start_ns + 1 AS t, span_id AS cur, parent_span_id AS up, 0 AS steps FROM v_spans
- UNION ALL SELECT w.span_id, w.t, p.span_id, p.parent_span_id, w.steps + 1 FROM w JOIN v_spans p ON p.span_id = w.up AND p.start_ns <= w.t AND p.end_ns >= w.t)
-SELECT span_id, t, arg_max(cur, steps) AS outermost, max(steps) AS steps FROM w GROUP BY 1, 2""")
+@query("span_ancestry", """WITH RECURSIVE w AS (SELECT source_key, span_id, start_ns + 1 AS t, span_id AS cur, parent_span_id AS up, 0 AS steps FROM v_spans
+ UNION ALL SELECT w.source_key, w.span_id, w.t, p.span_id, p.parent_span_id, w.steps + 1 FROM w JOIN v_spans p ON p.source_key = w.source_key AND p.span_id = w.up AND p.start_ns <= w.t AND p.end_ns >= w.t)
+SELECT source_key, span_id, t, arg_max(cur, steps) AS outermost, max(steps)::bigint AS steps FROM w GROUP BY 1, 2, 3""")
 def _(t):
     spans = t.spans()
-    return op.ancestry_at(spans, spans.select("span_id", (F.col("start_ns") + 1).alias("t")))
+    return op.ancestry_at(spans, spans.select("source_key", "span_id", (F.col("start_ns") + 1).alias("t")))
 
 
-@query("wake_chain", """WITH l AS (SELECT task_id, arg_max(waker_task_id, ts_ns) AS waker FROM v_events WHERE kind = 'Wake' GROUP BY 1)
-SELECT a.task_id, a.waker AS w1, b.waker AS w2, c.waker AS w3, d.waker AS w4, e.waker AS w5 FROM l a LEFT JOIN l b ON b.task_id = a.waker LEFT JOIN l c ON c.task_id = b.waker LEFT JOIN l d ON d.task_id = c.waker LEFT JOIN l e ON e.task_id = d.waker""")
+@query("wake_chain", """WITH l AS (SELECT source_key, task_id, arg_max(waker_task_id, ts_ns) AS waker FROM v_events WHERE kind = 'Wake' GROUP BY 1, 2)
+SELECT a.source_key, a.task_id, a.waker AS w1, b.waker AS w2, c.waker AS w3, d.waker AS w4, e.waker AS w5 FROM l a LEFT JOIN l b ON b.source_key = a.source_key AND b.task_id = a.waker LEFT JOIN l c ON c.source_key = b.source_key AND c.task_id = b.waker LEFT JOIN l d ON d.source_key = c.source_key AND d.task_id = c.waker LEFT JOIN l e ON e.source_key = d.source_key AND e.task_id = d.waker""")
 def _(t):
     return op.wake_chain(t.events().filter("kind = 'Wake'"))

@@ -85,7 +85,7 @@ offs AS (SELECT *, coalesce(sum(samples) OVER (PARTITION BY parent_path ORDER BY
 tot AS (SELECT sum(samples) AS total FROM tree WHERE depth = 1),
 lay AS (SELECT path, depth, name, samples, self_samples, o AS x FROM offs WHERE depth = 1
   UNION ALL SELECT c.path, c.depth, c.name, c.samples, c.self_samples, p.x + c.o FROM lay p JOIN offs c ON c.parent_path = p.path)
-SELECT path, depth, name, samples, self_samples, round(x / total, 9) AS x, round(samples / total, 9) AS w FROM lay, tot WHERE samples / total >= 0.001""")
+SELECT path, depth, name, samples, self_samples, round(x / total, 9) AS x, round(samples / total, 9) AS w FROM lay, tot""")
 def _(t):
     lay = op.flat_layout(op.flamegraph_tree(resolved(t), combine=False))
     return lay.withColumn("x", F.round("x", 9)).withColumn("w", F.round("w", 9))

@@ -130,8 +130,8 @@ class Tables:
             self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
                 F.md5(F.concat(F.lit("span"), F.col("o_orderkey").cast("string"))).alias("span_uid"),
                 F.md5("o_orderpriority").alias("span_type_uid"), F.col("o_orderpriority").alias("name"),
-                F.col("o_orderkey").alias("span_id"),
-                F.when(F.col("o_orderkey") % 5 != 0, F.expr("o_orderkey div 2")).alias("parent_span_id"),
+                F.concat(F.lit("s"), (F.col("o_orderkey") % 3).cast("string")).alias("source_key"), F.expr("o_orderkey div 3").alias("span_id"),
+                F.when((F.col("o_orderkey") % 5 != 0) & (F.col("o_orderkey") >= 3), F.expr("o_orderkey div 3 div 2")).alias("parent_span_id"),
                 start.alias("start_ns"), (start + elapsed).alias("end_ns"), elapsed.alias("elapsed_ns"),
                 cpu.alias("on_cpu_ns_est"), wait.alias("async_wait_ns"),
                 (elapsed - cpu - F.coalesce(wait, F.lit(0))).alias("unknown_ns"),
@@ -294,8 +294,8 @@ SELECT concat('h', cast(l_suppkey % 5 AS varchar)) AS host, cast(l_suppkey % 8 A
 FROM lineitem""",
     "v_spans": """
 SELECT md5(concat('span', cast(o_orderkey AS varchar))) AS span_uid, md5(o_orderpriority) AS span_type_uid,
-       o_orderpriority AS name, o_orderkey AS span_id,
-       CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey // 2 END AS parent_span_id,
+       o_orderpriority AS name, concat('s', cast(o_orderkey % 3 AS varchar)) AS source_key, o_orderkey // 3 AS span_id,
+       CASE WHEN o_orderkey % 5 = 0 OR o_orderkey < 3 THEN NULL ELSE o_orderkey // 3 // 2 END AS parent_span_id,
        epoch_us(o_orderdate) * 1000 AS start_ns, epoch_us(o_orderdate) * 1000 + cast(floor(o_totalprice * 1000) AS bigint) AS end_ns,
        cast(floor(o_totalprice * 1000) AS bigint) AS elapsed_ns, cast(floor(o_totalprice * 400) AS bigint) AS on_cpu_ns_est,
        CASE WHEN o_orderstatus = 'P' THEN NULL ELSE cast(floor(o_totalprice * 300) AS bigint) END AS async_wait_ns,

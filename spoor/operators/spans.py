@@ -17,6 +17,8 @@ from spoor.session import cut_lineage
 
 SPAN = ["source_key", "span_id", "segment"]
 UNKNOWN_TASK = -1
+#: Ids are counted by each process, so rows belong together only within a source.
+SOURCE = ("source_key",)
 
 
 # Rebuilding -----------------------------------------------------------------------------------------------
@@ -251,10 +253,10 @@ def percentile_rank(spans: DataFrame, slot=AUTO) -> DataFrame:
     return spans.join(ranked.select("name", "elapsed_ns", share.alias("pct")), ["name", "elapsed_ns"])
 
 
-def root_spans(spans: DataFrame) -> DataFrame:
-    """Spans without a parent or whose parent is not in the data."""
-    ids = spans.select(F.col("span_id").alias("parent_span_id"))
-    return spans.join(ids, "parent_span_id", "left_anti")
+def root_spans(spans: DataFrame, keys=SOURCE) -> DataFrame:
+    """Spans without a parent or whose parent is not in the data of their source."""
+    ids = spans.select(*keys, F.col("span_id").alias("parent_span_id"))
+    return spans.join(ids, [*keys, "parent_span_id"], "left_anti")
 
 
 def by_field_value(spans: DataFrame, field: str, value: str) -> DataFrame:
@@ -319,8 +321,9 @@ def count_in_band(hist: DataFrame, low: int, high: int) -> DataFrame:
     return hist.groupBy("span_type_uid").agg(F.sum(F.when(inside, F.col("n")).otherwise(F.lit(0))).alias("n"))
 
 
-def span_stats(spans: DataFrame, k: int = 1000) -> DataFrame:
-    """Per span type: count, extremes, histogram percentiles, completeness; the ``k`` most frequent types.
+def span_stats(spans: DataFrame, k: int | None = None) -> DataFrame:
+    """Per span type: count, extremes, histogram percentiles, completeness. With ``k`` the most frequent types only, and
+    ``types_overflow``, the number of types left out.
 
     One pass to (type, bucket), then everything else is computed from those few rows.
     """
@@ -335,7 +338,10 @@ def span_stats(spans: DataFrame, k: int = 1000) -> DataFrame:
         F.min("name").alias("name"), F.sum("n").alias("n"), F.min("lo").alias("min_ns"), F.max("hi").alias("max_ns"),
         *[F.min(F.when(reached(p), value)).alias(a) for a, p in (("p50_ns", 0.5), ("p95_ns", 0.95), ("p99_ns", 0.99))],
         F.sum("done").alias("complete"), F.sum("part").alias("partial"))
-    return stats.orderBy(F.desc("n"), "span_type_uid").limit(k)
+    if k is None:
+        return stats.withColumn("types_overflow", F.lit(0).cast("bigint"))
+    over = F.greatest(stats.agg(F.count(F.lit(1))).scalar() - k, F.lit(0))
+    return stats.orderBy(F.desc("n"), "span_type_uid").limit(k).withColumn("types_overflow", over)
 
 
 def span_quality(stats: DataFrame) -> DataFrame:
@@ -382,19 +388,24 @@ def band_composition(composition: DataFrame, low: int | None = None, high: int |
     return sums.select("span_type_uid", "instances", total.alias("total_ns"), *[share(p).alias(f"{p}_share") for p in PARTS])
 
 
-def attribute_facets(spans: DataFrame, max_keys: int = 50, max_values: int = 10) -> DataFrame:
-    """Per type the first-seen attribute keys and values (seen order: start time, then the text), occurrences and
-    whether a key has more values than shown."""
+def attribute_facets(spans: DataFrame, max_keys: int | None = None, max_values: int = 10) -> DataFrame:
+    """Per type the attribute keys in seen order (start time, then the text), their occurrences and distinct values, and the first
+    ``max_values`` values as examples. All keys by default; with ``max_keys`` the first ones, and ``keys_overflow`` tells how many
+    a type has beyond them."""
     rows = spans.select("span_type_uid", F.col("start_ns").alias("at"), F.explode("attributes").alias("key", "value")).filter(F.col("key") != "")
     values = rows.groupBy("span_type_uid", "key", "value").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     keys = values.groupBy("span_type_uid", "key").agg(
         F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("distinct_values"), F.min("at").alias("key_at"))
-    top_keys = keys.withColumn("rn", F.row_number().over(Window.partitionBy("span_type_uid").orderBy("key_at", "key"))).filter(F.col("rn") <= max_keys)
+    over = F.lit(0).cast("bigint")
+    if max_keys is not None:
+        per_type = Window.partitionBy("span_type_uid")
+        keys = keys.withColumn("rn", F.row_number().over(per_type.orderBy("key_at", "key"))).withColumn("n_keys", F.count(F.lit(1)).over(per_type)).filter(F.col("rn") <= max_keys)
+        over = F.greatest(F.col("n_keys") - max_keys, F.lit(0))
     first = values.withColumn("rn", F.row_number().over(Window.partitionBy("span_type_uid", "key").orderBy("at", "value"))).filter(F.col("rn") <= max_values)
     shown = first.groupBy("span_type_uid", "key").agg(F.array_sort(F.collect_list(F.struct("rn", "value"))).alias("v"))
-    return top_keys.join(shown, ["span_type_uid", "key"]).select(
-        "span_type_uid", "key", "occurrences", (F.col("distinct_values") > max_values).alias("high_cardinality"),
-        F.transform("v", lambda x: x["value"]).alias("first_values"))
+    return keys.join(shown, ["span_type_uid", "key"]).select(
+        "span_type_uid", "key", "occurrences", "distinct_values", (F.col("distinct_values") > max_values).alias("high_cardinality"),
+        F.transform("v", lambda x: x["value"]).alias("first_values"), over.alias("keys_overflow"))
 
 
 def span_exemplars(spans: DataFrame, k: int = 5, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -479,81 +490,109 @@ def overlapping_slowest(spans: DataFrame, name: str) -> DataFrame:
 
 # Hierarchies ----------------------------------------------------------------------------------------------
 
-def span_depth(spans: DataFrame, max_steps: int = 1024) -> DataFrame:
-    """Depth by the parent chain: a root is 0, an unknown parent counts as a node at 0.
+def _same(keys, above: str) -> Column:
+    """Join condition: a row's ``up`` is the other side's id, in the same source."""
+    cond = F.col("up") == F.col(above)
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"a_{k}"))
+    return cond
 
-    Pointer doubling: every round replaces a node's ancestor by that ancestor's ancestor, so a chain of length n
-    takes log2(n) joins. A node still unresolved after ``max_steps`` sits under a cycle and has a null depth.
+
+def _above(state: DataFrame, keys, *columns: str) -> DataFrame:
+    return state.select(*[F.col(c).alias(f"a_{c}") for c in (*keys, "span_id", *columns)])
+
+
+def span_depth(spans: DataFrame, keys=SOURCE) -> DataFrame:
+    """Depth by the parent chain within a source: a root is 0, an unknown parent counts as a node at 0.
+
+    Pointer doubling: a round replaces a node's ancestor by that ancestor's ancestor, so a chain of length n takes log2(n) rounds.
+    Only nodes that still have an ancestor to follow are joined and rewritten; finished ones are looked up. Once pointers
+    reach further than there are nodes, whatever is left hangs under a cycle and has a null depth.
     """
-    ids = spans.select(F.col("span_id").alias("pid"))
-    nodes = spans.select("span_id", "parent_span_id").join(ids, F.col("parent_span_id") == F.col("pid"), "left")
-    missing = F.col("parent_span_id").isNotNull() & F.col("pid").isNull()
-    state = cut_lineage(nodes.select("span_id", F.col("pid").alias("up"), F.when(F.col("pid").isNotNull() | missing, 1).otherwise(0).alias("depth")))
-    steps = 1
-    while steps < max_steps and not state.filter(F.col("up").isNotNull()).isEmpty():
-        above = state.select(F.col("span_id").alias("a_id"), F.col("up").alias("a_up"), F.col("depth").alias("a_depth"))
-        state = cut_lineage(state.join(above, F.col("up") == F.col("a_id"), "left").select(
-            "span_id", F.col("a_up").alias("up"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth")))
-        steps *= 2
-    return state.select("span_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
-
-
-def span_tree(spans: DataFrame) -> DataFrame:
+    keys = list(keys)
+    nodes = spans.select(*keys, "span_id", "parent_span_id").withColumnRenamed("parent_span_id", "up")
+    known = nodes.filter(F.col("up").isNotNull()).join(_above(spans, keys), _same(keys, "a_span_id"), "left")
+    inside = F.col("a_span_id").isNotNull()
+    first = cut_lineage(nodes.filter(F.col("up").isNull()).select(*keys, "span_id", "up", F.lit(0).alias("depth")).unionByName(
+        known.select(*keys, "span_id", F.when(inside, F.col("up")).alias("up"), F.lit(1).alias("depth"))))
+    done, moving = first.filter(F.col("up").isNull()).drop("up"), first.filter(F.col("up").isNotNull())
+    reach, most = 1, first.count()
+    while reach <= most and not moving.isEmpty():
+        lookup = _above(moving.unionByName(done.withColumn("up", F.lit(None).cast(first.schema["up"].dataType))), keys, "up", "depth")
+        stepped = cut_lineage(moving.join(lookup, _same(keys, "a_span_id")).select(
+            *keys, "span_id", F.col("a_up").alias("up"), (F.col("depth") + F.col("a_depth")).alias("depth")))
+        done = done.unionByName(stepped.filter(F.col("up").isNull()).drop("up"))
+        moving = stepped.filter(F.col("up").isNotNull())
+        reach *= 2
+    return done.unionByName(moving.select(*keys, "span_id", F.lit(None).cast("int").alias("depth")))
+
+
+def span_tree(spans: DataFrame, keys=SOURCE) -> DataFrame:
     """Parent to child edges with the number of children of each parent (no child list is gathered)."""
-    kids = spans.groupBy("parent_span_id").agg(F.count(F.lit(1)).alias("children"), F.sum("elapsed_ns").alias("children_ns"))
-    return spans.select("span_id", "name", "elapsed_ns").join(
-        kids.withColumnRenamed("parent_span_id", "span_id"), "span_id", "left").fillna(0, ["children", "children_ns"])
+    keys = list(keys)
+    kids = spans.filter(F.col("parent_span_id").isNotNull()).groupBy(*keys, F.col("parent_span_id").alias("span_id")).agg(
+        F.count(F.lit(1)).alias("children"), F.sum("elapsed_ns").alias("children_ns"))
+    return spans.select(*keys, "span_id", "name", "elapsed_ns").join(kids, [*keys, "span_id"], "left").fillna(0, ["children", "children_ns"])
 
 
-def descendants(spans: DataFrame, seeds: DataFrame, max_steps: int = 1024) -> DataFrame:
-    """Closure of ``seeds`` (span_id) under the child relation.
+def descendants(spans: DataFrame, seeds: DataFrame, keys=SOURCE) -> DataFrame:
+    """Closure of ``seeds`` (source and span_id) under the child relation.
 
-    Asked from below: every span looks for a seed among itself and its ancestors by pointer doubling, log2 of the
-    depth many joins, and drops out once it has the answer. Cycles end after ``max_steps`` ancestors.
+    Asked from below: every span looks for a seed among itself and its ancestors by pointer doubling, and drops out once it has the
+    answer; only spans without one are joined. Pointers that reach further than there are spans run in a cycle without a seed.
     """
-    chosen = seeds.select(F.col("span_id").alias("seed")).distinct()
-    nodes = spans.select("span_id", "parent_span_id").join(chosen, F.col("span_id") == F.col("seed"), "left")
-    hit = F.col("seed").isNotNull()
-    state = cut_lineage(nodes.select("span_id", hit.alias("hit"), F.when(~hit, F.col("parent_span_id")).alias("up")))
-    steps = 1
-    while steps <= max_steps and not state.filter(F.col("up").isNotNull()).isEmpty():
-        above = state.select(F.col("span_id").alias("a_id"), F.col("up").alias("a_up"), F.col("hit").alias("a_hit"))
-        hit = F.col("hit") | F.coalesce("a_hit", F.lit(False))
-        state = cut_lineage(state.join(above, F.col("up") == F.col("a_id"), "left").select(
-            "span_id", hit.alias("hit"), F.when(~hit, F.col("a_up")).alias("up")))
-        steps *= 2
-    return state.filter("hit").select("span_id")
-
-
-def ancestry_at(spans: DataFrame, probes: DataFrame, max_steps: int = 1024) -> DataFrame:
-    """Outermost ancestor still containing the probe's instant; ``probes``: span_id, t. Each round moves the
-    probes whose parent contains their instant one step up."""
-    table = spans.select(F.col("span_id").alias("s_id"), F.col("parent_span_id").alias("s_up"), "start_ns", "end_ns")
-    own = table.select(F.col("s_id").alias("span_id"), F.col("s_up").alias("up"))
-    moving = cut_lineage(probes.join(own, "span_id").select("span_id", "t", F.col("span_id").alias("outermost"), "up", F.lit(0).alias("steps")))
-    done, steps = [], 0
-    while True:
-        climbed = moving.join(table, F.col("up") == F.col("s_id"), "left")
-        holds = F.coalesce((F.col("start_ns") <= F.col("t")) & (F.col("end_ns") >= F.col("t")), F.lit(False))
-        stepped = cut_lineage(climbed.select(
-            "span_id", "t", F.when(holds, F.col("s_id")).otherwise(F.col("outermost")).alias("outermost"),
-            F.when(holds, F.col("s_up")).alias("up"), (F.col("steps") + holds.cast("int")).alias("steps"), holds.alias("moved")))
-        done.append(stepped.filter(~F.col("moved")).select("span_id", "t", "outermost", "steps"))
-        moving = stepped.filter(F.col("moved")).drop("moved")
-        steps += 1
-        if moving.isEmpty() or steps >= max_steps:
-            done.append(moving.select("span_id", "t", "outermost", "steps"))
+    keys = list(keys)
+    chosen = seeds.select(*keys, "span_id", F.lit(True).alias("hit")).distinct()
+    nodes = spans.select(*keys, "span_id", F.col("parent_span_id").alias("up")).join(chosen, [*keys, "span_id"], "left")
+    state = cut_lineage(nodes.select(*keys, "span_id", F.coalesce("hit", F.lit(False)).alias("hit"), F.when(F.col("hit").isNull(), F.col("up")).alias("up")))
+    done, moving = state.filter(F.col("up").isNull()), state.filter(F.col("up").isNotNull())
+    reach, most = 1, state.count()
+    while reach <= most and not moving.isEmpty():
+        lookup = _above(moving.unionByName(done), keys, "up", "hit")
+        hit = F.coalesce("a_hit", F.lit(False))
+        stepped = cut_lineage(moving.join(lookup, _same(keys, "a_span_id"), "left").select(
+            *keys, "span_id", hit.alias("hit"), F.when(~hit, F.col("a_up")).alias("up")))
+        done = done.unionByName(stepped.filter(F.col("up").isNull()))
+        moving = stepped.filter(F.col("up").isNotNull())
+        reach *= 2
+    return done.filter("hit").select(*keys, "span_id")
+
+
+def ancestry_at(spans: DataFrame, probes: DataFrame, keys=SOURCE) -> DataFrame:
+    """Outermost ancestor up to which every ancestor contains the probe's instant, and the steps to it; ``probes``: source, span_id, t.
+
+    Jump tables hold, for 1, 2, 4, .. steps up, the ancestor reached and the time that all spans on the way share. Probes then
+    climb from the longest jump to the shortest: log2 of the deepest chain many joins, however far a probe climbs. A probe that
+    could climb for ever, under a cycle of spans that all contain its instant, gets a null.
+    """
+    keys = list(keys)
+    table = spans.select(*keys, "span_id", F.col("parent_span_id").alias("up"), "start_ns", "end_ns")
+    parents = _above(spans, keys, "start_ns", "end_ns")
+    jump = cut_lineage(table.select(*keys, "span_id", "up").filter(F.col("up").isNotNull()).join(parents, _same(keys, "a_span_id")).select(
+        *keys, "span_id", "up", F.col("a_start_ns").alias("since"), F.col("a_end_ns").alias("till")))
+    jumps, most = [], spans.count()
+    while not jump.isEmpty():
+        jumps.append(jump)
+        if 1 << (len(jumps) - 1) > most:
             break
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def wake_chain(wakes: DataFrame, depth: int = 5) -> DataFrame:
-    """Per task the chain of last wakers, ``depth`` links deep."""
-    last = wakes.groupBy("task_id").agg(F.max_by("waker_task_id", F.struct(*ORDER)).alias("waker"))
-    chain = last.select("task_id", F.col("waker").alias("w1"))
+        further = jump.join(_above(jump, keys, "up", "since", "till"), _same(keys, "a_span_id")).select(
+            *keys, "span_id", F.col("a_up").alias("up"), F.greatest("since", "a_since").alias("since"), F.least("till", "a_till").alias("till"))
+        jump = cut_lineage(further.filter(F.col("since") <= F.col("till")))  # no instant lies on all of an empty way
+    at = probes.select(*keys, "span_id", "t", F.col("span_id").alias("up"), F.lit(0).cast("bigint").alias("steps"))
+    for k in range(len(jumps) - 1, -1, -1):
+        climbed = at.join(_above(jumps[k], keys, "up", "since", "till"), _same(keys, "a_span_id"), "left")
+        holds = F.coalesce((F.col("a_since") <= F.col("t")) & (F.col("a_till") >= F.col("t")), F.lit(False))
+        at = climbed.select(*keys, "span_id", "t", F.when(holds, F.col("a_up")).otherwise(F.col("up")).alias("up"),
+                            (F.col("steps") + F.when(holds, F.lit(1 << k)).otherwise(F.lit(0))).alias("steps"))
+    endless = F.col("steps") > most
+    return at.select(*keys, "span_id", "t", F.when(~endless, F.col("up")).alias("outermost"), F.when(~endless, F.col("steps")).alias("steps"))
+
+
+def wake_chain(wakes: DataFrame, depth: int = 5, keys=SOURCE) -> DataFrame:
+    """Per task of a source the chain of last wakers, ``depth`` links deep."""
+    keys = list(keys)
+    last = wakes.groupBy(*keys, "task_id").agg(F.max_by("waker_task_id", F.struct(*ORDER)).alias("waker"))
+    chain = last.select(*keys, "task_id", F.col("waker").alias("w1"))
     for i in range(2, depth + 1):
-        chain = chain.join(last.select(F.col("task_id").alias(f"_k{i}"), F.col("waker").alias(f"w{i}")), F.col(f"w{i - 1}") == F.col(f"_k{i}"), "left").drop(f"_k{i}")
-    return chain
+        chain = chain.join(last.select(*keys, F.col("task_id").alias(f"w{i - 1}"), F.col("waker").alias(f"w{i}")), [*keys, f"w{i - 1}"], "left")
+    return chain.select(*keys, "task_id", *[f"w{i}" for i in range(1, depth + 1)])

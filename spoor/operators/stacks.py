@@ -84,8 +84,13 @@ def facets(samples: DataFrame) -> DataFrame:
 
 
 def resolve_stacks(counts: DataFrame, stacks: DataFrame) -> DataFrame:
-    """Dictionary join; counts of unknown stacks are skipped. The build side is left to runtime sizes."""
-    return counts.join(stacks, "stack_id")
+    """Dictionary join; counts of unknown stacks are skipped. The build side is left to runtime sizes.
+
+    Every file of a stored table brings its own copy of a stack, so the dictionary is merged to one row for each id first (its needed
+    part only, combined before the shuffle).
+    """
+    needed = stacks.join(counts.select("stack_id"), "stack_id", "left_semi")
+    return counts.join(needed.groupBy("stack_id").agg(F.min("frames").alias("frames")), "stack_id")
 
 
 def flamegraph_tree(resolved: DataFrame, weights: Sequence[str] = ("samples",), frames: str = "frames",
@@ -113,7 +118,7 @@ def flamegraph_tree(resolved: DataFrame, weights: Sequence[str] = ("samples",),
     return tree.withColumn("parent_path", parent).drop("_len")
 
 
-def flat_layout(tree: DataFrame, total: Column | int | None = None, weight: str = "samples", floor: float = 0.001,
+def flat_layout(tree: DataFrame, total: Column | int | None = None, weight: str = "samples", floor: float = 0.0,
                 slot=AUTO) -> DataFrame:
     """Drawable nodes: share of the total at least ``floor``; x = offsets of earlier siblings up the path."""
     tree = cut_lineage(tree)  # read four times below; a tree is small beside its samples
@@ -227,9 +232,9 @@ def frame_time_extent(samples: DataFrame, stacks: DataFrame, root_path: Sequence
 
 
 def dedupe_stacks(samples: DataFrame, frames: str = "frames") -> DataFrame:
-    """Groups of identical stacks with their count and leaf."""
-    groups = samples.groupBy(F.array_join(frames, SEP).alias("stack")).agg(F.count(F.lit(1)).alias("n"))
-    return groups.withColumn("leaf", F.substring_index("stack", SEP, 1))
+    """Groups of identical stacks with their count and leaf. Names may hold the separator, so the frames themselves are compared."""
+    groups = samples.groupBy(F.col(frames).alias("_frames")).agg(F.count(F.lit(1)).alias("n"))
+    return groups.select(F.array_join("_frames", SEP).alias("stack"), "n", F.try_element_at("_frames", F.lit(1)).alias("leaf"))
 
 
 def off_cpu_split(samples: DataFrame) -> DataFrame:

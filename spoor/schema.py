@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,15 +44,32 @@ def table_schema(table: str) -> T.StructType:
     return T.StructType.fromDDL(_DDL[table])
 
 
+def _loose(kind: T.DataType) -> str:
+    return kind.simpleString()
+
+
+def _fitted(column: Column, kind: T.DataType) -> Column:
+    """Cast of an integer that raises where the value would change."""
+    narrow = column.cast(kind)
+    return F.when(column.isNull() | (narrow.cast("bigint") == column.cast("bigint")), narrow).otherwise(F.raise_error(F.lit("value out of range")).cast(kind))
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Columns of the table in order. An absent optional column, or one of the wrong type, reads as null; a required
-    column that is absent or of the wrong type is an error."""
+    """Columns of the table in order. An absent optional column reads as null. Another integer type is cast, and a value that doesn't
+    fit raises; any other type, and an absent required column, is an error."""
     have = {f.name: f.dataType for f in df.schema}
     columns = []
     for field in table_schema(table):
-        fits = have.get(field.name) == field.dataType
-        if not fits and field.name in REQUIRED[table]:
-            raise TypeError(f"{table}.{field.name}: need {field.dataType.simpleString()}, have {have.get(field.name)}")
-        columns.append(F.col(field.name) if fits else F.lit(None).cast(field.dataType).alias(field.name))
+        found = have.get(field.name)
+        if found == field.dataType:
+            columns.append(F.col(field.name))
+        elif found is None and field.name not in REQUIRED[table]:
+            columns.append(F.lit(None).cast(field.dataType).alias(field.name))
+        elif found is not None and (isinstance(found, T.NullType) or isinstance(found, T.IntegralType) and isinstance(field.dataType, T.IntegralType)):
+            columns.append(_fitted(F.col(field.name), field.dataType).alias(field.name))
+        elif found is not None and _loose(found) == _loose(field.dataType):
+            columns.append(F.col(field.name).cast(field.dataType).alias(field.name))  # differs in nullability inside only
+        else:
+            raise TypeError(f"{table}.{field.name}: need {field.dataType.simpleString()}, have {found.simpleString() if found else 'nothing'}")
     extra = [F.col(c) for c in df.columns if c not in {f.name for f in table_schema(table)}]
     return df.select(*columns, *extra)

@@ -60,6 +60,7 @@ def boot_identity(df: DataFrame, key: str = "key", metadata_boot: Column | None
 
 
 def is_trace_segment(key: Column) -> Column:
+    # fixed values: folders that hold other things than segments
     return F.rlike(key, F.lit(r"\.bin(\.gz)?$")) & ~F.rlike(key, F.lit("/samples/|/dict/|/flamegraph-data/"))
 
 
@@ -78,12 +79,12 @@ def scope_filter(parsed: DataFrame, service: str | None = None, hosts: Sequence[
 
 
 def listing_window(start_ns: int, end_ns: int) -> tuple[int, int, str]:
-    """Padded window in seconds and the bucket grain: minutes up to two hours, else hours, at most 72 hours."""
+    """Padded window in seconds and the bucket grain: minutes up to two hours, else hours."""
     first, last = start_ns // 1_000_000_000, end_ns // 1_000_000_000
     grain, pad, name = (60, 120, "minute") if last - first <= 7200 else (3600, 3600, "hour")
     lo = (first - pad) // grain * grain
     hi = (last + pad) // grain * grain
-    return lo, min(hi, lo + 72 * 3600), name
+    return lo, hi, name
 
 
 def list_segments(parsed: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
@@ -121,19 +122,12 @@ def order_key(key: Column, version: int = ORDER_VERSION) -> Column:
     return F.md5(F.concat(F.lit(str(version)), key))
 
 
-def sampling_cap(matched: Column, override: int | None = None, ceiling: int = 100, floor: int = 4, share: float = 0.05) -> Column:
-    """Number of files to fold: a share of the matched ones or an explicit number, with a floor and ceiling."""
-    want = F.lit(min(override, 2000)).cast("bigint") if override is not None else F.least(F.ceil(matched * share), F.lit(ceiling))
-    return F.least(F.greatest(want, F.lit(floor)), matched)
-
-
-def sampled_files(matched: DataFrame, override: int | None = None) -> DataFrame:
-    """The first K files in sampling order (K is at most 2000; each task keeps its own best K before the merge)."""
-    total = matched.agg(F.count(F.lit(1))).scalar()
-    limit = 2000 if override is None or override > 2000 else max(override, 4)
-    best = matched.withColumn("order_key", order_key(F.col("key"))).orderBy("order_key", "key").limit(limit)
-    ranked = with_order(best.withColumn("_one", F.lit(1)), ["_one"], ["order_key", "key"], {"rank": _count()}, None)
-    return ranked.filter(F.col("rank") <= sampling_cap(total, override)).drop("_one")
+def sampled_files(matched: DataFrame, files: int | None = None, slot=AUTO) -> DataFrame:
+    """Matched files ranked in sampling order: all of them, or the first ``files``."""
+    ordered = matched.withColumn("order_key", order_key(F.col("key"))).withColumn("_at", F.conv(F.substring("order_key", 1, 12), 16, 10).cast("bigint"))
+    if files is not None:
+        ordered = ordered.orderBy("order_key", "key").limit(files)  # each task keeps its own first ones before the merge
+    return with_order(ordered, [], ["_at", "order_key", "key"], {"rank": _count()}, slot).drop("_at")
 
 
 def _count():
@@ -142,8 +136,8 @@ def _count():
     return running_sum(F.lit(1))
 
 
-def unfolded(capped: DataFrame, folded: DataFrame) -> DataFrame:
-    return capped.join(folded.select("key"), "key", "left_anti")
+def unfolded(matched: DataFrame, folded: DataFrame) -> DataFrame:
+    return matched.join(folded.select("key"), "key", "left_anti")
 
 
 def folded_matching(matched: DataFrame, folded: DataFrame) -> DataFrame:
@@ -151,20 +145,24 @@ def folded_matching(matched: DataFrame, folded: DataFrame) -> DataFrame:
 
 
 def coverage(matched: DataFrame, folded: DataFrame) -> DataFrame:
-    """Files, bytes and hosts matched and folded, and an order-free digest of the folded set."""
+    """Files, bytes and hosts matched and folded, and an order-free digest of the folded set. Hosts are combined first, so that both
+    distinct counts are plain counts of their rows."""
     part = F.conv(F.substring(F.md5("key"), 1, 12), 16, 10).cast("decimal(20,0)")
-    rows = matched.join(folded.select("key", F.lit(True).alias("is_folded")), "key", "left")
     done = F.coalesce("is_folded", F.lit(False))
-    return rows.agg(
-        F.count(F.lit(1)).alias("files_matched"), F.count_if(done).alias("files_folded"), F.sum("size").alias("bytes_matched"),
-        F.sum(F.when(done, F.col("size")).otherwise(F.lit(0))).alias("bytes_folded"), F.countDistinct("instance").alias("hosts_matched"),
-        F.countDistinct(F.when(done, F.col("instance"))).alias("hosts_folded"),
-        F.sum(F.when(done, part).otherwise(F.lit(0).cast("decimal(20,0)"))).cast("string").alias("folded_digest"))
+    rows = matched.join(folded.select("key", F.lit(True).alias("is_folded")).distinct(), "key", "left")
+    hosts = rows.groupBy("instance").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(done).alias("nf"), F.sum("size").alias("b"), F.sum(F.when(done, F.col("size")).otherwise(F.lit(0))).alias("bf"),
+        F.sum(F.when(done, part).otherwise(F.lit(0).cast("decimal(20,0)"))).alias("d"))
+    known = F.col("instance").isNotNull()
+    return hosts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("files_matched"), F.coalesce(F.sum("nf"), F.lit(0)).alias("files_folded"), F.sum("b").alias("bytes_matched"),
+        F.sum("bf").alias("bytes_folded"), F.count_if(known).alias("hosts_matched"), F.count_if(known & (F.col("nf") > 0)).alias("hosts_folded"),
+        F.sum("d").cast("string").alias("folded_digest"))
 
 
 def fold_errors(errors: DataFrame) -> DataFrame:
-    """Files that could not be folded, and one message of at most 300 characters."""
-    return errors.agg(F.count(F.lit(1)).alias("errors"), F.substring(F.min("message"), 1, 300).alias("sample"))
+    """Files that could not be folded, and one message."""
+    return errors.agg(F.count(F.lit(1)).alias("errors"), F.min("message").alias("sample"))
 
 
 # Segments of a host on the time axis ----------------------------------------------------------------------

@@ -56,16 +56,25 @@ def read_table(spark: SparkSession, out: str, table: str) -> DataFrame:
     return conform(spark.read.option("mergeSchema", "true").parquet(f"{out}/{table}"), table)
 
 
+def read_stacks(spark: SparkSession, out: str) -> DataFrame:
+    """The dictionary of all files, merged: one row for each stack id."""
+    return read_table(spark, out, "stacks").groupBy("stack_id").agg(F.min("frames").alias("frames"))
+
+
 def folded_set(spark: SparkSession, out: str) -> DataFrame:
     """Source files already folded."""
     return spark.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(f"{out}/ledger*").distinct()
 
 
-def fold_write(spark: SparkSession, out: str, source_keys: DataFrame, tables: Mapping[str, DataFrame]) -> None:
+def fold_write(spark: SparkSession, out: str, source_keys: DataFrame, tables: Mapping[str, DataFrame], replace: bool = False) -> None:
     """Write the files not folded yet and then mark them. ``source_keys`` names every file of the batch, so that an
-    empty one is marked too; each table carries source_key and the partition columns but ``leaf``."""
+    empty one is marked too; each table carries source_key and the partition columns but ``leaf``.
+
+    A source key stands for one complete file: all its rows come in one call, as ``streaming.jobs.fold_files`` brings them. Naming it
+    again changes nothing; with ``replace`` its new rows take the place of the old ones.
+    """
     pending = source_keys.select("source_key").distinct()
-    if _has_ledger(spark, out):
+    if path_exists(spark, f"{out}/ledger") and not replace:
         pending = pending.join(folded_set(spark, out), "source_key", "left_anti")
     for name in WRITE_ORDER:
         if name in tables:
@@ -74,7 +83,6 @@ def fold_write(spark: SparkSession, out: str, source_keys: DataFrame, tables: Ma
     pending.write.mode("append").parquet(f"{out}/ledger")
 
 
-def _has_ledger(spark: SparkSession, out: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{out}/ledger")
+def path_exists(spark: SparkSession, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)

@@ -89,7 +89,7 @@ def main(argv):
     oracles = entry.oracle_sql()
     bad = 0
     for name, fn in entry.queries().items():
-        if picks and not any(name == p or (p.endswith("*") and name.startswith(p[:-1])) or p == fn.__module_tag__ for p in picks):
+        if picks and not any(name == p or (p.endswith("*") and name.startswith(p[:-1])) or p == getattr(fn, "__module_tag__", None) for p in picks):
             continue
         try:
             ok, message = compare(spark, con, name, fn, oracles.get(name), sf_dir)
