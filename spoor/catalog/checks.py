@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from spoor.catalog import spans as span_cat
 from spoor.catalog.rebuild import ATTR, CLOSED, DELAY, OPEN, PK, W1, W2, ACTIVE
-from spoor.catalog.registry import query
+from spoor.catalog.registry import ORACLES, QUERIES, query
 from spoor.catalog.series import TIMELINE
 from spoor.operators import checks as op, rebuild, series
 from spoor.session import cut_lineage
@@ -39,9 +39,9 @@ LEAK = f"""lk AS (SELECT source_key, count(*) AS n, arg_min(alive, ts_ns) AS f,
 LEAK_SQL = sel("task-leak", "'warning'", "source_key", "l", "FROM lk WHERE n > 10 AND l > f * 2 AND l = p")
 
 
-@query("task_leak", f"WITH t0 AS (SELECT source_key, ts_ns, seq, sum(1) OVER (PARTITION BY source_key ORDER BY ts_ns, seq) AS alive FROM v_events WHERE kind = 'TaskSpawn'), {LEAK.replace('FROM tl', 'FROM t0')} {LEAK_SQL}")
+@query("task_leak", f"WITH {TIMELINE}, {LEAK} {LEAK_SQL}")
 def _(t):
-    return op.task_leak(series.active_task_timeline(t.events().filter("kind = 'TaskSpawn'")))  # no terminations: it leaks
+    return op.task_leak(series.active_task_timeline(t.events()))
 
 
 SD = sel("sched-delay", f"CASE WHEN max(delay_ns) > {HOUR} THEN 'critical' ELSE 'warning' END", "source_key", "count(*)", f"FROM sd WHERE delay_ns > {HOUR // 60} GROUP BY source_key")
@@ -97,7 +97,7 @@ def _(t):
     return op.kernel_sched_wait(rebuild.parks(t.events()))
 
 
-@query("many_spans_per_poll", f"WITH {span_cat.INNER} " + sel("many-spans-per-poll", "'warning'", "poll_seq", "count(*)", "FROM inn GROUP BY poll_seq HAVING count(*) > 1"))
+@query("many_spans_per_poll", f"WITH {span_cat.INNER} " + sel("many-spans-per-poll", "'warning'", "concat(source_key, '/', poll_seq)", "count(*)", "FROM inn GROUP BY source_key, poll_seq HAVING count(*) > 1"))
 def _(t):
     return op.many_spans_per_poll(span_cat.inside(t), 1)
 
@@ -108,9 +108,9 @@ def _(t):
     return op.span_outlier(t.spans(), 1.9)
 
 
-@query("unmatched_spans", f"WITH {span_cat.PAIR} " + sel("unmatched-spans", "'info'", "span_name", "count(*)", "FROM pairs p JOIN v_span_events e ON e.seq = p.enter_seq WHERE state = 'unmatched_enter' GROUP BY span_name"))
+@query("unmatched_spans", f"WITH {span_cat.PAIR} " + sel("unmatched-spans", "'info'", "span_name", "count(*)", "FROM pairs p JOIN v_span_events e ON e.source_key = p.source_key AND e.seq = p.enter_seq WHERE state = 'unmatched_enter' GROUP BY span_name"))
 def _(t):
-    names = t.span_events().select(F.col("seq").alias("enter_seq"), "span_name")
+    names = t.span_events().select("source_key", F.col("seq").alias("enter_seq"), "span_name")
     return op.unmatched_spans(span_cat.pairs(t), names)
 
 
@@ -123,30 +123,38 @@ def _(t):
     return op.idle_worker(woken, series.queue_series(t.metrics()))
 
 
-@query("wake_delay", f"WITH {W1} " + sel("wake-delay", "'warning'", "seq", "delay_ns", f"FROM w1 WHERE delay_ns >= {HOUR}"))
+@query("wake_delay", f"WITH {W1} " + sel("wake-delay", "'warning'", "concat(source_key, '/', seq)", "delay_ns", f"FROM w1 WHERE delay_ns >= {HOUR}"))
 def _(t):
     return op.wake_delay(rebuild.wake_to_poll(t.events(), DELAY), HOUR)
 
 
 SETUP = {
-    "missing_frame_pointers": sel("missing-frame-pointers", "'critical'", "'trace'", "2", "FROM s WHERE n_on > 10"),
-    "missing_wake_events": sel("missing-wake-events", "'warning'", "'trace'", "spawns", "FROM e"),
-    "missing_symbols": sel("missing-debug-symbols", "'warning'", "'trace'", "0", "FROM s"),
-    "no_sched_events": sel("no-scheduling-events", "'info'", "'trace'", "n_on", "FROM s"),
-    "no_task_polls": sel("no-task-polls", "'warning'", "'trace'", "unparks", "FROM e"),
+    "missing_frame_pointers": sel("missing-frame-pointers", "'critical'", "'trace'", "depth", "FROM s WHERE n_on > 10 AND depth < 3"),
+    "missing_wake_events": sel("missing-wake-events", "'warning'", "'trace'", "spawns", "FROM e WHERE spawns > 0"),
+    "missing_symbols": sel("missing-debug-symbols", "'warning'", "'trace'", "known", "FROM s WHERE n_on > 10 AND addrs > 0 AND (known = 0 OR known / addrs < 0.1)"),
+    "no_sched_events": sel("no-scheduling-events", "'info'", "'trace'", "n_on", "FROM s WHERE n_on > 0"),
+    "no_task_polls": sel("no-task-polls", "'warning'", "'trace'", "unparks", "FROM e WHERE unparks > 10"),
 }
-SETUP_CTE = """WITH e AS (SELECT count(*) FILTER (kind = 'TaskSpawn') AS spawns, count(*) FILTER (kind = 'WorkerUnpark') AS unparks FROM v_events), s AS (SELECT count(*) FILTER (source = 0) AS n_on FROM v_cpu) """
+SETUP_CTE = """WITH e AS (SELECT count(*) FILTER (kind = 'TaskSpawn') AS spawns, count(*) FILTER (kind = 'WorkerUnpark') AS unparks FROM v_events), s AS (SELECT count(*) AS n_on, avg(len(frames[1:2])) AS depth, (SELECT count(DISTINCT f) FROM (SELECT unnest(frames[1:2]) AS f FROM v_cpu)) AS addrs, (SELECT count(DISTINCT f) FROM (SELECT unnest(frames) AS f FROM v_cpu) WHERE f LIKE 'kernel::%') AS known FROM v_cpu) """
+FLAG_SQL = sel("no-unstable-flag", "'warning'", "'trace'", "count(*)", "FROM (SELECT source_key, count(*) AS n FROM v_events GROUP BY 1) WHERE n % 2 = 1 HAVING count(*) > 0")
 
 
-def faulty(t, unstable=True):
-    """A recording with every fault: short stacks, no wakes, no polls, no scheduler samples, no symbols."""
+def faulty(t):
+    """The table's frames as a recording without frame pointers, wake events and task polls gives them: no row is left out."""
     events = t.events().withColumn("kind", F.when(F.col("kind").isin("Wake", "PollStart"), "PollEnd").otherwise(F.col("kind")))
-    short = t.cpu().filter("source = 0").withColumn("frames", F.slice("frames", 1, 2))
-    symbols = t.cpu().filter("source = 2").select(F.lit("a").alias("addr"), F.lit("").alias("location"))
-    return op.setup_checks(events, short, symbols, unstable)
+    short = t.cpu().withColumn("frames", F.slice("frames", 1, 2)).withColumn("source", F.lit(0))
+    addr = F.explode("frames").alias("addr")
+    symbols = t.cpu().select(addr).filter(F.startswith("addr", F.lit("kernel::"))).distinct().withColumn("location", F.lit(""))  # of kernel frames only
+    return op.setup_checks(events, short, symbols, flags(t))
 
 
-@query("setup_checks", SETUP_CTE + " UNION ALL ".join(SETUP.values()))
+def flags(t):
+    """Metadata of each source: recorded with the unstable flag if it has an even number of events."""
+    per = t.events().groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
+    return per.select("source_key", F.create_map(F.lit("unstable"), F.when(F.col("n") % 2 == 0, "true").otherwise("false")).alias("metadata"))
+
+
+@query("setup_checks", SETUP_CTE + " UNION ALL ".join([*SETUP.values(), FLAG_SQL]))
 def _(t):
     return faulty(t)
 
@@ -163,9 +171,9 @@ for _name, _sql in SETUP.items():
     _register_setup(_name, _sql)
 
 
-@query("no_unstable_flag", sel("no-unstable-flag", "'warning'", "'trace'", "1", "FROM (SELECT count(*) AS n FROM v_events) WHERE n > 0"))
+@query("no_unstable_flag", FLAG_SQL)
 def _(t):
-    return faulty(t, unstable=False).filter(F.col("check") == "no-unstable-flag")
+    return faulty(t).filter(F.col("check") == "no-unstable-flag")
 
 
 HZ = 0.0004
@@ -203,7 +211,7 @@ Z, HALF = 1_705_000_000_000_000_000, 6 * HOUR
 
 
 @query("zoom_window", f"""WITH {OPEN}, {QUEUE}, {span_cat.SINGLE}, nr AS (SELECT *, end_ns - start_ns AS dur FROM po WHERE end_ns >= {Z - HALF} AND start_ns <= {Z + HALF}), tp AS (SELECT * FROM nr WHERE dur > 1000000 ORDER BY dur DESC, start_ns, seq LIMIT 1),
-z AS (SELECT 'poll' AS section, seq::varchar AS subject, dur::double AS value FROM nr UNION ALL SELECT 'busy', concat(source_key, '/', worker_id), sum(least(end_ns, {Z + HALF}) - greatest(start_ns, {Z - HALF}))::double FROM nr GROUP BY source_key, worker_id
+z AS (SELECT 'poll' AS section, concat(source_key, '/', seq) AS subject, dur::double AS value FROM nr UNION ALL SELECT 'busy', concat(source_key, '/', worker_id), sum(least(end_ns, {Z + HALF}) - greatest(start_ns, {Z - HALF}))::double FROM nr GROUP BY source_key, worker_id
  UNION ALL SELECT 'thread', concat(source_key, '/', tid), (count(*) FILTER (source <> 1))::double FROM v_cpu WHERE t BETWEEN {Z - HALF} AND {Z + HALF} GROUP BY source_key, tid
  UNION ALL SELECT 'queue', 'max', max(depth)::double FROM q WHERE ts_ns BETWEEN {Z - HALF} AND {Z + HALF} UNION ALL SELECT 'queue', 'min', min(depth)::double FROM q WHERE ts_ns BETWEEN {Z - HALF} AND {Z + HALF}
  UNION ALL SELECT 'span', s.name, count(*)::double FROM single s JOIN tp ON tp.source_key = s.source_key AND tp.worker_id = s.worker_id AND s.start_ns >= tp.start_ns AND s.end_ns <= tp.end_ns GROUP BY s.name) SELECT * FROM z""")
@@ -212,12 +220,18 @@ def _(t):
     return op.zoom_window(rebuild.polls_open_ended(t.events()), t.cpu(), series.queue_series(t.metrics()), spans, Z, HALF)
 
 
+#: The checks of the scan beyond those that one statement holds: each with the common table expressions of its own.
+OTHERS = ("incomplete_file", "sched_delay", "many_spans_per_poll", "span_outlier", "unmatched_spans")
+OTHER_SQL = " UNION ALL ".join(f'SELECT "check", severity, subject, value FROM ({ORACLES[name]})' for name in OTHERS)
+
+
 @query("red_flags", f"""WITH {LONG}, {TIMELINE}, {LEAK}, {BLOCK}, {QUEUE}, {IMB}, {PK}, {CONT} {LONG_SQL} UNION ALL {LEAK_SQL} UNION ALL {sel("blocking-calls", "'warning'", "concat(source_key, ' ', stack)", "n", "FROM br WHERE rn = 1 AND n > 5")}
-UNION ALL {QUEUE_SQL} UNION ALL {IMB_SQL} UNION ALL {CONT_SQL} UNION ALL {WAIT_SQL}""")
+UNION ALL {QUEUE_SQL} UNION ALL {IMB_SQL} UNION ALL {CONT_SQL} UNION ALL {WAIT_SQL} UNION ALL {OTHER_SQL}""")
 def _(t):
     e = t.events()
     slot = rebuild.time_slot(e)
     return op.report(
         op.long_poll(t.polls()), op.task_leak(series.active_task_timeline(e, slot=slot)), op.blocking_calls(t.cpu()),
         op.queue_depth(series.queue_series(t.metrics())), op.worker_imbalance(t.polls(), "host", 1.05),
-        op.cpu_contention(rebuild.active_periods(e, slot=slot)), op.kernel_sched_wait(rebuild.parks(e, slot)))
+        op.cpu_contention(rebuild.active_periods(e, slot=slot)), op.kernel_sched_wait(rebuild.parks(e, slot)),
+        *[QUERIES[name](t.spark, t.sf_dir) for name in OTHERS])

@@ -13,11 +13,11 @@ W0, W1 = 852_076_800_000_000_000, 915_148_800_000_000_000
 
 def frees(t):
     """A returned item was freed again."""
-    return t.allocs().filter(F.col("flag") != "N").select("addr", F.col("ts_ns").alias("alloc_ts_ns"), (F.col("ts_ns") + 1000).alias("ts_ns"), "size")
+    return t.allocs().filter(F.col("flag") != "N").select("source_key", "addr", F.col("ts_ns").alias("alloc_ts_ns"), (F.col("ts_ns") + 1000).alias("ts_ns"), "size")
 
 
-FREES = "fr AS (SELECT addr, ts_ns AS alloc_ts_ns, size FROM v_allocs WHERE flag <> 'N')"
-LEAK = f"{FREES}, lk AS (SELECT * FROM v_allocs a WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.addr = a.addr AND fr.alloc_ts_ns = a.ts_ns))"
+FREES = "fr AS (SELECT source_key, addr, ts_ns AS alloc_ts_ns, size FROM v_allocs WHERE flag <> 'N')"
+LEAK = f"{FREES}, lk AS (SELECT * FROM v_allocs a WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.source_key = a.source_key AND fr.addr = a.addr AND fr.alloc_ts_ns = a.ts_ns))"
 
 
 @query("alloc_free_match", f"WITH {LEAK} SELECT site, count(*) AS n, sum(size)::bigint AS leaked_bytes FROM lk GROUP BY 1")
@@ -37,11 +37,11 @@ def _(t):
     return s.withColumn("estimated_kb", F.round(F.col("estimated_bytes") / 1000).cast("bigint")).drop("estimated_bytes")
 
 
-@query("alloc_task", f"""WITH st AS (SELECT worker_id, start_ns, max(task_id) AS task_id FROM v_polls GROUP BY 1, 2), j AS (SELECT a.size, s.task_id FROM v_allocs a ASOF JOIN st s ON s.worker_id = a.tid AND s.start_ns <= a.ts_ns)
-SELECT task_id, sum(size)::bigint AS sampled_bytes, count(*) AS n, round(sum({WEIGHT}), 1) AS estimated_bytes FROM j GROUP BY 1""")
+@query("alloc_task", f"""WITH st AS (SELECT host, worker_id, start_ns, max(task_id) AS task_id FROM v_polls GROUP BY 1, 2, 3), j AS (SELECT a.source_key, a.size, s.task_id FROM v_allocs a ASOF JOIN st s ON s.host = a.source_key AND s.worker_id = a.tid AND s.start_ns <= a.ts_ns)
+SELECT source_key, task_id, sum(size)::bigint AS sampled_bytes, count(*) AS n, round(sum({WEIGHT}), 1) AS estimated_bytes FROM j GROUP BY 1, 2""")
 def _(t):
-    tids = t.allocs().select("tid").distinct().withColumn("worker_id", F.col("tid"))
-    return op.alloc_task(t.allocs(), t.polls(), tids).withColumn("estimated_bytes", F.round("estimated_bytes", 1))
+    tids = t.allocs().select("source_key", "tid").distinct().withColumn("worker_id", F.col("tid"))
+    return op.alloc_task(t.allocs(), t.polls().withColumn("source_key", F.col("host")), tids).withColumn("estimated_bytes", F.round("estimated_bytes", 1))
 
 
 @query("heap_region", f"""SELECT array_to_string(frames[2:], ';') AS stack, count(*) AS samples, round(sum(size * {INV}) / 1000)::bigint AS kb, round(sum({INV}), 3) AS allocs FROM v_allocs WHERE ts_ns BETWEEN {W0} AND {W1} GROUP BY 1""")

@@ -80,7 +80,7 @@ def _(t):
 SPLIT = 880_000_000_000_000_000
 
 
-@query("period_diff_join", f"""WITH {CP}, c1 AS (SELECT * FROM cp WHERE start_ns < {SPLIT} AND duration_ns < 45000000), c2 AS (SELECT * FROM cp WHERE start_ns >= {SPLIT} AND worker_id < 7),
+@query("period_diff_join", f"""WITH {CP}, c1 AS (SELECT * FROM cp WHERE start_ns < {SPLIT}), c2 AS (SELECT * FROM cp WHERE start_ns >= {SPLIT}),
 f AS ({PERIOD.format(src='c1')}), l AS ({PERIOD.format(src='c2')}),
 d AS (SELECT spawn_loc, coalesce(f.rate, 0) AS first_rate, coalesce(l.rate, 0) AS last_rate FROM f FULL JOIN l USING (spawn_loc))
 SELECT spawn_loc, round(first_rate, 9) AS first_rate, round(last_rate, 9) AS last_rate, round(last_rate - first_rate, 9) AS delta,
@@ -88,8 +88,7 @@ SELECT spawn_loc, round(first_rate, 9) AS first_rate, round(last_rate, 9) AS las
  round(CASE WHEN first_rate > 0 THEN (last_rate - first_rate) / first_rate * 100 END, 6) AS pct FROM d""")
 def _(t):
     p = t.polls()
-    first = p.filter((F.col("start_ns") < SPLIT) & (F.col("duration_ns") < 45_000_000))
-    last = p.filter((F.col("start_ns") >= SPLIT) & (F.col("worker_id") < 7))
+    first, last = p.filter(F.col("start_ns") < SPLIT), p.filter(F.col("start_ns") >= SPLIT)
     d = op.period_diff(op.period_stats(first, 20_000_000), op.period_stats(last, 20_000_000))
     return d.select("spawn_loc", *[F.round(c, 9).alias(c) for c in ("first_rate", "last_rate", "delta")],
                     "regression", "improvement", "new_offender", F.round("pct", 6).alias("pct"))
@@ -114,45 +113,45 @@ def _(t):
         "host", "worker_id", op.latency_tier(F.col("worst_poll_ns")).alias("latency"), op.busyness_tier(F.col("busy_pct")).alias("busyness"))
 
 
-LIFE = """life AS (SELECT task_id, arg_min(spawn_loc, ts_ns) FILTER (kind = 'TaskSpawn') AS spawn_loc, min(ts_ns) FILTER (kind = 'TaskSpawn') AS spawn_ns,
-  max(ts_ns) FILTER (kind = 'TaskTerminate') AS terminate_ns FROM v_events WHERE kind IN ('TaskSpawn', 'TaskTerminate') GROUP BY task_id)"""
-INDEX = """idx AS (SELECT task_id, count(*) AS polls, sum(duration_ns)::bigint AS total_ns, max(duration_ns) AS longest_ns, min(start_ns) AS first_poll_ns,
-  arg_min(worker_id, start_ns * 8 + worker_id) AS first_worker, count(DISTINCT worker_id) AS workers FROM v_polls GROUP BY task_id)"""
+LIFE = """life AS (SELECT host, task_id, arg_min(spawn_loc, ts_ns) FILTER (kind = 'TaskSpawn') AS spawn_loc, min(ts_ns) FILTER (kind = 'TaskSpawn') AS spawn_ns,
+  max(ts_ns) FILTER (kind = 'TaskTerminate') AS terminate_ns FROM v_events WHERE kind IN ('TaskSpawn', 'TaskTerminate') GROUP BY host, task_id)"""
+INDEX = """idx AS (SELECT host, task_id, count(*) AS polls, sum(duration_ns)::bigint AS total_ns, max(duration_ns) AS longest_ns, min(start_ns) AS first_poll_ns,
+  arg_min(worker_id, start_ns * 8 + worker_id) AS first_worker, count(DISTINCT worker_id) AS workers FROM v_polls GROUP BY host, task_id)"""
 
 
 def lifetimes(t):
     e = t.events()
     spawn, end = F.col("kind") == "TaskSpawn", F.col("kind") == "TaskTerminate"
-    return e.filter(spawn | end).groupBy("task_id").agg(
+    return e.filter(spawn | end).groupBy("host", "task_id").agg(
         F.min_by("spawn_loc", F.when(spawn, F.col("ts_ns"))).alias("spawn_loc"), F.min(F.when(spawn, F.col("ts_ns"))).alias("spawn_ns"),
         F.max(F.when(end, F.col("ts_ns"))).alias("terminate_ns"))
 
 
 @query("task_index", f"WITH {INDEX} SELECT * FROM idx")
 def _(t):
-    return op.task_index(t.polls())
+    return op.task_index(t.polls(), keys=("host",))
 
 
-TASKS = """tasks AS (SELECT coalesce(i.task_id, l.task_id) AS task_id, coalesce(polls, 0) AS polls, coalesce(total_ns, 0) AS total_ns, coalesce(longest_ns, 0) AS longest_ns,
+TASKS = """tasks AS (SELECT coalesce(i.host, l.host) AS host, coalesce(i.task_id, l.task_id) AS task_id, coalesce(polls, 0) AS polls, coalesce(total_ns, 0) AS total_ns, coalesce(longest_ns, 0) AS longest_ns,
  coalesce(workers, 0) AS workers, coalesce(first_poll_ns, -1) AS first_poll_ns, coalesce(first_worker, -1) AS first_worker, spawn_loc, spawn_ns, terminate_ns,
- terminate_ns - spawn_ns AS lifetime_ns FROM idx i FULL JOIN life l ON i.task_id = l.task_id)"""
+ terminate_ns - spawn_ns AS lifetime_ns FROM idx i FULL JOIN life l ON i.host = l.host AND i.task_id = l.task_id)"""
 
 
 @query("task_union", f"WITH {LIFE}, {INDEX}, {TASKS} SELECT * FROM tasks")
 def _(t):
-    return op.task_index(t.polls(), lifetimes(t))
+    return op.task_index(t.polls(), lifetimes(t), ("host",))
 
 
-@query("sort_tasks", f"WITH {LIFE}, {INDEX}, {TASKS} SELECT task_id, lifetime_ns FROM tasks ORDER BY lifetime_ns DESC NULLS LAST, task_id LIMIT 60")
+@query("sort_tasks", f"WITH {LIFE}, {INDEX}, {TASKS} SELECT host, task_id, lifetime_ns FROM tasks ORDER BY lifetime_ns DESC NULLS LAST, task_id, host LIMIT 60")
 def _(t):
-    return op.sort_tasks(op.task_index(t.polls(), lifetimes(t)), "lifetime_ns", True).select("task_id", "lifetime_ns").limit(60)
+    return op.sort_tasks(op.task_index(t.polls(), lifetimes(t), ("host",)), "lifetime_ns", True).select("host", "task_id", "lifetime_ns").limit(60)
 
 
 @query("spawn_family", f"""WITH {LIFE}, {INDEX}, {TASKS} SELECT spawn_loc, count(*) AS tasks, sum(polls)::bigint AS polls, sum(total_ns)::bigint AS total_ns, max(longest_ns) AS longest_ns,
  arg_max(task_id, longest_ns * 100000 - task_id) AS longest_task, count(*) FILTER (terminate_ns IS NULL) AS running, count(lifetime_ns) AS lifetime_known,
  round(avg(lifetime_ns), 0)::bigint AS mean_lifetime_ns FROM tasks GROUP BY spawn_loc""")
 def _(t):
-    return op.spawn_family(op.task_index(t.polls(), lifetimes(t))).withColumn("mean_lifetime_ns", F.round("mean_lifetime_ns").cast("bigint"))
+    return op.spawn_family(op.task_index(t.polls(), lifetimes(t), ("host",))).withColumn("mean_lifetime_ns", F.round("mean_lifetime_ns").cast("bigint"))
 
 
 WIN = (SPLIT, SPLIT + 30 * 86_400_000_000_000)

@@ -84,7 +84,7 @@ def _(t):
     return s.select("host", *[F.round(c, 6).alias(c) for c in ("avg_cores", "max_cores")])
 
 
-@query("gauge_series", "SELECT host, ts_ns, seq, k AS value, CASE WHEN k IS NULL THEN 'missing' END AS gap FROM v_custom WHERE name = 'click'")
+@query("gauge_series", "SELECT host, ts_ns, seq, k::decimal(20,0) AS value, CASE WHEN k IS NULL THEN 'missing' END AS gap FROM v_custom WHERE name = 'click'")
 def _(t):
     return op.gauge_series(t.custom(), "click", "k")
 
@@ -95,14 +95,14 @@ def _(t):
 
 
 @query("counter_series", """WITH p AS (SELECT *, lag(ts_ns) OVER w AS pt, lag(k) OVER w AS pk FROM v_custom WHERE name = 'click' WINDOW w AS (PARTITION BY host ORDER BY ts_ns, seq))
-SELECT host, seq, ts_ns AS start_ns, NULL::bigint AS end_ns, NULL::bigint AS value, 'missing' AS gap FROM p WHERE k IS NULL
-UNION ALL SELECT host, seq, ts_ns, NULL, NULL, 'reset' FROM p WHERE k < pk UNION ALL SELECT host, seq, pt, ts_ns, k - pk, NULL FROM p WHERE k >= pk AND ts_ns > pt""")
+SELECT host, seq, ts_ns AS start_ns, NULL::bigint AS end_ns, NULL::decimal(21,0) AS value, 'missing' AS gap FROM p WHERE k IS NULL
+UNION ALL SELECT host, seq, ts_ns, NULL, NULL, 'reset' FROM p WHERE k < pk UNION ALL SELECT host, seq, pt, ts_ns, (k - pk)::decimal(21,0), NULL FROM p WHERE k >= pk AND ts_ns > pt""")
 def _(t):
     return op.counter_series(t.custom(), "click", "k")
 
 
 @query("updown_counter_series", """WITH p AS (SELECT *, lag(ts_ns) OVER w AS pt, lag(k) OVER w AS pk FROM v_custom WHERE name = 'view' WINDOW w AS (PARTITION BY host ORDER BY ts_ns, seq))
-SELECT host, seq, ts_ns AS start_ns, NULL::bigint AS end_ns, NULL::bigint AS value, 'missing' AS gap FROM p WHERE k IS NULL UNION ALL SELECT host, seq, pt, ts_ns, k - pk, NULL FROM p WHERE k IS NOT NULL AND pk IS NOT NULL AND ts_ns > pt""")
+SELECT host, seq, ts_ns AS start_ns, NULL::bigint AS end_ns, NULL::decimal(21,0) AS value, 'missing' AS gap FROM p WHERE k IS NULL UNION ALL SELECT host, seq, pt, ts_ns, (k - pk)::decimal(21,0), NULL FROM p WHERE k IS NOT NULL AND pk IS NOT NULL AND ts_ns > pt""")
 def _(t):
     return op.counter_series(t.custom(), "view", "k", monotonic=False)
 

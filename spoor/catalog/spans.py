@@ -147,16 +147,16 @@ def _(t):
     return out.select("seq", "name", "start_ns", "end_ns", "task_id")
 
 
-INNER = f"""{CLOSED}, {SINGLE}, inn AS (SELECT s.name, s.seq, p.seq AS poll_seq FROM single s JOIN polls p ON p.source_key = s.source_key AND p.worker_id = s.worker_id AND s.start_ns >= p.start_ns AND s.end_ns <= p.end_ns)"""
+INNER = f"""{CLOSED}, {SINGLE}, inn AS (SELECT p.source_key, s.name, s.seq, p.seq AS poll_seq FROM single s JOIN polls p ON p.source_key = s.source_key AND p.worker_id = s.worker_id AND s.start_ns >= p.start_ns AND s.end_ns <= p.end_ns)"""
 
 
 def inside(t):
     return op.spans_inside_polls(op.spans_single_event(single_events(t), None, 1_000_000_000), polls_table(t))
 
 
-@query("inner_spans_of_poll", f"WITH {INNER} SELECT poll_seq, name, count(*) AS n FROM inn GROUP BY 1, 2")
+@query("inner_spans_of_poll", f"WITH {INNER} SELECT source_key, poll_seq, name, count(*) AS n FROM inn GROUP BY 1, 2, 3")
 def _(t):
-    return inside(t).groupBy("poll_seq", "name").agg(F.count(F.lit(1)).alias("n"))
+    return inside(t).groupBy("source_key", "poll_seq", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("parent_resolve", f"""WITH {BUILT}, ch AS (SELECT * FROM built WHERE parent_span_id > 0), pr AS (SELECT source_key, span_id AS pid, segment AS parent_segment, start_ns AS parent_start FROM built)

@@ -196,7 +196,7 @@ class Tables:
     def allocs(self) -> DataFrame:
         a = self.table("lineitem")
         return a.select(
-            F.col("l_orderkey").alias("addr"), (micros("l_shipdate") * 1000 + F.col("l_linenumber")).alias("ts_ns"),
+            F.concat(F.lit("h"), (F.col("l_suppkey") % 5).cast("string")).alias("source_key"), F.col("l_orderkey").alias("addr"), (micros("l_shipdate") * 1000 + F.col("l_linenumber")).alias("ts_ns"),
             (F.col("l_suppkey") % 8).cast("int").alias("tid"), F.floor(F.col("l_extendedprice") * 10).alias("size"),
             F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("site"),
             F.array(F.lit("hook::alloc"), F.concat(F.lit("app::site"), (F.col("l_partkey") % 50).cast("string")),
@@ -330,7 +330,7 @@ SELECT event_id AS seq, epoch_us(ts) * 1000 AS ts_ns, event_type AS name, concat
        CASE WHEN event_id % 6 = 0 THEN 's' ELSE 'ms' END AS unit, concat('u', cast(user_id AS varchar)) AS who
 FROM events""",
     "v_allocs": """
-SELECT l_orderkey AS addr, epoch_us(l_shipdate) * 1000 + l_linenumber AS ts_ns, cast(l_suppkey % 8 AS int) AS tid,
+SELECT concat('h', cast(l_suppkey % 5 AS varchar)) AS source_key, l_orderkey AS addr, epoch_us(l_shipdate) * 1000 + l_linenumber AS ts_ns, cast(l_suppkey % 8 AS int) AS tid,
        cast(floor(l_extendedprice * 10) AS bigint) AS size, l_returnflag AS flag, l_partkey AS site,
        ['hook::alloc', concat('app::site', cast(l_partkey % 50 AS varchar)), concat('app::mod', cast(l_partkey % 5 AS varchar))] AS frames
 FROM lineitem""",

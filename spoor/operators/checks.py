@@ -95,8 +95,8 @@ def kernel_sched_wait(parks: DataFrame) -> DataFrame:
 
 
 def many_spans_per_poll(inside: DataFrame, floor: int = 20) -> DataFrame:
-    per = inside.groupBy("poll_seq").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > floor)
-    return finding(per, "many-spans-per-poll", "warning", F.col("poll_seq"), F.col("n"))
+    per = inside.groupBy("source_key", "poll_seq").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > floor)
+    return finding(per, "many-spans-per-poll", "warning", F.concat_ws("/", "source_key", F.col("poll_seq").cast("string")), F.col("n"))
 
 
 def span_outlier(spans: DataFrame, factor: float = 10, peers: int = 10, slot=AUTO) -> DataFrame:
@@ -108,7 +108,7 @@ def span_outlier(spans: DataFrame, factor: float = 10, peers: int = 10, slot=AUT
 
 def unmatched_spans(pairs: DataFrame, names: DataFrame) -> DataFrame:
     """Enters without an exit, by span name; ``names`` maps an enter to its name."""
-    lost = pairs.filter(F.col("state") == "unmatched_enter").join(names, "enter_seq").groupBy("span_name").agg(F.count(F.lit(1)).alias("n"))
+    lost = pairs.filter(F.col("state") == "unmatched_enter").join(names, ["source_key", "enter_seq"]).groupBy("span_name").agg(F.count(F.lit(1)).alias("n"))
     return finding(lost, "unmatched-spans", "info", F.col("span_name"), F.col("n"))
 
 
@@ -121,11 +121,12 @@ def idle_worker(parks: DataFrame, queue: DataFrame, floor_ns: int = MS, slot=AUT
 
 
 def wake_delay(delays: DataFrame, floor_ns: int) -> DataFrame:
-    return finding(delays.filter(F.col("delay_ns") >= floor_ns), "wake-delay", "warning", F.col("seq"), F.col("delay_ns"))
+    return finding(delays.filter(F.col("delay_ns") >= floor_ns), "wake-delay", "warning", F.concat_ws("/", "source_key", F.col("seq").cast("string")), F.col("delay_ns"))
 
 
-def setup_checks(events: DataFrame, samples: DataFrame, symbols: DataFrame, unstable: bool = True) -> DataFrame:
-    """How the recording was made: frame pointers, wake events, symbols, scheduler events, task polls."""
+def setup_checks(events: DataFrame, samples: DataFrame, symbols: DataFrame, metadata: DataFrame) -> DataFrame:
+    """How the recording was made: frame pointers, wake events, symbols, scheduler events, task polls, and how many sources were
+    recorded without the unstable flag (``metadata``: source_key and a map)."""
     e = events.agg(
         F.count_if(F.col("kind") == "TaskSpawn").alias("spawns"), F.count_if(F.col("kind") == "Wake").alias("wakes"),
         F.count_if(F.col("kind") == "WorkerUnpark").alias("unparks"), F.count_if(F.col("kind") == "PollStart").alias("polls"))
@@ -140,8 +141,10 @@ def setup_checks(events: DataFrame, samples: DataFrame, symbols: DataFrame, unst
     thin = (F.col("known") == 0) | ((F.col("known") / F.col("addrs") < 0.1) & (F.col("placed") == 0))
     names = finding(facts.filter((F.col("on") > 10) & (F.col("addrs") > 0) & thin), "missing-debug-symbols", "warning", F.lit("trace"), F.col("known"))
     sched = finding(s.filter((F.col("on") > 0) & (F.col("off") == 0)), "no-scheduling-events", "info", F.lit("trace"), F.col("on"))
-    flag = finding(e.filter(F.lit(not unstable)), "no-unstable-flag", "warning", F.lit("trace"), F.lit(1))
-    idle = finding(e.filter(F.lit(unstable) & (F.col("unparks") > 10) & (F.col("polls") == 0)), "no-task-polls", "warning", F.lit("trace"), F.col("unparks"))
+    stable = metadata.filter(F.coalesce(F.col("metadata")["unstable"], F.lit("false")) != "true").agg(F.count(F.lit(1)).alias("n"))
+    flag = finding(stable.filter(F.col("n") > 0), "no-unstable-flag", "warning", F.lit("trace"), F.col("n"))
+    flagged = metadata.agg(F.count_if(F.col("metadata")["unstable"] == "true")).scalar()
+    idle = finding(e.withColumn("flagged", flagged).filter((F.col("flagged") > 0) & (F.col("unparks") > 10) & (F.col("polls") == 0)), "no-task-polls", "warning", F.lit("trace"), F.col("unparks"))
     out = pointers
     for more in (wakes, names, sched, flag, idle):
         out = out.unionByName(more)
@@ -161,23 +164,28 @@ def diagnose_long_polls(polls: DataFrame, attributed: DataFrame, samples: DataFr
     pick = order_statistics(sized, [], "duration_ns", {"p": lambda n: F.least(n - 1, F.floor(n * percentile))}, slot)
     limit = F.greatest(F.lit(float(floor_ns)), pick.select("p").scalar() * multiple)
     longs = cut_lineage(sized.filter(F.col("duration_ns") >= limit).select("source_key", F.col("seq").alias("poll_seq"), "task_id", "start_ns", "end_ns", "duration_ns"))
-    best = longs.orderBy(F.desc("duration_ns"), "start_ns", "poll_seq").limit(top)
+    best = longs.orderBy(F.desc("duration_ns"), "start_ns", "poll_seq", "source_key").limit(top)
     counts = rebuild.poll_sample_counts(attributed)
     ran = samples.filter(F.col("source") != 1).select("source_key", "tid", "t", "frames")
     near = point_in_intervals(ran, best, ["source_key"], "t", "start_ns", "end_ns", closed=True)
-    cells = near.groupBy("poll_seq", "duration_ns", "tid", F.get("frames", F.lit(0)).alias("leaf")).agg(F.count(F.lit(1)).alias("n"))
-    threads = cells.groupBy("poll_seq", "duration_ns", "tid").agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("c"), "leaf")).alias("l"))
-    suspect = threads.groupBy("poll_seq", "duration_ns").agg(
+    poll = ["source_key", "poll_seq"]
+    cells = near.groupBy(*poll, "duration_ns", "tid", F.get("frames", F.lit(0)).alias("leaf")).agg(F.count(F.lit(1)).alias("n"))
+    threads = cells.groupBy(*poll, "duration_ns", "tid").agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("c"), "leaf")).alias("l"))
+    suspect = threads.groupBy(*poll, "duration_ns").agg(
         F.min(F.struct((-F.col("n")).alias("c"), "tid", F.col("l.leaf").alias("leaf"))).alias("s"))
     expected = F.col("duration_ns") / 1e9 * hz
     cover = F.least(F.lit(1.0), -F.col("s.c") / expected)
     named = suspect.filter((expected >= 3) & (cover >= 0.6) & (-F.col("s.c") >= 3)).select(
-        "poll_seq", F.col("s.tid").alias("suspect_tid"), (-F.col("s.c")).alias("suspect_samples"), F.col("s.leaf").alias("suspect_leaf"))
-    seen = point_in_intervals(ran, longs, ["source_key"], "t", "start_ns", "end_ns", closed=True).select(
-        F.col("poll_seq").alias("other_seq"), F.explode("frames").alias("suspect_leaf")).distinct()
-    co = named.join(seen, "suspect_leaf").filter(F.col("other_seq") != F.col("poll_seq")).groupBy("poll_seq").agg(F.count(F.lit(1)).alias("coincided"))
+        *poll, F.col("s.tid").alias("suspect_tid"), (-F.col("s.c")).alias("suspect_samples"), F.col("s.leaf").alias("suspect_leaf"))
+    # only frames that are some suspect's leaf are followed into the other polls
+    leaves = named.select("suspect_leaf").distinct()
+    shown = ran.withColumn("suspect_leaf", F.explode(F.array_distinct("frames"))).join(leaves, "suspect_leaf", "left_semi")
+    seen = point_in_intervals(shown, longs, ["source_key"], "t", "start_ns", "end_ns", closed=True).select(
+        F.col("source_key").alias("other_source"), F.col("poll_seq").alias("other_seq"), "suspect_leaf").distinct()
+    another = (F.col("other_seq") != F.col("poll_seq")) | (F.col("other_source") != F.col("source_key"))
+    co = named.join(seen, "suspect_leaf").filter(another).groupBy(*poll).agg(F.count(F.lit(1)).alias("coincided"))
     others = longs.agg(F.count(F.lit(1)) - 1).scalar()
-    rows = best.join(counts, ["source_key", "poll_seq"], "left").fillna(0, ["cpu_samples", "sched_samples"]).join(named, "poll_seq", "left").join(co, "poll_seq", "left")
+    rows = best.join(counts, ["source_key", "poll_seq"], "left").fillna(0, ["cpu_samples", "sched_samples"]).join(named, poll, "left").join(co, poll, "left")
     off = F.col("cpu_samples") == 0  # a poll that ran on a CPU needs no suspect
     found = off & F.col("suspect_tid").isNotNull()
     return rows.select(
@@ -202,7 +210,7 @@ def zoom_window(polls: DataFrame, samples: DataFrame, queue: DataFrame, spans: D
     top = near.filter(F.col("duration_ns") > MS).orderBy(F.desc("duration_ns"), "start_ns", "seq").limit(1)
     runs = F.broadcast(top.select("source_key", "worker_id", F.col("start_ns").alias("a"), F.col("end_ns").alias("b")))  # one row
     inner = spans.join(runs, ["source_key", "worker_id"]).filter((F.col("start_ns") >= F.col("a")) & (F.col("end_ns") <= F.col("b"))).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    out = rows(near, "poll", F.col("seq"), F.col("duration_ns"))
+    out = rows(near, "poll", F.concat_ws("/", "source_key", F.col("seq").cast("string")), F.col("duration_ns"))
     for more in (
         rows(busy, "busy", F.concat_ws("/", "source_key", F.col("worker_id").cast("string")), F.col("busy")),
         rows(inside, "thread", F.concat_ws("/", "source_key", F.col("tid").cast("string")), F.col("on")),

@@ -29,10 +29,10 @@ def alloc_weight(size: Column, rate: int = SAMPLE_RATE) -> Column:
     return F.when(size <= 0, F.lit(0.0)).otherwise(size * inverse_probability(size, rate))
 
 
-def leaks(allocs: DataFrame, frees: DataFrame) -> DataFrame:
-    """Allocations without a free of the same address and allocation time."""
-    freed = frees.select("addr", F.col("alloc_ts_ns").alias("ts_ns"))
-    return allocs.join(freed, ["addr", "ts_ns"], "left_anti")
+def leaks(allocs: DataFrame, frees: DataFrame, keys=("source_key",)) -> DataFrame:
+    """Allocations without a free of the same address and allocation time in their process."""
+    freed = frees.select(*keys, "addr", F.col("alloc_ts_ns").alias("ts_ns"))
+    return allocs.join(freed, [*keys, "addr", "ts_ns"], "left_anti")
 
 
 def alloc_sites(allocs: DataFrame, k: int = 10, rate: int = SAMPLE_RATE) -> DataFrame:
@@ -44,8 +44,8 @@ def alloc_sites(allocs: DataFrame, k: int = 10, rate: int = SAMPLE_RATE) -> Data
     return sites.orderBy(F.desc("estimated_bytes"), "site").limit(k)
 
 
-def alloc_summary(allocs: DataFrame, frees: DataFrame, rate: int = SAMPLE_RATE) -> DataFrame:
-    lost = leaks(allocs, frees).agg(F.sum("size").alias("leaked_bytes"), F.count(F.lit(1)).alias("leaked_count"))
+def alloc_summary(allocs: DataFrame, frees: DataFrame, rate: int = SAMPLE_RATE, keys=("source_key",)) -> DataFrame:
+    lost = leaks(allocs, frees, keys).agg(F.sum("size").alias("leaked_bytes"), F.count(F.lit(1)).alias("leaked_count"))
     freed = frees.agg(F.count(F.lit(1))).scalar()
     return allocs.agg(
         F.sum("size").alias("total_bytes"), F.count(F.lit(1)).alias("total_count"),
@@ -54,12 +54,13 @@ def alloc_summary(allocs: DataFrame, frees: DataFrame, rate: int = SAMPLE_RATE)
         "leaked_count", lost.select("leaked_count").scalar())
 
 
-def alloc_task(allocs: DataFrame, starts: DataFrame, tid_worker: DataFrame, rate: int = SAMPLE_RATE, slot=AUTO) -> DataFrame:
-    """Sampled and estimated bytes per task: the last poll started on the thread's worker before the allocation."""
-    placed = allocs.join(tid_worker, "tid").select("worker_id", "ts_ns", "size")
-    polls = starts.groupBy("worker_id", "start_ns").agg(F.max("task_id").alias("task_id"))
-    hit = asof(placed, polls, ["worker_id"], "ts_ns", "start_ns", ["task_id"], slot=slot).filter(F.col("task_id").isNotNull())
-    return hit.groupBy("task_id").agg(
+def alloc_task(allocs: DataFrame, starts: DataFrame, tid_worker: DataFrame, rate: int = SAMPLE_RATE, keys=("source_key",), slot=AUTO) -> DataFrame:
+    """Sampled and estimated bytes per task of a process: the last poll started on the thread's worker before the allocation."""
+    keys = list(keys)
+    placed = allocs.join(tid_worker, [*keys, "tid"]).select(*keys, "worker_id", "ts_ns", "size")
+    polls = starts.groupBy(*keys, "worker_id", "start_ns").agg(F.max("task_id").alias("task_id"))
+    hit = asof(placed, polls, [*keys, "worker_id"], "ts_ns", "start_ns", ["task_id"], slot=slot).filter(F.col("task_id").isNotNull())
+    return hit.groupBy(*keys, "task_id").agg(
         F.sum("size").alias("sampled_bytes"), F.count(F.lit(1)).alias("n"), F.sum(alloc_weight(F.col("size"), rate)).alias("estimated_bytes"))
 
 

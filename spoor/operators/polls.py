@@ -140,31 +140,32 @@ def busyness_tier(pct: Column) -> Column:
     return F.when(pct >= 80, "bad").when(pct >= 50, "warn").otherwise("")
 
 
-def task_index(polls: DataFrame, lifetimes: DataFrame | None = None) -> DataFrame:
-    """Per task: polls, busy time, longest poll, first poll and its worker, number of workers; joined with
+def task_index(polls: DataFrame, lifetimes: DataFrame | None = None, keys=("source_key",)) -> DataFrame:
+    """Per task of a process (``keys``): polls, busy time, longest poll, first poll and its worker, number of workers; joined with
     spawn and termination times when given (all tasks of either side, missing polls are zero)."""
-    per_worker = polls.groupBy("task_id", "worker_id").agg(
+    per_worker = polls.groupBy(*keys, "task_id", "worker_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("duration_ns").alias("ns"), F.max("duration_ns").alias("longest"), F.min("start_ns").alias("start_ns"))
-    per_task = per_worker.groupBy("task_id").agg(
+    per_task = per_worker.groupBy(*keys, "task_id").agg(
         F.sum("n").alias("polls"), F.sum("ns").alias("total_ns"), F.max("longest").alias("longest_ns"),
         F.min(F.struct("start_ns", "worker_id")).alias("_first"), F.count(F.lit(1)).alias("workers"))
     per_task = per_task.select(
-        "task_id", "polls", "total_ns", "longest_ns", F.col("_first.start_ns").alias("first_poll_ns"),
+        *keys, "task_id", "polls", "total_ns", "longest_ns", F.col("_first.start_ns").alias("first_poll_ns"),
         F.col("_first.worker_id").alias("first_worker"), "workers")
     if lifetimes is None:
         return per_task
     zero = F.lit(0).cast("bigint")
-    return per_task.join(lifetimes, "task_id", "full_outer").select(
-        "task_id", *[F.coalesce(c, zero).alias(c) for c in ("polls", "total_ns", "longest_ns", "workers")],
+    return per_task.join(lifetimes, [*keys, "task_id"], "full_outer").select(
+        *keys, "task_id", *[F.coalesce(c, zero).alias(c) for c in ("polls", "total_ns", "longest_ns", "workers")],
         F.coalesce("first_poll_ns", F.lit(-1).cast("bigint")).alias("first_poll_ns"),
         F.coalesce("first_worker", F.lit(-1)).alias("first_worker"), "spawn_loc", "spawn_ns", "terminate_ns",
         (F.col("terminate_ns") - F.col("spawn_ns")).alias("lifetime_ns"))
 
 
 def sort_tasks(tasks: DataFrame, key: str, descending: bool = False) -> DataFrame:
-    """Sorted by a key, unknown values first when ascending and last when descending, ties by task."""
+    """Sorted by a key, unknown values first when ascending and last when descending, ties by task and then by its process."""
     col = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_first()
-    return tasks.orderBy(col, "task_id")
+    ties = [c for c in ("host", "source_key") if c in tasks.columns]
+    return tasks.orderBy(col, "task_id", *ties)
 
 
 def spawn_family(tasks: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def numeric_value(text: Column) -> Column:
 
 def gauge_series(custom: DataFrame, event: str, field: str, keys=("host",)) -> DataFrame:
     """Field values of one event as they are; a missing value is an explicit gap."""
-    value = numeric_value(F.col("fields")[field]).cast("bigint")
+    value = numeric_value(F.col("fields")[field])  # decimal: unsigned 64-bit numbers fit
     return custom.filter(F.col("name") == event).select(
         *keys, *ORDER, value.alias("value"), F.when(value.isNull(), "missing").alias("gap"))
 

@@ -65,31 +65,32 @@ def measure_slot(df: DataFrame, keys: Sequence[str], axis: str, slot: int | str
     """Slot width along ``axis`` so that no (key, slot) exceeds the row target; None when keys are small.
 
     One small aggregate decides the common case. Only when a key is too large is a histogram taken: row
-    counts on a fine grid, rolled up by powers of two, and the widest grid whose fullest cell fits wins.
+    counts on a fine grid, rolled up by powers of two, and the widest grid whose fullest cell fits wins. The grid's
+    grain comes from the middle of the axis, so a stray value cannot make it coarse, and where even its fullest cell is too full
+    it is refined, down to single values of the axis. Rows of a key that are equal on the axis stay together.
     """
     if slot != AUTO:
         return slot
     target = rows_per_task(df)
     grouped = df.groupBy(*keys) if keys else df.groupBy()
-    low, high, hottest = (
-        grouped.agg(F.min(axis).alias("lo"), F.max(axis).alias("hi"), F.count(F.lit(1)).alias("n"))
-        .agg(F.min("lo"), F.max("hi"), F.max("n"))
-        .first()
-    )
-    if hottest is None or hottest <= target or low is None or high == low:
+    hottest = grouped.agg(F.count(axis).alias("n")).agg(F.max("n")).first()[0]
+    if hottest is None or hottest <= target:
         return None
+    low, high = df.agg(F.percentile_approx(axis, [0.001, 0.999], 10_000)).first()[0]
     grain = max(1, int(high - low) // _GRAINS)
-    fine = df.groupBy(*keys, F.expr(f"cast({axis} as bigint) div {grain}").alias("_grain")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    powers = range(0, 17)
-    rolled = (
-        fine.select(*keys, "_n", F.col("_grain"), F.explode(F.array(*[F.lit(p) for p in powers])).alias("_p"))
-        .groupBy(*keys, "_p", F.expr("_grain div cast(pow(2, _p) as bigint)").alias("_cell"))
-        .agg(F.sum("_n").alias("_n"))
-        .groupBy("_p").agg(F.max("_n").alias("_n"))
-    )
-    fitting = [r["_p"] for r in rolled.collect() if r["_n"] <= target]
-    return grain * (1 << max(fitting)) if fitting else grain
+    while True:
+        fine = df.groupBy(*keys, F.expr(f"cast({axis} as bigint) div {grain}").alias("_grain")).agg(
+            F.count(F.lit(1)).alias("_n"))
+        rolled = (
+            fine.select(*keys, "_n", F.col("_grain"), F.explode(F.array(*[F.lit(p) for p in range(17)])).alias("_p"))
+            .groupBy(*keys, "_p", F.expr("_grain div cast(pow(2, _p) as bigint)").alias("_cell"))
+            .agg(F.sum("_n").alias("_n"))
+            .groupBy("_p").agg(F.max("_n").alias("_n"))
+        )
+        fitting = [r["_p"] for r in rolled.collect() if r["_n"] <= target]  # 17 rows
+        if fitting or grain == 1:
+            return grain * (1 << max(fitting)) if fitting else grain
+        grain = max(1, grain // 256)
 
 
 def with_order(

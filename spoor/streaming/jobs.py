@@ -64,7 +64,8 @@ def fold_files(spark: SparkSession, path: str, schema: T.StructType, fold: Calla
 
     if pending():
         process(sorted(pending()))
-    names = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_trigger or 1000).load(path).select("path")
+    listing = "path string, modificationTime timestamp, length long, content binary"  # fixed by the source; contents aren't read
+    names = spark.readStream.format("binaryFile").schema(listing).option("maxFilesPerTrigger", files_per_trigger or 1000).load(path).select("path")
     run_available(names, write, f"{out}/ckpt", "append")
 
 
@@ -140,13 +141,14 @@ PROCESS = ["host", "boot_id"]
 LIFE = [*PROCESS, "worker_id"]
 
 
-def stream_polls(spark: SparkSession, events: DataFrame, out: str, checkpoint: str, slot=AUTO) -> None:
+def stream_polls(spark: SparkSession, events: DataFrame, out: str, checkpoint: str, keep_ns: int | None = None, slot=AUTO) -> None:
     """Poll starts with the event that ends them, also when that arrives in a later batch.
 
     A lane is a worker of a process (host and boot), so a poll that a change of files cuts in two is one poll. Batches must not run
     backwards in time within a lane. What a lane leaves open at the end of a batch (its last event, when that is a poll start) is a
     small table written beside the batch and read by the next one, so a repeated batch starts from the same state. It has a row for
-    each worker at most, and none once the worker's next event has come or its process, by ``boot_id``, has been followed by another. Nothing runs in Python and no lane is gathered: inside a batch the
+    each worker at most, and none once the worker's next event has come. With ``keep_ns``, a start of a worker that has been silent for so
+    long, by its host's clock, moves to a table of its own and is not carried further. Nothing runs in Python and no lane is gathered: inside a batch the
     work is one ordered window.
     """
 
@@ -158,9 +160,8 @@ def stream_polls(spark: SparkSession, events: DataFrame, out: str, checkpoint: s
             rows.filter(F.lit(False)).select(*CARRIED).write.mode("overwrite").parquet(f"{out}/lost/batch=0")
         else:
             left = session.read.schema(CARRY).parquet(f"{out}/open/batch={batch_id - 1}")
-            newest = rows.groupBy("host").agg(F.max_by("boot_id", "ts_ns").alias("now"), F.min("ts_ns").alias("since"))
-            left = left.join(newest, "host", "left")
-            over = F.coalesce((F.col("now") != F.col("boot_id")) & (F.col("since") > F.col("ts_ns")), F.lit(False))
+            left = left.join(rows.groupBy("host").agg(F.max("ts_ns").alias("now")), "host", "left").join(rows.select(*LIFE, F.lit(True).alias("seen")).distinct(), LIFE, "left")
+            over = F.coalesce(F.col("seen").isNull() & (F.col("now") - F.col("ts_ns") > F.lit(keep_ns)), F.lit(False))
             left.filter(over).select(*CARRIED).write.mode("overwrite").parquet(f"{out}/lost/batch={batch_id}")
             rows = rows.unionByName(left.filter(~over).select(*CARRIED))
         width = measure_slot(rows, LIFE, "ts_ns", slot)

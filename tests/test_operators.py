@@ -74,9 +74,23 @@ def test_span_scope_is_half_open_on_the_end_and_needs_it(spark):
 
 
 def test_depth_survives_cycles_and_unknown_parents(spark):
-    df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (10, 99), (11, 10), (20, 21), (21, 20)], "span_id long, parent_span_id long")
-    assert {r.span_id: r.depth for r in sp.span_depth(df, 64).collect()} == {1: 0, 2: 1, 3: 2, 10: 1, 11: 2, 20: None, 21: None}
-    assert tuples(sp.descendants(df, spark.createDataFrame([(1,), (20,)], "span_id long"), 64), "span_id") == [(1,), (2,), (20,), (21,), (3,)]
+    rows = [("a", *r) for r in [(1, None), (2, 1), (3, 2), (10, 99), (11, 10), (20, 21), (21, 20)]] + [("b", 1, None), ("b", 2, 1), ("b", 5, 2)]
+    df = spark.createDataFrame(rows, "source_key string, span_id long, parent_span_id long")
+    depths = {(r.source_key, r.span_id): r.depth for r in sp.span_depth(df).collect()}
+    assert depths == {("a", 1): 0, ("a", 2): 1, ("a", 3): 2, ("a", 10): 1, ("a", 11): 2, ("a", 20): None, ("a", 21): None, ("b", 1): 0, ("b", 2): 1, ("b", 5): 2}
+    seeds = spark.createDataFrame([("a", 1), ("a", 20), ("b", 2)], "source_key string, span_id long")
+    assert tuples(sp.descendants(df, seeds), "source_key", "span_id") == [("a", 1), ("a", 2), ("a", 20), ("a", 21), ("a", 3), ("b", 2), ("b", 5)]
+
+
+def test_long_chains(spark):
+    n = 3000
+    df = spark.createDataFrame([("s", i, i - 1 if i else None, i, 10_000 if i > 4 else 20) for i in range(n)], "source_key string, span_id long, parent_span_id long, start_ns long, end_ns long")
+    assert {r.span_id: r.depth for r in sp.span_depth(df).collect()} == {i: i for i in range(n)}
+    assert sp.descendants(df, df.filter("span_id = 7")).count() == n - 7
+    probes = df.select("source_key", "span_id", F.lit(5000).cast("long").alias("t"))
+    got = {r.span_id: (r.outermost, r.steps) for r in sp.ancestry_at(df, probes).collect()}
+    assert got[n - 1] == (5, n - 6) and got[5] == (5, 0) and got[3] == (3, 0)
+    assert tuples(sp.root_spans(df), "span_id") == [(0,)]
 
 
 def test_attribute_filter_splits_at_the_first_equals_sign(spark):
@@ -143,13 +157,15 @@ def test_parse_key(spark, key, layout, service, boot, epoch):
     assert (row.layout, row.service, row.boot_id, row.epoch_secs) == (layout, service, boot, epoch)
 
 
-def test_listing_window_and_cap(spark):
+def test_listing_window_and_order(spark):
     s = 10**9
     assert kk.listing_window(10_000 * s, 11_000 * s) == (9840, 11_100, "minute")
     lo, hi, grain = kk.listing_window(100 * 3600 * s, 900 * 3600 * s)
-    assert (hi - lo, grain) == (72 * 3600, "hour")
-    caps = spark.createDataFrame([(2,), (50,), (1000,), (100_000,)], "n long").select(kk.sampling_cap(F.col("n"))).collect()
-    assert [r[0] for r in caps] == [2, 4, 50, 100]
+    assert (hi - lo, grain) == (802 * 3600, "hour")
+    files = spark.createDataFrame([(f"k{i}",) for i in range(3000)], "key string")
+    assert sorted(r["rank"] for r in kk.sampled_files(files).collect()) == list(range(1, 3001))
+    first = {r.key for r in kk.sampled_files(files, 7).collect()}
+    assert len(first) == 7 and first == {r.key for r in kk.sampled_files(files).filter("rank <= 7").collect()}
 
 
 def test_segments(spark):

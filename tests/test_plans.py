@@ -122,3 +122,19 @@ def test_no_python_and_no_cross_join_in_an_asof_plan(spark):
     left = spark.range(10).select((F.col("id") % 2).alias("k"), F.col("id").alias("t"))
     plan = asof(left, left.select("k", F.col("t").alias("rt")), ["k"], "t", "rt", ["rt"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_a_stray_value_leaves_slots_small(spark):
+    rows = [(1, 1_700_000_000_000_000_000 + i, i) for i in range(1000)] + [(1, 0, 1000)]
+    df = spark.createDataFrame(rows, "k long, t long, seq long")
+    spark.conf.set("spoor.window.rows", "50")
+    try:
+        width = measure_slot(df, ["k"], "t")
+        fullest = df.groupBy("k", F.expr(f"t div {width}")).count().agg(F.max("count")).first()[0]
+        assert fullest <= 50
+        summed = with_order(df, ["k"], ["t", "seq"], {"n": running_sum(F.lit(1))})
+        assert sorted(r.n for r in summed.collect()) == list(range(1, 1002))
+        same = df.withColumn("t", F.lit(7).cast("long"))  # ties stay together, results stay right
+        assert sorted(r.n for r in with_order(same, ["k"], ["t", "seq"], {"n": running_sum(F.lit(1))}).collect()) == list(range(1, 1002))
+    finally:
+        spark.conf.unset("spoor.window.rows")

@@ -39,9 +39,13 @@ def test_conform(spark):
     assert conform(df, "stacks").columns == ["stack_id", "frames"]
     with pytest.raises(TypeError):
         conform(df.withColumn("frames", F.lit(1)), "stacks")
-    old = spark.createDataFrame([(1, 2, 1, "x")], "start_ns long, end_ns long, duration_ns long, worker_id string")
+    old = spark.createDataFrame([(1, 2, 1, 7)], "start_ns int, end_ns long, duration_ns long, worker_id long")
     row = conform(old, "polls").first()
-    assert row.worker_id is None and row.spawn_loc is None and row.end_ns == 2
+    assert row.worker_id == 7 and row.spawn_loc is None and row.end_ns == 2 and row.start_ns == 1
+    with pytest.raises(TypeError):
+        conform(old.withColumn("worker_id", F.lit("x")), "polls")
+    with pytest.raises(Exception):
+        conform(old.withColumn("worker_id", F.lit(1 << 40)), "polls").collect()
 
 
 def in_files(spark, df, folder, parts):
@@ -57,7 +61,7 @@ def test_streamed_answers_equal_the_batch(spark, tmp_path):
     folder = str(tmp_path / "in")
     in_files(spark, events, folder, 4)
     stream = lambda: jobs.file_stream(spark, folder, events.schema, 1)
-    jobs.stream_polls(spark, stream(), str(tmp_path / "polls"), str(tmp_path / "c1"))
+    jobs.stream_polls(spark, stream().withColumn("boot_id", F.col("source_key")), str(tmp_path / "polls"), str(tmp_path / "c1"))
     cols = ("source_key", "worker_id", "task_id", "seq", "start_ns", "end_ns", "explicit_end")
     assert tuples(jobs.streamed_polls(spark, str(tmp_path / "polls")), *cols) == tuples(rebuild.polls(events), *cols)
     assert len({r.batch for r in spark.read.parquet(str(tmp_path / "polls/closed")).select("batch").distinct().collect()}) > 1
@@ -73,9 +77,52 @@ def test_stream_restart_continues(spark, tmp_path):
     events = Tables(spark, SF).events()
     folder = str(tmp_path / "in")
     in_files(spark, events, folder, 2)
+    stream = lambda: jobs.file_stream(spark, folder, events.schema, 1).withColumn("ts_us", F.expr("ts_ns div 1000"))
     for _ in range(2):  # the second run finds nothing new
-        jobs.append_table(jobs.windowed_rates(jobs.file_stream(spark, folder, events.schema).withColumn("ts", F.timestamp_micros(F.expr("ts_ns div 1000"))), "1 hour"),
-                          str(tmp_path / "out"), str(tmp_path / "c"))
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert got.groupBy("start_us", "kind").count().filter("count > 1").isEmpty()
-    assert got.agg(F.sum("n")).first()[0] <= events.count()
+        jobs.windowed_rates(stream(), str(tmp_path / "out"), str(tmp_path / "c"), 3_600_000_000)
+    got = jobs.read_rates(spark, str(tmp_path / "out"))
+    assert got.agg(F.sum("n")).first()[0] == events.count()
+    late = events.filter("seq % 7 = 0").coalesce(1)  # rows far behind all others
+    late.write.mode("append").parquet(folder)
+    jobs.windowed_rates(stream(), str(tmp_path / "out"), str(tmp_path / "c"), 3_600_000_000)
+    assert jobs.read_rates(spark, str(tmp_path / "out")).agg(F.sum("n")).first()[0] == events.count() + late.count()
+    jobs.coverage_sessions(stream(), str(tmp_path / "runs"), str(tmp_path / "c2"), 3_600_000_000)
+    one = events.unionByName(late).select("host", F.expr("ts_ns div 1000").alias("start_us"), F.expr("ts_ns div 1000 + 3600000000").alias("end_us"), F.lit(1).cast("long").alias("n"))
+    cols = ("host", "start_us", "end_us", "n")
+    assert tuples(jobs.read_sessions(spark, str(tmp_path / "runs")), *cols) == tuples(jobs.joined_runs(one), *cols)
+
+
+def test_failed_files_are_counted_and_stay_pending(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    schema = spark.createDataFrame([], "source_key string, n long").schema
+    for name in "abc":
+        spark.createDataFrame([(name, 1), (name, 2)], schema).coalesce(1).write.parquet(str(tmp_path / name))
+    folder.mkdir()
+    for name in "abc":
+        part = next((tmp_path / name).glob("part-*.parquet"))
+        (folder / f"{name}.parquet").write_bytes(part.read_bytes() if name != "b" else part.read_bytes()[:40])
+    seen = []
+    fold = lambda rows: seen.append(sorted({r.source_key for r in rows.collect()}))
+    jobs.fold_files(spark, str(folder), schema, fold, out)
+    assert seen == [["a", "c"]]
+    failed = jobs.failed_files(spark, out).collect()
+    assert [r.file.rsplit("/", 1)[-1] for r in failed] == ["b.parquet"] and failed[0].message
+    (folder / "b.parquet").write_bytes(next((tmp_path / "b").glob("part-*.parquet")).read_bytes())
+    jobs.fold_files(spark, str(folder), schema, fold, out)
+    assert seen == [["a", "c"], ["b"]] and jobs.failed_files(spark, out).isEmpty()
+
+
+def test_a_poll_goes_on_in_the_next_file(spark, tmp_path):
+    columns = "source_key string, host string, boot_id string, worker_id int, task_id long, spawn_loc string, ts_ns long, seq long, kind string"
+    batches = [[("f1", "h", "b1", 0, 1, "l", 10, 1, "PollStart"), ("f1", "h", "b1", 1, 2, "l", 11, 2, "PollStart"), ("f1", "h", "b1", 1, 2, "l", 15, 3, "PollEnd")],
+               [("f2", "h", "b1", 1, 3, "l", 20, 1, "PollStart"), ("f2", "h", "b1", 1, 3, "l", 25, 2, "PollEnd")],
+               [("f3", "h", "b1", 0, 1, "l", 30, 1, "PollEnd"), ("f3", "h", "b1", 1, 4, "l", 31, 2, "PollStart")],
+               [("f4", "h", "b2", 0, 9, "l", 90, 1, "PollStart"), ("f4", "h", "b2", 0, 9, "l", 95, 2, "PollEnd")]]
+    folder = tmp_path / "in"
+    for rows in batches:
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(str(folder))
+        jobs.stream_polls(spark, jobs.file_stream(spark, str(folder), spark.createDataFrame([], columns).schema, 1), str(tmp_path / "out"), str(tmp_path / "c"), keep_ns=40)
+    got = jobs.streamed_polls(spark, str(tmp_path / "out")).select("source_key", "task_id", "start_ns", "end_ns").collect()
+    assert sorted(map(tuple, got)) == [("f1", 1, 10, 30), ("f1", 2, 11, 15), ("f2", 3, 20, 25), ("f4", 9, 90, 95)]
+    assert spark.read.parquet(str(tmp_path / "out/open/batch=3")).isEmpty()  # worker 1 has been silent for long
+    assert [r.task_id for r in spark.read.parquet(str(tmp_path / "out/lost")).collect()] == [4]
