@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("stacks", "polls", "rebuild", "spans", "series", "memory", "fleet", "scalars", "checks", "sinks")
+MODULES = ("stacks", "polls", "rebuild", "spans", "series", "memory", "fleet", "scalars", "checks", "sinks", "ingest")
 
 
 def load_all():

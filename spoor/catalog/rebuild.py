@@ -97,7 +97,7 @@ fx AS (SELECT source_key, pseq, max(ts_ns) FILTER (kind <> 'Wake') AS lt, arg_ma
 vd AS (SELECT p.*, lt, lk, wm, wmw, w1, w1w, coalesce(explicit AND wm IS NOT NULL AND (ft IS NULL OR wm < ft), false) AS mid FROM pv p LEFT JOIN fx ON fx.source_key = p.source_key AND fx.pseq = p.seq),
 vk AS (SELECT *, CASE WHEN lk = 'TaskTerminate' THEN -1 WHEN lk = 'TaskSpawn' AND (c IS NULL OR lt > c OR NOT mid) THEN 0 WHEN mid THEN 2 WHEN w1 IS NOT NULL THEN 1 ELSE -1 END AS k FROM vd),
 rd AS (SELECT *, CASE k WHEN 0 THEN lt WHEN 2 THEN c WHEN 1 THEN w1 END AS ready FROM vk WHERE closed_by IN ('PollEnd', 'WorkerPark')),
-readiness AS (SELECT source_key, worker_id, task_id, seq, start_ns, end_ns, CASE WHEN ready <= start_ns THEN ready END AS ready_at_ns,
+readiness AS (SELECT source_key, worker_id, task_id, spawn_loc, seq, start_ns, end_ns, CASE WHEN ready <= start_ns THEN ready END AS ready_at_ns,
   CASE WHEN ready <= start_ns THEN start_ns - ready END AS scheduling_delay_ns, CASE WHEN ready <= start_ns THEN k END AS scheduling_delay_kind,
   CASE WHEN ready <= start_ns THEN CASE k WHEN 2 THEN wmw WHEN 1 THEN w1w END END AS waker_task_id FROM rd)"""
 

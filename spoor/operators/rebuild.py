@@ -181,7 +181,7 @@ def readiness(events: DataFrame, slot=AUTO) -> DataFrame:
     done = starts.filter(F.col("closed_by").isin("PollEnd", "WorkerPark")).drop("closed_by", "end_seq")
     ok = F.col("ready") <= F.col("start_ns")
     return done.join(verdict, ["source_key", "seq"], "left").select(
-        *LANE, "task_id", "seq", "start_ns", "end_ns", F.when(ok, F.col("ready")).alias("ready_at_ns"),
+        *LANE, "task_id", "spawn_loc", "seq", "start_ns", "end_ns", F.when(ok, F.col("ready")).alias("ready_at_ns"),
         F.when(ok, F.col("start_ns") - F.col("ready")).alias("scheduling_delay_ns"),
         F.when(ok, F.col("rk")).alias("scheduling_delay_kind"), F.when(ok, F.col("rw")).alias("waker_task_id"))
 
