@@ -161,6 +161,11 @@ def _(t):
     return op.segment_quantiles(t.polls(), ["source_key"], "duration_ns")
 
 
+@query("segment_span_quantiles", QUANT.replace("v_polls", "v_spans").replace("duration_ns", "elapsed_ns"))
+def _(t):
+    return op.segment_quantiles(t.spans(), ["source_key"], "elapsed_ns")
+
+
 @query("segment_shape", "SELECT source_key, count(*) AS polls, count(DISTINCT worker_id) AS workers, count(DISTINCT task_id) AS tasks FROM v_polls GROUP BY 1")
 def _(t):
     return t.polls().groupBy("source_key").agg(F.count(F.lit(1)).alias("polls"), F.countDistinct("worker_id").alias("workers"), F.countDistinct("task_id").alias("tasks"))
@@ -225,3 +230,13 @@ def _(t):
     polls = rebuild.polls_open_ended(e, slot).groupBy("worker_id").agg(F.count(F.lit(1)).alias("polls"), F.count_if(length > 1_000_000).alias("long_polls"))
     return active.join(parked, "worker_id").join(polls, "worker_id").select(
         "worker_id", F.round(F.col("active") / (F.col("active") + F.col("parked")), 6).alias("utilisation"), F.round("ratio", 6).alias("mean_cpu_ratio"), "polls", "long_polls")
+
+
+@query("analyzer_durations", f"""WITH {W2}, du AS (SELECT source_key, 'poll' AS what, end_ns - start_ns AS ns FROM po UNION ALL SELECT source_key, 'delay', delay_ns FROM sd UNION ALL SELECT source_key, 'span', elapsed_ns FROM v_spans),
+li AS (SELECT source_key, what, count(*) AS n, list(ns ORDER BY ns) AS l FROM du GROUP BY 1, 2)
+SELECT source_key, what, n, l[1] AS min, l[1 + least(n * 50 // 100, n - 1)] AS p50, l[1 + least(n * 90 // 100, n - 1)] AS p90, l[1 + least(n * 99 // 100, n - 1)] AS p99, l[n] AS max FROM li""")
+def _(t):
+    e = t.events()
+    polls = rebuild.polls_open_ended(e).select("source_key", (F.col("end_ns") - F.col("start_ns")).alias("ns"))
+    delays = rebuild.sched_delays(e, max_delay_ns=DELAY).select("source_key", F.col("delay_ns").alias("ns"))
+    return op.duration_summary({"poll": polls, "delay": delays, "span": t.spans().select("source_key", F.col("elapsed_ns").alias("ns"))})

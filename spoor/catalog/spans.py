@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from spoor.catalog.rebuild import CLOSED
+from spoor.catalog.rebuild import BIND, CLOSED, GAPS
 from spoor.catalog.registry import query
 from spoor.operators import rebuild, spans as op
 from spoor.session import cut_lineage
@@ -147,6 +147,20 @@ def _(t):
     return out.select("seq", "name", "start_ns", "end_ns", "task_id")
 
 
+THREADS = f"""{CLOSED}, {GAPS}, {BIND}, {SINGLE}, th AS (SELECT s.* REPLACE (CASE WHEN s.seq % 2 = 0 THEN s.worker_id END AS worker_id), 1000 + s.worker_id * 10 AS tid FROM single s),
+tb AS (SELECT t.*, b.worker_id AS bound, EXISTS (SELECT 1 FROM gaps g WHERE g.source_key = t.source_key AND (g.from_tid = t.tid OR g.to_tid = t.tid) AND g.start_ns <= t.start_ns AND t.start_ns < g.end_ns) AS passing
+ FROM th t ASOF LEFT JOIN bind b ON b.source_key = t.source_key AND b.tid = t.tid AND b.from_ns <= t.start_ns)"""
+
+
+@query("spans_single_event_threads", f"""WITH {THREADS} SELECT s.seq, s.name, s.start_ns, s.end_ns, coalesce(s.worker_id, bound) AS worker_id, coalesce(s.task_id, CASE WHEN NOT passing THEN p.task_id END) AS task_id
+FROM tb s LEFT JOIN polls p ON p.source_key = s.source_key AND p.worker_id = coalesce(s.worker_id, bound) AND p.start_ns <= s.start_ns AND s.start_ns < p.end_ns""")
+def _(t):
+    """Every second event names only its thread."""
+    told = single_events(t).withColumn("tid", (F.lit(1000) + F.col("worker_id") * 10).cast("int")).withColumn("worker_id", F.when(F.col("seq") % 2 == 0, F.col("worker_id")))
+    out = op.spans_single_event(told, rebuild.polls(t.events()), 1_000_000_000, t.events())
+    return out.select("seq", "name", "start_ns", "end_ns", "worker_id", "task_id")
+
+
 INNER = f"""{CLOSED}, {SINGLE}, inn AS (SELECT p.source_key, s.name, s.seq, p.seq AS poll_seq FROM single s JOIN polls p ON p.source_key = s.source_key AND p.worker_id = s.worker_id AND s.start_ns >= p.start_ns AND s.end_ns <= p.end_ns)"""
 
 

@@ -208,3 +208,14 @@ SELECT sum(n)::bigint AS total, sum(cpu)::bigint AS cpu, sum(sched)::bigint AS s
  cast(sum(cast(concat('0x', substr(md5(concat(stack_id, ':', n)), 1, 12)) AS hugeint)) AS varchar) AS digest FROM c""")
 def _(t):
     return op.trace_properties(t.samples())
+
+
+@query("trace_delta_digest", """WITH o AS (SELECT ts_ns - (SELECT min(ts_ns) FROM v_samples WHERE source = 0) AS delta, count(*) AS n FROM v_samples WHERE source = 0 GROUP BY 1)
+SELECT sum(n)::bigint AS samples, max(delta) AS span_ns, cast(sum(cast(concat('0x', substr(md5(concat(delta, ':', n)), 1, 12)) AS hugeint)) AS varchar) AS digest FROM o""")
+def _(t):
+    return op.delta_digest(t.samples())
+
+
+@query("top_stacks", "SELECT count(*) AS samples, array_to_string(frames, ';') AS stack FROM v_samples JOIN v_stacks USING (stack_id) GROUP BY frames ORDER BY samples DESC, stack LIMIT 10")
+def _(t):
+    return op.top_stacks(resolved(t))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -177,6 +179,15 @@ def segment_quantiles(rows: DataFrame, keys, value: str, slot=AUTO) -> DataFrame
     return order_statistics(rows, list(keys), value, picks, slot)
 
 
+def duration_summary(durations: Mapping[str, DataFrame], slot=AUTO) -> DataFrame:
+    """Count, extremes and percentiles of several kinds of durations (columns source_key, ns), per source and kind."""
+    rows = None
+    for what, df in durations.items():
+        own = df.select("source_key", F.lit(what).alias("what"), F.col("ns").cast("bigint").alias("ns"))
+        rows = own if rows is None else rows.unionByName(own)
+    return segment_quantiles(rows, ["source_key", "what"], "ns", slot)
+
+
 def blocking_view(attributed: DataFrame) -> DataFrame:
     """Scheduler samples inside polls by leaf: count, share, distinct stacks, five example polls."""
     inside = attributed.filter((F.col("source") == 1) & F.col("poll_seq").isNotNull()).withColumn(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spoor.functions.buckets import edge, span_bucket, span_bucket_bounds, ZERO_BUCKET
-from spoor.operators.rebuild import LANE, ORDER, TASK, merge_intervals, time_slot
+from spoor.operators.rebuild import LANE, ORDER, TASK, TID, handoff_gaps, merge_intervals, thread_gaps, tid_bindings, time_slot
 from spoor.plans.interval_join import interval_pairs, point_in_intervals
 from spoor.plans.ranks import order_statistics, value_counts
 from spoor.plans.timeline import AUTO, asof, following, measure_slot, prev, running_max, running_min, running_sum, with_order
@@ -160,9 +160,11 @@ def active_segments(intervals: DataFrame, polls: DataFrame, keys) -> DataFrame:
     return cut.unionByName(raw)
 
 
-def spans_single_event(events: DataFrame, bindings_polls: DataFrame | None = None, unit_ns: Column | int = 1, slot=AUTO) -> DataFrame:
+def spans_single_event(events: DataFrame, bindings_polls: DataFrame | None = None, unit_ns: Column | int = 1, runtime: DataFrame | None = None,
+                       slot=AUTO) -> DataFrame:
     """Spans recorded as one event: two of start, duration and end give the third; the owning task is explicit,
-    else the one polled on the event's worker at its start."""
+    else the one polled on the event's worker at its start. Given the ``runtime`` events, an event without a worker takes the one its
+    thread (``tid``) was bound to then, and one whose thread was being handed over then has no task of its own finding."""
     unit = unit_ns if isinstance(unit_ns, Column) else F.lit(unit_ns)
     dur = F.col("duration") * unit
     start = F.coalesce(F.col("span_start"), F.col("span_end") - dur)
@@ -173,9 +175,17 @@ def spans_single_event(events: DataFrame, bindings_polls: DataFrame | None = Non
     if bindings_polls is None:
         return rows
     runs = bindings_polls.select(*LANE, F.col("start_ns").alias("run_start"), F.col("end_ns").alias("run_end"), F.col("task_id").alias("run_task"), F.col("seq").alias("run_seq"))
+    passing = F.lit(False)
+    if runtime is not None:
+        bound = tid_bindings(runtime, slot).withColumnRenamed("worker_id", "_bound")
+        rows = asof(rows, bound, TID, "start_ns", "from_ns", ["_bound"], right_tie=["seq"], slot=slot)
+        gaps = thread_gaps(handoff_gaps(runtime, slot), slot).select(*TID, F.col("start_ns").alias("gap_start"), F.col("end_ns").alias("_gap_end"))
+        rows = asof(rows, gaps, TID, "start_ns", "gap_start", ["_gap_end"], slot=slot)
+        rows = rows.withColumn("worker_id", F.coalesce("worker_id", "_bound"))
+        passing = F.coalesce(F.col("start_ns") < F.col("_gap_end"), F.lit(False))
     hit = asof(rows, runs, LANE, "start_ns", "run_start", ["run_end", "run_task"], right_tie=["run_seq"], slot=slot)
-    polled = F.when(F.col("start_ns") < F.col("run_end"), F.col("run_task"))
-    return hit.withColumn("task_id", F.coalesce("task_id", polled)).drop("run_end", "run_task")
+    polled = F.when((F.col("start_ns") < F.col("run_end")) & ~passing, F.col("run_task"))
+    return hit.withColumn("task_id", F.coalesce("task_id", polled)).drop("run_end", "run_task", "_bound", "_gap_end")
 
 
 def span_identity(boot_id: Column, instance: Column) -> Column:

@@ -246,6 +246,20 @@ def off_cpu_split(samples: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+def delta_digest(samples: DataFrame) -> DataFrame:
+    """Order-free digest of the on-CPU samples' distances from the first one, which a shift of the clock leaves alone."""
+    on = samples.filter(F.col("source") == 0)
+    first = on.agg(F.min("ts_ns")).scalar()
+    counts = on.groupBy((F.col("ts_ns") - first).alias("delta")).agg(F.count(F.lit(1)).alias("n"))
+    part = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("delta").cast("string"), F.col("n").cast("string"))), 1, 12), 16, 10).cast("decimal(20,0)")
+    return counts.agg(F.sum("n").alias("samples"), F.max("delta").alias("span_ns"), F.sum(part).cast("string").alias("digest"))
+
+
+def top_stacks(resolved: DataFrame, k: int = 10) -> DataFrame:
+    """The commonest stacks of :func:`resolve_stacks`."""
+    return resolved.select("samples", F.array_join("frames", SEP).alias("stack")).orderBy(F.desc("samples"), "stack").limit(k)
+
+
 def trace_properties(samples: DataFrame) -> DataFrame:
     """Counts by source and runtime membership, distinct stacks, and an order-free digest of the stack multiset.
 
