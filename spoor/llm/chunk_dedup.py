@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoor.llm.common import steps
-from spoor.llm.stages import keyed
+from spoor.llm.stages import NO_ID, keyed
 
 MEAN_WORDS, MIN_WORDS = 4, 20
 WINDOW = 16
-_ROW = "doc_id bigint, text_key bigint, pos bigint, size int, digest bigint, settled boolean"
+_ROW = "doc_id bigint, text_key bigint, pos bigint, size int, digest bigint, settled boolean, first_doc bigint"
 
 
 def gear_table() -> np.ndarray:
@@ -73,7 +73,7 @@ def chunk_starts(texts: list[bytes], mean_words: int) -> tuple[bytes, np.ndarray
 
 
 def repeated_chunks(docs: DataFrame, mean_words: int = MEAN_WORDS) -> DataFrame:
-    """Chunks that are not the first of their digest: doc_id, text_key, pos, size (bytes)."""
+    """Chunks that are not the first of their digest: doc_id, text_key, pos, size (bytes), first_doc (a document that has it earlier)."""
 
     def chunk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches, limit=2_000_000):
@@ -96,7 +96,11 @@ def repeated_chunks(docs: DataFrame, mean_words: int = MEAN_WORDS) -> DataFrame:
             if same.any():
                 head = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0))
                 settled[order] = settled[order[head]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(text_keys[doc]), pa.array(pos), pa.array((ends - starts).astype(np.int32)), pa.array(digest), pa.array(settled)], names)
+            starts_group = np.maximum.accumulate(np.where(np.concatenate([[True], ~later]), np.arange(len(order)), 0))
+            first = np.empty(len(order), np.int64)
+            first[order] = ids[doc[order[starts_group]]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(text_keys[doc]), pa.array(pos), pa.array((ends - starts).astype(np.int32)), pa.array(digest), pa.array(settled),
+                                              pa.array(first, mask=~settled)], names)
 
     def later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_digest = last_owner = None
@@ -104,6 +108,7 @@ def repeated_chunks(docs: DataFrame, mean_words: int = MEAN_WORDS) -> DataFrame:
             ids, text_keys, pos, digest = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
             settled = batch.column(5).to_numpy(zero_copy_only=False)
             out = settled.copy()
+            first_doc = batch.column(6).fill_null(0).to_numpy().copy()
             open_ = np.flatnonzero(~settled)
             if len(open_):
                 d = digest[open_]
@@ -114,31 +119,32 @@ def repeated_chunks(docs: DataFrame, mean_words: int = MEAN_WORDS) -> DataFrame:
                 if at[0] < 0:
                     owner[at < 0] = last_owner
                 out[open_] = (own != owner).any(1)
+                first_doc[open_] = owner[:, 0]
                 last_digest, last_owner = d[-1], owner[-1]
             keep = pa.array(out)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(4)], names[:4])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(keep) for i in range(4)), pa.array(first_doc).filter(keep)], [*names[:4], "first_doc"])
 
     names = [c.split()[0] for c in _ROW.split(", ")]
     rows = docs.where("text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(chunk, _ROW)
     spread = rows.withColumn("_to", F.when(F.col("settled"), F.xxhash64("doc_id", "pos")).otherwise(F.col("digest"))).repartition("_to").drop("_to")
     return (spread.sortWithinPartitions("settled", "digest", "doc_id", "text_key", "pos")
-            .mapInArrow(later, "doc_id bigint, text_key bigint, pos bigint, size int"))
+            .mapInArrow(later, "doc_id bigint, text_key bigint, pos bigint, size int, first_doc bigint"))
 
 
-def runs(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Adjacent (pos, size) joined to (start, end)."""
-    out: list[tuple[int, int]] = []
-    for pos, size in sorted(set(places)):
+def runs(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Adjacent (pos, size, first_doc) joined to (start, end, smallest first_doc)."""
+    out: list[tuple[int, int, int]] = []
+    for pos, size, doc in sorted(set(places)):
         if out and out[-1][1] == pos:
-            out[-1] = (out[-1][0], pos + size)
-        else:
-            out.append((pos, pos + size))
+            out[-1] = (out[-1][0], pos + size, min(out[-1][2], doc))
+        elif not out or out[-1][1] < pos:
+            out.append((pos, pos + size, doc))
     return out
 
 
 def without_repeats(docs: DataFrame, mean_words: int = MEAN_WORDS, min_words: int = MIN_WORDS, spans: str = "repeats") -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and a column ``spans``: what was cut, as (start, size) in bytes of the old
-    text. A column of that name in ``docs`` is replaced."""
+    text and first_doc, a document that has it earlier (null where that has no doc_id). A column of that name in ``docs`` is replaced."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,22 +153,22 @@ def without_repeats(docs: DataFrame, mean_words: int = MEAN_WORDS, min_words: in
                 drop: list[dict] = []
                 if text is not None and places:
                     raw, at, parts = text.encode("utf-8", "replace"), 0, []
-                    for a, b in runs([(p["pos"], p["size"]) for p in places]):
+                    for a, b, doc in runs([(p["pos"], p["size"], p["first_doc"]) for p in places]):
                         if len(raw[a:b].split()) >= min_words:
                             parts.append(raw[at:a])
-                            drop.append({"start": a, "size": b - a})
+                            drop.append({"start": a, "size": b - a, "first_doc": None if doc == NO_ID else doc})
                             at = b
                     text = (b"".join(parts) + raw[at:]).decode("utf-8", "replace")
                 texts.append(text)
                 found.append(drop)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(found, kind), batch.column(2)], ["text", "cut", "row"])
 
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64()), ("first_doc", pa.int64())]))
     dups = (repeated_chunks(docs.select("doc_id", "text"), mean_words).groupBy(F.col("doc_id").alias("doc"), F.col("text_key").alias("key"))
-            .agg(F.collect_list(F.struct("pos", "size")).alias("places")))
+            .agg(F.collect_list(F.struct("pos", "size", "first_doc")).alias("places")))
     # all other columns travel in one, so that no name can clash
     others = [c for c in docs.columns if c not in ("text", spans)]
     rows = keyed(docs).select("doc", "key", F.col("row.text").alias("text"), F.struct(*(F.col(f"row.`{c}`") for c in others)).alias("row"))
     joined = rows.join(dups, ["doc", "key"], "left").select("text", "places", "row")
-    done = joined.mapInArrow(cut, f"text string, cut array<struct<start: bigint, size: bigint>>, row {joined.schema['row'].dataType.simpleString()}")
+    done = joined.mapInArrow(cut, f"text string, cut array<struct<start: bigint, size: bigint, first_doc: bigint>>, row {joined.schema['row'].dataType.simpleString()}")
     return done.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != spans), F.col("cut").alias(spans))

@@ -25,7 +25,7 @@ from spoor.llm.units import encoder, with_end
 DIMS, BITS, BUCKETS = 3, 10, 256
 #: Rows encoded to place the bounds between ranges; it changes how even they are, not the result's rules.
 BOUND_SAMPLE = 4096
-_KEYED = "key bigint, doc_id bigint, n bigint, ids binary"
+_KEYED = "key bigint, range int, doc_id bigint, n bigint, ids binary"
 
 
 def hilbert_index(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -75,8 +75,8 @@ def curve_keys(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return keys
 
 
-def keyed(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """key (curve position, then a hash of doc_id), doc_id, n, ids (unsigned 16-bit, little-endian)."""
+def keyed(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int] | None = None) -> DataFrame:
+    """key (curve position, then a hash of doc_id), range (bounds at or below the key), doc_id, n, ids (unsigned 16-bit, little-endian)."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches):
@@ -84,8 +84,10 @@ def keyed(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             salt = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF
             raw, ends = flat.astype("<u2").tobytes(), (2 * np.cumsum(counts)).tolist()
             ids = [raw[e - 2 * n:e] for e, n in zip(ends, counts.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array((curve_keys(flat, counts) << 32) | salt), batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
-                                             ["key", "doc_id", "n", "ids"])
+            keys = (curve_keys(flat, counts) << 32) | salt
+            own = np.searchsorted(np.array(bounds or [], np.int64), keys, "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own), batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
+                                             ["key", "range", "doc_id", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("doc_id").alias("salt")).mapInArrow(encode, _KEYED)
 
@@ -114,12 +116,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = range_bounds(docs, tokenizer, end_id, ranges)
-    rows = keyed(docs, tokenizer, end_id)
-    if bounds:
-        # the bounds rise, so the number of those at or below a key is its range
-        rows = rows.repartitionById(ranges, F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda n, b: n + (F.col("key") >= b).cast("int")))
-    else:
-        rows = rows.repartition(1)
+    rows = keyed(docs, tokenizer, end_id, bounds).repartitionById(ranges, F.col("range"))
     rows = rows.sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "n", "ids")
     return stored(rows.mapInArrow(place, "shard int, shard_at bigint, doc_id bigint, n bigint, ids binary"), "packed")
 
