@@ -145,7 +145,7 @@ def _(t):
 
     jobs.fold_files(t.spark, f"{t.sf_dir}/lineitem.parque[t]", t.table("lineitem").schema, fold, out, files_per_trigger=1)
     assert jobs.failed_files(t.spark, out).isEmpty()
-    return op.read_table(t.spark, f"{out}/tables", "polls").groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ns").alias("busy_ns"))
+    return op.read_table(t.spark, f"{out}/tables", "polls", "origin string").groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ns").alias("busy_ns"))
 
 
 class Files(Streamed):

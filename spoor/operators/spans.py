@@ -461,7 +461,7 @@ def samples_per_span(samples: DataFrame, intervals: DataFrame, keys=("worker_id"
         F.count_if(F.col("source") == 0).alias("c"), F.count_if(F.col("source") == 1).alias("s"))
     cum = with_order(per_t, keys, ["ts_ns"], {"cpu": running_sum(F.col("c")), "sched": running_sum(F.col("s"))}, width)
     cum = cum.select(*keys, "ts_ns", "cpu", "sched")
-    active = merge_intervals(intervals, ["span_uid", *keys])
+    active = merge_intervals(intervals, ["span_uid", *keys], width)  # cut like the samples' axis: nothing more to measure
     edges = active.select("span_uid", *keys, F.explode(F.array(
         F.struct(F.col("start_ns").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("end_ns").alias("at"), F.lit(1).alias("sign")))).alias("e")
     ).select("span_uid", *keys, F.col("e.at").alias("at"), F.col("e.sign").alias("sign"))

@@ -11,8 +11,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spoor.schema import conform
+from spoor.schema import table_schema
 
 PARTITIONS = ("service", "date", "host", "leaf")
 LEDGER = "source_key string"
@@ -51,9 +52,13 @@ def write_spans(df: DataFrame, out: str) -> None:
 WRITERS = {"samples": write_samples, "stacks": write_stacks, "polls": write_polls, "spans": write_spans}
 
 
-def read_table(spark: SparkSession, out: str, table: str) -> DataFrame:
-    """A table of any age with the current columns; partition columns come from the path."""
-    return conform(spark.read.option("mergeSchema", "true").parquet(f"{out}/{table}"), table)
+def read_table(spark: SparkSession, out: str, table: str, extra: str = "") -> DataFrame:
+    """A table of any age with the current columns, the partition columns from the path, and ``extra`` ones (DDL). The schema is
+    known, so no file is opened to find it; a column that an old file lacks reads as null."""
+    have = table_schema(table)
+    places = T.StructType([T.StructField(p, T.StringType()) for p in PARTITIONS if p not in have.names])
+    more = T.StructType.fromDDL(extra) if extra else T.StructType()
+    return spark.read.schema(T.StructType([*have, *more, *places])).parquet(f"{out}/{table}")
 
 
 def read_stacks(spark: SparkSession, out: str) -> DataFrame:

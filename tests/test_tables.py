@@ -126,3 +126,28 @@ def test_a_poll_goes_on_in_the_next_file(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("f1", 1, 10, 30), ("f1", 2, 11, 15), ("f2", 3, 20, 25), ("f4", 9, 90, 95)]
     assert spark.read.parquet(str(tmp_path / "out/open/batch=3")).isEmpty()  # worker 1 has been silent for long
     assert [r.task_id for r in spark.read.parquet(str(tmp_path / "out/lost")).collect()] == [4]
+
+
+def test_a_stack_of_many_files_counts_once(spark, tmp_path):
+    from spoor.operators import stacks
+
+    out = str(tmp_path)
+    place = "service string, date string, host string, source_key string"
+    sample = lambda k, n: [(i, "s1", 0, "svc", "d", f"h{k}", f"f{k}") for i in range(n)]
+    for k in range(3):
+        samples = spark.createDataFrame(sample(k, k), f"ts_ns long, stack_id string, source int, {place}")
+        dictionary = spark.createDataFrame([("s1", ["leaf", "root"], "svc", "d", f"h{k}", f"f{k}")], f"stack_id string, frames array<string>, {place}")
+        tb.fold_write(spark, out, spark.createDataFrame([(f"f{k}",)], "source_key string"), {"samples": samples, "stacks": dictionary})
+    assert tb.read_table(spark, out, "stacks").count() == 3 and tb.read_stacks(spark, out).count() == 1
+    counts = stacks.stack_counts(tb.read_table(spark, out, "samples"))
+    tree = stacks.flamegraph_tree(stacks.resolve_stacks(counts, tb.read_table(spark, out, "stacks")), combine=False)
+    assert tuples(tree, "path", "samples") == [("root", 3), ("root;leaf", 3)]
+
+
+def test_a_file_named_again_can_be_replaced(spark, tmp_path):
+    out, key = str(tmp_path), spark.createDataFrame([("a",)], "source_key string")
+    tb.fold_write(spark, out, key, {"polls": poll_rows(spark, "a", 3)})
+    tb.fold_write(spark, out, key, {"polls": poll_rows(spark, "a", 5)})
+    assert tb.read_table(spark, out, "polls").count() == 3
+    tb.fold_write(spark, out, key, {"polls": poll_rows(spark, "a", 5)}, replace=True)
+    assert tb.read_table(spark, out, "polls").count() == 5
