@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from spoor.catalog import spans as span_cat
 from spoor.catalog.rebuild import ATTR, CLOSED, DELAY, OPEN, PK, W1, W2, ACTIVE
-from spoor.catalog.registry import ORACLES, QUERIES, query
+from spoor.catalog.registry import ORACLES, query
 from spoor.catalog.series import TIMELINE
 from spoor.operators import checks as op, rebuild, series
 from spoor.session import cut_lineage
@@ -19,9 +19,14 @@ def sel(check, severity, subject, value, rest):
 
 @query("incomplete_file", sel("incomplete-file", "'warning'", "source_key", "1", "FROM (SELECT source_key, count(*) AS n FROM v_events GROUP BY 1) WHERE n % 2 = 1"))
 def _(t):
+    return op.incomplete_file(sealed(t))
+
+
+def sealed(t):
+    """Metadata of each source: sealed with events missing if it has an odd number of them."""
     per = t.events().groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
     meta = F.create_map(F.lit("segment.complete"), F.when(F.col("n") % 2 == 1, "false").otherwise("true"))
-    return op.incomplete_file(per.select("source_key", meta.alias("metadata")))
+    return per.select("source_key", meta.alias("metadata"))
 
 
 LONG = """lp AS (SELECT *, CASE WHEN duration_ns > 50000000 THEN 'critical' WHEN duration_ns > 10000000 THEN 'warning' END AS sev FROM v_polls),
@@ -110,8 +115,11 @@ def _(t):
 
 @query("unmatched_spans", f"WITH {span_cat.PAIR} " + sel("unmatched-spans", "'info'", "span_name", "count(*)", "FROM pairs p JOIN v_span_events e ON e.source_key = p.source_key AND e.seq = p.enter_seq WHERE state = 'unmatched_enter' GROUP BY span_name"))
 def _(t):
-    names = t.span_events().select("source_key", F.col("seq").alias("enter_seq"), "span_name")
-    return op.unmatched_spans(span_cat.pairs(t), names)
+    return op.unmatched_spans(span_cat.pairs(t), enter_names(t))
+
+
+def enter_names(t):
+    return t.span_events().select("source_key", F.col("seq").alias("enter_seq"), "span_name")
 
 
 @query("idle_worker", f"WITH {PK}, {QUEUE}, sl AS (SELECT source_key, worker_id, ts_ns AS s, nt AS e FROM pk WHERE kind = 'WorkerPark' AND nk = 'WorkerUnpark' AND nt - ts_ns > 1000000), h AS (SELECT sl.*, q.depth FROM sl ASOF JOIN q ON q.ts_ns <= sl.e) "
@@ -230,8 +238,10 @@ UNION ALL {QUEUE_SQL} UNION ALL {IMB_SQL} UNION ALL {CONT_SQL} UNION ALL {WAIT_S
 def _(t):
     e = t.events()
     slot = rebuild.time_slot(e)
+    polls = span_cat.polls_table(t)  # for both checks of spans
     return op.report(
         op.long_poll(t.polls()), op.task_leak(series.active_task_timeline(e, slot=slot)), op.blocking_calls(t.cpu()),
         op.queue_depth(series.queue_series(t.metrics())), op.worker_imbalance(t.polls(), "host", 1.05),
         op.cpu_contention(rebuild.active_periods(e, slot=slot)), op.kernel_sched_wait(rebuild.parks(e, slot)),
-        *[QUERIES[name](t.spark, t.sf_dir) for name in OTHERS])
+        op.incomplete_file(sealed(t)), op.sched_delay(rebuild.sched_delays(e, max_delay_ns=DELAY, slot=slot), HOUR // 60, HOUR),
+        op.many_spans_per_poll(span_cat.inside(t, polls), 1), op.span_outlier(t.spans(), 1.9), op.unmatched_spans(span_cat.pairs(t, polls), enter_names(t)))

@@ -164,8 +164,8 @@ def _(t):
 INNER = f"""{CLOSED}, {SINGLE}, inn AS (SELECT p.source_key, s.name, s.seq, p.seq AS poll_seq FROM single s JOIN polls p ON p.source_key = s.source_key AND p.worker_id = s.worker_id AND s.start_ns >= p.start_ns AND s.end_ns <= p.end_ns)"""
 
 
-def inside(t):
-    return op.spans_inside_polls(op.spans_single_event(single_events(t), None, 1_000_000_000), polls_table(t))
+def inside(t, polls=None):
+    return op.spans_inside_polls(op.spans_single_event(single_events(t), None, 1_000_000_000), polls_table(t) if polls is None else polls)
 
 
 @query("inner_spans_of_poll", f"WITH {INNER} SELECT source_key, poll_seq, name, count(*) AS n FROM inn GROUP BY 1, 2, 3")

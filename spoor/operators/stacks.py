@@ -86,11 +86,10 @@ def facets(samples: DataFrame) -> DataFrame:
 def resolve_stacks(counts: DataFrame, stacks: DataFrame) -> DataFrame:
     """Dictionary join; counts of unknown stacks are skipped. The build side is left to runtime sizes.
 
-    Every file of a stored table brings its own copy of a stack, so the dictionary is merged to one row for each id first (its needed
-    part only, combined before the shuffle).
+    Every file of a stored table brings its own copy of a stack, so the dictionary is made distinct first, by a hash aggregate that
+    combines before the shuffle; an id is a digest of its frames, so equal ids have equal frames.
     """
-    needed = stacks.join(counts.select("stack_id"), "stack_id", "left_semi")
-    return counts.join(needed.groupBy("stack_id").agg(F.min("frames").alias("frames")), "stack_id")
+    return counts.join(stacks.select("stack_id", "frames").distinct(), "stack_id")
 
 
 def flamegraph_tree(resolved: DataFrame, weights: Sequence[str] = ("samples",), frames: str = "frames",
