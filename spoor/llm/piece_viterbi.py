@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding by batched Viterbi search (operator 9).
 
-Texts are cut into words where no piece of the vocabulary can cross: before each run of word marks. Distinct words of equal length advance
+Texts are cut into words where no piece of the vocabulary can cross: before each run of word marks, and between a letter and a punctuation
+mark that follows no letter in any piece. Distinct words of equal length advance
 together, one character at a time: for every end and every piece length, a polynomial hash of the substring, from prefix hashes, is
 probed in the sorted keys of the pieces (and the characters compared), and the best predecessor of each word is kept as a
 backpointer, for all words at once. Best means:
@@ -19,6 +20,7 @@ rows; extra columns are ignored; texts of any length are encoded whole.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import defaultdict
@@ -35,7 +37,7 @@ from spoor.llm.common import steps
 MARK = "▁"
 LONGEST = 128
 #: Words remembered in a worker before it starts afresh; they only save time.
-MOST_WORDS = 500_000
+MOST_WORDS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNKNOWN = -2
 
@@ -80,8 +82,25 @@ class Pieces:
             order = np.argsort(key)
             self.keys.append(key[order])
             self.of_key.append(at[order])
+        # a hash may be a piece's only if its top bits are marked
+        self.marked = np.zeros(1 << 20, bool)
+        self.marked[np.concatenate(self.keys) >> np.uint64(44)] = True
+        after = {b for t in self.texts for a, b in zip(t, t[1:], strict=False) if a.isalpha()}
+        ends = "".join(re.escape(c) for c in _PUNCTUATION if c not in after)
+        alone = "".join(c for c in "\n\t\r" if not any(c in t for t in self.texts))  # in no piece: cut before and after
+        stop = f"[{ends}{MARK}{alone}]|\\Z"
+        self.cut = re.compile((f"[{alone}]|" if alone else "") + f"{MARK}*[{_LETTERS}]+(?={stop})|{MARK}*[^{MARK}{alone}]+|{MARK}+")
+        self.lone = _LONE if not any(_LONE in t for t in self.texts) else None
         self.trees()
-        self.words: dict[str, np.ndarray] = {}
+        flat = b"".join(self.raw)
+        self.raw_flat = np.frombuffer(flat, np.uint8)
+        self.raw_sizes = np.array([len(r) for r in self.raw])
+        self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers, self.known, self.used = _Numbers(), 0, 0
+        self.store, self.starts, self.sizes = np.empty(1 << 16, np.uint16), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
 
     def trees(self) -> None:
         """Halves of each piece's last merge, pieces that merging never makes, and what each pair of pieces would merge to."""
@@ -107,12 +126,18 @@ class Pieces:
         keys = table[:, 0] * len(self.texts) + table[:, 1]
         order = np.argsort(keys)
         self.pair_keys, self.pair_made = keys[order], table[order, 2]
+        self.pair_marked = np.zeros(1 << 22, bool)
+        self.pair_marked[_slot(self.pair_keys)] = True
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that a and b make together; a number beyond all if none."""
         key = a * len(self.texts) + b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_made[at], len(self.texts)) if len(self.pair_keys) else np.full(len(a), len(self.texts))
+        out = np.full(len(a), len(self.texts))
+        rows = np.flatnonzero(self.pair_marked[_slot(key)])
+        at = np.minimum(np.searchsorted(self.pair_keys, key[rows]), len(self.pair_keys) - 1)
+        hit = self.pair_keys[at] == key[rows]
+        out[rows[hit]] = self.pair_made[at[hit]]
+        return out
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves a and b side by side.
@@ -155,11 +180,13 @@ class Pieces:
                 if not len(keys):
                     continue
                 wanted = prefix[:, j] - prefix[:, i] * powers[size]
-                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                rows = np.flatnonzero(keys[at] == wanted)
+                rows = np.flatnonzero(self.marked[wanted >> np.uint64(44)])
+                at = np.minimum(np.searchsorted(keys, wanted[rows]), len(keys) - 1)
+                hit = keys[at] == wanted[rows]
+                rows, at = rows[hit], at[hit]
                 if not len(rows):
                     continue
-                piece = self.of_key[size][at[rows]]
+                piece = self.of_key[size][at]
                 same = (self.codes[piece, :size] == codes[rows, i:j]).all(1)
                 rows, piece = rows[same], piece[same]
                 if size == 1:
@@ -181,21 +208,19 @@ class Pieces:
                 last[lone[better], j], best[lone[better], j] = _UNKNOWN, score[better] if self.unigram else 0
         return last
 
-    def learn(self, words: list[str]) -> None:
-        """Ids of words not seen yet."""
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
+    def ids_of(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of distinct words."""
+        out: list[np.ndarray] = [np.empty(0, np.uint16)] * len(words)
         by_length = defaultdict(list)
-        for word in words:
+        for i, word in enumerate(words):
             if word.startswith(MARK * 2) or len(word) > LONGEST or self.crosses:
-                ids = self.library.encode(word.replace(MARK, " ")[1:] if word.startswith(MARK) else word)
-                self.words[word] = np.array(ids if word.startswith(MARK) else self._bare(word), np.uint16)
+                out[i] = np.array(self._library_ids(word), np.uint16)
             else:
-                by_length[len(word)].append(word)
+                by_length[len(word)].append(i)
         for n, group in by_length.items():
             for a in range(0, len(group), 8192):
                 part = group[a:a + 8192]
-                codes = np.array(part).view(np.uint32).reshape(len(part), n)
+                codes = np.array([words[i] for i in part]).view(np.uint32).reshape(len(part), n)
                 last = self.search(codes)
                 place, found = np.full(len(part), n), []
                 rows = np.arange(len(part))
@@ -204,37 +229,94 @@ class Pieces:
                     found.append((rows, piece, place[rows]))
                     place[rows] -= np.where(piece >= 0, self.lengths[piece], 1)
                     rows = rows[place[rows] > 0]
-                paths: list[list[int]] = [[] for _ in part]
-                for rows, piece, ends in reversed(found):
-                    for r, p, e in zip(rows.tolist(), piece.tolist(), ends.tolist(), strict=True):
-                        paths[r] += [int(self.ids[p])] if p >= 0 else [self.bytes[b] for b in chr(codes[r, e - 1]).encode("utf-8", "replace")]
-                for word, path in zip(part, paths, strict=True):
-                    self.words[word] = np.array(path, np.uint16)
-
-    def _bare(self, word: str) -> list[int]:
-        """Ids of a word without a leading mark, from the library, which always puts one in front."""
-        ids = self.library.encode(" x " + word)  # marks keep apart what stands around them only before a word
-        head = self.library.encode(" x ")
-        return ids[len(head):]
+                # pieces of each word in order: the last found come first
+                row, piece, ends = (np.concatenate([f[k] for f in reversed(found)]) for k in range(3))
+                order = np.argsort(row, kind="stable")
+                row, piece, ends = row[order], piece[order], ends[order]
+                ids = self.ids[piece].astype(np.uint16)
+                stops = np.cumsum(np.bincount(row, minlength=len(part)))
+                odd = set(row[piece < 0].tolist())  # words with a character that has no piece
+                for k, (i, a_, b_) in enumerate(zip(part, [0, *stops[:-1].tolist()], stops.tolist(), strict=True)):
+                    if k in odd:
+                        out[i] = np.array([x for p, e, own in zip(piece[a_:b_].tolist(), ends[a_:b_].tolist(), ids[a_:b_].tolist(), strict=True)
+                                           for x in ([own] if p >= 0 else [self.bytes[b] for b in chr(codes[k, e - 1]).encode("utf-8", "replace")])], np.uint16)
+                    else:
+                        out[i] = ids[a_:b_]
+        return out
+
+    def _library_ids(self, word: str) -> list[int]:
+        """Ids of one word from the library, which puts a mark before what it is given."""
+        if word.startswith(MARK):
+            return self.library.encode(word[1:].replace(MARK, " "))
+        if self.lone is None:
+            raise ValueError("no character stands apart in this vocabulary")
+        return self.library.encode(self.lone + word.replace(MARK, " "))[len(self.library.encode(self.lone)):]
+
+    def _learn(self) -> None:
+        """Ids of the words that have a number but no ids yet."""
+        if (fresh := len(self.numbers) - self.known) <= 0:
+            return
+        found = self.ids_of(list(itertools.islice(self.numbers, self.known, None)))
+        sizes = np.fromiter(map(len, found), np.int32, fresh)
+        flat = np.concatenate(found)
+        while len(self.store) < self.used + len(flat):
+            self.store = np.concatenate([self.store, np.empty_like(self.store)])
+        while len(self.sizes) < self.known + fresh:
+            self.sizes, self.starts = (np.concatenate([x, np.empty_like(x)]) for x in (self.sizes, self.starts))
+        self.store[self.used:self.used + len(flat)] = flat
+        self.sizes[self.known:self.known + fresh] = sizes
+        self.starts[self.known:self.known + fresh] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(flat)
+        self.known += fresh
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, joined, and the number of ids of each text."""
+        if len(self.numbers) > MOST_WORDS:
+            self.clear()
+        get, numbers, counts = self.numbers.__getitem__, [np.empty(0, np.int64)], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            if text:
+                marked = MARK + text.replace(" ", MARK)
+                words = [marked] if self.crosses else self.cut.findall(marked)
+                counts[i] = len(words)
+                numbers.append(np.fromiter(map(get, words), np.int64, len(words)))
+        self._learn()
+        number = np.concatenate(numbers)
+        sizes = self.sizes[number].astype(np.int64)
+        ends, stops = np.cumsum(sizes), np.cumsum(counts)
+        flat = self.store[np.repeat(self.starts[number] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        sums = np.concatenate([[0], ends])
+        return flat, sums[stops] - sums[stops - counts]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if self.crosses:
-            cut = [["".join(words)] if words else [] for words in cut]
-        fresh = {w for words in cut for w in words}.difference(self.words)
-        if len(self.words) + len(fresh) > MOST_WORDS:
-            self.words.clear()
-            fresh = {w for words in cut for w in words}
-        self.learn(sorted(fresh))
-        empty = np.empty(0, np.uint16)
-        return [np.concatenate([self.words[w] for w in words]) if words else empty for words in cut]
+        flat, lengths = self.encode_flat(texts)
+        return np.split(flat, np.cumsum(lengths)[:-1]) if texts else []
+
+    def decode_flat(self, flat: np.ndarray, lengths: np.ndarray) -> list[str]:
+        """Texts of ids: pieces and bytes joined, marks as spaces, without the space put in front."""
+        sizes = self.raw_sizes[flat]
+        ends = np.cumsum(sizes)
+        joined = self.raw_flat[np.repeat(self.raw_starts[flat] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))].tobytes()
+        stops = np.concatenate([[0], ends])[np.cumsum(lengths)].tolist()
+        return [joined[a:b].decode("utf-8", "replace").replace(MARK, " ")[1:] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
-        """Text of ids: pieces and bytes joined, marks as spaces, without the space put in front."""
-        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")[1:]
+        return self.decode_flat(np.asarray(ids, np.int64), np.array([len(ids)]))[0]
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(np.uint64) * _BASE) >> np.uint64(42)
+
+
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_LETTERS, _PUNCTUATION = "A-Za-zÀ-ÖØ-öø-ÿ", "\n!#$%&()*+,-./:;<=>?@[]^_{|}~"
+#: A character for private use; it stands apart from what follows it.
+_LONE = "\ue000"
 
 
 @lru_cache(maxsize=2)
@@ -249,10 +331,11 @@ def piece_ids(docs: DataFrame, model: str, ids: bool = False) -> DataFrame:
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
         for batch, texts in steps(batches):
-            found = own.encode(texts)
-            wide = [x.astype("<u4").tobytes() for x in found]
-            same = [own.decode(x) == t.replace(MARK, " ") for x, t in zip(found, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(map(zlib.crc32, wide), pa.int64()), pa.array(same), *([pa.array(wide, pa.binary())] * ids)], names)
+            flat, lengths = own.encode_flat(texts)
+            raw, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(lengths)).tolist()
+            wide = [raw[e - 4 * n:e] for e, n in zip(ends, lengths.tolist(), strict=True)]
+            same = [x == t.replace(MARK, " ") for x, t in zip(own.decode_flat(flat, lengths), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(map(zlib.crc32, wide), pa.int64()), pa.array(same), *([pa.array(wide, pa.binary())] * ids)], names)
 
     schema = "doc_id bigint, n_pieces bigint, ids_crc32 bigint, round_trip boolean" + ", ids binary" * ids
     names = [c.split()[0] for c in schema.split(", ")]
