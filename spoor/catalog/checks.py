@@ -65,8 +65,8 @@ def _(t):
     return op.blocking_calls(t.cpu())
 
 
-QUEUE = "q AS (SELECT ts_ns, sum(global_queue_depth)::bigint AS depth FROM v_metrics GROUP BY 1)"
-QUEUE_SQL = sel("queue-depth", "CASE WHEN max(depth) > 1000 THEN 'critical' ELSE 'warning' END", "max(depth)", "count(*) FILTER (depth > 100)", "FROM q HAVING count(*) FILTER (depth > 100) > 0")
+QUEUE = "q AS (SELECT source_key, ts_ns, sum(global_queue_depth)::bigint AS depth FROM v_metrics GROUP BY 1, 2)"
+QUEUE_SQL = sel("queue-depth", "CASE WHEN max(depth) > 1000 THEN 'critical' ELSE 'warning' END", "concat(source_key, ' ', max(depth))", "count(*) FILTER (depth > 100)", "FROM q GROUP BY source_key HAVING count(*) FILTER (depth > 100) > 0")
 
 
 @query("queue_depth", f"WITH {QUEUE} {QUEUE_SQL}")
@@ -122,7 +122,7 @@ def enter_names(t):
     return t.span_events().select("source_key", F.col("seq").alias("enter_seq"), "span_name")
 
 
-@query("idle_worker", f"WITH {PK}, {QUEUE}, sl AS (SELECT source_key, worker_id, ts_ns AS s, nt AS e FROM pk WHERE kind = 'WorkerPark' AND nk = 'WorkerUnpark' AND nt - ts_ns > 1000000), h AS (SELECT sl.*, q.depth FROM sl ASOF JOIN q ON q.ts_ns <= sl.e) "
+@query("idle_worker", f"WITH {PK}, {QUEUE}, sl AS (SELECT source_key, worker_id, ts_ns AS s, nt AS e FROM pk WHERE kind = 'WorkerPark' AND nk = 'WorkerUnpark' AND nt - ts_ns > 1000000), h AS (SELECT sl.*, q.depth FROM sl ASOF JOIN q ON q.source_key = sl.source_key AND q.ts_ns <= sl.e) "
        + sel("idle-worker", "'warning'", "concat_ws('/', source_key, worker_id, s)", "depth", "FROM h WHERE depth > 0"))
 def _(t):
     e = t.events()
@@ -221,7 +221,7 @@ Z, HALF = 1_705_000_000_000_000_000, 6 * HOUR
 @query("zoom_window", f"""WITH {OPEN}, {QUEUE}, {span_cat.SINGLE}, nr AS (SELECT *, end_ns - start_ns AS dur FROM po WHERE end_ns >= {Z - HALF} AND start_ns <= {Z + HALF}), tp AS (SELECT * FROM nr WHERE dur > 1000000 ORDER BY dur DESC, start_ns, seq LIMIT 1),
 z AS (SELECT 'poll' AS section, concat(source_key, '/', seq) AS subject, dur::double AS value FROM nr UNION ALL SELECT 'busy', concat(source_key, '/', worker_id), sum(least(end_ns, {Z + HALF}) - greatest(start_ns, {Z - HALF}))::double FROM nr GROUP BY source_key, worker_id
  UNION ALL SELECT 'thread', concat(source_key, '/', tid), (count(*) FILTER (source <> 1))::double FROM v_cpu WHERE t BETWEEN {Z - HALF} AND {Z + HALF} GROUP BY source_key, tid
- UNION ALL SELECT 'queue', 'max', max(depth)::double FROM q WHERE ts_ns BETWEEN {Z - HALF} AND {Z + HALF} UNION ALL SELECT 'queue', 'min', min(depth)::double FROM q WHERE ts_ns BETWEEN {Z - HALF} AND {Z + HALF}
+ UNION ALL SELECT 'queue', concat(source_key, '/max'), max(depth)::double FROM q WHERE ts_ns BETWEEN {Z - HALF} AND {Z + HALF} GROUP BY source_key UNION ALL SELECT 'queue', concat(source_key, '/min'), min(depth)::double FROM q WHERE ts_ns BETWEEN {Z - HALF} AND {Z + HALF} GROUP BY source_key
  UNION ALL SELECT 'span', s.name, count(*)::double FROM single s JOIN tp ON tp.source_key = s.source_key AND tp.worker_id = s.worker_id AND s.start_ns >= tp.start_ns AND s.end_ns <= tp.end_ns GROUP BY s.name) SELECT * FROM z""")
 def _(t):
     spans = span_cat.op.spans_single_event(span_cat.single_events(t), None, 1_000_000_000)

@@ -10,14 +10,14 @@ from spoor.session import cut_lineage
 T0, T1 = 1_704_672_000_000_000_000, 1_705_276_800_000_000_000  # second week of the events
 
 
-@query("queue_series", "SELECT ts_ns, sum(global_queue_depth)::bigint AS depth FROM v_metrics GROUP BY 1")
+@query("queue_series", "SELECT source_key, ts_ns, sum(global_queue_depth)::bigint AS depth FROM v_metrics GROUP BY 1, 2")
 def _(t):
     m = t.metrics()
-    legacy = m.select("ts_ns", F.col("global_queue_depth").alias("global_queue"))
+    legacy = m.select("source_key", "ts_ns", F.col("global_queue_depth").alias("global_queue"))
     return op.queue_series(m, legacy)
 
 
-@query("queue_extremes", "SELECT max(d)::bigint AS max_depth, round(avg(d), 6) AS mean_depth FROM (SELECT sum(global_queue_depth) AS d FROM v_metrics GROUP BY ts_ns)")
+@query("queue_extremes", "SELECT max(d)::bigint AS max_depth, round(avg(d), 6) AS mean_depth FROM (SELECT sum(global_queue_depth) AS d FROM v_metrics GROUP BY source_key, ts_ns)")
 def _(t):
     return op.queue_series(t.metrics()).agg(F.max("depth").alias("max_depth"), F.round(F.avg("depth"), 6).alias("mean_depth"))
 
@@ -31,18 +31,23 @@ def _(t):
     return op.active_task_timeline(t.events())
 
 
-@query("active_task_series", "SELECT ts_ns, sum(alive_tasks)::bigint AS alive FROM v_metrics GROUP BY 1")
+@query("active_task_series", "SELECT source_key, ts_ns, sum(alive_tasks)::bigint AS alive FROM v_metrics GROUP BY 1, 2")
 def _(t):
     m = t.metrics()
-    legacy = m.select("ts_ns", F.col("alive_tasks").alias("active_tasks"))
+    legacy = m.select("source_key", "ts_ns", F.col("alive_tasks").alias("active_tasks"))
     return op.active_task_series(m, legacy, op.active_task_timeline(t.events()))
 
 
-@query("active_task_series_incomplete", f"WITH {TIMELINE} SELECT ts_ns, alive FROM tl")
+@query("active_task_series_incomplete", f"""WITH {TIMELINE}, m AS (SELECT source_key, ts_ns, CASE WHEN seq % 50 <> 0 THEN alive_tasks END AS alive FROM v_metrics), ok AS (SELECT source_key FROM m GROUP BY 1 HAVING count(*) = count(alive)),
+od AS (SELECT source_key, ts_ns, alive_tasks AS alive FROM v_metrics WHERE source_key LIKE 'h1%')
+SELECT source_key, ts_ns, sum(alive)::bigint AS alive FROM m SEMI JOIN ok USING (source_key) GROUP BY 1, 2 UNION ALL SELECT * FROM od WHERE source_key NOT IN (SELECT source_key FROM ok)
+UNION ALL SELECT source_key, ts_ns, alive FROM tl WHERE source_key NOT IN (SELECT source_key FROM ok) AND source_key NOT IN (SELECT source_key FROM od)""")
 def _(t):
-    m = t.metrics().withColumn("alive_tasks", F.when(F.col("seq") % 1000 != 0, F.col("alive_tasks")))  # values missing
-    none = m.select("ts_ns", F.col("alive_tasks").alias("active_tasks")).filter(F.col("ts_ns") < 0)
-    return op.active_task_series(m, none, op.active_task_timeline(t.events()))
+    """Some values are missing; one host has the old series as well."""
+    m = t.metrics()
+    old = m.filter(F.startswith("source_key", F.lit("h1"))).select("source_key", "ts_ns", F.col("alive_tasks").alias("active_tasks"))
+    some = m.withColumn("alive_tasks", F.when(F.col("seq") % 50 != 0, F.col("alive_tasks")))
+    return op.active_task_series(some, old, op.active_task_timeline(t.events()))
 
 
 @query("runtime_metrics", "SELECT runtime_name, count(*) AS samples, true AS alive_available, max(alive_tasks) AS max_alive, max(global_queue_depth) AS max_queue FROM v_metrics GROUP BY 1")

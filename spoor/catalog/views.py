@@ -165,6 +165,7 @@ class Tables:
         return e.select(
             eid.alias("seq"),
             (F.expr("unix_micros(cast(ts as timestamp)) div 3600000000") * 3_600_000_000_000).alias("ts_ns"),
+            F.concat(F.lit("h"), (uid % 3).cast("string"), F.lit("/"), F.expr(f"unix_micros(cast(ts as timestamp)) div {WEEK_US}").cast("string")).alias("source_key"),
             F.concat(F.lit("rt"), (uid % 2).cast("string")).alias("runtime_name"),
             F.floor("value").alias("global_queue_depth"), (eid % 50 + F.floor("value")).alias("alive_tasks"))
 
@@ -313,8 +314,8 @@ SELECT event_id AS seq, epoch_us(ts) * 1000 AS ts_ns,
        CASE WHEN event_id % 4 = 0 THEN NULL ELSE (event_id + user_id) % 3 END AS task_id, cast((user_id + event_id) % 4 AS int) AS worker_id,
        json_extract_string(props, '$.k') AS attr_k
 FROM events""",
-    "v_metrics": """
-SELECT event_id AS seq, (epoch_us(ts) // 3600000000) * 3600000000000 AS ts_ns, concat('rt', cast(user_id % 2 AS varchar)) AS runtime_name,
+    "v_metrics": f"""
+SELECT event_id AS seq, (epoch_us(ts) // 3600000000) * 3600000000000 AS ts_ns, {_HOSTW} AS source_key, concat('rt', cast(user_id % 2 AS varchar)) AS runtime_name,
        cast(floor(value) AS bigint) AS global_queue_depth, event_id % 50 + cast(floor(value) AS bigint) AS alive_tasks
 FROM events""",
     "v_resource": """

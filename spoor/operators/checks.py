@@ -65,10 +65,10 @@ def blocking_calls(samples: DataFrame, floor: int = 5) -> DataFrame:
     return finding(top.filter(-F.col("t.c") > floor), "blocking-calls", "warning", F.concat_ws(" ", "source_key", F.col("t.stack")), -F.col("t.c"))
 
 
-def queue_depth(queue: DataFrame, high: int = 100, critical: int = 1000) -> DataFrame:
-    """Global queue over ``high``: how many samples, severity by the deepest."""
-    over = queue.agg(F.count_if(F.col("depth") > high).alias("n"), F.max("depth").alias("deepest")).filter(F.col("n") > 0)
-    return finding(over, "queue-depth", F.when(F.col("deepest") > critical, "critical").otherwise("warning"), F.col("deepest"), F.col("n"))
+def queue_depth(queue: DataFrame, high: int = 100, critical: int = 1000, keys=("source_key",)) -> DataFrame:
+    """Global queue of a process over ``high``: how many samples, severity by the deepest."""
+    over = queue.groupBy(*keys).agg(F.count_if(F.col("depth") > high).alias("n"), F.max("depth").alias("deepest")).filter(F.col("n") > 0)
+    return finding(over, "queue-depth", F.when(F.col("deepest") > critical, "critical").otherwise("warning"), F.concat_ws(" ", *keys, F.col("deepest").cast("string")), F.col("n"))
 
 
 def worker_imbalance(polls: DataFrame, key: str = "source_key", factor: float = 3) -> DataFrame:
@@ -115,8 +115,8 @@ def unmatched_spans(pairs: DataFrame, names: DataFrame) -> DataFrame:
 def idle_worker(parks: DataFrame, queue: DataFrame, floor_ns: int = MS, slot=AUTO) -> DataFrame:
     """Workers parked for long while tasks were queued when they woke."""
     slept = parks.filter(F.col("end_ns") - F.col("start_ns") > floor_ns)
-    depth = queue.select("ts_ns", "depth").withColumn("seq", F.lit(0))
-    hit = asof(slept, depth, [], "end_ns", "ts_ns", ["depth"], slot=slot).filter(F.col("depth") > 0)
+    depth = queue.select("source_key", "ts_ns", "depth")
+    hit = asof(slept, depth, ["source_key"], "end_ns", "ts_ns", ["depth"], slot=slot).filter(F.col("depth") > 0)
     return finding(hit, "idle-worker", "warning", F.concat_ws("/", "source_key", F.col("worker_id").cast("string"), F.col("start_ns").cast("string")), F.col("depth"))
 
 
@@ -206,7 +206,7 @@ def zoom_window(polls: DataFrame, samples: DataFrame, queue: DataFrame, spans: D
     clipped = F.least("end_ns", F.lit(hi)) - F.greatest("start_ns", F.lit(lo))
     busy = near.groupBy("source_key", "worker_id").agg(F.sum(clipped).alias("busy"))
     inside = samples.filter(F.col("t").between(lo, hi)).groupBy("source_key", "tid").agg(F.count_if(F.col("source") != 1).alias("on"))
-    depth = queue.filter(F.col("ts_ns").between(lo, hi)).agg(F.max("depth").alias("hi"), F.min("depth").alias("lo"))
+    depth = queue.filter(F.col("ts_ns").between(lo, hi)).groupBy("source_key").agg(F.max("depth").alias("hi"), F.min("depth").alias("lo"))
     top = near.filter(F.col("duration_ns") > MS).orderBy(F.desc("duration_ns"), "start_ns", "seq").limit(1)
     runs = F.broadcast(top.select("source_key", "worker_id", F.col("start_ns").alias("a"), F.col("end_ns").alias("b")))  # one row
     inner = spans.join(runs, ["source_key", "worker_id"]).filter((F.col("start_ns") >= F.col("a")) & (F.col("end_ns") <= F.col("b"))).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
@@ -214,7 +214,7 @@ def zoom_window(polls: DataFrame, samples: DataFrame, queue: DataFrame, spans: D
     for more in (
         rows(busy, "busy", F.concat_ws("/", "source_key", F.col("worker_id").cast("string")), F.col("busy")),
         rows(inside, "thread", F.concat_ws("/", "source_key", F.col("tid").cast("string")), F.col("on")),
-        rows(depth, "queue", F.lit("max"), F.col("hi")), rows(depth, "queue", F.lit("min"), F.col("lo")),
+        rows(depth, "queue", F.concat_ws("/", "source_key", F.lit("max")), F.col("hi")), rows(depth, "queue", F.concat_ws("/", "source_key", F.lit("min")), F.col("lo")),
         rows(inner, "span", F.col("name"), F.col("n"))):
         out = out.unionByName(more)
     return out

@@ -13,22 +13,26 @@ from spoor.plans.ranks import order_statistics
 from spoor.plans.timeline import AUTO, asof, measure_slot, prev, running_sum, with_order
 
 
-def queue_series(metrics: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
-    """Process-wide queue depth per cycle; the old single series only where there are no per-runtime rows."""
-    series = metrics.groupBy("ts_ns").agg(F.sum("global_queue_depth").alias("depth"))
+def queue_series(metrics: DataFrame, legacy: DataFrame | None = None, keys=("source_key",)) -> DataFrame:
+    """Queue depth of a process (``keys``) per cycle, over its runtimes; the old single series only for processes without per-runtime rows."""
+    keys = list(keys)
+    series = metrics.groupBy(*keys, "ts_ns").agg(F.sum("global_queue_depth").alias("depth"))
     if legacy is None:
         return series
-    none = metrics.agg(F.count(F.lit(1))).scalar() == 0
-    return series.unionByName(legacy.select("ts_ns", F.col("global_queue").alias("depth")).filter(none))
-
-
-def active_task_series(metrics: DataFrame, legacy: DataFrame, lifecycle: DataFrame) -> DataFrame:
-    """Alive tasks per cycle unless a value is missing anywhere, then the old series, then lifecycle counts."""
-    complete = metrics.agg((F.count(F.lit(1)) > 0) & (F.count(F.lit(1)) == F.count("alive_tasks"))).scalar()
-    old = legacy.agg(F.count(F.lit(1)) > 0).scalar()
-    sampled = metrics.groupBy("ts_ns").agg(F.sum("alive_tasks").alias("alive")).filter(complete)
-    return sampled.unionByName(legacy.select("ts_ns", F.col("active_tasks").alias("alive")).filter(~complete & old)).unionByName(
-        lifecycle.select("ts_ns", "alive").filter(~complete & ~old))
+    old = legacy.join(metrics.select(*keys).distinct(), keys, "left_anti")
+    return series.unionByName(old.select(*keys, "ts_ns", F.col("global_queue").alias("depth")))
+
+
+def active_task_series(metrics: DataFrame, legacy: DataFrame, lifecycle: DataFrame, keys=("source_key",)) -> DataFrame:
+    """Alive tasks of a process per cycle; where it misses a value anywhere its old series, and without one its lifecycle counts."""
+    keys = list(keys)
+    state = metrics.groupBy(*keys).agg((F.count(F.lit(1)) == F.count("alive_tasks")).alias("complete"))
+    whole = state.filter("complete").select(*keys)
+    told = legacy.select(*keys).distinct()
+    sampled = metrics.join(whole, keys, "left_semi").groupBy(*keys, "ts_ns").agg(F.sum("alive_tasks").alias("alive"))
+    old = legacy.join(whole, keys, "left_anti").select(*keys, "ts_ns", F.col("active_tasks").alias("alive"))
+    counted = lifecycle.join(whole, keys, "left_anti").join(told, keys, "left_anti").select(*keys, "ts_ns", "alive")
+    return sampled.unionByName(old).unionByName(counted)
 
 
 def active_task_timeline(events: DataFrame, keys=("source_key",), slot=AUTO) -> DataFrame:

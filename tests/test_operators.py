@@ -111,11 +111,14 @@ def test_cpu_usage(spark):
 
 
 def test_alive_series_falls_back_when_a_value_is_missing(spark):
-    m = spark.createDataFrame([(1, "a", 3), (1, "b", 4), (2, "a", None)], "ts_ns long, runtime_name string, alive_tasks long")
-    none = spark.createDataFrame([], "ts_ns long, active_tasks long")
-    life = spark.createDataFrame([(7, 1)], "ts_ns long, alive long")
-    assert tuples(series.active_task_series(m, none, life), "ts_ns", "alive") == [(7, 1)]
-    assert tuples(series.active_task_series(m.filter("ts_ns = 1"), none, life), "ts_ns", "alive") == [(1, 7)]
+    m = spark.createDataFrame([("s", 1, "a", 3), ("s", 1, "b", 4), ("s", 2, "a", None), ("u", 1, "a", 9)], "source_key string, ts_ns long, runtime_name string, alive_tasks long")
+    none = spark.createDataFrame([], "source_key string, ts_ns long, active_tasks long")
+    life = spark.createDataFrame([("s", 7, 1), ("u", 7, 2)], "source_key string, ts_ns long, alive long")
+    columns = ("source_key", "ts_ns", "alive")
+    assert tuples(series.active_task_series(m, none, life), *columns) == [("s", 7, 1), ("u", 1, 9)]
+    assert tuples(series.active_task_series(m.filter("ts_ns = 1"), none, life), *columns) == [("s", 1, 7), ("u", 1, 9)]
+    old = spark.createDataFrame([("s", 3, 5)], "source_key string, ts_ns long, active_tasks long")
+    assert tuples(series.active_task_series(m, old, life), *columns) == [("s", 3, 5), ("u", 1, 9)]
 
 
 def test_counter_gaps_resets_and_equal_times(spark):
