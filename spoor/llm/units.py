@@ -8,6 +8,7 @@ may begin a special string) goes through the library whole. The memory of seen u
 
 from __future__ import annotations
 
+import itertools
 import re
 from functools import lru_cache
 
@@ -20,6 +21,8 @@ SPACED = re.compile(f"[{SPACE}]*[{LETTER}]+|[{SPACE}]*[^{SPACE}{LETTER}']+|[{SPA
 BARE = re.compile(f"[{LETTER}]+|[^{SPACE}{LETTER}']+|[^{SPACE}{LETTER}]*'[^{SPACE}]*")
 #: Units kept in a worker before it starts afresh.
 MOST_UNITS = 1_000_000
+#: Units encoded in one call of the library.
+CALL = 1000
 
 
 class _Numbers(dict):
@@ -38,7 +41,13 @@ class UnitEncoder:
         import json
 
         with open(path, encoding="utf-8") as f:
-            self.bare = json.load(f)["normalizer"] is not None  # lower-cases and drops white space
+            described = json.load(f)
+        self.bare = described["normalizer"] is not None  # lower-cases and drops white space
+        # bytes that each id stands for in plain text: its name has a character for each, and perhaps an end mark
+        vocabulary = described["model"]["vocab"]
+        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for name, i in vocabulary.items():
+            self.id_bytes[i] = len(name) - (4 if self.bare and name.endswith("</w>") else 0)
         self.clear()
 
     def clear(self) -> None:
@@ -53,10 +62,16 @@ class UnitEncoder:
         """Encode the units that have a number but no ids yet."""
         if (fresh := len(self.numbers) - self.known) <= 0:
             return
-        units = list(self.numbers)[self.known:]
-        found = self.library_ids(units)
-        sizes = np.fromiter(map(len, found), np.int32, fresh)
-        flat = np.fromiter((x for ids in found for x in ids), np.uint16, int(sizes.sum()))
+        units = list(itertools.islice(self.numbers, self.known, None))
+        # many units in one call, as words of one text; where each ends follows from the bytes of its ids
+        flat = np.concatenate([np.array(self.library.encode_batch_fast([units[i:i + CALL]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint16)
+                               for i in range(0, fresh, CALL)])
+        ends = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, fresh))
+        got = np.cumsum(self.id_bytes[flat])
+        stops = np.searchsorted(got, ends) + 1
+        if stops[-1] != len(flat) or (got[stops - 1] != ends).any():
+            raise ValueError("ids and units do not match")
+        sizes = np.diff(stops, prepend=0).astype(np.int32)
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while len(self.sizes) < self.known + fresh:
