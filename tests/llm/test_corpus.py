@@ -239,7 +239,8 @@ def test_simhash(awkward, nothing, real):
     assert simhash_components(nothing).count() == 0
 
 
-def test_pigeonhole_finds_every_link(spark, monkeypatch):
+@pytest.mark.parametrize("parts", [4, 3])
+def test_pigeonhole_finds_every_link(spark, monkeypatch, parts):
     from spoor.llm import simhash
 
     monkeypatch.setattr(simhash, "BLOCK", 40)  # dense groups take the grid of blocks
@@ -250,7 +251,7 @@ def test_pigeonhole_finds_every_link(spark, monkeypatch):
         flips = rng.choice(64, rng.integers(0, 7), replace=False)
         prints.add(int(centres[rng.integers(0, 3 if rng.random() < 0.7 else 12)]) ^ sum(1 << int(b) for b in flips))
     signed = [int(np.uint64(p).view(np.int64)) for p in prints]
-    found = components(links(spark.createDataFrame([(p,) for p in signed], "fp bigint").repartition(5))).collect()
+    found = components(links(spark.createDataFrame([(p,) for p in signed], "fp bigint").repartition(5), parts=parts)).collect()
     root = {r.node: r.root for r in found}
     want = linked(prints)
     groups, own = defaultdict(set), defaultdict(set)
