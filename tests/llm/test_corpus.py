@@ -19,6 +19,7 @@ from spoor.llm.block_names import exact_dedup, salted_md5  # noqa: E402
 from spoor.llm.chunk_dedup import chunk_starts, gear, gear_table, without_repeats  # noqa: E402
 from spoor.llm.components import components, spanning  # noqa: E402
 from spoor.llm.hilbert_packing import hilbert_index, hilbert_packing, tail_starts  # noqa: E402
+from spoor.llm.jaccard import similar_components  # noqa: E402
 from spoor.llm.lang_id import held_out, language_id  # noqa: E402
 from spoor.llm.piece_viterbi import Pieces, piece_ids  # noqa: E402
 from spoor.llm.risk_rules import binomial_at_most, certified, measure, quality_rules  # noqa: E402
@@ -239,6 +240,50 @@ def test_simhash(awkward, nothing, real):
     assert simhash_components(nothing).count() == 0
 
 
+def similar_groups(rows):
+    """Groups of row numbers linked by a Jaccard similarity of 5-word shingles of 0.8 or more, by comparing all."""
+    sets = []
+    for r in rows:
+        w = words_of(folded(r.text))
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if label[i] != label[j] and 5 * len(a & b) >= 4 * len(a | b):
+                label = [label[j] if v == label[i] else v for v in label]
+    groups = defaultdict(list)
+    for i, v in enumerate(label):
+        groups[v].append(i)
+    return list(groups.values())
+
+
+def test_near_stage_against_brute_force(spark, awkward, nothing):
+    rng = np.random.default_rng(11)
+    rows = []
+    for n in (3, 6, 30, 60, 100, 100, 250):
+        base = [f"w{x}" for x in rng.integers(0, 4000, n)]
+        rows.append(" ".join(base))
+        for _ in range(8):  # one to six words changed: similarities on both sides of 0.8
+            copy = list(base)
+            for at in rng.integers(0, n, int(rng.integers(1, 7))):
+                copy[at] = f"x{rng.integers(0, 9999)}"
+            rows.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(4)
+    for docs in (docs, awkward, common.documents(spark, "/root/testdata/sf0.001")):
+        own = docs.select("doc_id", "text").collect()
+        groups = similar_groups(own)
+        got = defaultdict(list)
+        for r in similar_components(docs).collect():
+            got[r.root].append(r.doc_id)
+        order = lambda ids: sorted(ids, key=str)
+        assert sorted((order(g) for g in got.values()), key=str) == sorted((order(own[i].doc_id for i in g) for g in groups), key=str)
+        if len(own) == len(rows):
+            assert 20 < len(groups) < len(rows) - 10
+            kept = sorted(r.doc_id for r in pipeline.near(spark, docs, SF).collect())
+            assert kept == sorted(min(own[i].doc_id for i in g) for g in groups)
+    assert similar_components(nothing).count() == 0
+
+
 @pytest.mark.parametrize("parts", [4, 3])
 def test_pigeonhole_finds_every_link(spark, monkeypatch, parts):
     from spoor.llm import simhash
