@@ -2,10 +2,11 @@
 
 A gear hash rolls over each text's UTF-8 bytes; a chunk begins at a word where the hash of the 16 bytes before it falls below a
 threshold, on average every ``MEAN_WORDS`` words. Cuts depend on nearby bytes only, so an insertion moves none beyond it, and a passage
-is cut alike wherever it stands. Stretches of over 64 bytes without white space may be cut between characters too. Chunks are
-deduplicated by digest: the occurrence with the smallest (doc_id, place) stays. Of the others, runs of adjacent chunks with at least
-``MIN_WORDS`` words together are removed, so that chance repeats of a few words never touch a text; with several chunks in such a run a
-digest of 64 bits is ample.
+is cut alike wherever it stands. Stretches of over 64 bytes without white space may be cut between characters too. At every chunk a window
+begins: as many chunks as hold ``MIN_WORDS`` words together. Windows are deduplicated by digest: the occurrence with the smallest
+(doc_id, place) stays, the others are removed. So only what an earlier place has in one piece, of ``MIN_WORDS`` words and more, is
+cut; shorter repeats never touch a text, however many there are. Every word that goes has a copy that stays: its counterpart
+in the earlier window, or that one's, and so on.
 
 A digest that very many documents have is combined in each batch: later occurrences are settled there, and a single one goes on to meet
 those of other batches.
@@ -50,6 +51,11 @@ def gear(raw: np.ndarray) -> np.ndarray:
 
 def chunk_starts(texts: list[bytes], mean_words: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """The texts joined with gaps, and for every chunk its document, start and end in there."""
+    return _chunks(texts, mean_words)[:4]
+
+
+def _chunks(texts: list[bytes], mean_words: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``chunk_starts``, and the words that begin before each place."""
     gap = b"\0" * WINDOW
     joined = gap + gap.join(texts) + gap
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -69,15 +75,29 @@ def chunk_starts(texts: list[bytes], mean_words: int) -> tuple[bytes, np.ndarray
     starts = np.flatnonzero(cut)
     doc = np.searchsorted(begins, starts, "right") - 1
     ends = np.minimum(np.append(starts[1:], len(raw)), (begins + sizes)[doc])
-    return joined, doc, starts, ends
+    begin = np.zeros(len(raw), bool)
+    begin[1:] = space[:-1] & ~space[1:]
+    begin[begins[sizes > 0]] = ~space[begins[sizes > 0]]
+    return joined, doc, starts, ends, np.concatenate([[0], np.cumsum(begin)])
+
+
+def windows(texts: list[bytes], mean_words: int, min_words: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined with gaps, and for every window its document, start and end in there: from each chunk on, the fewest chunks of
+    that document in which ``min_words`` words begin. The last chunks of a text may be too few for one."""
+    joined, doc, starts, ends, words = _chunks(texts, mean_words)
+    last = np.searchsorted(words[ends], words[starts] + min_words)
+    whole = last < len(starts)
+    whole[whole] = doc[last[whole]] == doc[whole]
+    return joined, doc[whole], starts[whole], ends[last[whole]]
 
 
-def repeated_chunks(docs: DataFrame, mean_words: int = MEAN_WORDS) -> DataFrame:
-    """Chunks that are not the first of their digest: doc_id, text_key, pos, size (bytes), first_doc (a document that has it earlier)."""
+def repeated_windows(docs: DataFrame, mean_words: int = MEAN_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """Windows that are not the first of their digest: doc_id, text_key, pos, size (bytes), first_doc (a document that has it earlier)."""
 
     def chunk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches, limit=2_000_000):
-            joined, doc, starts, ends = chunk_starts([t.encode("utf-8", "replace") for t in texts], mean_words)
+            raw = [t.encode("utf-8", "replace") for t in texts]
+            joined, doc, starts, ends = windows(raw, mean_words, min_words)
             if not len(starts):
                 continue
             digest = np.fromiter((xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)).view(np.int64)
@@ -85,8 +105,8 @@ def repeated_chunks(docs: DataFrame, mean_words: int = MEAN_WORDS) -> DataFrame:
             text_keys = batch.column(2).to_numpy()
             rank = np.empty(len(ids), np.int64)
             rank[np.lexsort((text_keys, ids))] = np.arange(len(ids))
-            base = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1])
-            pos = starts - np.repeat(starts[base], np.diff(np.append(base, len(doc))))
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + WINDOW
+            pos = starts - (np.cumsum(sizes) - sizes + WINDOW)[doc]
             order = np.lexsort((pos, rank[doc], digest))
             later = digest[order[1:]] == digest[order[:-1]]
             settled = np.zeros(len(order), bool)
@@ -132,19 +152,19 @@ def repeated_chunks(docs: DataFrame, mean_words: int = MEAN_WORDS) -> DataFrame:
 
 
 def runs(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Adjacent (pos, size, first_doc) joined to (start, end, smallest first_doc)."""
+    """Windows (pos, size, first_doc), joined where they touch to (start, end, first_doc of the first)."""
     out: list[tuple[int, int, int]] = []
     for pos, size, doc in sorted(set(places)):
-        if out and out[-1][1] == pos:
-            out[-1] = (out[-1][0], pos + size, min(out[-1][2], doc))
-        elif not out or out[-1][1] < pos:
+        if out and pos <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], pos + size), out[-1][2])
+        else:
             out.append((pos, pos + size, doc))
     return out
 
 
 def without_repeats(docs: DataFrame, mean_words: int = MEAN_WORDS, min_words: int = MIN_WORDS, spans: str = "repeats") -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and a column ``spans``: what was cut, as (start, size) in bytes of the old
-    text and first_doc, a document that has it earlier (null where that has no doc_id). A column of that name in ``docs`` is replaced."""
+    text and first_doc, a document that has its first ``min_words`` words earlier (null where that has no doc_id). A column of that name in ``docs`` is replaced."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,17 +174,16 @@ def without_repeats(docs: DataFrame, mean_words: int = MEAN_WORDS, min_words: in
                 if text is not None and places:
                     raw, at, parts = text.encode("utf-8", "replace"), 0, []
                     for a, b, doc in runs([(p["pos"], p["size"], p["first_doc"]) for p in places]):
-                        if len(raw[a:b].split()) >= min_words:
-                            parts.append(raw[at:a])
-                            drop.append({"start": a, "size": b - a, "first_doc": None if doc == NO_ID else doc})
-                            at = b
+                        parts.append(raw[at:a])
+                        drop.append({"start": a, "size": b - a, "first_doc": None if doc == NO_ID else doc})
+                        at = b
                     text = (b"".join(parts) + raw[at:]).decode("utf-8", "replace")
                 texts.append(text)
                 found.append(drop)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(found, kind), batch.column(2)], ["text", "cut", "row"])
 
     kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64()), ("first_doc", pa.int64())]))
-    dups = (repeated_chunks(docs.select("doc_id", "text"), mean_words).groupBy(F.col("doc_id").alias("doc"), F.col("text_key").alias("key"))
+    dups = (repeated_windows(docs.select("doc_id", "text"), mean_words, min_words).groupBy(F.col("doc_id").alias("doc"), F.col("text_key").alias("key"))
             .agg(F.collect_list(F.struct("pos", "size", "first_doc")).alias("places")))
     # all other columns travel in one, so that no name can clash
     others = [c for c in docs.columns if c not in ("text", spans)]

@@ -361,6 +361,24 @@ def test_chunk_dedup(spark, awkward, nothing):
     assert without_repeats(nothing).count() == 0
 
 
+def test_chunk_dedup_needs_the_passage_in_one_piece(spark):
+    rng = np.random.default_rng(12)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(5000)]
+    text = lambda n: " ".join(rng.choice(vocabulary, n))
+    target, other = text(200), text(120)
+    joined, _, a, b = chunk_starts([target.encode()], 4)
+    rows = [(i, f"{text(30)} {joined[x:y].decode()}{text(30)}") for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True))]  # each chunk somewhere
+    n = len(rows)
+    rows += [(n, target), (n + 1, f"{text(40)} {target} {text(40)}"), (n + 2, f"{other} {other}"), (n + 3, " ".join(["same"] * 300))]
+    got = {r.doc_id: r for r in without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert all(got[i].text == t for i, t in rows[:n + 1])  # no earlier document has 20 of those words in a row
+    assert [r.first_doc for r in got[n + 1].repeats] == [n] and len(set(got[n + 1].text.split()) & set(target.split())) < 40
+    assert got[n + 2].text.startswith(other) and len(got[n + 2].text.split()) < 150
+    for r in got.values():
+        raw = rows[r.doc_id][1].encode()
+        assert all(len(raw[s["start"]:s["start"] + s["size"]].split()) >= 20 for s in r.repeats)
+
+
 # Quality and language ------------------------------------------------------------------------------------------
 
 def test_measures():
