@@ -2,7 +2,8 @@
 
 A gear hash rolls over each text's UTF-8 bytes; a chunk begins at a word where the hash of the 16 bytes before it falls below a
 threshold, on average every ``MEAN_WORDS`` words. Cuts depend on nearby bytes only, so an insertion moves none beyond it, and a passage
-is cut alike wherever it stands. Stretches of over 64 bytes without white space may be cut between characters too. At every chunk a window
+is cut alike wherever it stands. Stretches without white space (Chinese, Japanese or Thai text, for one) are cut between characters too after their first 64
+bytes, on average every ``MEAN_WORDS * WORD_BYTES`` bytes, and every ``WORD_BYTES`` bytes there count as a word. At every chunk a window
 begins: as many chunks as hold ``MIN_WORDS`` words together. Windows are deduplicated by digest: the occurrence with the smallest
 (doc_id, place) stays, the others are removed. So only what an earlier place has in one piece, of ``MIN_WORDS`` words and more, is
 cut; shorter repeats never touch a text, however many there are. Every word that goes has a copy that stays: its counterpart
@@ -31,6 +32,8 @@ from spoor.llm.stages import NO_ID, keyed
 
 MEAN_WORDS, MIN_WORDS = 4, 20
 WINDOW = 16
+#: What counts as a word where there is no white space, in bytes.
+WORD_BYTES = 6
 _ROW = "doc_id bigint, text_key bigint, pos bigint, size int, digest bigint, settled boolean, first_doc bigint"
 
 
@@ -55,7 +58,7 @@ def chunk_starts(texts: list[bytes], mean_words: int) -> tuple[bytes, np.ndarray
 
 
 def _chunks(texts: list[bytes], mean_words: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As ``chunk_starts``, and the words that begin before each place."""
+    """As ``chunk_starts``, and the words that begin before each place, in units of ``1 / WORD_BYTES``."""
     gap = b"\0" * WINDOW
     joined = gap + gap.join(texts) + gap
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -66,7 +69,7 @@ def _chunks(texts: list[bytes], mean_words: int) -> tuple[bytes, np.ndarray, np.
     place = np.arange(len(raw), dtype=np.int64)
     since = place - np.maximum.accumulate(np.where(space | (raw == 0), place, 0))
     cut = np.zeros(len(raw) + 1, bool)
-    cut[1:-1] = (space[:-1] & ~space[1:] & (h[:-1] < 65536 // mean_words)) | ((since[:-1] > 64) & (h[:-1] < 64) & ((raw[1:] & 0xC0) != 0x80))
+    cut[1:-1] = (space[:-1] & ~space[1:] & (h[:-1] < 65536 // mean_words)) | ((since[:-1] > 64) & (h[:-1] < 65536 // (mean_words * WORD_BYTES)) & ((raw[1:] & 0xC0) != 0x80))
     inside = np.zeros(len(raw) + 1, np.int8)
     np.add.at(inside, begins, 1)
     np.add.at(inside, begins + sizes, -1)
@@ -78,14 +81,15 @@ def _chunks(texts: list[bytes], mean_words: int) -> tuple[bytes, np.ndarray, np.
     begin = np.zeros(len(raw), bool)
     begin[1:] = space[:-1] & ~space[1:]
     begin[begins[sizes > 0]] = ~space[begins[sizes > 0]]
-    return joined, doc, starts, ends, np.concatenate([[0], np.cumsum(begin)])
+    size = begin * np.int64(WORD_BYTES) + (since > 64)  # further bytes of a stretch count one by one
+    return joined, doc, starts, ends, np.concatenate([[0], np.cumsum(size)])
 
 
 def windows(texts: list[bytes], mean_words: int, min_words: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """The texts joined with gaps, and for every window its document, start and end in there: from each chunk on, the fewest chunks of
-    that document in which ``min_words`` words begin. The last chunks of a text may be too few for one."""
+    that document in which ``min_words`` words (or as much without white space) begin. The last chunks of a text may be too few for one."""
     joined, doc, starts, ends, words = _chunks(texts, mean_words)
-    last = np.searchsorted(words[ends], words[starts] + min_words)
+    last = np.searchsorted(words[ends], words[starts] + min_words * WORD_BYTES)
     whole = last < len(starts)
     whole[whole] = doc[last[whole]] == doc[whole]
     return joined, doc[whole], starts[whole], ends[last[whole]]

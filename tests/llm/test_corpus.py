@@ -379,6 +379,16 @@ def test_chunk_dedup_needs_the_passage_in_one_piece(spark):
         assert all(len(raw[s["start"]:s["start"] + s["size"]].split()) >= 20 for s in r.repeats)
 
 
+def test_chunk_dedup_without_white_space(spark):
+    rng = np.random.default_rng(13)
+    text = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9000, n)))
+    passage = text(400)
+    rows = [(0, text(100) + passage + text(100)), (1, text(150) + passage + text(50)), (2, text(300)), (3, passage[:20] + text(200))]
+    got = {r.doc_id: r for r in without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert all(got[i].text == rows[i][1] for i in (0, 2, 3))
+    assert 200 <= len(got[1].text) < 270 and [r.first_doc for r in got[1].repeats] == [0]
+
+
 # Quality and language ------------------------------------------------------------------------------------------
 
 def test_measures():
