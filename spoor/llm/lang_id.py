@@ -2,8 +2,8 @@
 
 A linear support vector machine for each language family, against the rest, picks the family of a text from hashed byte n-grams of its
 letters; within it one-versus-one machines between the family's languages vote (ties go by their margins). Each machine is fitted in a
-task of its own on a bounded sample: about ``SAMPLE_ROWS`` labelled rows in all, spread evenly over the languages and chosen
-by a hash of doc_id. Every text is then scored whole.
+task of its own on a bounded sample: about ``SAMPLE_ROWS`` distinct labelled rows in all, spread evenly over the languages and chosen
+by a hash of doc_id and text. Every text is then scored whole.
 
 Cases: ``und`` and score 0 where text is null or has no letter, or where nothing could be learned; rows without a language teach nothing; a
 language without a known family is a family of its own; repeated rows, null or equal doc_ids and very long texts are scored row by row;
@@ -46,14 +46,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def sampled(labelled: DataFrame, sample_rows: int) -> tuple[list[str], DataFrame]:
+    """The languages of ``labelled(doc_id, text, lang)``, and about ``sample_rows`` of its distinct rows, as many of each."""
+    row = F.xxhash64("doc_id", "text")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(row).alias("n")).collect()}  # a row for each language
+    if not counts:
+        return [], labelled
+    share = sample_rows / len(counts)
+    rates = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, share / max(n, 1)))))
+    few = labelled.where((F.pmod(row, F.lit(1 << 20)) / F.lit(float(1 << 20))) < F.element_at(rates, F.col("lang")))
+    return sorted(counts), few.dropDuplicates(["doc_id", "text", "lang"])
+
+
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], list[tuple[str, str, str]], np.ndarray, np.ndarray]:
     """From ``labelled(doc_id, text, lang)``: the languages, the machines as (kind, positive, negative), their weights (DIM x machines) and offsets."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
-    if not counts:
+    langs, sample = sampled(labelled, sample_rows)
+    if not langs:
         return [], [], np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32)
-    share = sample_rows / len(counts)
-    rates = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, share / n))))
-    sample = labelled.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))) < F.element_at(rates, F.col("lang")))
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches, limit=1_000_000):
@@ -72,7 +81,6 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str],
         w, b = fit_svm(x, rows["y"].to_numpy(np.float32))
         return pd.DataFrame({"kind": rows["kind"].iloc[:1], "pos": rows["pos"].iloc[:1], "neg": rows["neg"].iloc[:1], "w": [w.tobytes()], "b": [b]})
 
-    langs = sorted(counts)
     families = sorted({family_of(x) for x in langs})
     pairs = [(p, q) for i, p in enumerate(langs) for q in langs[i + 1:] if family_of(p) == family_of(q)]
     rows = sample.select("lang", "text").mapInArrow(vectors, "kind string, pos string, neg string, y int, x binary")

@@ -20,7 +20,7 @@ from spoor.llm.chunk_dedup import chunk_starts, gear, gear_table, without_repeat
 from spoor.llm.components import components, spanning  # noqa: E402
 from spoor.llm.hilbert_packing import hilbert_index, hilbert_packing, tail_starts  # noqa: E402
 from spoor.llm.jaccard import similar_components  # noqa: E402
-from spoor.llm.lang_id import held_out, language_id  # noqa: E402
+from spoor.llm.lang_id import held_out, language_id, sampled  # noqa: E402
 from spoor.llm.piece_viterbi import Pieces, piece_ids  # noqa: E402
 from spoor.llm.risk_rules import binomial_at_most, certified, measure, quality_rules  # noqa: E402
 from spoor.llm.simhash import allocate, links, simhash_components, within  # noqa: E402
@@ -452,6 +452,16 @@ def test_language(spark, real, awkward, nothing):
     assert {r.lang_pred for r in language_id(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded(spark):
+    """Null ids, one repeated id and equal rows, each a third of the table, do not enter the sample together."""
+    rows = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS doc_id",
+                                        "CASE WHEN id % 4 = 0 THEN 'equal text' ELSE concat('text ', id) END AS text", "IF(id % 2 = 0, 'en', 'de') AS lang")
+    langs, sample = sampled(rows, 600)
+    assert langs == ["de", "en"]
+    got = sample.groupBy("lang").count().collect()
+    assert all(200 < r["count"] < 400 for r in got) and len(got) == 2
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(4)
     truth = rng.random(20_000) < 0.7
