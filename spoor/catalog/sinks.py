@@ -60,7 +60,7 @@ def _(t):
     seen = samples.select("stack_id", "service", "date", "host", "source_key").distinct().join(t.stacks(), "stack_id")
     op.fold_write(t.spark, out, samples.select("source_key"), {"samples": samples, "stacks": seen.select("stack_id", "frames", "service", "date", "host", "source_key")})
     counts = stacks.stack_counts(op.read_table(t.spark, out, "samples"))
-    return stacks.flamegraph_tree(stacks.resolve_stacks(counts, op.read_table(t.spark, out, "stacks")), combine=False).select("path", "depth", "samples")
+    return stacks.flamegraph_tree(stacks.resolve_stacks(counts, op.read_table(t.spark, out, "stacks"))).select("path", "depth", "samples")
 
 
 @query("write_polls", "SELECT host, worker_id, count(*) AS n, sum(duration_ns)::bigint AS busy_ns, count(scheduling_delay_ns) AS measured FROM v_polls GROUP BY 1, 2")

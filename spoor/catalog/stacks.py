@@ -65,7 +65,7 @@ def _(t):
 
 @query("flamegraph_tree", f"WITH paths AS {PATHS.format(SCOPE)}, {TREE} SELECT * FROM tree")
 def _(t):
-    return op.flamegraph_tree(op.resolve_stacks(op.stack_counts(scoped(t)), t.stacks()), combine=False)
+    return op.flamegraph_tree(op.resolve_stacks(op.stack_counts(scoped(t)), t.stacks())).drop("id", "parent_id")
 
 
 @query("flamegraph_weighted", """WITH paths AS (SELECT list_reverse(frames) AS r, count(*) AS n, sum(coalesce(poll_duration_ns, 0)) AS w
@@ -76,7 +76,7 @@ FROM (SELECT r, n, w, unnest(range(1, len(r) + 1)) AS d FROM paths) GROUP BY pat
 def _(t):
     counts = t.samples().groupBy("stack_id").agg(
         F.count(F.lit(1)).alias("samples"), F.sum(F.coalesce("poll_duration_ns", F.lit(0))).alias("poll_ns"))
-    tree = op.flamegraph_tree(op.resolve_stacks(counts, t.stacks()), ("samples", "poll_ns"), combine=False)
+    tree = op.flamegraph_tree(op.resolve_stacks(counts, t.stacks()), ("samples", "poll_ns"))
     return tree.select("path", "depth", "samples", "poll_ns", "self_poll_ns")
 
 
@@ -87,13 +87,13 @@ lay AS (SELECT path, depth, name, samples, self_samples, o AS x FROM offs WHERE
   UNION ALL SELECT c.path, c.depth, c.name, c.samples, c.self_samples, p.x + c.o FROM lay p JOIN offs c ON c.parent_path = p.path)
 SELECT path, depth, name, samples, self_samples, round(x / total, 9) AS x, round(samples / total, 9) AS w FROM lay, tot""")
 def _(t):
-    lay = op.flat_layout(op.flamegraph_tree(resolved(t), combine=False))
+    lay = op.flat_layout(op.flamegraph_tree(resolved(t)))
     return lay.withColumn("x", F.round("x", 9)).withColumn("w", F.round("w", 9))
 
 
 @query("to_folded_stacks", f"SELECT concat(array_to_string(list_reverse(frames), ';'), ' ', count(*)) AS value FROM v_samples JOIN v_stacks USING (stack_id) {SCOPE} GROUP BY frames")
 def _(t):
-    return op.folded_lines(op.flamegraph_tree(op.resolve_stacks(op.stack_counts(scoped(t)), t.stacks()), combine=False))
+    return op.folded_lines(op.flamegraph_tree(op.resolve_stacks(op.stack_counts(scoped(t)), t.stacks())))
 
 
 @query("facets", """SELECT DISTINCT facet, value FROM (
@@ -128,25 +128,30 @@ d AS (SELECT array_to_string(r[1:d], ';') AS path, cast(sum(a) AS bigint) AS a,
 
 
 def diff(t):
-    s = t.samples()
-    fast = op.stack_counts(op.poll_band(s, None, CUT - 1))
-    slow = op.stack_counts(op.poll_band(s, CUT, None))
-    trees = [op.flamegraph_tree(op.resolve_stacks(c, t.stacks()), combine=False) for c in (fast, slow)]
-    return op.diff_join(*trees)
+    poll = F.col("poll_duration_ns")
+    return op.resolve_stacks(op.diff_counts(t.samples(), poll < CUT, poll >= CUT), t.stacks())
 
 
 @query("diff_join", DIFF + " SELECT * FROM d WHERE a + b > 0")
 def _(t):
-    return diff(t)
+    return op.diff_tree(diff(t)).drop("id")
+
+
+@query("diff_scopes", """WITH paths AS (SELECT list_reverse(frames) AS r, count(*) FILTER (host = 'NATION_0') AS a, count(*) FILTER (host = 'NATION_1') AS b
+  FROM v_samples JOIN v_stacks USING (stack_id) WHERE source = 0 AND host IN ('NATION_0', 'NATION_1') GROUP BY ALL)
+SELECT array_to_string(r[1:d], ';') AS path, cast(sum(a) AS bigint) AS a, cast(sum(b) AS bigint) AS b, cast(sum(CASE WHEN d = len(r) THEN a ELSE 0 END) AS bigint) AS self_a,
+  cast(sum(CASE WHEN d = len(r) THEN b ELSE 0 END) AS bigint) AS self_b FROM (SELECT *, unnest(range(1, len(r) + 1)) AS d FROM paths) GROUP BY path""")
+def _(t):
+    """One host against another, each side a scan of its own."""
+    sides = [op.resolve_stacks(op.stack_counts(op.facet_filter(t.samples(), {"host": h})), t.stacks()) for h in ("NATION_0", "NATION_1")]
+    return op.diff_join(*sides).drop("id")
 
 
 @query("diff_score", DIFF + """, tot AS (SELECT sum(self_a) AS ta, sum(self_b) AS tb FROM d)
 SELECT path, round(greatest(-1.0, least(1.0, log2((b / tb + 0.5 / greatest(ta, tb)) / (a / ta + 0.5 / greatest(ta, tb))) / 4)), 6) AS score
 FROM d, tot WHERE a + b > 0""")
 def _(t):
-    poll = F.col("poll_duration_ns")
-    counts = t.samples().groupBy("stack_id").agg(F.count_if(poll < CUT).alias("a"), F.count_if(poll >= CUT).alias("b"))
-    known = op.resolve_stacks(counts, t.stacks())
+    known = diff(t)
     d = op.diff_tree(known)
     total = known.agg(F.struct(F.sum("a").alias("a"), F.sum("b").alias("b"))).scalar()
     scored = d.withColumn("t", total)

@@ -1,7 +1,7 @@
 """Sample filters, stack counts and flamegraph trees.
 
-A tree is a flat node table: one row per root-to-node path. Samples are reduced to (stack_id, count) before the
-dictionary join, so the path explosion multiplies distinct stacks, never samples.
+A tree is a flat node table: one row per root-to-node path, keyed by the id of its prefix. Samples are reduced to (stack_id, count) before
+the dictionary join, so the path explosion multiplies distinct stacks, never samples.
 """
 
 from __future__ import annotations
@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from spoor.functions.buckets import edge_ns, log_bucket
 from spoor.plans.timeline import AUTO, running_sum, with_order
+from spoor.plans.trie import ROOT, SEP, numbered_paths, prefix_ids, prefix_tree, summed_to_top, with_text
 from spoor.session import cut_lineage
 
-SEP = ";"
-
 # Facet registry: a new facet is one more entry.
 FACETS: dict[str, Callable[[], Column]] = {
     "source": lambda: F.when(F.col("source") == 0, "cpu").when(F.col("source") == 1, "sched"),
@@ -92,47 +91,32 @@ def resolve_stacks(counts: DataFrame, stacks: DataFrame) -> DataFrame:
     return counts.join(stacks.select("stack_id", "frames").distinct(), "stack_id")
 
 
-def flamegraph_tree(resolved: DataFrame, weights: Sequence[str] = ("samples",), frames: str = "frames",
-                    root_first: bool = False, combine: bool = True) -> DataFrame:
-    """Node table (path, parent_path, depth, name, inclusive and ``self_`` weight per weight column).
+def root_path(frames: str = "frames") -> Column:
+    """Frames from the root to the leaf."""
+    return F.reverse(F.col(frames))
+
+
+def flamegraph_tree(resolved: DataFrame, weights: Sequence[str] = ("samples",), frames: str = "frames", root_first: bool = False) -> DataFrame:
+    """Node table: id, parent_id, path, parent_path, depth, name, inclusive and ``self_`` weight per weight column.
 
-    ``combine`` merges equal stacks before each is exploded into its prefixes; leave it out when rows already are
-    one per stack, as :func:`resolve_stacks` over :func:`stack_counts` gives them.
+    Nodes are told apart by their ids (``plans.trie``), also where a frame holds the separator of the text. Equal stacks are combined
+    node by node before the shuffle.
     """
-    path = F.col(frames) if root_first else F.reverse(F.col(frames))
-    rows = resolved.select(path.alias("_root"), *weights).filter(F.size("_root") > 0)
-    if combine:
-        rows = rows.groupBy("_root").agg(*[F.sum(w).alias(w) for w in weights])
-    nodes = rows.select(
-        "*", F.explode(F.sequence(F.lit(1), F.size("_root"))).alias("depth")
-    ).select(
-        F.array_join(F.slice("_root", 1, F.col("depth")), SEP).alias("path"),
-        F.element_at("_root", F.col("depth")).alias("name"), "depth",
-        F.length(F.element_at("_root", F.col("depth"))).alias("_len"),
-        (F.col("depth") == F.size("_root")).alias("_leaf"), *weights)
-    tree = nodes.groupBy("path", "depth", "name", "_len").agg(
-        *[F.sum(w).alias(w) for w in weights],
-        *[F.sum(F.when(F.col("_leaf"), F.col(w)).otherwise(F.lit(0))).alias(f"self_{w}") for w in weights])
-    parent = F.when(F.col("depth") > 1, F.expr(f"substring(path, 1, length(path) - _len - {len(SEP)})"))
-    return tree.withColumn("parent_path", parent).drop("_len")
+    paths = numbered_paths(resolved, F.col(frames) if root_first else root_path(frames), weights)
+    return with_text(prefix_tree(paths, weights), paths)
 
 
 def flat_layout(tree: DataFrame, total: Column | int | None = None, weight: str = "samples", floor: float = 0.0,
                 slot=AUTO) -> DataFrame:
-    """Drawable nodes: share of the total at least ``floor``; x = offsets of earlier siblings up the path."""
+    """Drawable nodes: share of the total at least ``floor``; x = offsets of earlier siblings, summed up to the top."""
     tree = cut_lineage(tree)  # read four times below; a tree is small beside its samples
     whole = tree.filter(F.col("depth") == 1).agg(F.sum(weight)).scalar() if total is None else F.lit(total)
-    sized = tree.withColumn("total", whole)
-    sized = sized.withColumn("_rank", -F.col(weight)).withColumn("_par", F.coalesce("parent_path", F.lit("")))
+    sized = tree.withColumn("total", whole).withColumn("_rank", -F.col(weight)).withColumn("_par", F.coalesce("parent_id", F.unhex(F.lit(ROOT))))
     offsets = with_order(sized, ["_par"], ["_rank", "name"], {"offset": running_sum(F.col(weight), False)}, slot)
-    parts = F.split("path", SEP)
-    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), SEP))
+    # a node weighs no more than those above it, so whatever lies above a drawn node is drawn
     drawn = offsets.filter(F.col(weight) / F.col("total") >= floor)
-    climbs = drawn.select("path", F.explode(ancestors).alias("_anc"))
-    x = (
-        climbs.join(offsets.select(F.col("path").alias("_anc"), F.col("offset")), "_anc")
-        .groupBy("path").agg(F.sum("offset").alias("x_units")))
-    return drawn.drop("offset").join(x, "path").select(
+    x = summed_to_top(drawn, "offset").withColumnRenamed("offset", "x_units")
+    return drawn.drop("offset").join(x, "id").select(
         "path", "depth", "name", weight, f"self_{weight}", (F.col("x_units") / F.col("total")).alias("x"),
         (F.col(weight) / F.col("total")).alias("w"))
 
@@ -158,18 +142,24 @@ def weighted_median_bucket(histogram: DataFrame) -> DataFrame:
     return ranked.filter(F.col("cum") * 2 >= total).agg(F.min("lo_ns").alias("median_lo_ns"))
 
 
-def diff_join(a: DataFrame, b: DataFrame, weight: str = "samples") -> DataFrame:
-    """Full outer merge of two trees by path."""
-    left = a.select("path", F.col(weight).alias("a"), F.col(f"self_{weight}").alias("self_a"))
-    right = b.select("path", F.col(weight).alias("b"), F.col(f"self_{weight}").alias("self_b"))
-    zero = F.lit(0).cast("bigint")
-    return left.join(right, "path", "full_outer").select(
-        "path", *[F.coalesce(c, zero).alias(c) for c in ("a", "b", "self_a", "self_b")])
+def diff_counts(samples: DataFrame, a: Column, b: Column) -> DataFrame:
+    """Samples of each stack in two scopes of one table, in one pass: stack_id, a, b."""
+    counts = samples.groupBy("stack_id").agg(F.count_if(a).alias("a"), F.count_if(b).alias("b"))
+    return counts.filter((F.col("a") > 0) | (F.col("b") > 0))
 
 
 def diff_tree(resolved: DataFrame) -> DataFrame:
-    """Both sides of a diff of one table in one pass: ``resolved`` carries the two counts ``a`` and ``b`` per stack."""
-    return flamegraph_tree(resolved, ("a", "b"), combine=False).select("path", "a", "b", "self_a", "self_b").filter((F.col("a") > 0) | (F.col("b") > 0))
+    """Both sides of a diff, node by node; ``resolved`` carries the two counts ``a`` and ``b`` per stack."""
+    paths = numbered_paths(resolved, root_path(), ("a", "b"))
+    nodes = prefix_tree(paths, ("a", "b")).filter((F.col("a") > 0) | (F.col("b") > 0))
+    return with_text(nodes, paths).select("id", "path", "a", "b", "self_a", "self_b")
+
+
+def diff_join(a: DataFrame, b: DataFrame, weight: str = "samples") -> DataFrame:
+    """Full outer merge of two resolved tables by node: both are stacked and add up in one aggregate, so neither is built first."""
+    zero = F.lit(0).cast("bigint")
+    return diff_tree(a.select("frames", F.col(weight).cast("bigint").alias("a"), zero.alias("b")).unionByName(
+        b.select("frames", zero.alias("a"), F.col(weight).cast("bigint").alias("b"))))
 
 
 def diff_score(a: Column, b: Column, total_a: Column, total_b: Column) -> Column:
@@ -205,10 +195,12 @@ def _pos(focus: str) -> str:
 
 def frame_search(resolved: DataFrame, text: str, weight: str = "samples") -> DataFrame:
     """Matching functions: inclusive total (once per stack), self total and number of call paths."""
-    rooted = resolved.groupBy(F.reverse("frames").alias("r")).agg(F.sum(weight).alias(weight))
-    hits = rooted.select("r", weight, F.explode(F.array_distinct("r")).alias("name")).filter(
+    # a site is the path down to the topmost call; its id stands for it
+    rooted = resolved.select(root_path().alias("r"), weight).filter(F.exists("r", lambda f: F.contains(F.lower(f), F.lit(text.lower()))))
+    rooted = rooted.withColumn("ids", prefix_ids(F.col("r")))
+    hits = rooted.select("r", "ids", weight, F.explode(F.array_distinct("r")).alias("name")).filter(
         F.contains(F.lower("name"), F.lit(text.lower())))
-    site = F.array_join(F.slice("r", F.lit(1), F.array_position("r", F.col("name")).cast("int")), SEP)
+    site = F.element_at("ids", F.array_position("r", F.col("name")).cast("int") + 1)
     return hits.groupBy("name").agg(
         F.sum(weight).alias("total"),
         F.sum(F.when(F.element_at("r", -1) == F.col("name"), F.col(weight)).otherwise(F.lit(0))).alias("self"),

@@ -140,7 +140,7 @@ def test_a_stack_of_many_files_counts_once(spark, tmp_path):
         tb.fold_write(spark, out, spark.createDataFrame([(f"f{k}",)], "source_key string"), {"samples": samples, "stacks": dictionary})
     assert tb.read_table(spark, out, "stacks").count() == 3 and tb.read_stacks(spark, out).count() == 1
     counts = stacks.stack_counts(tb.read_table(spark, out, "samples"))
-    tree = stacks.flamegraph_tree(stacks.resolve_stacks(counts, tb.read_table(spark, out, "stacks")), combine=False)
+    tree = stacks.flamegraph_tree(stacks.resolve_stacks(counts, tb.read_table(spark, out, "stacks")))
     assert tuples(tree, "path", "samples") == [("root", 3), ("root;leaf", 3)]
 
 
