@@ -19,7 +19,7 @@ from spoor.llm.block_names import exact_dedup, salted_md5  # noqa: E402
 from spoor.llm.chunk_dedup import chunk_starts, gear, gear_table, without_repeats  # noqa: E402
 from spoor.llm.components import components, spanning  # noqa: E402
 from spoor.llm.hilbert_packing import hilbert_index, hilbert_packing, tail_starts  # noqa: E402
-from spoor.llm.jaccard import similar_components  # noqa: E402
+from spoor.llm.jaccard import open_pairs, parity, prefixes, similar_components, star_pairs, verified  # noqa: E402
 from spoor.llm.lang_id import held_out, language_id, sampled  # noqa: E402
 from spoor.llm.piece_viterbi import Pieces, piece_ids  # noqa: E402
 from spoor.llm.risk_rules import binomial_at_most, certified, measure, quality_rules  # noqa: E402
@@ -284,6 +284,35 @@ def test_near_stage_against_brute_force(spark, awkward, nothing):
     assert similar_components(nothing).count() == 0
 
 
+def test_candidates_grow_with_the_rows(spark):
+    """Near copies of one text, and texts with one passage in common, make a few candidates each, however many there are."""
+    rng = np.random.default_rng(4)
+    base, passage = [f"w{x}" for x in rng.integers(0, 4000, 100)], [f"p{x}" for x in range(80)]
+    sizes = []
+    for n in (150, 300):
+        rows = []
+        for i in range(n):
+            copy = list(base)
+            copy[rng.integers(0, 100)] = f"x{i}"
+            rows += [" ".join(copy), " ".join([*passage, *(f"y{x}" for x in rng.integers(0, 1 << 30, 60))])]
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(4)
+        found = prefixes(docs)
+        stars = common.stored(star_pairs(found), "stars")
+        texts = docs.select(F.xxhash64("text").alias("node"), "text")
+        sizes.append((stars.count() / n, open_pairs(found, components(verified(stars, texts))).count()))
+        assert len({r.root for r in similar_components(docs).collect()}) == n + 1  # one group of copies; the texts with the passage stay apart
+    assert all(stars < 4 and left < n for stars, left in sizes), sizes
+
+
+def test_parity_bits_lose_no_pair():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = rng.integers(0, 1 << 63, int(rng.integers(1, 60)), dtype=np.uint64)
+        b = np.unique(np.concatenate([a[int(rng.integers(0, 4)):], rng.integers(0, 1 << 63, int(rng.integers(0, 4)), dtype=np.uint64)]))
+        a = np.unique(a)
+        assert int(np.bitwise_count((parity(a) ^ parity(b)).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+
+
 @pytest.mark.parametrize("parts", [4, 3])
 def test_pigeonhole_finds_every_link(spark, monkeypatch, parts):
     from spoor.llm import simhash
@@ -502,9 +531,7 @@ def test_stages(spark, real, awkward, nothing):
             groups = exact_groups(before)
             assert sorted(r.doc_id for r in after) == sorted(max(g) for g in groups.values())
         elif name == "near":
-            prints = {r.doc_id: fingerprint(r.text) for r in before}
-            label = linked(prints.values())
-            assert sorted(r.doc_id for r in after) == sorted(min(i for i, p in prints.items() if label[p] == root) for root in set(label.values()))
+            assert sorted(r.doc_id for r in after) == sorted(min(before[i].doc_id for i in g) for g in similar_groups(before))
         else:
             assert Counter(r.doc_id for r in after) == Counter(r.doc_id for r in before) and all(r.n_chars == len(r.text) for r in after if r.text)
         docs = out
