@@ -96,6 +96,17 @@ def _(t):
     return op.read_table(t.spark, fold_twice(t), "polls").groupBy("source_key").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ns").alias("busy_ns"))
 
 
+@query("compacted_table", f"WITH {PLACED} SELECT source_key, count(*) AS n, sum(duration_ns)::bigint AS busy_ns FROM pp GROUP BY 1")
+def _(t):
+    """Batches of which one replaces files of another, written as one; then the old ones go."""
+    out, p = fold_twice(t), polls(t)
+    late = p.filter(F.col("start_ns") >= 880_000_000_000_000_000).select("source_key").distinct()
+    op.fold_write(t.spark, out, late, {"polls": p.join(late, "source_key", "left_semi")}, replace=True)
+    op.compact(t.spark, out)
+    op.vacuum(t.spark, out)
+    return op.read_table(t.spark, out, "polls").groupBy("source_key").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ns").alias("busy_ns"))
+
+
 @query("folded_set", f"WITH {PLACED} SELECT DISTINCT source_key FROM pp")
 def _(t):
     return op.folded_set(t.spark, fold_twice(t))

@@ -29,7 +29,7 @@ def test_fold_is_idempotent_and_marks_empty_files(spark, tmp_path):
     assert tuples(tb.folded_set(spark, out), "source_key") == [("a",), ("empty",)]
     tb.fold_write(spark, out, spark.createDataFrame([("b",)], "source_key string"), {"polls": poll_rows(spark, "b", 2)})
     assert tb.read_table(spark, out, "polls").groupBy("source_key").count().count() == 2
-    # A crash before the ledger: the same file written again replaces its own rows only.
+    # The same file written again replaces its own rows only.
     tb.write_polls(poll_rows(spark, "b", 2).withColumn("leaf", tb.leaf(F.col("source_key"))), out)
     assert tb.read_table(spark, out, "polls").count() == 5
 
@@ -151,3 +151,83 @@ def test_a_file_named_again_can_be_replaced(spark, tmp_path):
     assert tb.read_table(spark, out, "polls").count() == 3
     tb.fold_write(spark, out, key, {"polls": poll_rows(spark, "a", 5)}, replace=True)
     assert tb.read_table(spark, out, "polls").count() == 5
+
+
+def many_files(spark, names, rows=4, dates=2):
+    table = spark.range(rows).crossJoin(spark.createDataFrame([(n,) for n in names], "source_key string"))
+    return table.select("source_key", F.col("id").alias("start_ns"), (F.col("id") + 5).alias("end_ns"), F.lit(5).cast("bigint").alias("duration_ns"), F.lit("svc").alias("service"),
+                        F.concat(F.lit("d"), (F.col("id") % dates).cast("string")).alias("date"), F.lit("h").alias("host"))
+
+
+def keys_of(spark, names):
+    return spark.createDataFrame([(n,) for n in names], "source_key string")
+
+
+def counts(spark, out):
+    return dict(tb.read_table(spark, out, "polls").groupBy("source_key").count().collect())
+
+
+def test_files_do_not_grow_with_the_sources(spark, tmp_path):
+    found = []
+    for n in (3, 300):
+        out, names = str(tmp_path / str(n)), [f"s{i}" for i in range(n)]
+        tb.fold_write(spark, out, keys_of(spark, names), {"polls": many_files(spark, names)})
+        assert counts(spark, out) == dict.fromkeys(names, 4)
+        found.append(len(list((tmp_path / str(n) / "polls").rglob("*.parquet"))))
+        folders = {p.relative_to(tmp_path / str(n) / "polls").as_posix() for p in (tmp_path / str(n) / "polls").rglob("date=*")}
+        assert folders == {"batch=1/service=svc/date=d0", "batch=1/service=svc/date=d1"}
+    assert found[1] == found[0]
+
+
+def test_a_batch_that_dies_is_not_seen_and_can_be_repeated(spark, tmp_path, monkeypatch):
+    out = str(tmp_path)
+    tb.fold_write(spark, out, keys_of(spark, ["a"]), {"polls": many_files(spark, ["a"])})
+    batch = {"polls": many_files(spark, ["b"], 6), "stacks": spark.createDataFrame([("s", ["f"], "svc", "d", "h", "b")], "stack_id string, frames array<string>, service string, date string, host string, source_key string")}
+
+    def killed(df, folder, table, number, write=tb._write_rows):
+        write(df, folder, table, number)
+        if table == "polls":
+            raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(tb, "_write_rows", killed)
+        with pytest.raises(KeyboardInterrupt):
+            tb.fold_write(spark, out, keys_of(spark, ["b"]), batch)
+    assert counts(spark, out) == {"a": 4} and tb.read_table(spark, out, "stacks").isEmpty() and tuples(tb.folded_set(spark, out), "source_key") == [("a",)]
+    tb.fold_write(spark, out, keys_of(spark, ["b"]), batch)
+    tb.fold_write(spark, out, keys_of(spark, ["b"]), batch)
+    assert counts(spark, out) == {"a": 4, "b": 6} and tb.read_table(spark, out, "stacks").count() == 1
+    assert tb.vacuum(spark, out) == 2  # polls and stacks of the batch that died
+    assert counts(spark, out) == {"a": 4, "b": 6} and tb.read_table(spark, out, "stacks").count() == 1
+
+
+def test_replacing_a_file_touches_no_other_and_compaction_keeps_the_rows(spark, tmp_path):
+    out = str(tmp_path)
+    names = ["a", "b", "c"]
+    tb.fold_write(spark, out, keys_of(spark, names), {"polls": many_files(spark, names).withColumn("origin", F.lit("x"))})
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    tb.fold_write(spark, out, keys_of(spark, ["b"]), {"polls": many_files(spark, ["b"], 9)}, replace=True)
+    tb.fold_write(spark, out, keys_of(spark, ["d"]), {"polls": many_files(spark, ["d"], 2).withColumn("date", F.lit("007")).withColumn("later", F.lit(1))})
+    tb.fold_write(spark, out, keys_of(spark, ["b"]), {"polls": many_files(spark, ["b"], 7)}, replace=True)
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items())
+    want = {"a": 4, "b": 7, "c": 4, "d": 2}
+    assert counts(spark, out) == want
+    assert len(tb.committed(spark, out)[1]) == 4
+    tb.compact(spark, out)
+    tb.compact(spark, out)  # nothing left to do
+    assert tb.committed(spark, out) == (5, [5]) and counts(spark, out) == want
+    assert tuples(tb.folded_set(spark, out), "source_key") == [("a",), ("b",), ("c",), ("d",)]
+    assert tb.vacuum(spark, out) > 0 and counts(spark, out) == want
+    assert [p.name for p in (tmp_path / "polls").iterdir() if p.is_dir()] == ["batch=5"]
+    assert tb.read_table(spark, out, "polls", "origin string").filter("origin = 'x'").count() == 8 and tb.read_table(spark, out, "polls", "later int").filter("later = 1 AND date = '007'").count() == 2  # columns beyond the schema outlive compaction
+    tb.fold_write(spark, out, keys_of(spark, ["a"]), {"polls": many_files(spark, ["a"], 1)}, replace=True)
+    tb.fold_write(spark, out, keys_of(spark, ["c"]), {"polls": many_files(spark, ["c"], 1)})  # known already
+    assert counts(spark, out) == {**want, "a": 1}
+
+
+def test_an_empty_store(spark, tmp_path):
+    out = str(tmp_path / "none")
+    assert tb.read_table(spark, out, "spans").count() == 0 and tb.folded_set(spark, out).count() == 0 and tb.vacuum(spark, out) == 0
+    tb.compact(spark, out)
+    tb.fold_write(spark, out, keys_of(spark, []), {"polls": many_files(spark, [])})
+    assert tb.committed(spark, out) == (0, [])
