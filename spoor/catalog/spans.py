@@ -376,11 +376,9 @@ DEPTH = """dep AS (SELECT s.source_key, s.span_id, CASE WHEN parent_span_id IS N
 
 @query("enclosing_spans", f"""WITH RECURSIVE {DEPTH}, {HITS} SELECT source_key, span_id, depth, count(*) AS samples, min(sample_id) AS first_sample FROM hits JOIN dep USING (source_key, span_id) GROUP BY 1, 2, 3""")
 def _(t):
-    from spoor.plans.interval_join import point_in_intervals
-
-    spans = t.spans().select("source_key", "span_id", "worker_id", "start_ns", "end_ns").join(op.span_depth(t.spans()), ["source_key", "span_id"])
-    hits = point_in_intervals(span_samples(t), spans, ["worker_id"], "ts_ns", "start_ns", "end_ns")
-    return hits.groupBy("source_key", "span_id", "depth").agg(F.count(F.lit(1)).alias("samples"), F.min("sample_id").alias("first_sample"))
+    spans = t.spans()
+    return op.enclosing_spans(span_samples(t), spans).join(op.span_depth(spans), ["source_key", "span_id"]).select(
+        "source_key", "span_id", "depth", "samples", "first_sample")
 
 
 @query("interval_overlap", """SELECT source_key, span_id FROM v_spans s WHERE EXISTS (SELECT 1 FROM v_polls p WHERE p.worker_id = s.worker_id AND p.start_ns < s.end_ns AND p.end_ns > s.start_ns)""")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spoor.operators.rebuild import ORDER, TASK
+from spoor.operators.rebuild import ORDER, TASK, merge_intervals
 from spoor.plans.ranks import order_statistics
 from spoor.plans.timeline import AUTO, asof, measure_slot, prev, running_sum, with_order
 
@@ -247,15 +247,27 @@ def task_detail(poll_rows: DataFrame, delays: DataFrame, events: DataFrame, task
         F.when(F.col("wake_ns").isNotNull(), waker_label(F.col("waker_task_id"), F.col("waker_loc"))).alias("waker"))
 
 
-def event_task(custom: DataFrame, poll_rows: DataFrame) -> DataFrame:
+def event_task(custom: DataFrame, poll_rows: DataFrame, slot=AUTO) -> DataFrame:
     """Task of a custom event: its own field, else the task polled on its worker then, else the only task polled
-    anywhere in the source then."""
-    from spoor.plans.interval_join import point_in_intervals
-
-    runs = poll_rows.select("source_key", F.col("worker_id").alias("run_worker"), "start_ns", "end_ns", F.col("task_id").alias("run_task"))
-    hits = point_in_intervals(custom.filter(F.col("own_task").isNull()).select("source_key", "seq", "ts_ns", "worker_id"), runs, ["source_key"], "ts_ns", "start_ns", "end_ns")
-    found = hits.groupBy("source_key", "seq").agg(
-        F.max(F.when(F.col("run_worker") == F.col("worker_id"), F.col("run_task"))).alias("on_worker"),
-        F.min("run_task").alias("_a"), F.max("run_task").alias("_b"))
-    return custom.join(found, ["source_key", "seq"], "left").select(
-        "source_key", "seq", F.coalesce("own_task", "on_worker", F.when(F.col("_a") == F.col("_b"), F.col("_a"))).alias("task_id"))
+    anywhere in the source then.
+
+    One sweep over a source's polls keeps the number of tasks that are being polled and the sum of their ids; where the number is one, the sum is the
+    task. Polls of a worker follow each other, so its latest start decides. Both are as-of lookups: no event meets more than one
+    row, however many workers its source has.
+    """
+    told, open_ = custom.filter(F.col("own_task").isNotNull()), custom.filter(F.col("own_task").isNull())
+    polls = poll_rows.filter((F.col("start_ns") < F.col("end_ns")) & F.col("task_id").isNotNull())
+    runs = polls.filter(F.col("worker_id").isNotNull()).select(
+        "source_key", "worker_id", F.col("start_ns").alias("run_start"), F.col("end_ns").alias("run_end"), F.col("task_id").alias("run_task"))
+    # a task that several polls hold at once counts once
+    spells = merge_intervals(polls.select("source_key", "task_id", "start_ns", "end_ns"), ["source_key", "task_id"], slot)
+    edge = lambda at, sign: F.struct(F.col(at).alias("at"), F.lit(sign).alias("n"), (F.lit(sign) * F.col("task_id").cast("decimal(38,0)")).cast("decimal(38,0)").alias("ids"))
+    edges = spells.select("source_key", F.explode(F.array(edge("start_ns", 1), edge("end_ns", -1))).alias("e")).select("source_key", "e.*")
+    edges = edges.groupBy("source_key", "at").agg(F.sum("n").alias("n"), F.sum("ids").cast("decimal(38,0)").alias("ids"))
+    level = with_order(edges, ["source_key"], ["at"], {"open_tasks": running_sum(F.col("n")), "id_sum": running_sum(F.col("ids"))}, slot)
+    at = asof(open_.select("source_key", "seq", "ts_ns", "worker_id"), runs, ["source_key", "worker_id"], "ts_ns", "run_start", ["run_end", "run_task"], slot=slot)
+    at = asof(at, level, ["source_key"], "ts_ns", "at", ["open_tasks", "id_sum"], slot=slot)
+    on_worker = F.when(F.col("worker_id").isNotNull() & (F.col("ts_ns") < F.col("run_end")), F.col("run_task"))
+    sole = F.when(F.col("open_tasks") == 1, F.col("id_sum").cast("bigint"))
+    return told.select("source_key", "seq", F.col("own_task").alias("task_id")).unionByName(
+        at.select("source_key", "seq", F.coalesce(on_worker, sole).alias("task_id")))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from spoor.functions.buckets import edge, span_bucket, span_bucket_bounds, ZERO_BUCKET
 from spoor.operators.rebuild import LANE, ORDER, TASK, TID, handoff_gaps, merge_intervals, thread_gaps, tid_bindings, time_slot
+from spoor.plans.forest import PIECE, forest, innermost, nested_pieces, totals_below
 from spoor.plans.interval_join import interval_pairs, point_in_intervals
 from spoor.plans.ranks import order_statistics, value_counts
 from spoor.plans.timeline import AUTO, asof, following, measure_slot, prev, running_max, running_min, running_sum, with_order
@@ -471,6 +472,23 @@ def samples_per_span(samples: DataFrame, intervals: DataFrame, keys=("worker_id"
         F.sum(F.col("sign") * F.coalesce("sched", F.lit(0))).alias("sched_samples")).filter("cpu_samples + sched_samples > 0")
 
 
+def enclosing_spans(samples: DataFrame, spans: DataFrame, keys=("worker_id",), ids=("source_key", "span_id"), slot=AUTO) -> DataFrame:
+    """Every span with the samples of its lane that fall into it: ids, samples, first_sample (smallest sample_id); spans without any are left out.
+
+    Samples are counted at the innermost piece that holds them (``plans.forest``) and added up outwards, so there are no (sample, span)
+    rows, however deep spans nest. Intervals of one span are merged first, so a sample counts once for it.
+    """
+    keys, ids = list(keys), list(ids)
+    active = merge_intervals(spans.select(*keys, *ids, *PIECE).filter(F.col("start_ns") < F.col("end_ns")), [*keys, *ids], slot)
+    pieces = cut_lineage(nested_pieces(active, keys, ids, slot))
+    nodes = cut_lineage(forest(pieces, keys, slot))
+    inner = innermost(samples.select(*keys, "ts_ns", "sample_id"), nodes, keys, slot=slot).filter(F.col("in_start").isNotNull())
+    own = inner.groupBy(*keys, F.col("in_start").alias("start_ns"), F.col("in_end").alias("end_ns")).agg(
+        F.count(F.lit(1)).alias("samples"), F.min("sample_id").alias("first_sample"))
+    filled = totals_below(nodes.join(own, [*keys, *PIECE], "left"), keys, {"samples": "sum", "first_sample": "min"}).filter(F.col("samples") > 0)
+    return pieces.join(filled, [*keys, *PIECE]).groupBy(*ids).agg(F.sum("samples").alias("samples"), F.min("first_sample").alias("first_sample"))
+
+
 def overlapping_any(left: DataFrame, right: DataFrame, keys, left_span=("start_ns", "end_ns"), right_span=("start_ns", "end_ns"), slot=AUTO) -> DataFrame:
     """Left intervals overlapped by at least one right interval of their keys, without forming pairs: of the right
     intervals that start before the left one ends, the furthest end decides."""
