@@ -58,6 +58,25 @@ def _(t):
     return fr.symbolize(samples, symbols).select("stack_id", F.array_join("frames", ";").alias("stack"))
 
 
+PROCESS_NAME = "concat('fn', addr, '_', d, CASE WHEN host = 2 THEN '@2' ELSE '' END)"
+
+
+@query("symbolize_processes", f"""WITH sy AS (SELECT DISTINCT host, l_partkey AS addr, d AS inline_depth, {PROCESS_NAME.replace('addr', 'l_partkey')} AS name FROM lineitem, (SELECT unnest([0, 1, 2]) AS d), (SELECT unnest([0, 1, 2]) AS host)
+ WHERE d <= l_partkey % 3 AND l_quantity >= 48),
+s AS (SELECT user_id % 4 AS host, event_id AS stack_id, [floor(value)::bigint, user_id, event_id % 2000] AS c FROM events), x AS (SELECT host, stack_id, unnest(c) AS addr, generate_subscripts(c, 1) AS i FROM s),
+j AS (SELECT x.*, coalesce(name, concat('0x', lower(to_hex(x.addr)))) AS f, coalesce(inline_depth, 0) AS d FROM x LEFT JOIN sy ON sy.addr = x.addr AND sy.host = x.host)
+SELECT host, stack_id, array_to_string(list(f ORDER BY i, d DESC), ';') AS stack FROM j GROUP BY 1, 2""")
+def _(t):
+    """Four processes with the same addresses: two share an image, one has other names, one has no symbols."""
+    e = t.table("events")
+    samples = e.select((F.col("user_id") % 4).alias("host"), F.col("event_id").alias("stack_id"), F.array(F.floor("value"), F.col("user_id"), F.col("event_id") % 2000).alias("callchain"))
+    part = t.table("lineitem").filter(F.col("l_quantity") >= 48).select(F.col("l_partkey").alias("addr")).distinct()
+    known = part.withColumn("inline_depth", F.explode(F.array(*[F.lit(i) for i in range(3)]))).filter(F.col("inline_depth") <= F.col("addr") % 3)
+    symbols = known.withColumn("host", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(3)]))).withColumn(
+        "symbol_name", F.concat(F.lit("fn"), F.col("addr").cast("string"), F.lit("_"), F.col("inline_depth").cast("string"), F.when(F.col("host") == 2, "@2").otherwise("")))
+    return fr.symbolize(samples, symbols, keys=("host",)).select("host", "stack_id", F.array_join("frames", ";").alias("stack"))
+
+
 @query("quantize", """WITH p AS (SELECT l_orderkey AS o, l_linenumber AS n, duration_ns AS v FROM (SELECT l_orderkey, l_linenumber, cast(floor(l_extendedprice * 500) AS bigint) AS duration_ns FROM lineitem)),
 b AS (SELECT *, cast(floor(log2(v)) AS int) AS oc FROM p) SELECT v, count(*) AS n, v // 10000 * 10000 AS ns, CASE WHEN v < 1024 THEN v ELSE ((v >> (oc - 9)) + 1) << (oc - 9) END AS num,
  CASE WHEN v <= 2 THEN v + 2 WHEN (1::bigint << oc) // 4 * 7 + 1 = v THEN v + (1::bigint << oc) // 4 ELSE (1::bigint << oc) // 4 * 7 + 1 END AS bucket FROM b GROUP BY ALL""")

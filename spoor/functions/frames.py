@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +58,45 @@ def _any(conds):
     return out
 
 
-def symbolize(samples: DataFrame, symbols: DataFrame, id_col: str = "stack_id") -> DataFrame:
+def shared_images(symbols: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The image of every process (keys, image) and each image's symbols once (image, addr, inline_depth, symbol_name).
+
+    An image is named by its content: processes whose symbols are the same, in whatever order and number of copies, share one. The name is
+    made of sums of two hashes, so no table is gathered or sorted.
+    """
+    rows = symbols.select(*keys, "addr", F.coalesce("inline_depth", F.lit(0)).alias("inline_depth"), "symbol_name")
+    rows = rows.groupBy(*keys, "addr", "inline_depth").agg(F.min("symbol_name").alias("symbol_name"))
+    content = ("addr", "inline_depth", "symbol_name")
+    total = lambda tag: F.sum(F.xxhash64(F.lit(tag), *content).cast("decimal(38,0)")).cast("string")
+    images = rows.groupBy(*keys).agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), total("a"), total("b")), 256).alias("image"))
+    owner = images.groupBy("image").agg(F.min(F.struct(*keys)).alias("k")).select("image", *[F.col(f"k.{k}").alias(k) for k in keys])
+    return images, rows.join(owner, list(keys)).select("image", *content)
+
+
+def symbolize(samples: DataFrame, symbols: DataFrame, id_col: str = "stack_id", keys: Sequence[str] = ()) -> DataFrame:
     """Address stacks to frame stacks, leaf to root: inlined callees come innermost first, an unknown address stays
-    as hex text. Each distinct stack is resolved once; ``symbols``: addr, inline_depth, symbol_name."""
-    stacks = samples.select(id_col, "callchain").distinct()
-    addrs = stacks.select(id_col, F.posexplode("callchain").alias("pos", "addr"))
-    hit = addrs.join(symbols, "addr", "left")
+    as hex text. Each distinct stack is resolved once; ``symbols``: addr, inline_depth, symbol_name.
+
+    With ``keys`` (those of a process) an address means what its own process's image has there: both sides carry the keys, stacks of
+    processes with one image are resolved once, and the result has the keys too. An address listed twice at one depth counts once.
+    """
+    keys = list(keys)
+    if keys:
+        images, table = shared_images(symbols, keys)
+        own = samples.select(*keys, id_col, "callchain").join(images, keys, "left")
+        groups = ["image", id_col]
+    else:
+        own, table, groups = samples, symbols.groupBy("addr", "inline_depth").agg(F.min("symbol_name").alias("symbol_name")), [id_col]
+    stacks = own.select(*groups, "callchain").distinct()
+    addrs = stacks.select(*groups, "callchain", F.posexplode("callchain").alias("pos", "addr"))
+    hit = addrs.join(table, ["image", "addr"] if keys else ["addr"], "left")
     text = F.coalesce("symbol_name", F.concat(F.lit("0x"), F.lower(F.hex("addr"))))
     item = F.struct("pos", (-F.coalesce("inline_depth", F.lit(0))).alias("order"), text.alias("frame"))
-    return hit.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("f")).select(
-        id_col, F.transform("f", lambda x: x["frame"]).alias("frames"))
+    # an id may stand for different addresses in different processes of one image
+    found = hit.groupBy(*groups, "callchain").agg(F.array_sort(F.collect_list(item)).alias("f")).select(
+        *groups, "callchain", F.transform("f", lambda x: x["frame"]).alias("frames"))
+    if not keys:
+        return found.select(id_col, "frames")
+    same = own.select(*keys, *groups, "callchain").distinct().alias("o").join(
+        found.alias("f"), F.expr(f"o.image <=> f.image AND o.`{id_col}` = f.`{id_col}` AND o.callchain = f.callchain"))
+    return same.select(*[F.col(f"o.{k}").alias(k) for k in keys], F.col(f"o.{id_col}").alias(id_col), "f.frames")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from spoor.operators.rebuild import LIFECYCLE, ORDER
 from spoor.plans.timeline import AUTO, following, measure_slot, running_max, running_sum, with_order
 from spoor.sources.tables import path_exists
+from spoor.streaming.tiers import read_parts, write_part
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
     """Files as they arrive, each whole in one batch. A file that cannot be read stops the stream; see ``fold_files``."""
@@ -95,33 +96,43 @@ def latest_snapshot(spark: SparkSession, out: str) -> DataFrame:
     return table.filter(F.col("version") == table.agg(F.max("version")).scalar()).drop("version")
 
 
+RATES = "start_us bigint, kind string, n bigint"
+RUNS = "host string, start_us bigint, end_us bigint, n bigint"
+
+
 def windowed_rates(events: DataFrame, out: str, checkpoint: str, width_us: int = 10_000_000) -> None:
-    """Events per kind and time window (of ``ts_us``). Every batch writes its own counts under its number, so a repeated batch replaces
-    itself; ``read_rates`` adds them up. A row counts however late it comes, and open windows are there from their first event."""
+    """Events per kind and time window (of ``ts_us``). Every batch writes its own counts under its number, and tiers of parts are added up as they
+    fill (``streaming.tiers``); ``read_rates`` adds what is left. A row counts however late it comes, and open windows are there from their
+    first event."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         start = F.expr(f"ts_us - pmod(ts_us, {width_us})").alias("start_us")
-        batch.groupBy(start, "kind").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        write_part(batch.groupBy(start, "kind").agg(F.count(F.lit(1)).alias("n")), out, batch_id, added_rates)
 
     run_available(events, write, checkpoint, "append")
 
 
+def added_rates(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("start_us", "kind").agg(F.sum("n").alias("n"))
+
+
 def read_rates(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).groupBy("start_us", "kind").agg(F.sum("n").alias("n"))
+    return added_rates(read_parts(spark, out, RATES))
 
 
 def coverage_sessions(events: DataFrame, out: str, checkpoint: str, gap_us: int = 60_000_000) -> None:
-    """Runs of activity per host without a gap of the given length: each batch's own runs, which ``read_sessions`` joins across batches."""
+    """Runs of activity per host without a gap of the given length: each batch's own runs, joined across batches as tiers of parts fill, and
+    for the rest by ``read_sessions``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select("host", F.col("ts_us").alias("start_us"), (F.col("ts_us") + gap_us).alias("end_us"), F.lit(1).cast("bigint").alias("n"))
-        joined_runs(rows).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        write_part(joined_runs(rows), out, batch_id, joined_runs)
 
     run_available(events, write, checkpoint, "append")
 
 
 def read_sessions(spark: SparkSession, out: str) -> DataFrame:
-    return joined_runs(spark.read.parquet(out).drop("batch"))
+    return joined_runs(read_parts(spark, out, RUNS))
 
 
 def joined_runs(runs: DataFrame, slot=AUTO) -> DataFrame:
