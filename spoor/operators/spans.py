@@ -91,41 +91,37 @@ def spans_enter_exit(events: DataFrame, polls: DataFrame, slot=AUTO) -> DataFram
     slot = time_slot(events, slot)
     segmented = close_segments(events, slot)
     lanes = pairing_lanes(segmented, polls, slot)
-    pairs = cut_lineage(pair_lifo(lanes, [*SPAN, "lane"], slot))  # read four times below
-    pos = F.struct(*ORDER)
-    is_enter, is_exit = F.col("kind") == "SpanEnter", F.col("kind") == "SpanExit"
-    frame = segmented.groupBy(*SPAN).agg(
-        F.min(F.when(is_enter, F.col("ts_ns"))).alias("first_enter"), F.max(F.when(F.col("kind") == "SpanClose", F.col("ts_ns"))).alias("close_ns"),
-        F.min_by("span_name", F.when(is_enter, pos)).alias("name"),
-        F.min_by("parent_span_id", F.when(is_enter, pos)).alias("parent_span_id"),
-        F.min_by("attributes", F.when(is_enter, pos)).alias("_enter_attrs"),
-        F.max_by("attributes", F.when(is_exit & (F.size("attributes") > 0), pos)).alias("_exit_attrs"))
+    pairs = cut_lineage(pair_lifo(lanes, [*SPAN, "lane"], slot))  # read three times below
     done = pairs.filter(F.col("state") == "paired")
-    tally = pairs.groupBy(*SPAN).agg(
-        F.count_if(F.col("state") == "paired").alias("intervals"), F.count_if(F.col("state") == "unmatched_enter").alias("unbalanced_enters"),
-        F.count_if(F.col("state") == "unmatched_exit").alias("unbalanced_exits"),
-        F.sum(F.when(F.col("state") == "paired", F.col("end_ns") - F.col("start_ns"))).alias("active_ns"),
-        F.max(F.when(F.col("state") == "paired", F.col("end_ns"))).alias("last_exit"),
-        F.min(F.when(F.col("state") == "paired", F.col("start_ns"))).alias("first_start"),
-        F.min(F.when(F.col("state") == "paired", F.col("lane"))).alias("_lo"), F.max(F.when(F.col("state") == "paired", F.col("lane"))).alias("_hi"))
     entered = merge_intervals(done, SPAN, slot)
-    observed = entered.groupBy(*SPAN).agg(F.sum(F.col("end_ns") - F.col("start_ns")).alias("observed_active_wall_ns"))
     tasked = polls.select("source_key", F.col("task_id").alias("owner")).filter(F.col("owner") != 0).distinct()
-    owners = (
-        tally.filter((F.col("intervals") > 0) & (F.col("_lo") == F.col("_hi")) & (F.col("_lo") != UNKNOWN_TASK))
-        .select(*SPAN, F.col("_lo").alias("owner")).join(tasked, ["source_key", "owner"], "left_semi"))
-    owned = entered.join(owners, SPAN).withColumnRenamed("owner", "task_id")
-    cpu = overlap_time(owned, polls).groupBy(*SPAN).agg(F.sum("overlap_ns").alias("on_cpu"))
-    rows = (
-        frame.join(tally, SPAN, "left").join(observed, SPAN, "left").join(owners, SPAN, "left").join(cpu, SPAN, "left")
-        .filter(F.col("close_ns").isNotNull() | (F.col("intervals") > 0)))
+    owners = cut_lineage(
+        done.groupBy(*SPAN).agg(F.min("lane").alias("owner"), F.max("lane").alias("_hi")).filter((F.col("owner") == F.col("_hi")) & (F.col("owner") != UNKNOWN_TASK))
+        .drop("_hi").join(tasked, ["source_key", "owner"], "left_semi"))
+    owned = cut_lineage(entered.join(owners, SPAN).withColumnRenamed("owner", "task_id"))  # the join looks at it more than once
+    # everything known of a span, row by row under its key, meets in one aggregate
+    stacked = segmented.select(*SPAN, F.struct(*ORDER).alias("pos"), "kind", "ts_ns", "span_name", "parent_span_id", "attributes")
+    for part in (pairs.select(*SPAN, "state", "start_ns", "end_ns"), entered.select(*SPAN, (F.col("end_ns") - F.col("start_ns")).alias("wall")),
+                 owners, overlap_time(owned, polls).select(*SPAN, "overlap_ns")):
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    entry = F.when(F.col("kind") == "SpanEnter", F.col("pos"))
+    paired = lambda c: F.when(F.col("state") == "paired", c)
+    rows = stacked.groupBy(*SPAN).agg(
+        F.min(F.when(F.col("kind") == "SpanEnter", F.col("ts_ns"))).alias("first_enter"), F.max(F.when(F.col("kind") == "SpanClose", F.col("ts_ns"))).alias("close_ns"),
+        F.min_by("span_name", entry).alias("name"), F.min_by("parent_span_id", entry).alias("parent_span_id"), F.min_by("attributes", entry).alias("_enter_attrs"),
+        F.max_by("attributes", F.when((F.col("kind") == "SpanExit") & (F.size("attributes") > 0), F.col("pos"))).alias("_exit_attrs"),
+        F.count_if(F.col("state") == "paired").alias("intervals"), F.count_if(F.col("state") == "unmatched_enter").alias("unbalanced_enters"),
+        F.count_if(F.col("state") == "unmatched_exit").alias("unbalanced_exits"), F.sum(paired(F.col("end_ns") - F.col("start_ns"))).alias("active_ns"),
+        F.max(paired(F.col("end_ns"))).alias("last_exit"), F.min(paired(F.col("start_ns"))).alias("first_start"),
+        F.sum("wall").alias("observed_active_wall_ns"), F.max("owner").alias("owner"), F.sum("overlap_ns").alias("on_cpu"))
+    rows = rows.filter(F.col("close_ns").isNotNull() | (F.col("intervals") > 0))
     wall = F.coalesce("observed_active_wall_ns", F.lit(0))
     start = F.coalesce("first_enter", "first_start", "close_ns")
     rows = rows.select(
         *SPAN, F.coalesce("name", F.lit("")).alias("name"), "parent_span_id", start.alias("start_ns"),
         F.coalesce("close_ns", "last_exit").alias("end_ns"), "active_ns", wall.alias("observed_active_wall_ns"),
         (F.coalesce("active_ns", F.lit(0)) > wall + 1).alias("concurrent"),
-        F.coalesce("unbalanced_enters", F.lit(0)).alias("unbalanced_enters"), F.coalesce("unbalanced_exits", F.lit(0)).alias("unbalanced_exits"),
+        "unbalanced_enters", "unbalanced_exits",
         F.when(F.col("owner").isNotNull(), F.least(F.coalesce("on_cpu", F.lit(0)), wall)).alias("on_cpu_ns_est"),
         F.when(F.col("first_enter").isNotNull(), F.coalesce("_exit_attrs", "_enter_attrs")).alias("attributes"),
         F.when(F.col("owner").isNotNull(), 0b1011).otherwise(0b1111).alias("attribution_flags"))
