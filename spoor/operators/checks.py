@@ -125,26 +125,32 @@ def wake_delay(delays: DataFrame, floor_ns: int) -> DataFrame:
 
 
 def setup_checks(events: DataFrame, samples: DataFrame, symbols: DataFrame, metadata: DataFrame) -> DataFrame:
-    """How the recording was made: frame pointers, wake events, symbols, scheduler events, task polls, and how many sources were
-    recorded without the unstable flag (``metadata``: source_key and a map)."""
-    e = events.agg(
-        F.count_if(F.col("kind") == "TaskSpawn").alias("spawns"), F.count_if(F.col("kind") == "Wake").alias("wakes"),
-        F.count_if(F.col("kind") == "WorkerUnpark").alias("unparks"), F.count_if(F.col("kind") == "PollStart").alias("polls"))
-    on = F.col("source") == 0
-    s = samples.agg(F.count_if(on).alias("on"), F.count_if(~on).alias("off"), F.avg(F.when(on, F.size("frames"))).alias("depth"))
-    addrs = samples.filter(on).select(F.explode("frames").alias("a")).distinct().agg(F.count(F.lit(1))).scalar()
-    known = symbols.agg(F.count(F.lit(1))).scalar()
-    placed = symbols.agg(F.count_if(F.coalesce("location", F.lit("")) != "")).scalar()
-    pointers = finding(s.filter((F.col("on") > 10) & (F.col("depth") < 3)), "missing-frame-pointers", "critical", F.lit("trace"), F.col("depth"))
-    wakes = finding(e.filter((F.col("spawns") > 0) & (F.col("wakes") == 0)), "missing-wake-events", "warning", F.lit("trace"), F.col("spawns"))
-    facts = s.withColumn("addrs", addrs).withColumn("known", known).withColumn("placed", placed)
+    """How each source was recorded: frame pointers, wake events, symbols, scheduler events, task polls, and the unstable flag
+    (``metadata``: source_key and a map). One finding a source and fault, so a healthy process hides no other; all tables carry source_key."""
+    key, on = "source_key", F.col("source") == 0
+    unstable = F.coalesce(F.col("metadata")["unstable"], F.lit("false")) == "true"
+    per_source = [
+        events.groupBy(key).agg(*[F.count_if(F.col("kind") == kind).alias(name) for kind, name in (("TaskSpawn", "spawns"), ("Wake", "wakes"), ("WorkerUnpark", "unparks"), ("PollStart", "polls"))]),
+        samples.groupBy(key).agg(F.count_if(on).alias("on"), F.count_if(~on).alias("off"), F.avg(F.when(on, F.size("frames"))).alias("depth")),
+        samples.filter(on).select(key, F.explode("frames").alias("a")).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("addrs")),
+        symbols.groupBy(key).agg(F.count(F.lit(1)).alias("known"), F.count_if(F.coalesce("location", F.lit("")) != "").alias("placed")),
+        metadata.groupBy(key).agg(F.count_if(unstable).alias("flagged"), F.count_if(~unstable).alias("unflagged"))]
+    stacked = per_source[0]
+    for more in per_source[1:]:
+        stacked = stacked.unionByName(more, allowMissingColumns=True)
+    counts = [c for c in stacked.columns if c not in (key, "depth")]
+    facts = stacked.groupBy(key).agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts], F.max("depth").alias("depth"))
     thin = (F.col("known") == 0) | ((F.col("known") / F.col("addrs") < 0.1) & (F.col("placed") == 0))
-    names = finding(facts.filter((F.col("on") > 10) & (F.col("addrs") > 0) & thin), "missing-debug-symbols", "warning", F.lit("trace"), F.col("known"))
-    sched = finding(s.filter((F.col("on") > 0) & (F.col("off") == 0)), "no-scheduling-events", "info", F.lit("trace"), F.col("on"))
-    stable = metadata.filter(F.coalesce(F.col("metadata")["unstable"], F.lit("false")) != "true").agg(F.count(F.lit(1)).alias("n"))
-    flag = finding(stable.filter(F.col("n") > 0), "no-unstable-flag", "warning", F.lit("trace"), F.col("n"))
-    flagged = metadata.agg(F.count_if(F.col("metadata")["unstable"] == "true")).scalar()
-    idle = finding(e.withColumn("flagged", flagged).filter((F.col("flagged") > 0) & (F.col("unparks") > 10) & (F.col("polls") == 0)), "no-task-polls", "warning", F.lit("trace"), F.col("unparks"))
+
+    def fault(where, check: str, severity: str, value: str) -> DataFrame:
+        return finding(facts.filter(where), check, severity, F.col(key), F.col(value))
+
+    pointers = fault((F.col("on") > 10) & (F.col("depth") < 3), "missing-frame-pointers", "critical", "depth")
+    wakes = fault((F.col("spawns") > 0) & (F.col("wakes") == 0), "missing-wake-events", "warning", "spawns")
+    names = fault((F.col("on") > 10) & (F.col("addrs") > 0) & thin, "missing-debug-symbols", "warning", "known")
+    sched = fault((F.col("on") > 0) & (F.col("off") == 0), "no-scheduling-events", "info", "on")
+    flag = fault(F.col("unflagged") > 0, "no-unstable-flag", "warning", "unflagged")
+    idle = fault((F.col("flagged") > 0) & (F.col("unparks") > 10) & (F.col("polls") == 0), "no-task-polls", "warning", "unparks")
     out = pointers
     for more in (wakes, names, sched, flag, idle):
         out = out.unionByName(more)
