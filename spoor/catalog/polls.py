@@ -142,9 +142,10 @@ def _(t):
     return op.task_index(t.polls(), lifetimes(t), ("host",))
 
 
-@query("sort_tasks", f"WITH {LIFE}, {INDEX}, {TASKS} SELECT host, task_id, lifetime_ns FROM tasks ORDER BY lifetime_ns DESC NULLS LAST, task_id, host LIMIT 60")
+@query("sort_tasks", f"WITH {LIFE}, {INDEX}, {TASKS} SELECT host, task_id, lifetime_ns, row_number() OVER (ORDER BY lifetime_ns DESC NULLS LAST, task_id, host) AS rank FROM tasks")
 def _(t):
-    return op.sort_tasks(op.task_index(t.polls(), lifetimes(t), ("host",)), "lifetime_ns", True).select("host", "task_id", "lifetime_ns").limit(60)
+    tasks = op.task_index(t.polls(), lifetimes(t), ("host",))
+    return op.ranked_tasks(tasks, "lifetime_ns", True).select("host", "task_id", "lifetime_ns", "rank")
 
 
 @query("spawn_family", f"""WITH {LIFE}, {INDEX}, {TASKS} SELECT spawn_loc, count(*) AS tasks, sum(polls)::bigint AS polls, sum(total_ns)::bigint AS total_ns, max(longest_ns) AS longest_ns,

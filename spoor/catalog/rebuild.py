@@ -212,11 +212,16 @@ def _(t):
     return top.join(counts, ["source_key", "seq"], "left").select("source_key", "seq", "duration_ns", F.coalesce("samples", F.lit(0)).alias("samples"))
 
 
+#: Worker 1 belongs to one runtime in some sources and to another in the others.
+SPLIT_RUNTIMES = "CASE WHEN f.worker_id < CASE WHEN right(source_key, 1) IN ('1', '3', '5', '7', '9') THEN 1 ELSE 2 END THEN 'main' ELSE 'io' END"
+
+
 @query("runtime_task_spawns", f"""WITH {CLOSED}, f AS (SELECT source_key, task_id, arg_min(worker_id, start_ns) AS worker_id FROM polls GROUP BY 1, 2)
-SELECT CASE WHEN f.worker_id < 2 THEN 'main' ELSE 'io' END AS runtime, count(*) AS spawns, min(ts_ns) AS first_ns FROM v_events e JOIN f USING (source_key, task_id) WHERE kind = 'TaskSpawn' GROUP BY 1""")
+SELECT source_key, {SPLIT_RUNTIMES} AS runtime, count(*) AS spawns, min(ts_ns) AS first_ns FROM v_events e JOIN f USING (source_key, task_id) WHERE kind = 'TaskSpawn' GROUP BY 1, 2""")
 def _(t):
     e = t.events()
-    runtimes = e.select("worker_id").distinct().withColumn("runtime", F.when(F.col("worker_id") < 2, "main").otherwise("io"))
+    edge = F.when(F.right("source_key", F.lit(1)).isin("1", "3", "5", "7", "9"), 1).otherwise(2)
+    runtimes = e.select("source_key", "worker_id").distinct().withColumn("runtime", F.when(F.col("worker_id") < edge, "main").otherwise("io"))
     return op.runtime_task_spawns(e, op.polls(e), runtimes)
 
 
@@ -226,11 +231,11 @@ def _(t):
         F.max("local_queue").alias("deepest"), F.count(F.lit(1)).alias("n"), F.sum("local_queue").alias("total"))
 
 
-@query("trace_summary", f"""WITH {CLOSED}, a AS (SELECT worker_id, count(*) AS events, count(*) FILTER (kind = 'WorkerPark') AS parks, count(*) FILTER (kind = 'WorkerUnpark') AS unparks,
+@query("trace_summary", f"""WITH {CLOSED}, a AS (SELECT source_key, worker_id, count(*) AS events, count(*) FILTER (kind = 'WorkerPark') AS parks, count(*) FILTER (kind = 'WorkerUnpark') AS unparks,
  max(local_queue) FILTER (kind IN ('PollStart', 'WorkerPark', 'WorkerUnpark')) AS max_local_queue, count(sched_wait_ns) FILTER (kind = 'WorkerUnpark') AS sched_wait_samples,
- coalesce(sum(sched_wait_ns) FILTER (kind = 'WorkerUnpark'), 0)::bigint AS sched_wait_ns FROM v_events GROUP BY 1),
-b AS (SELECT worker_id, count(*) AS polls, sum(duration_ns)::bigint AS poll_ns FROM polls GROUP BY 1)
-SELECT a.*, coalesce(polls, 0) AS polls, coalesce(poll_ns, 0) AS poll_ns FROM a LEFT JOIN b USING (worker_id)""")
+ coalesce(sum(sched_wait_ns) FILTER (kind = 'WorkerUnpark'), 0)::bigint AS sched_wait_ns FROM v_events GROUP BY 1, 2),
+b AS (SELECT source_key, worker_id, count(*) AS polls, sum(duration_ns)::bigint AS poll_ns FROM polls GROUP BY 1, 2)
+SELECT a.*, coalesce(polls, 0) AS polls, coalesce(poll_ns, 0) AS poll_ns FROM a LEFT JOIN b USING (source_key, worker_id)""")
 def _(t):
     e = t.events()
     return op.trace_summary(e, op.polls(e))

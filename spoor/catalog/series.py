@@ -50,27 +50,43 @@ def _(t):
     return op.active_task_series(some, old, op.active_task_timeline(t.events()))
 
 
-@query("runtime_metrics", "SELECT runtime_name, count(*) AS samples, true AS alive_available, max(alive_tasks) AS max_alive, max(global_queue_depth) AS max_queue FROM v_metrics GROUP BY 1")
+@query("runtime_metrics", "SELECT source_key, runtime_name, count(*) AS samples, true AS alive_available, max(alive_tasks) AS max_alive, max(global_queue_depth) AS max_queue FROM v_metrics GROUP BY 1, 2")
 def _(t):
     return op.runtime_metrics(t.metrics())
 
 
-def claims(t):
-    """Claims as segment metadata lists them: worker 0 and 2 by io, 2 also by web, which comes later."""
-    w = t.events().select("worker_id").distinct()
-    io = w.filter(F.col("worker_id").isin(0, 2)).select("worker_id", F.lit("io").alias("runtime"), F.lit(0).alias("claim_order"))
-    web = w.filter(F.col("worker_id") == 2).select("worker_id", F.lit("web").alias("runtime"), F.lit(1).alias("claim_order"))
-    return io.unionByName(web)
+def claims(workers, key):
+    """Claims as segment metadata lists them, other ones in every process: worker 0 and 2 by io, 2 also by web, which comes later; in processes whose
+    name ends in an odd digit only worker 1, by main; in those ending in 0 none."""
+    w = workers.filter(F.col("worker_id").isNotNull()).select(key, "worker_id").distinct()
+    last = F.right(key, F.lit(1))
+    odd = last.isin("1", "3", "5", "7", "9")
 
+    def claim(rows, runtime, order):
+        return rows.select(key, "worker_id", F.lit(runtime).alias("runtime"), F.lit(order).alias("claim_order"))
 
-@query("runtime_groups", "SELECT DISTINCT worker_id, CASE WHEN worker_id IN (0, 2) THEN 'io' ELSE 'main' END AS runtime, worker_id NOT IN (0, 2) AS inferred FROM v_events")
+    io = claim(w.filter(~odd & (last != "0") & F.col("worker_id").isin(0, 2)), "io", 0)
+    web = claim(w.filter(~odd & (last != "0") & (F.col("worker_id") == 2)), "web", 1)
+    return io.unionByName(web).unionByName(claim(w.filter(odd & (F.col("worker_id") == 1)), "main", 0))
+
+
+def runtime_sql(key, table):
+    """Each worker of a process with its runtime, as the claims above say."""
+    odd, zero = f"right({key}, 1) IN ('1', '3', '5', '7', '9')", f"right({key}, 1) = '0'"
+    return f"""w AS (SELECT DISTINCT {key}, worker_id FROM {table} WHERE worker_id IS NOT NULL),
+c AS (SELECT *, CASE WHEN {odd} AND worker_id = 1 THEN 'main' WHEN NOT {odd} AND NOT {zero} AND worker_id IN (0, 2) THEN 'io' END AS claimed FROM w),
+r AS (SELECT {key}, worker_id, coalesce(claimed, CASE WHEN max(coalesce(claimed, '') = 'main') OVER (PARTITION BY {key}) THEN 'main (untracked)' ELSE 'main' END) AS runtime, claimed IS NULL AS inferred FROM c)"""
+
+
+@query("runtime_groups", f"WITH {runtime_sql('source_key', 'v_events')} SELECT * FROM r")
 def _(t):
-    return op.runtime_groups(t.events(), claims(t))
+    return op.runtime_groups(t.events(), claims(t.events(), "source_key"))
 
 
-@query("runtime_filter", "SELECT CASE WHEN worker_id IN (0, 2) THEN 'io' ELSE 'main' END AS runtime, worker_id NOT IN (0, 2) AS inferred, count(*) AS samples FROM v_samples WHERE worker_id IS NOT NULL GROUP BY 1, 2")
+@query("runtime_filter", f"""WITH {runtime_sql('host', 'v_samples')}, n AS (SELECT host, runtime, inferred, count(*) AS samples FROM v_samples JOIN r USING (host, worker_id) GROUP BY 1, 2, 3)
+SELECT * FROM n WHERE host IN (SELECT host FROM n GROUP BY 1 HAVING count(*) > 1)""")
 def _(t):
-    return op.runtime_filter(t.samples(), claims(t))
+    return op.runtime_filter(t.samples(), claims(t.samples(), "host"), ("host",))
 
 
 CPU = """cu AS (SELECT *, lag(ts_ns) OVER w AS pt, lag(user_cpu_ns) OVER w AS pu, lag(system_cpu_ns) OVER w AS ps FROM v_resource WINDOW w AS (PARTITION BY host ORDER BY ts_ns, seq)),

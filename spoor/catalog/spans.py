@@ -342,9 +342,9 @@ def _(t):
     return op.degenerate_columns(t.spans().withColumn("kind", F.lit("tracing")), ["kind", "name", "parent_span_id"])
 
 
-@query("sort_span_types", "SELECT name, count(*) AS n FROM v_spans GROUP BY name ORDER BY n DESC, name LIMIT 3")
+@query("sort_span_types", "SELECT name, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, name) AS rank FROM v_spans GROUP BY name")
 def _(t):
-    return t.spans().groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(3)
+    return op.ranked_span_types(t.spans())
 
 
 @query("span_type_label", "SELECT concat(name, ' (', host, '.rs:', worker_id, ')') AS label, count(*) AS n FROM v_spans GROUP BY 1")

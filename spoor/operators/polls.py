@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spoor.plans.ranks import order_statistics
 from spoor.plans.timeline import AUTO
+from spoor.session import cut_lineage
 
 NOTABLE_NS = 100_000
 OFF_CPU_NS = 10_000_000
@@ -168,6 +170,15 @@ def sort_tasks(tasks: DataFrame, key: str, descending: bool = False) -> DataFram
     return tasks.orderBy(col, "task_id", *ties)
 
 
+def ranked_tasks(tasks: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    """Every task with its place (``rank``, from 1) in the order of :func:`sort_tasks`. The sort deals ranges to tasks; a row's place is that within
+    its range and the sizes of the ranges before it, so no task holds all rows."""
+    laid = cut_lineage(sort_tasks(tasks, key, descending).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_id")))
+    sizes = laid.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("_first"))
+    before = sizes.select("_range", "_first", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))  # a row for each range
+    return laid.join(before, "_range").withColumn("rank", F.col("_before") + F.col("_id") - F.col("_first") + 1).drop("_range", "_id", "_first", "_before")
+
+
 def spawn_family(tasks: DataFrame) -> DataFrame:
     """Per spawn location: tasks, polls, longest poll and its owner, running tasks, mean lifetime over known."""
     return tasks.groupBy("spawn_loc").agg(

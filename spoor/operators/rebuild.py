@@ -316,11 +316,11 @@ def severity(value: Column, peak: Column) -> Column:
 
 
 def runtime_task_spawns(events: DataFrame, poll_rows: DataFrame, runtimes: DataFrame) -> DataFrame:
-    """Spawns per runtime: a task belongs to the runtime of the worker of its earliest poll."""
+    """Spawns per runtime of a source: a task belongs to the runtime of the worker of its earliest poll; ``runtimes``: source_key, worker_id, runtime."""
     first = poll_rows.groupBy(*TASK).agg(F.min(F.struct("start_ns", "seq", "worker_id")).alias("f")).select(*TASK, F.col("f.worker_id").alias("worker_id"))
     return (
-        events.filter(F.col("kind") == "TaskSpawn").select(*TASK, "ts_ns").join(first, TASK).join(runtimes, "worker_id")
-        .groupBy("runtime").agg(F.count(F.lit(1)).alias("spawns"), F.min("ts_ns").alias("first_ns")))
+        events.filter(F.col("kind") == "TaskSpawn").select(*TASK, "ts_ns").join(first, TASK).join(runtimes, LANE)
+        .groupBy("source_key", "runtime").agg(F.count(F.lit(1)).alias("spawns"), F.min("ts_ns").alias("first_ns")))
 
 
 def local_queue_series(events: DataFrame) -> DataFrame:
@@ -330,15 +330,15 @@ def local_queue_series(events: DataFrame) -> DataFrame:
 
 
 def trace_summary(events: DataFrame, poll_rows: DataFrame) -> DataFrame:
-    """Per worker: polls, parks, unparks, poll time, deepest local queue, scheduling wait over sampled unparks."""
-    per = events.groupBy("worker_id").agg(
+    """Per worker of a source: polls, parks, unparks, poll time, deepest local queue, scheduling wait over sampled unparks."""
+    per = events.groupBy(*LANE).agg(
         F.count(F.lit(1)).alias("events"), F.count_if(F.col("kind") == "WorkerPark").alias("parks"),
         F.count_if(F.col("kind") == "WorkerUnpark").alias("unparks"),
         F.max(F.when(F.col("kind").isin("PollStart", "WorkerPark", "WorkerUnpark"), F.col("local_queue"))).alias("max_local_queue"),
         F.count(F.when(F.col("kind") == "WorkerUnpark", F.col("sched_wait_ns"))).alias("sched_wait_samples"),
         F.coalesce(F.sum(F.when(F.col("kind") == "WorkerUnpark", F.col("sched_wait_ns"))), F.lit(0)).alias("sched_wait_ns"))
-    work = poll_rows.groupBy("worker_id").agg(F.count(F.lit(1)).alias("polls"), F.sum(F.col("end_ns") - F.col("start_ns")).alias("poll_ns"))
-    return per.join(work, "worker_id", "left").fillna(0, ["polls", "poll_ns"])
+    work = poll_rows.groupBy(*LANE).agg(F.count(F.lit(1)).alias("polls"), F.sum(F.col("end_ns") - F.col("start_ns")).alias("poll_ns"))
+    return per.join(work, LANE, "left").fillna(0, ["polls", "poll_ns"])
 
 
 def gap_samples(gaps: DataFrame, samples: DataFrame) -> DataFrame:

@@ -43,27 +43,31 @@ def active_task_timeline(events: DataFrame, keys=("source_key",), slot=AUTO) ->
     return counted.select(*keys, *ORDER, F.greatest("n", F.lit(0)).cast("bigint").alias("alive"))
 
 
-def runtime_metrics(metrics: DataFrame) -> DataFrame:
-    return metrics.groupBy("runtime_name").agg(
+def runtime_metrics(metrics: DataFrame, keys=("source_key",)) -> DataFrame:
+    """Per runtime of a process (names recur in others)."""
+    return metrics.groupBy(*keys, "runtime_name").agg(
         F.count(F.lit(1)).alias("samples"), (F.count(F.lit(1)) == F.count("alive_tasks")).alias("alive_available"),
         F.coalesce(F.max("alive_tasks"), F.lit(0)).alias("max_alive"), F.max("global_queue_depth").alias("max_queue"))
 
 
-def runtime_groups(workers: DataFrame, claims: DataFrame) -> DataFrame:
-    """Runtime of every present worker: the first claim wins, unclaimed workers form the inferred default."""
-    taken = claims.filter(F.col("runtime") == "main").agg(F.count(F.lit(1)) > 0).scalar()
-    first = claims.groupBy("worker_id").agg(F.min_by("runtime", "claim_order").alias("runtime"))
-    default = F.when(taken, "main (untracked)").otherwise("main")
-    return workers.select("worker_id").distinct().join(first, "worker_id", "left").select(
-        "worker_id", F.coalesce("runtime", default).alias("runtime"), F.col("runtime").isNull().alias("inferred"))
+def runtime_groups(workers: DataFrame, claims: DataFrame, keys=("source_key",)) -> DataFrame:
+    """Runtime of every present worker of every process: the first claim wins, unclaimed workers form the inferred default, whose name
+    depends on whether that process claims a runtime "main"."""
+    keys = list(keys)
+    taken = claims.groupBy(*keys).agg(F.max(F.col("runtime") == "main").alias("_taken"))
+    first = claims.groupBy(*keys, "worker_id").agg(F.min_by("runtime", "claim_order").alias("runtime"))
+    default = F.when(F.col("_taken"), "main (untracked)").otherwise("main")
+    present = workers.filter(F.col("worker_id").isNotNull()).select(*keys, "worker_id").distinct()
+    return present.join(first, [*keys, "worker_id"], "left").join(taken, keys, "left").select(
+        *keys, "worker_id", F.coalesce("runtime", default).alias("runtime"), F.col("runtime").isNull().alias("inferred"))
 
 
-def runtime_filter(samples: DataFrame, claims: DataFrame) -> DataFrame:
-    """Samples per runtime; empty when there is one runtime only. Off-worker samples have no runtime."""
-    on = samples.filter(F.col("worker_id").isNotNull())
-    per_worker = on.groupBy("worker_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = per_worker.join(runtime_groups(per_worker, claims), "worker_id").groupBy("runtime", "inferred").agg(F.sum("n").alias("samples"))
-    return counts.filter(counts.agg(F.count(F.lit(1))).scalar() > 1)
+def runtime_filter(samples: DataFrame, claims: DataFrame, keys=("source_key",)) -> DataFrame:
+    """Samples per runtime of processes with more than one. Off-worker samples have no runtime."""
+    keys = list(keys)
+    per_worker = samples.filter(F.col("worker_id").isNotNull()).groupBy(*keys, "worker_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = per_worker.join(runtime_groups(per_worker, claims, keys), [*keys, "worker_id"]).groupBy(*keys, "runtime", "inferred").agg(F.sum("n").alias("samples"))
+    return counts.withColumn("_runtimes", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("_runtimes > 1").drop("_runtimes")
 
 
 def cpu_usage(resource: DataFrame, capacity: float | None, keys=("host",), slot=AUTO) -> DataFrame:

@@ -271,6 +271,12 @@ def by_field_value(spans: DataFrame, field: str, value: str) -> DataFrame:
     return spans.filter(F.col("attributes")[field] == value)
 
 
+def ranked_span_types(spans: DataFrame) -> DataFrame:
+    """All span types (name, n) with their place in the order of a listing: most spans first, then by name. There is a row for each type only."""
+    counts = spans.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return with_order(counts.withColumn("_most", -F.col("n")), [], ["_most", "name"], {"rank": running_sum(F.lit(1).cast("bigint"))}, None).drop("_most")
+
+
 def span_type_label(name: Column, file: Column, line: Column) -> Column:
     base = F.when(F.coalesce(name, F.lit("")) == "", "(unnamed)").otherwise(name)
     place = F.concat(F.lit(" ("), F.element_at(F.split(file, "/"), -1), F.lit(":"), line.cast("string"), F.lit(")"))
