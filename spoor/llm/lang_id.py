@@ -34,7 +34,11 @@ FAMILIES = {
     "dravidian": ["ta", "te", "kn", "ml"], "malayic": ["id", "ms", "jv", "su"], "sinitic": ["zh", "yue", "wuu"],
 }
 SAMPLE_ROWS = 6000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # letters, and numbers that are no digits
+
+
+def has_letter(text: str) -> bool:
+    return any(found[0].isalpha() for found in _LETTER.finditer(text))
 
 
 def family_of(lang: str) -> str:
@@ -129,7 +133,7 @@ def language_id(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches):
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
-            told = [i for i, t in enumerate(texts) if langs and _LETTER.search(t)]
+            told = [i for i, t in enumerate(texts) if langs and has_letter(t)]
             for a in range(0, len(told), 1024):
                 part = told[a:a + 1024]
                 best, sure = decide(ngram_vectors([texts[i] for i in part], letters_only=True) @ sent.value + offsets, machines, langs)
