@@ -114,7 +114,9 @@ def certified(rejected: list[int], n: int, risk: float, delta: float) -> int:
 def thresholds(measured: DataFrame, labels: DataFrame, risk: float, delta: float, n_steps: int) -> DataFrame:
     """stratum, holdout (good labelled documents), step (the strictest one certified)."""
     good = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    counts = (measured.where(~F.col("base_failed")).join(good.select("doc_id"), "doc_id").groupBy("stratum", "first_step").agg(F.count("*").alias("n")))
+    counts = (measured.where(~F.col("base_failed")).join(good.select("doc_id"), "doc_id")
+              .groupBy("stratum", "doc_id").agg(F.min("first_step").alias("first_step"))  # one trial a label, however many rows have its id
+              .groupBy("stratum", "first_step").agg(F.count("*").alias("n")))
     # one row of at most n_steps + 1 counts for each stratum
     strata = counts.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("first_step", "n"))).alias("at"), F.sum("n").alias("holdout"))
     strata = strata.withColumn("strata", F.count("*").over(Window.partitionBy()))
