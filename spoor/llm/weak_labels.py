@@ -127,7 +127,7 @@ def weak_labels(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, cutoff: float =
     if len(codes):
         posterior[codes] = label_model(patterns, n)[2]
         chosen = F.pmod(F.xxhash64("text_key", "doc_id"), F.lit(1 << 20)) < int(min(1.0, sample_rows / n.sum()) * (1 << 20))
-        found = rows.where(chosen).select("doc_id", "text").mapInArrow(vectors, "p double, x binary").repartition(1).mapInArrow(train, "w binary, b double").collect()
+        found = rows.where(chosen).select("doc_id", "text").dropDuplicates().mapInArrow(vectors, "p double, x binary").repartition(1).mapInArrow(train, "w binary, b double").collect()
         if found:
             w, b = np.frombuffer(found[0]["w"], np.float32), found[0]["b"]
     known = docs.sparkSession.createDataFrame([(int(c), float(posterior[c])) for c in codes], "pattern int, posterior double")

@@ -20,7 +20,7 @@ from spoor.llm.chunk_dedup import chunk_starts, gear, gear_table, without_repeat
 from spoor.llm.components import components, spanning  # noqa: E402
 from spoor.llm.hilbert_packing import hilbert_index, hilbert_packing, tail_starts  # noqa: E402
 from spoor.llm.jaccard import open_pairs, parity, prefixes, similar_components, star_pairs, verified  # noqa: E402
-from spoor.llm.lang_id import held_out, language_id, sampled  # noqa: E402
+from spoor.llm.lang_id import has_letter, held_out, language_id, sampled  # noqa: E402
 from spoor.llm.piece_viterbi import Pieces, piece_ids  # noqa: E402
 from spoor.llm.risk_rules import binomial_at_most, certified, measure, quality_rules  # noqa: E402
 from spoor.llm.simhash import allocate, links, simhash_components, within  # noqa: E402
@@ -465,6 +465,26 @@ def test_quality_rules(spark, real, awkward, nothing):
     assert quality_rules(real, labels.limit(0)).where("kept = base_failed").count() == 0
 
 
+def test_repeated_rows_certify_nothing(spark):
+    """Forty good labelled documents are too few, and still forty when every row is there three times."""
+    rows = [(i, f"document {i} " + " ".join(f"word{i}x{k}" for k in range(80)), "en") for i in range(40)]
+    marks = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id bigint, quality int")
+    for copies in (1, 3):
+        docs = spark.createDataFrame(rows * copies, "doc_id bigint, text string, lang string")
+        assert {r.step for r in quality_rules(docs, marks).select("step").distinct().collect()} == {0}
+
+
+def test_numbers_are_no_letters():
+    assert [has_letter(t) for t in ("½ ² ①", "", "12 _ !?", "³é", "語", "Ⅷ")] == [False, False, False, True, True, False]
+
+
+def test_equal_rows_teach_once(spark):
+    """A row that is there ten thousand times comes into the fitting sample once."""
+    docs = spark.createDataFrame([(None, "some plain words of a text that is there very often")], "doc_id bigint, text string").crossJoin(spark.range(10_000)).select("doc_id", "text")
+    got = weak_labels(docs)
+    assert got.count() == 10_000 and got.select("score").distinct().count() == 1
+
+
 def test_language(spark, real, awkward, nothing):
     docs = common.documents(spark, "/root/testdata/sf0.01")
     truth = {r.doc_id: r.lang for r in docs.collect()}
