@@ -564,12 +564,13 @@ def test_stages(spark, real, awkward, nothing):
         assert stage(spark, nothing, SF).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op5_block_names"])
+@pytest.mark.parametrize("name", ["op5_block_names", "op11_spelling", "op12_fill_in_middle", "op13_decontamination"])
 def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     want = con.execute(queries.ORACLES[name])
     columns = [d[0] for d in want.description]
     assert Counter(tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, SF).collect()) == Counter(map(tuple, want.fetchall()))
