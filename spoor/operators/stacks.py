@@ -75,10 +75,11 @@ def sample_totals(samples: DataFrame) -> DataFrame:
 
 
 def facets(samples: DataFrame) -> DataFrame:
-    """Distinct values per facet before facet filters: (facet, value)."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("facet"), column().alias("value")) for n, column in FACETS.items()])
+    """Distinct values per facet before facet filters: (facet, value). Equal combinations are combined first, so few rows are taken apart."""
+    seen = samples.select(*[column().alias(n) for n, column in FACETS.items()]).distinct()
+    pairs = F.array(*[F.struct(F.lit(n).alias("facet"), F.col(n).alias("value")) for n in FACETS])
     return (
-        samples.select(F.explode(pairs).alias("p")).select("p.facet", "p.value")
+        seen.select(F.explode(pairs).alias("p")).select("p.facet", "p.value")
         .filter(F.col("value").isNotNull()).distinct())
 
 
