@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from spoor.plans import interval_join
 from spoor.plans.interval_join import interval_pairs, point_in_intervals
 from spoor.plans.ranks import order_statistics
 from spoor.plans.timeline import asof, following, latest, measure_slot, prev, running_max, running_min, running_sum, with_order
@@ -107,6 +108,73 @@ def test_interval_pairs_match_brute_force_and_are_not_repeated(spark):
     assert sorted((r.lid, r.rid) for r in out.collect()) == want
 
 
+def hot_cell(rng):
+    """Points, half of them within one cell and two equal but for their number; intervals, most of them within that cell too, some long."""
+    base = (1_700_000_000_000_000_000 >> 30) << 30
+    points = [(0, base + rng.randrange(0, 10_000), i) for i in range(300)] + [(i % 5, base + rng.randrange(0, 1 << 34), 300 + i) for i in range(300)]
+    points += [(0, base + 77, 600), (0, base + 77, 601), (None, base, 602)]
+    spans = [(0, s, s + rng.randrange(0, 9_000), i) for i, s in enumerate(base + rng.randrange(0, 10_000) for _ in range(150))]
+    spans += [(i % 5, s, s + rng.randrange(0, 1 << 33), 150 + i) for i, s in enumerate(base + rng.randrange(0, 1 << 34) for _ in range(60))]
+    return points, spans + [(None, base, base + 5, 210), (0, base + 50, base + 90, 211), (0, base + 50, base + 90, 212)]
+
+
+def cells_met(monkeypatch):
+    """Fullest cell or block of either side and pairs compared in one, for each join of cells."""
+    met = []
+    spread = interval_join._spread
+
+    def watched(df, hot, cell, own, other):
+        out = spread(df, hot, cell, own, other).dropna(subset=list(cell))
+        met.append(out.groupBy(*cell, "_rows_at", "_columns_at").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(interval_join, "_spread", watched)
+    return met
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_half_of_all_points_in_one_cell(spark, monkeypatch, closed):
+    points, spans = hot_cell(random.Random(14))
+    met = cells_met(monkeypatch)
+    spark.conf.set("spoor.window.rows", "40")
+    try:
+        out = point_in_intervals(
+            spark.createDataFrame(points, "k long, t long, pid long"), spark.createDataFrame(spans, "k long, s long, e long, sid long"), ["k"], "t", "s", "e", closed)
+        got = sorted((r.pid, r.sid) for r in out.collect())
+    finally:
+        spark.conf.unset("spoor.window.rows")
+    assert got == sorted((p, i) for k, t, p in points for kk, s, e, i in spans if k is not None and kk == k and s <= t and (t <= e if closed else t < e))
+    assert len(met) == 2 and max(met) <= 65  # 40 and what a hash is uneven, of cells with 300 points
+    assert out.columns == ["k", "t", "pid", "s", "e", "sid"]
+
+
+def test_pairs_of_a_hot_cell(spark, monkeypatch):
+    rng = random.Random(15)
+    _, left = hot_cell(rng)
+    _, right = hot_cell(rng)
+    met = cells_met(monkeypatch)
+    monkeypatch.setattr(interval_join, "PAIRS", 20)  # 16 rows against 16
+    spark.conf.set("spoor.window.rows", "13")
+    try:
+        out = interval_pairs(
+            spark.createDataFrame(left, "k long, ls long, le long, lid long"), spark.createDataFrame(right, "k long, rs long, re long, rid long"),
+            ["k"], ("ls", "le"), ("rs", "re"))
+        got = sorted((r.lid, r.rid) for r in out.collect())
+    finally:
+        spark.conf.unset("spoor.window.rows")
+    assert got == sorted((i, j) for k, s, e, i in left for kk, ss, ee, j in right if k is not None and k == kk and s < ee and ss < e and s < e and ss < ee)
+    assert len(met) == 4 and max(met) <= 30
+
+
+def test_one_job_tells_that_no_cell_is_hot(spark, monkeypatch):
+    points, spans = hot_cell(random.Random(16))
+    monkeypatch.setattr(interval_join, "cut_lineage", lambda df: pytest.fail("nothing is written"))
+    out = point_in_intervals(spark.createDataFrame(points, "k long, t long, pid long"), spark.createDataFrame(spans, "k long, s long, e long, sid long"), ["k"], "t", "s", "e")
+    assert out.count() == sum(k is not None and kk == k and s <= t < e for k, t, _ in points for kk, s, e, _ in spans)
+    none = spark.createDataFrame([], "k long, s long, e long, sid long")
+    assert point_in_intervals(out.select("k", "t", "pid"), none, ["k"], "t", "s", "e").count() == 0
+
+
 @pytest.mark.parametrize("slot", [None, 3])
 def test_order_statistics(spark, slot):
     rng = random.Random(6)
