@@ -74,13 +74,19 @@ def _(t):
     return op.queue_depth(series.queue_series(t.metrics()))
 
 
-IMB = "wc AS (SELECT host, worker_id, count(*) AS n FROM v_polls GROUP BY 1, 2)"
-IMB_SQL = sel("worker-imbalance", "'info'", "host", "max(n) / min(n)", "FROM wc GROUP BY host HAVING count(*) > 1 AND max(n) > min(n) * 1.05")
+IMB = "wc AS (SELECT host, CASE WHEN host <> 'h2' AND task_id % 4 <> 0 THEN 0 ELSE worker_id END AS worker_id, count(*) AS n FROM v_polls GROUP BY 1, 2)"
+IMB_SQL = sel("worker-imbalance", "'info'", "host", "max(n) / min(n)", "FROM wc GROUP BY host HAVING count(*) > 1 AND max(n) > min(n) * 3")
 
 
 @query("worker_imbalance", f"WITH {IMB} {IMB_SQL}")
 def _(t):
-    return op.worker_imbalance(t.polls(), "host", 1.05)  # the synthetic workers are nearly even
+    return op.worker_imbalance(lopsided(t), "host")
+
+
+def lopsided(t):
+    """Polls, of which three in four are left to worker 0 on all hosts but one; the given ones are nearly even."""
+    left = (F.col("host") != "h2") & (F.col("task_id") % 4 != 0)
+    return t.polls().withColumn("worker_id", F.when(left, 0).otherwise(F.col("worker_id")))
 
 
 ACT = ACTIVE.replace("round(", "(").replace(", 9)", ")")
@@ -102,15 +108,35 @@ def _(t):
     return op.kernel_sched_wait(rebuild.parks(t.events()))
 
 
-@query("many_spans_per_poll", f"WITH {span_cat.INNER} " + sel("many-spans-per-poll", "'warning'", "concat(source_key, '/', poll_seq)", "count(*)", "FROM inn GROUP BY source_key, poll_seq HAVING count(*) > 1"))
+PARTS = f"""{CLOSED}, {span_cat.SINGLE}, parts AS (SELECT source_key, worker_id, start_ns + k * ((end_ns - start_ns) // 11) AS start_ns, start_ns + (k + 1) * ((end_ns - start_ns) // 11) AS end_ns FROM single, range(11) r(k)),
+inn AS (SELECT p.source_key, p.seq AS poll_seq FROM parts s JOIN polls p ON p.source_key = s.source_key AND p.worker_id = s.worker_id AND s.start_ns >= p.start_ns AND s.end_ns <= p.end_ns)"""
+
+
+@query("many_spans_per_poll", f"WITH {PARTS} " + sel("many-spans-per-poll", "'warning'", "concat(source_key, '/', poll_seq)", "count(*)", "FROM inn GROUP BY source_key, poll_seq HAVING count(*) > 20"))
 def _(t):
-    return op.many_spans_per_poll(span_cat.inside(t), 1)
+    return op.many_spans_per_poll(parts_inside(t))
+
+
+def parts_inside(t, polls=None):
+    """Parts of spans inside polls, each span recorded as eleven equal parts one after the other."""
+    size = F.expr("(end_ns - start_ns) div 11")
+    parts = span_cat.op.spans_single_event(span_cat.single_events(t), None, 1_000_000_000).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(10)))).withColumns(
+        {"start_ns": F.col("start_ns") + F.col("k") * size, "end_ns": F.col("start_ns") + (F.col("k") + 1) * size})
+    return span_cat.op.spans_inside_polls(parts, span_cat.polls_table(t) if polls is None else polls)
 
 
-@query("span_outlier", "WITH m AS (SELECT name, list(elapsed_ns ORDER BY elapsed_ns) AS l FROM v_spans GROUP BY 1), p AS (SELECT name, l[1 + cast(floor(len(l) * 0.5) AS bigint)] AS p50 FROM m WHERE len(l) >= 10) "
-       + sel("span-duration-outlier", "'info'", "v.name", "count(*)", "FROM v_spans v JOIN p USING (name) WHERE elapsed_ns > p50 * 1.9 GROUP BY v.name"))
+SLOW = "sp AS (SELECT name, CASE WHEN span_id % 40 = 0 THEN elapsed_ns * 25 ELSE elapsed_ns END AS elapsed_ns FROM v_spans)"
+
+
+def with_outliers(t):
+    """Spans, of which every fortieth takes 25 times as long."""
+    return t.spans().withColumn("elapsed_ns", F.when(F.col("span_id") % 40 == 0, F.col("elapsed_ns") * 25).otherwise(F.col("elapsed_ns")))
+
+
+@query("span_outlier", f"WITH {SLOW}, m AS (SELECT name, list(elapsed_ns ORDER BY elapsed_ns) AS l FROM sp GROUP BY 1), p AS (SELECT name, l[1 + cast(floor(len(l) * 0.5) AS bigint)] AS p50 FROM m WHERE len(l) >= 10) "
+       + sel("span-duration-outlier", "'info'", "v.name", "count(*)", "FROM sp v JOIN p USING (name) WHERE elapsed_ns > p50 * 10 GROUP BY v.name"))
 def _(t):
-    return op.span_outlier(t.spans(), 1.9)
+    return op.span_outlier(with_outliers(t))
 
 
 @query("unmatched_spans", f"WITH {span_cat.PAIR} " + sel("unmatched-spans", "'info'", "span_name", "count(*)", "FROM pairs p JOIN v_span_events e ON e.source_key = p.source_key AND e.seq = p.enter_seq WHERE state = 'unmatched_enter' GROUP BY span_name"))
@@ -193,10 +219,17 @@ def _(t):
 
 
 HZ = 0.0004
+STUCK = OPEN + ", ps AS (SELECT * REPLACE (CASE WHEN seq % 250 = 0 THEN start_ns + 30 * (end_ns - start_ns) ELSE end_ns END AS end_ns) FROM po)"
+
+
+def with_stuck(events):
+    """Polls bounded by the next start or park, every 250th of them 30 times as long."""
+    long = F.col("start_ns") + 30 * (F.col("end_ns") - F.col("start_ns"))
+    return cut_lineage(rebuild.polls_open_ended(events).withColumn("end_ns", F.when(F.col("seq") % 250 == 0, long).otherwise(F.col("end_ns"))))
 
 
-@query("corroborate", f"""WITH {ATTR}, {OPEN.replace('life AS', 'lf9 AS').replace('FROM life', 'FROM lf9')}, d AS (SELECT source_key, seq, task_id, start_ns, end_ns, end_ns - start_ns AS dur FROM po),
-p9 AS (SELECT list(dur ORDER BY dur) AS l FROM d), lg AS (SELECT d.* FROM d, p9 WHERE dur >= greatest(1000000.0, 1 * l[1 + least(len(l) - 1, cast(floor(len(l) * 0.9) AS bigint))])),
+@query("corroborate", f"""WITH {ATTR}, {STUCK.replace('life AS', 'lf9 AS').replace('FROM life', 'FROM lf9')}, d AS (SELECT source_key, seq, task_id, start_ns, end_ns, end_ns - start_ns AS dur FROM ps),
+p9 AS (SELECT list(dur ORDER BY dur) AS l FROM d), lg AS (SELECT d.* FROM d, p9 WHERE dur >= greatest(1000000.0, 3 * l[1 + least(len(l) - 1, cast(floor(len(l) * 0.99) AS bigint))])),
 best AS (SELECT * FROM lg ORDER BY dur DESC, start_ns, seq LIMIT 20),
 ce AS (SELECT b.seq, b.dur, c.tid, c.frames[1] AS leaf, count(*) AS n FROM best b JOIN v_cpu c ON c.source_key = b.source_key AND c.source <> 1 AND c.t BETWEEN b.start_ns AND b.end_ns GROUP BY ALL),
 th AS (SELECT seq, dur, tid, sum(n) AS n, arg_max(leaf, n * 1000 - ascii(right(leaf, 1))) AS leaf FROM ce GROUP BY 1, 2, 3), su AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY n DESC, tid) AS rn FROM th),
@@ -209,17 +242,15 @@ SELECT b.source_key, b.seq AS poll_seq, b.task_id, b.dur AS duration_ns, CASE WH
  LEFT JOIN nm ON nm.seq = b.seq LEFT JOIN co ON co.seq = b.seq""")
 def _(t):
     e = t.events()
-    polls = cut_lineage(rebuild.polls_open_ended(e))
     attributed = rebuild.attribute_samples(t.cpu(), e)
-    return op.diagnose_long_polls(polls, attributed, t.cpu(), HZ, top=20, multiple=1, percentile=0.9)
+    return op.diagnose_long_polls(with_stuck(e), attributed, t.cpu(), HZ, top=20)
 
 
-@query("diagnose_long_poll", f"""WITH {OPEN}, d AS (SELECT seq, end_ns - start_ns AS dur, start_ns FROM po), p9 AS (SELECT list(dur ORDER BY dur) AS l FROM d)
-SELECT seq AS poll_seq, dur AS duration_ns FROM d, p9 WHERE dur >= greatest(1000000.0, 1.05 * l[1 + least(len(l) - 1, cast(floor(len(l) * 0.99) AS bigint))]) ORDER BY dur DESC, start_ns, seq LIMIT 3""")
+@query("diagnose_long_poll", f"""WITH {STUCK}, d AS (SELECT seq, end_ns - start_ns AS dur, start_ns FROM ps), p9 AS (SELECT list(dur ORDER BY dur) AS l FROM d)
+SELECT seq AS poll_seq, dur AS duration_ns FROM d, p9 WHERE dur >= greatest(1000000.0, 3 * l[1 + least(len(l) - 1, cast(floor(len(l) * 0.99) AS bigint))]) ORDER BY dur DESC, start_ns, seq LIMIT 3""")
 def _(t):
     e = t.events()
-    polls = cut_lineage(rebuild.polls_open_ended(e))
-    out = op.diagnose_long_polls(polls, rebuild.attribute_samples(t.cpu(), e), t.cpu(), HZ, top=3, multiple=1.05)
+    out = op.diagnose_long_polls(with_stuck(e), rebuild.attribute_samples(t.cpu(), e), t.cpu(), HZ, top=3)
     return out.select("poll_seq", "duration_ns")
 
 
@@ -249,7 +280,7 @@ def _(t):
     polls = span_cat.polls_table(t)  # for both checks of spans
     return op.report(
         op.long_poll(t.polls()), op.task_leak(series.active_task_timeline(e, slot=slot)), op.blocking_calls(t.cpu()),
-        op.queue_depth(series.queue_series(t.metrics())), op.worker_imbalance(t.polls(), "host", 1.05),
+        op.queue_depth(series.queue_series(t.metrics())), op.worker_imbalance(lopsided(t), "host"),
         op.cpu_contention(rebuild.active_periods(e, slot=slot)), op.kernel_sched_wait(rebuild.parks(e, slot)),
         op.incomplete_file(sealed(t)), op.sched_delay(rebuild.sched_delays(e, max_delay_ns=DELAY, slot=slot), HOUR // 60, HOUR),
-        op.many_spans_per_poll(span_cat.inside(t, polls), 1), op.span_outlier(t.spans(), 1.9), op.unmatched_spans(span_cat.pairs(t, polls), enter_names(t)))
+        op.many_spans_per_poll(parts_inside(t, polls)), op.span_outlier(with_outliers(t)), op.unmatched_spans(span_cat.pairs(t, polls), enter_names(t)))

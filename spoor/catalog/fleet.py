@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from spoor.catalog.registry import query
+from spoor.catalog.sinks import scratch
 from spoor.operators import events as ev
+from spoor.operators.ingest import read_events
 from spoor.sources import keys as op
 
 T0, T1 = 1_704_672_000_000_000_000, 1_705_276_800_000_000_000
@@ -177,7 +179,9 @@ def _(t):
 
 @query("read_events", "SELECT source_key, kind, count(*) AS n, min(ts_ns) AS first_ns, max(seq) AS last_seq FROM v_events GROUP BY 1, 2")
 def _(t):
-    return t.events().groupBy("source_key", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("first_ns"), F.max("seq").alias("last_seq"))
+    folder = scratch(t)
+    t.events().write.parquet(folder)
+    return read_events(t.spark, folder).groupBy("source_key", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("first_ns"), F.max("seq").alias("last_seq"))
 
 
 @query("slice_trace", f"SELECT seq, kind, ts_ns FROM v_events WHERE kind = 'TaskTerminate' OR ts_ns BETWEEN {T0} AND {T1}")

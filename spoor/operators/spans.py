@@ -513,9 +513,8 @@ def spans_inside_polls(spans: DataFrame, polls: DataFrame) -> DataFrame:
 def overlapping_slowest(spans: DataFrame, name: str) -> DataFrame:
     """Spans overlapping the slowest span of a name."""
     pick = F.min(F.struct((-F.col("elapsed_ns")).alias("e"), "start_ns", "span_uid", "end_ns"))
-    slow = spans.filter(F.col("name") == name).agg(pick.alias("s")).select("s.start_ns", "s.end_ns", "s.span_uid")
-    low, high, uid = (slow.select(c).scalar() for c in ("start_ns", "end_ns", "span_uid"))
-    return spans.filter((F.col("start_ns") < high) & (F.col("end_ns") > low) & (F.col("span_uid") != uid))
+    slow = spans.filter(F.col("name") == name).agg(pick).scalar()  # one struct, looked up once
+    return spans.filter((F.col("start_ns") < slow.getField("end_ns")) & (F.col("end_ns") > slow.getField("start_ns")) & (F.col("span_uid") != slow.getField("span_uid")))
 
 
 # Hierarchies ----------------------------------------------------------------------------------------------

@@ -27,8 +27,8 @@ FAILED = "file string, message string"
 def fold_files(spark: SparkSession, path: str, schema: T.StructType, fold: Callable[[DataFrame], None], out: str, files_per_trigger: int | None = None) -> None:
     """Fold files as they arrive and count those that fail.
 
-    The stream carries names only. A batch's files are read together; if that fails, each is tried alone, those that cannot be read
-    are written to ``out``/failed with the message, and the others are folded. Failed files stay pending: every batch and every
+    The stream carries names only. A batch's files are read together; if that fails, halves are tried until those that cannot be read
+    stand alone (about twice the logarithm of the batch in jobs for each such file); they are written to ``out``/failed with the message, and the others are folded. Failed files stay pending: every batch and every
     call tries them again and rewrites the table of failures. ``fold`` must be idempotent by file (column ``source_file``).
     """
     failed = f"{out}/failed"
@@ -42,15 +42,10 @@ def fold_files(spark: SparkSession, path: str, schema: T.StructType, fold: Calla
             try:
                 fold(rows(files))
             except Exception:  # one file or more; find out which
-                good = []
-                for file in files:
-                    try:
-                        rows([file]).write.format("noop").mode("overwrite").save()
-                        good.append(file)
-                    except Exception as error:
-                        errors.append((file, str(error)))
+                errors = unreadable(files, rows)
                 if not errors:
                     raise  # not a file's fault
+                good = sorted(set(files) - {file for file, _ in errors})
                 if good:
                     fold(rows(good))
         spark.createDataFrame(errors, FAILED).coalesce(1).write.mode("overwrite").parquet(failed)
@@ -70,6 +65,18 @@ def fold_files(spark: SparkSession, path: str, schema: T.StructType, fold: Calla
     run_available(names, write, f"{out}/ckpt", "append")
 
 
+def unreadable(files: list[str], rows: Callable[[list[str]], DataFrame]) -> list[tuple[str, str]]:
+    """Files that cannot be read, each with the reason: halves are read without a result until the bad ones stand alone."""
+    try:
+        rows(files).write.format("noop").mode("overwrite").save()
+        return []
+    except Exception as error:
+        if len(files) == 1:
+            return [(files[0], str(error))]
+    middle = len(files) // 2
+    return unreadable(files[:middle], rows) + unreadable(files[middle:], rows)
+
+
 def failed_files(spark: SparkSession, out: str) -> DataFrame:
     """Files that could not be read so far, with the reason."""
     return spark.read.schema(FAILED).option("recursiveFileLookup", "true").parquet(f"{out}/faile[d]")

@@ -1,9 +1,12 @@
 """Sinks and streams: idempotent folding, schema guard, answers over several files equal to the batch answer."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from spoor.operators import rebuild
+from spoor.operators.ingest import read_events
 from spoor.sources import tables as tb
 from spoor.streaming import jobs
 from spoor.catalog.views import Tables
@@ -34,6 +37,38 @@ def test_fold_is_idempotent_and_marks_empty_files(spark, tmp_path):
     assert tb.read_table(spark, out, "polls").count() == 5
 
 
+def test_read_events(spark, tmp_path):
+    """Files of several ages: absent columns read as null, other integers are cast, other columns stay."""
+    spark.sql("select 'a' source_key, 1 seq, 10L ts_ns, 'Wake' kind, 5L tid, 'x' note").write.parquet(f"{tmp_path}/old")
+    row = read_events(spark, f"{tmp_path}/old").first()
+    assert (row.source_key, row.seq, row.ts_ns, row.kind, row.tid, row.note, row.worker_id, row.fields) == ("a", 1, 10, "Wake", 5, "x", None, None)
+    assert dict(read_events(spark, f"{tmp_path}/old").dtypes)["seq"] == "bigint"
+    spark.sql("select 'a' source_key, 1L seq, 10L ts_ns, 'Wake' kind, 5000000000L tid").write.parquet(f"{tmp_path}/wide")
+    with pytest.raises(Exception, match="(?i)out of range|overflow"):
+        read_events(spark, f"{tmp_path}/wide").collect()
+    spark.sql("select 'a' source_key, 1L seq, 'Wake' kind").write.parquet(f"{tmp_path}/short")
+    with pytest.raises(TypeError, match="ts_ns"):
+        read_events(spark, f"{tmp_path}/short")
+    spark.sql("select 'a' source_key, 1L seq, 10L ts_ns, 'Wake' kind where false").write.parquet(f"{tmp_path}/empty")
+    assert read_events(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_unreadable_files_are_found_by_halves(spark, tmp_path):
+    spark.range(40).withColumn("at", F.col("id")).repartitionByRange(40, "id").write.parquet(f"{tmp_path}/in")
+    files = sorted(str(p) for p in (tmp_path / "in").glob("*.parquet"))
+    for file in (files[3], files[30]):
+        Path(file).write_bytes(b"no parquet")
+    asked = []
+
+    def rows(some):
+        asked.append(len(some))
+        return spark.read.schema("id long, at long").parquet(*some)
+
+    assert [file for file, _ in jobs.unreadable(files, rows)] == [files[3], files[30]]
+    assert len(asked) < 30
+    assert jobs.unreadable(files[4:6], rows) == []
+
+
 def test_conform(spark):
     df = spark.createDataFrame([("s", ["f"])], "stack_id string, frames array<string>")
     assert conform(df, "stacks").columns == ["stack_id", "frames"]
