@@ -107,28 +107,29 @@ def repeated_windows(docs: DataFrame, mean_words: int = MEAN_WORDS, min_words: i
             digest = np.fromiter((xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)).view(np.int64)
             ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
             text_keys = batch.column(2).to_numpy()
-            rank = np.empty(len(ids), np.int64)
-            rank[np.lexsort((text_keys, ids))] = np.arange(len(ids))
+            by_doc = np.lexsort((text_keys, ids))
+            rank = np.zeros(len(ids), np.int64)  # equal rows are one document and share a rank
+            rank[by_doc[1:]] = np.cumsum((np.diff(ids[by_doc]) != 0) | (np.diff(text_keys[by_doc]) != 0))
             sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + WINDOW
             pos = starts - (np.cumsum(sizes) - sizes + WINDOW)[doc]
             order = np.lexsort((pos, rank[doc], digest))
             later = digest[order[1:]] == digest[order[:-1]]
             settled = np.zeros(len(order), bool)
             settled[order[1:]] = later
-            # equal rows are one document: its copy's first occurrence is as unsettled as its own
-            same = later & (ids[doc[order[1:]]] == ids[doc[order[:-1]]]) & (text_keys[doc[order[1:]]] == text_keys[doc[order[:-1]]]) & (pos[order[1:]] == pos[order[:-1]])
-            if same.any():
-                head = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0))
-                settled[order] = settled[order[head]]
+            whole = np.ones(len(order), bool)
+            whole[order[1:]] = ~(later & (np.diff(rank[doc[order]]) == 0) & (np.diff(pos[order]) == 0))  # a window of equal rows leaves once
             starts_group = np.maximum.accumulate(np.where(np.concatenate([[True], ~later]), np.arange(len(order)), 0))
             first = np.empty(len(order), np.int64)
             first[order] = ids[doc[order[starts_group]]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(text_keys[doc]), pa.array(pos), pa.array((ends - starts).astype(np.int32)), pa.array(digest), pa.array(settled),
+            out = pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(text_keys[doc]), pa.array(pos), pa.array((ends - starts).astype(np.int32)), pa.array(digest), pa.array(settled),
                                               pa.array(first, mask=~settled)], names)
+            yield out if whole.all() else out.filter(pa.array(whole))
 
     def later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_digest = last_owner = None
+        last_digest = last_owner = last_row = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ids, text_keys, pos, digest = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
             settled = batch.column(5).to_numpy(zero_copy_only=False)
             out = settled.copy()
@@ -145,13 +146,19 @@ def repeated_windows(docs: DataFrame, mean_words: int = MEAN_WORDS, min_words: i
                 out[open_] = (own != owner).any(1)
                 first_doc[open_] = owner[:, 0]
                 last_digest, last_owner = d[-1], owner[-1]
-            keep = pa.array(out)
+            # copies of a row from several batches lie side by side; the first stands for all
+            row = np.stack([settled, digest, ids, text_keys, pos], 1)
+            again = np.empty(len(row), bool)
+            again[0] = last_row is not None and (row[0] == last_row).all()
+            again[1:] = (row[1:] == row[:-1]).all(1)
+            last_row = row[-1]
+            keep = pa.array(out & ~again)
             yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(keep) for i in range(4)), pa.array(first_doc).filter(keep)], [*names[:4], "first_doc"])
 
     names = [c.split()[0] for c in _ROW.split(", ")]
     rows = docs.where("text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(chunk, _ROW)
     spread = rows.withColumn("_to", F.when(F.col("settled"), F.xxhash64("doc_id", "pos")).otherwise(F.col("digest"))).repartition("_to").drop("_to")
-    return (spread.sortWithinPartitions("settled", "digest", "doc_id", "text_key", "pos")
+    return (spread.sortWithinPartitions("settled", "digest", "doc_id", "text_key", "pos", "first_doc")
             .mapInArrow(later, "doc_id bigint, text_key bigint, pos bigint, size int, first_doc bigint"))
 
 

@@ -18,6 +18,7 @@ from spoor.llm import common, queries  # noqa: E402
 from spoor.llm.block_names import exact_dedup, salted_md5  # noqa: E402
 from spoor.llm.chunk_dedup import chunk_starts, gear, gear_table, without_repeats  # noqa: E402
 from spoor.llm.components import components, spanning  # noqa: E402
+from spoor.llm import chunk_dedup, hilbert_packing as hilbert_packing_module  # noqa: E402
 from spoor.llm.hilbert_packing import hilbert_index, hilbert_packing, tail_starts  # noqa: E402
 from spoor.llm.jaccard import open_pairs, parity, prefixes, similar_components, star_pairs, verified  # noqa: E402
 from spoor.llm.lang_id import has_letter, held_out, language_id, sampled  # noqa: E402
@@ -156,6 +157,22 @@ def test_packing(awkward, nothing, real):
     assert hilbert_packing(nothing, BYTE, 1).count() == 0
 
 
+def test_packing_ranges(spark, real, monkeypatch):
+    """As many ranges as the ids need, even in ids, also where a third of all rows is one text without an id."""
+    common.importable(spark)
+    copies = spark.range(1500).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("one text for all of them").alias("text"), F.col("id").alias("row"))
+    docs = common.stored(real.select("doc_id", "text", F.lit(None).cast("bigint").alias("row")).unionByName(copies), "ranges")
+    monkeypatch.setattr(hilbert_packing_module, "RANGE_BYTES", 20_000)
+    laid = hilbert_packing_module.packed(docs, BYTE, 1)
+    ids, rows = laid.agg(F.sum("n"), F.count("n")).first()
+    shards = laid.groupBy("shard").agg(F.sum("n").alias("ids"), F.max("n").alias("longest"), F.count_if(F.isnull("doc_id")).alias("copies")).collect()
+    assert rows == docs.count() and len(shards) >= 0.8 * 2 * ids / 20_000
+    assert max(r.ids - r.longest for r in shards) <= 3 * ids / len(shards)
+    assert sum(r.copies > 0 for r in shards) > 1 or len(shards) < 3
+    few = hilbert_packing_module.range_bounds(docs.limit(5), BYTE, 1, 4)
+    assert few == sorted(set(few)) and len(few) <= 4
+
+
 def test_pieces_equal_the_library(spark, awkward, nothing, tmp_path):
     import random
 
@@ -408,6 +425,55 @@ def test_chunk_dedup_needs_the_passage_in_one_piece(spark):
         assert all(len(raw[s["start"]:s["start"] + s["size"]].split()) >= 20 for s in r.repeats)
 
 
+def plain_repeats(rows):
+    """Texts without the windows that an earlier place has, one document and one window at a time; equal rows are one document."""
+    seen, done = set(), {}
+    for doc_id, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0])):
+        raw = text.encode()
+        joined, _, starts, ends = chunk_dedup.windows([raw], chunk_dedup.MEAN_WORDS, chunk_dedup.MIN_WORDS)
+        goes = np.zeros(len(raw), bool)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            if joined[a:b] in seen:
+                goes[a - chunk_dedup.WINDOW:b - chunk_dedup.WINDOW] = True
+            seen.add(joined[a:b])
+        done[doc_id, text] = bytes(np.frombuffer(raw, np.uint8)[~goes]).decode()
+    return done
+
+
+def test_chunk_dedup_against_the_plain_rule(spark):
+    import random
+
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    shared = [say(n) for n in (25, 40, 60, 90)]
+    rows = []
+    for i in range(80):
+        parts = [say(rng.randrange(5, 80)) for _ in range(4)]
+        for _ in range(rng.randrange(3)):
+            parts.insert(rng.randrange(len(parts)), rng.choice(shared))
+        rows.append((i, " ".join(parts)))
+    twice = f"{say(30)} {shared[2]} {say(30)} {shared[2]}"
+    within = say(70)  # a document's own passage, and no other's
+    rows += [(None, twice)] * 30 + [(90, f"{within} {say(20)} {within}")] * 20 + rows[:10]
+    rng.shuffle(rows)
+    want = plain_repeats(rows)
+    assert 10 < sum(text != old for (_, old), text in want.items()) < len(want)
+    for parts in (1, 7):
+        got = without_repeats(spark.createDataFrame([(d, t, t) for d, t in rows], "doc_id bigint, text string, old string").repartition(parts)).collect()
+        assert len(got) == len(rows)
+        assert all(r.text == want[r.doc_id, r.old] for r in got)
+    assert within in want[90, next(t for d, t in rows if d == 90)]  # the first of the two stays
+
+
+def test_windows_of_equal_rows_leave_once(spark):
+    import random
+
+    rng = random.Random(13)
+    text = " ".join(f"w{rng.randrange(4000)}" for _ in range(200))
+    docs = lambda n: spark.createDataFrame([(None, f"{text} x {text}")] * n + [(1, text)], "doc_id bigint, text string").repartition(5)
+    assert chunk_dedup.repeated_windows(docs(400)).count() <= 2 * chunk_dedup.repeated_windows(docs(1)).count()
+
+
 def test_chunk_dedup_without_white_space(spark):
     rng = np.random.default_rng(13)
     text = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9000, n)))
