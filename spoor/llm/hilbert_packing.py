@@ -2,8 +2,8 @@
 
 Every document's token ids are hashed into a vector, scaled to length one and projected to a few dimensions; the Hilbert index of
 that point is its key, so documents of like content lie near each other on the curve. Documents are range-sorted by key (salted
-with a hash of doc_id, so that equal texts spread over many ranges), laid end to end along the curve, and cut every
-``seq_len`` ids. Only the last sequence is short: it is cut into powers of two, which need no padding.
+with a hash of all columns but the text, so that equal texts spread over many ranges, also those without a doc_id), laid end to end along the curve, and
+cut every ``seq_len`` ids. Ranges hold about equally many ids, ``RANGE_BYTES`` at most as far as ``MAX_RANGES`` goes; rows equal in all columns share one. Only the last sequence is short: it is cut into powers of two, which need no padding.
 
 Cases: a null or empty text is the end id alone; equal doc_ids stay apart; a null doc_id is allowed; an empty table gives no
 pieces; other columns are ignored; a long document runs through as many sequences as it needs.
@@ -11,6 +11,7 @@ pieces; other columns are ignored; a long document runs through as many sequence
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -23,8 +24,10 @@ from spoor.llm.common import partition_id, steps, stored
 from spoor.llm.units import encoder, with_end
 
 DIMS, BITS, BUCKETS = 3, 10, 256
-#: Rows encoded to place the bounds between ranges; it changes how even they are, not the result's rules.
-BOUND_SAMPLE = 4096
+#: Rows encoded to place the bounds between ranges, at least this many and so many a range; it changes how even they are, not the result's rules.
+BOUND_SAMPLE, PER_RANGE = 4096, 16
+#: Bytes of ids that a range is to hold, and the most ranges a shuffle is given: beyond them ranges grow, and their sort spills.
+RANGE_BYTES, MAX_RANGES = 64 << 20, 20_000
 _KEYED = "key bigint, range int, doc_id bigint, n bigint, ids binary"
 
 
@@ -76,7 +79,7 @@ def curve_keys(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int] | None = None) -> DataFrame:
-    """key (curve position, then a hash of doc_id), range (bounds at or below the key), doc_id, n, ids (unsigned 16-bit, little-endian)."""
+    """key (curve position, then a hash of the other columns), range (bounds at or below the key), doc_id, n, ids (unsigned 16-bit, little-endian)."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches):
@@ -89,17 +92,25 @@ def keyed(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int] | None
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own), batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
                                              ["key", "range", "doc_id", "n", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("doc_id").alias("salt")).mapInArrow(encode, _KEYED)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != "text" and "map<" not in f.dataType.simpleString()]  # maps have no hash
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash(*hashed).alias("salt")).mapInArrow(encode, _KEYED)
 
 
-def range_bounds(docs: DataFrame, tokenizer: str, end_id: int, ranges: int) -> list[int]:
-    """Keys between ``ranges`` about equal ranges, from a sample of bounded expected size."""
-    total = docs.count()
-    if not total or ranges < 2:
-        return []
-    sample = keyed(docs.sample(min(1.0, BOUND_SAMPLE / total), seed=11), tokenizer, end_id).select("key")
-    found = sample.select(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
-    return sorted(set(found or []))
+def range_bounds(docs: DataFrame, tokenizer: str, end_id: int, least: int) -> list[int]:
+    """Keys between ranges of about equally many ids, ``least`` ranges or as many as the ids need, from a sample of bounded expected size."""
+    total, rows = docs.count(), BOUND_SAMPLE
+    while total:
+        sample = keyed(docs.sample(min(1.0, rows / total), seed=11), tokenizer, end_id).select("key", "n").toPandas().sort_values("key")
+        if sample.empty:
+            break
+        ranges = min(MAX_RANGES, max(least, math.ceil(2 * sample["n"].mean() * total / RANGE_BYTES)))
+        if rows < min(total, PER_RANGE * ranges):
+            rows = PER_RANGE * ranges
+            continue
+        ends = sample["n"].cumsum().to_numpy()
+        cuts = np.searchsorted(ends, ends[-1] * np.arange(1, ranges) / ranges)
+        return sorted(set(sample["key"].to_numpy()[cuts].tolist()))
+    return []
 
 
 def packed(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -114,9 +125,8 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), pa.array(starts, pa.int64()), *batch.columns], ["shard", "shard_at", "doc_id", "n", "ids"])
 
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(docs, tokenizer, end_id, ranges)
-    rows = keyed(docs, tokenizer, end_id, bounds).repartitionById(ranges, F.col("range"))
+    bounds = range_bounds(docs, tokenizer, end_id, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = keyed(docs, tokenizer, end_id, bounds).repartitionById(len(bounds) + 1, F.col("range"))
     rows = rows.sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "n", "ids")
     return stored(rows.mapInArrow(place, "shard int, shard_at bigint, doc_id bigint, n bigint, ids binary"), "packed")
 
