@@ -10,9 +10,11 @@ from spoor.catalog.spans import BUCKET
 from spoor.catalog.stacks import PATHS, TREE
 from spoor.catalog.views import WEEK_US
 from spoor.functions.buckets import span_bucket
-from spoor.operators import stacks
+from spoor.operators import rebuild, series, stacks
+from spoor.operators.ingest import read_events
 from spoor.session import checkpoint_dir
 from spoor.sources import tables as op
+from spoor.sources.counted import write_counted
 from spoor.streaming import jobs
 
 
@@ -196,3 +198,34 @@ def _(t):
     out = scratch(t)
     jobs.coverage_sessions(Streamed(t).events().withColumn("ts_us", F.expr("ts_ns div 1000")), f"{out}/sessions", f"{out}/ckpt")
     return jobs.read_sessions(t.spark, f"{out}/sessions")
+
+
+# Tables that know how large their keys are
+
+def counted_events(t):
+    """Events in two batches, each with the sources of one half, counted as they are written."""
+    out = scratch(t)
+    for batch in (0, 1):
+        write_counted(t.events().filter(F.pmod(F.xxhash64("source_key"), F.lit(2)) == batch), out, batch, (("source_key",), ("source_key", "task_id")), floor=10)
+    return out
+
+
+@query("counted_cells", """WITH p AS (SELECT unnest(range(40, 51)) AS bits),
+n AS (SELECT bits, source_key, ts_ns // (1::bigint << bits) AS cell, count(*) AS n FROM v_events, p GROUP BY 1, 2, 3)
+SELECT bits::int AS bits, max(n) AS rows FROM n GROUP BY 1""")
+def _(t):
+    """Rows of the fullest (source, cell), as stored beside the table, for cells of 2^40 to 2^50 ns."""
+    notes = t.spark.read.schema("counts array<struct<keys: array<string>, hottest: bigint, fullest: map<string, bigint>>>").json(f"{counted_events(t)}/_census")
+    cells = notes.select(F.explode("counts").alias("c")).filter(F.array_size("c.keys") == 1).select(F.explode("c.fullest").alias("width", "rows"))
+    return cells.groupBy(F.log2(F.col("width").cast("double")).cast("int").alias("bits")).agg(F.max("rows").alias("rows")).filter("bits between 40 and 50")
+
+
+@query("counted_polls", f"WITH {CLOSED} SELECT * FROM polls")
+def _(t):
+    return rebuild.polls(read_events(t.spark, counted_events(t)))
+
+
+@query("counted_task_timeline", """SELECT source_key, ts_ns, seq, greatest(sum(CASE WHEN kind = 'TaskSpawn' THEN 1 ELSE -1 END) OVER (PARTITION BY source_key ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING), 0)::bigint AS alive
+FROM v_events WHERE kind IN ('TaskSpawn', 'TaskTerminate')""")
+def _(t):
+    return series.active_task_timeline(read_events(t.spark, counted_events(t)))

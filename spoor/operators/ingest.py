@@ -11,14 +11,16 @@ from spoor.plans.interval_join import point_in_intervals
 from spoor.plans.timeline import AUTO
 from spoor.schema import conform
 from spoor.session import cut_lineage
+from spoor.sources.counted import with_counts
 from spoor.sources.tables import fold_write
 
 SEP = "\0"
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a folder in the columns of the events schema; absent optional columns read as null."""
-    return conform(spark.read.parquet(path), "events")
+    """Events of a folder in the columns of the events schema; absent optional columns read as null. What was counted of a folder that
+    ``sources.counted`` wrote comes along."""
+    return with_counts(conform(spark.read.parquet(path), "events"), path)
 
 
 def stack_id(frames: str) -> Column:

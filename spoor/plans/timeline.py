@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spoor.plans.census import known_width
+
 ROWS_SETTING = "spoor.window.rows"
 DEFAULT_ROWS = 4_000_000
 AUTO = "auto"
@@ -61,10 +63,30 @@ def rows_per_task(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(ROWS_SETTING, str(DEFAULT_ROWS)))
 
 
+def hottest_key(df: DataFrame, keys: Sequence[str], axis: str) -> int | None:
+    """Rows (with a place on the axis) of the largest key."""
+    grouped = df.groupBy(*keys) if keys else df.groupBy()
+    return grouped.agg(F.count(axis).alias("n")).agg(F.max("n")).first()[0]
+
+
+def fullest_cells(df: DataFrame, keys: Sequence[str], axis: str, grain: int) -> dict[int, int]:
+    """Rows of the fullest (key, cell), for cells of ``grain`` and of the 16 powers of two above it."""
+    fine = df.groupBy(*keys, F.expr(f"cast({axis} as bigint) div {grain}").alias("_grain")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    rolled = (
+        fine.select(*keys, "_n", F.col("_grain"), F.explode(F.array(*[F.lit(p) for p in range(17)])).alias("_p"))
+        .groupBy(*keys, "_p", F.expr("_grain div cast(pow(2, _p) as bigint)").alias("_cell"))
+        .agg(F.sum("_n").alias("_n"))
+        .groupBy("_p").agg(F.max("_n").alias("_n"))
+    )
+    return {grain << r["_p"]: r["_n"] for r in rolled.collect()}  # 17 rows
+
+
 def measure_slot(df: DataFrame, keys: Sequence[str], axis: str, slot: int | str | None = AUTO) -> int | None:
     """Slot width along ``axis`` so that no (key, slot) exceeds the row target; None when keys are small.
 
-    One small aggregate decides the common case. Only when a key is too large is a histogram taken: row
+    Of a table that was counted when it was written (``plans.census``) the width is known without a job. Otherwise one small
+    aggregate decides the common case, and only when a key is too large is a histogram taken: row
     counts on a fine grid, rolled up by powers of two, and the widest grid whose fullest cell fits wins. The grid's
     grain comes from the middle of the axis, so a stray value cannot make it coarse, and where even its fullest cell is too full
     it is refined, down to single values of the axis. Rows of a key that are equal on the axis stay together.
@@ -72,24 +94,19 @@ def measure_slot(df: DataFrame, keys: Sequence[str], axis: str, slot: int | str
     if slot != AUTO:
         return slot
     target = rows_per_task(df)
-    grouped = df.groupBy(*keys) if keys else df.groupBy()
-    hottest = grouped.agg(F.count(axis).alias("n")).agg(F.max("n")).first()[0]
+    known = known_width(df, keys, axis, target)
+    if known is not None:
+        return known[0]
+    hottest = hottest_key(df, keys, axis)
     if hottest is None or hottest <= target:
         return None
     low, high = df.agg(F.percentile_approx(axis, [0.001, 0.999], 10_000)).first()[0]
     grain = max(1, int(high - low) // _GRAINS)
     while True:
-        fine = df.groupBy(*keys, F.expr(f"cast({axis} as bigint) div {grain}").alias("_grain")).agg(
-            F.count(F.lit(1)).alias("_n"))
-        rolled = (
-            fine.select(*keys, "_n", F.col("_grain"), F.explode(F.array(*[F.lit(p) for p in range(17)])).alias("_p"))
-            .groupBy(*keys, "_p", F.expr("_grain div cast(pow(2, _p) as bigint)").alias("_cell"))
-            .agg(F.sum("_n").alias("_n"))
-            .groupBy("_p").agg(F.max("_n").alias("_n"))
-        )
-        fitting = [r["_p"] for r in rolled.collect() if r["_n"] <= target]  # 17 rows
+        fullest = fullest_cells(df, keys, axis, grain)
+        fitting = [width for width, n in fullest.items() if n <= target]
         if fitting or grain == 1:
-            return grain * (1 << max(fitting)) if fitting else grain
+            return max(fitting, default=grain)
         grain = max(1, grain // 256)
 
 
