@@ -151,10 +151,7 @@ def enter_names(t):
 @query("idle_worker", f"WITH {PK}, {QUEUE}, sl AS (SELECT source_key, worker_id, ts_ns AS s, nt AS e FROM pk WHERE kind = 'WorkerPark' AND nk = 'WorkerUnpark' AND nt - ts_ns > 1000000), h AS (SELECT sl.*, q.depth FROM sl ASOF JOIN q ON q.source_key = sl.source_key AND q.ts_ns <= sl.e) "
        + sel("idle-worker", "'warning'", "concat_ws('/', source_key, worker_id, s)", "depth", "FROM h WHERE depth > 0"))
 def _(t):
-    e = t.events()
-    last = e.groupBy("source_key").agg(F.max("ts_ns").alias("last"))
-    woken = rebuild.parks(e).join(last, "source_key").filter((F.col("end_ns") < F.col("last")) | F.col("sched_wait_ns").isNotNull()).drop("last")
-    return op.idle_worker(woken, series.queue_series(t.metrics()))
+    return op.idle_worker(rebuild.parks(t.events(), woken=True), series.queue_series(t.metrics()))
 
 
 @query("wake_delay", f"WITH {W1} " + sel("wake-delay", "'warning'", "concat(source_key, '/', seq)", "delay_ns", f"FROM w1 WHERE delay_ns >= {HOUR}"))

@@ -245,9 +245,7 @@ def _(t):
     slot = rebuild.time_slot(e)
     length = F.col("end_ns") - F.col("start_ns")
     active = rebuild.active_periods(e, slot=slot).groupBy("worker_id").agg(F.sum(length).alias("active"), F.avg("ratio").alias("ratio"))
-    lost = e.groupBy("source_key").agg(F.max("ts_ns").alias("last"))
-    ended = rebuild.parks(e, slot=slot).join(lost, "source_key").filter(F.col("sched_wait_ns").isNotNull() | (F.col("end_ns") < F.col("last")))
-    parked = ended.groupBy("worker_id").agg(F.sum(length).alias("parked"))
+    parked = rebuild.parks(e, slot, woken=True).groupBy("worker_id").agg(F.sum(length).alias("parked"))
     polls = rebuild.polls_open_ended(e, slot).groupBy("worker_id").agg(F.count(F.lit(1)).alias("polls"), F.count_if(length > 1_000_000).alias("long_polls"))
     return active.join(parked, "worker_id").join(polls, "worker_id").select(
         "worker_id", F.round(F.col("active") / (F.col("active") + F.col("parked")), 6).alias("utilisation"), F.round("ratio", 6).alias("mean_cpu_ratio"), "polls", "long_polls")

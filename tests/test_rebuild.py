@@ -67,6 +67,23 @@ def test_active_period_ratio(spark):
     assert tuples(op.parks(e), "start_ns", "end_ns", "sched_wait_ns") == [(200, 300, 9), (310, 310, None)]
 
 
+def test_unpark_at_the_end_of_a_source_wakes(spark):
+    """Its wait may be unknown; a park without an unpark is open."""
+    e = events(spark, [("WorkerPark", 100, 0, None), ("WorkerPark", 200, 1, None), ("WorkerUnpark", 300, 0, None)])
+    assert tuples(op.parks(e, woken=True), "worker_id", "start_ns", "end_ns", "sched_wait_ns") == [(0, 100, 300, None)]
+    assert op.parks(e).count() == 2
+
+
+def test_spawn_family_keeps_whole_nanoseconds(spark):
+    """Nine lifetimes whose sum no double holds, and an owner ranked by what the caller says."""
+    life = 2_592_000_000_000_001
+    rows = [(i, "loc", 1, 5, 5 + i % 2, life, None if i else 1) for i in range(9)]
+    tasks = spark.createDataFrame(rows, "task_id long, spawn_loc string, polls long, total_ns long, longest_ns long, lifetime_ns long, terminate_ns long")
+    assert tuples(pl.spawn_family(tasks), "longest_task", "mean_lifetime_ns") == [(1, float(life))]
+    assert tuples(pl.spawn_family(tasks, F.col("longest_ns") - 10 * F.col("task_id")), "longest_task") == [(0,)]
+    assert tuples(pl.spawn_family(tasks.withColumn("lifetime_ns", F.lit(None).cast("long"))), "mean_lifetime_ns") == [(None,)]
+
+
 def test_wake_inside_an_earlier_poll_counts_from_its_end(spark):
     e = events(spark, [("PollStart", 100, 0, 1), ("Wake", 150, None, 1, {"waker": 5}), ("PollEnd", 200, 0, 1), ("PollStart", 260, 0, 1), ("PollEnd", 270, 0, 1),
                        ("Wake", 300, None, 1, {"waker": 6}), ("PollStart", 310, 0, 1), ("PollEnd", 320, 0, 1)])
