@@ -186,6 +186,14 @@ def test_lifo_pairing_matches_a_stack(spark):
         assert tuples(got, "key", "state", "start_ns", "end_ns", "enter_seq") == sorted(want, key=repr)
 
 
+def test_exit_at_the_start_of_two_polls_belongs_to_the_one_before(spark):
+    """A poll of no length and the next one begin when the earlier one ends: the exit then is that one's."""
+    polls = spark.createDataFrame([("s", 0, 7, 1, 10, 20), ("s", 0, 8, 2, 20, 20), ("s", 0, 9, 3, 20, 30)], "source_key string, worker_id int, task_id long, seq long, start_ns long, end_ns long")
+    moves = spark.createDataFrame([("s", 1, 0, 0, "SpanExit", 20, 5), ("s", 1, 1, 0, "SpanEnter", 20, 6)], "source_key string, span_id long, segment long, worker_id int, kind string, ts_ns long, seq long").withColumn("task_id", F.lit(None).cast("long"))
+    for slot in (None, 5):
+        assert tuples(sp.pairing_lanes(moves, polls, slot), "kind", "lane") == [("SpanEnter", 9), ("SpanExit", 7)]
+
+
 def test_merge_intervals_joins_touching_ones(spark):
     df = spark.createDataFrame([("a", 0, 10), ("a", 10, 12), ("a", 20, 30), ("a", 21, 22), ("b", 5, 6)], "k string, start_ns long, end_ns long")
     for slot in (None, 4):
