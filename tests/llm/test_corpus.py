@@ -20,6 +20,7 @@ from spoor.llm.chunk_dedup import chunk_starts, gear, gear_table, without_repeat
 from spoor.llm.components import components, spanning  # noqa: E402
 from spoor.llm import chunk_dedup, hilbert_packing as hilbert_packing_module  # noqa: E402
 from spoor.llm.hilbert_packing import hilbert_index, hilbert_packing, tail_starts  # noqa: E402
+from spoor.llm import jaccard  # noqa: E402
 from spoor.llm.jaccard import open_pairs, parity, prefixes, similar_components, star_pairs, verified  # noqa: E402
 from spoor.llm.lang_id import has_letter, held_out, language_id, sampled  # noqa: E402
 from spoor.llm.piece_viterbi import Pieces, piece_ids  # noqa: E402
@@ -321,6 +322,31 @@ def test_candidates_grow_with_the_rows(spark):
     assert all(stars < 4 and left < n for stars, left in sizes), sizes
 
 
+def test_copies_of_copies_meet_by_sampling(spark, monkeypatch):
+    """Copies with a few words left out are near to one another but seldom to a centre: rounds of sampling join them, and few pairs are left for the last step."""
+    rng = np.random.default_rng(5)
+    base, left = [f"w{x}" for x in rng.integers(0, 4000, 150)], {}
+    rows = list({" ".join(np.delete(base, rng.choice(150, int(rng.integers(2, 7)), replace=False))) for _ in range(400)})
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(4)
+    found = prefixes(docs)
+    stars = common.stored(star_pairs(found), "stars")
+    texts = docs.select(F.xxhash64("text").alias("node"), "text")
+    before = open_pairs(found, components(verified(stars, texts))).count()
+    kept = jaccard._candidates
+
+    def counted(x, y, condition):
+        out = common.stored(kept(x, y, condition), "counted")
+        left[condition] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "_candidates", counted)
+    got = defaultdict(list)
+    for r in similar_components(docs).collect():
+        got[r.root].append(r.doc_id)
+    assert sorted(sorted(g) for g in got.values()) == sorted(sorted(g) for g in similar_groups(docs.orderBy("doc_id").collect()))
+    assert before > 5 * len(rows) and left["x.node < y.node AND x.root <> y.root"] < len(rows), (before, left)
+
+
 def test_parity_bits_lose_no_pair():
     rng = np.random.default_rng(6)
     for _ in range(300):
