@@ -63,6 +63,7 @@ def _spread(df: DataFrame, hot: DataFrame, cell: Sequence[str], own: str, other:
 def _meet(left: DataFrame, right: DataFrame, cell: Sequence[str], hot_keys: bool) -> DataFrame:
     """Rows of both sides that share a cell, block by block where it is hot."""
     cell = list(cell)
+    right = right.hint("merge")  # both sides come out of an explode, so sizes estimated from files would have millions of rows broadcast
     if not hot_keys:
         return left.join(right, cell)
     share = rows_per_task(left)

@@ -98,6 +98,16 @@ def test_point_in_intervals_matches_brute_force(spark, closed):
     assert sorted((r.pid, r.sid) for r in out.collect()) == want
 
 
+def test_exploded_sides_are_not_broadcast(spark, tmp_path):
+    """A file of a few kilobytes may explode to any number of rows, which no driver is to hold."""
+    spark.range(1000).selectExpr("1L as k", "id as t").write.parquet(f"{tmp_path}/p")
+    spark.range(1000).selectExpr("1L as k", "id as s", "id + 5 as e").write.parquet(f"{tmp_path}/i")
+    points, runs = spark.read.parquet(f"{tmp_path}/p"), spark.read.parquet(f"{tmp_path}/i")
+    joined = point_in_intervals(points.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(50)))), runs, ["k"], "t", "s", "e")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 50 * sum(min(i, 4) + 1 for i in range(1000))
+
+
 def test_interval_pairs_match_brute_force_and_are_not_repeated(spark):
     rng = random.Random(5)
     left, right = intervals(rng, 50, 10**15), intervals(rng, 50, 10**15)
