@@ -181,14 +181,14 @@ def ranked_tasks(tasks: DataFrame, key: str, descending: bool = False) -> DataFr
 
 def spawn_family(tasks: DataFrame, owner: Column | None = None) -> DataFrame:
     """Per spawn location: tasks, polls, longest poll and its owner (the task with the largest ``owner``; by default that of the longest poll, the
-    smallest of several), running tasks, mean lifetime over known. Lifetimes are added up as decimals: sums of doubles lose whole nanoseconds."""
+    smallest of several), running tasks, mean lifetime over known. Lifetimes are added up as decimals and rounded once: adding doubles up loses nanoseconds."""
     owner = F.struct("longest_ns", -F.col("task_id")) if owner is None else owner
-    known = F.count("lifetime_ns")
-    mean = F.sum(F.col("lifetime_ns").cast("decimal(20,0)")).cast("decimal(38,0)") / F.when(known > 0, known).cast("decimal(20,0)")
+    known = F.when(F.count("lifetime_ns") > 0, F.count("lifetime_ns"))
+    mean = F.sum(F.col("lifetime_ns").cast("decimal(20,0)")).cast("double") / known
     return tasks.groupBy("spawn_loc").agg(
         F.count(F.lit(1)).alias("tasks"), F.sum("polls").alias("polls"), F.sum("total_ns").alias("total_ns"),
         F.max("longest_ns").alias("longest_ns"), F.max_by("task_id", owner).alias("longest_task"),
-        F.count_if(F.col("terminate_ns").isNull()).alias("running"), known.alias("lifetime_known"),
+        F.count_if(F.col("terminate_ns").isNull()).alias("running"), F.count("lifetime_ns").alias("lifetime_known"),
         mean.cast("double").alias("mean_lifetime_ns"))
 
 
