@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spoor.operators import series, spans
-from spoor.plans import forest
+from spoor.plans import blocks, forest, interval_join
 
 
 def table(spark, rows):
@@ -113,3 +113,28 @@ def test_event_task_joins_no_pairs(spark):
     found = series.event_task(events, polls, None)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.filter("task_id IS NULL").count() == 1000
+
+
+def test_range_least_against_slices(spark):
+    rng = random.Random(3)
+    values = {k: [f"v{rng.randrange(10_000):05}" for _ in range(37)] for k in (0, 1)}
+    points = spark.createDataFrame([(k, i, v) for k, own in values.items() for i, v in enumerate(own)], "k int, place bigint, v string")
+    ranges = [(k, a, b) for k in values for a in range(37) for b in range(a + 1, 38)]
+    got = blocks.range_least(points, spark.createDataFrame(ranges, "k int, low bigint, high bigint"), ["k"], "v").collect()
+    assert {(r.k, r.low, r.high): r.v for r in got} == {(k, a, b): min(values[k][a:b]) for k, a, b in ranges} and len(got) == len(ranges)
+
+
+@pytest.mark.parametrize("slot", [None, 5])
+def test_spans_that_begin_together_make_no_pairs(spark, slot):
+    """2000 spans of one start and others that cross: before, each end met every span around it (two million rows)."""
+    rows = [("s", i, 0, 0, 10 + i) for i in range(2000)] + [("t", i, 0, 5 + i, 3000 + i) for i in range(500)]
+    samples = spark.createDataFrame([(f"p{i:04}", 0, 2 * i) for i in range(1500)], "sample_id string, worker_id int, ts_ns bigint")
+    made, plain = [], interval_join.point_in_intervals
+    spans.point_in_intervals = forest.point_in_intervals = lambda *a, **k: made.append(1) or plain(*a, **k)
+    try:
+        got = spans.enclosing_spans(samples, table(spark, rows), slot=slot).collect()
+    finally:
+        spans.point_in_intervals = forest.point_in_intervals = plain
+    want = {(s, i): [t for t in range(a + a % 2, min(b, 3000), 2)] for s, i, _, a, b in rows}
+    assert not made
+    assert {(r.source_key, r.span_id): (r.samples, r.first_sample) for r in got} == {k: (len(v), f"p{v[0] // 2:04}") for k, v in want.items() if v}
