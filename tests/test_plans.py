@@ -216,3 +216,22 @@ def test_a_stray_value_leaves_slots_small(spark):
         assert sorted(r.n for r in with_order(same, ["k"], ["t", "seq"], {"n": running_sum(F.lit(1))}).collect()) == list(range(1, 1002))
     finally:
         spark.conf.unset("spoor.window.rows")
+
+
+def test_slots_share_one_shuffle(spark):
+    """In slots the rows are dealt out once, for the join with the carry and for the window; null keys are a key of their own."""
+    rows = [(k, t, t * t) for k in (None, 1, 2) for t in range(40)]
+    df = spark.createDataFrame(rows, "k int, t bigint, v bigint").repartition(3)
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = with_order(df, ["k"], ["t"], {"s": running_sum(F.col("v")), "p": prev(F.col("v"))}, 7)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {(r.k, r.t): (r.s, r.p) for r in out.collect()}
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    # of the rows, of their sums by slot and of these along the key
+    assert plan.count("Exchange hashpartitioning") <= 4
+    assert got == {(k, t): (sum(x * x for x in range(t + 1)), (t - 1) ** 2 if t else None) for k, t, _ in rows}
