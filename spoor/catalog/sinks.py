@@ -87,7 +87,7 @@ def fold_twice(t):
     out = scratch(t)
     p = polls(t)
     early = p.filter(F.col("start_ns") < 880_000_000_000_000_000)
-    op.fold_write(t.spark, out, early.select("source_key"), {"polls": p.join(early.select("source_key").distinct(), "source_key", "left_semi")})
+    op.fold_write(t.spark, out, early.select("source_key"), {"polls": p})  # of the table, only the sources named are written
     op.fold_write(t.spark, out, p.select("source_key"), {"polls": p})
     op.fold_write(t.spark, out, p.select("source_key"), {"polls": p})
     return out
@@ -102,8 +102,8 @@ def _(t):
 def _(t):
     """Batches of which one replaces files of another, written as one; then the old ones go."""
     out, p = fold_twice(t), polls(t)
-    late = p.filter(F.col("start_ns") >= 880_000_000_000_000_000).select("source_key").distinct()
-    op.fold_write(t.spark, out, late, {"polls": p.join(late, "source_key", "left_semi")}, replace=True)
+    late = p.filter(F.col("start_ns") >= 880_000_000_000_000_000).select("source_key")
+    op.fold_write(t.spark, out, late, {"polls": p}, replace=True)
     op.compact(t.spark, out)
     op.vacuum(t.spark, out)
     return op.read_table(t.spark, out, "polls").groupBy("source_key").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ns").alias("busy_ns"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoor.schema import table_schema
-from spoor.session import cut_lineage
+from spoor.session import measured
 
 FOLDERS = ("service", "date")
 COLUMNS = ("host", "leaf")
@@ -144,7 +144,7 @@ def fold_write(spark: SparkSession, out: str, source_keys: DataFrame, tables: Ma
     pending = source_keys.select("source_key").distinct()
     if not replace:
         pending = pending.join(folded_set(spark, out), "source_key", "left_anti")
-    pending = cut_lineage(pending)
+    pending = measured(pending)
     if pending.isEmpty():
         return
     key = leaf(F.col("source_key")).alias("leaf")
