@@ -20,7 +20,9 @@ STEP_CHARS = 4_000_000
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (a cluster may ship it with --py-files too)."""
+    """Let Python workers import this package from where the driver has it (a cluster may ship it with --py-files too), and let Spark remove an execution's
+    shuffle files when it ends: whatever is read again has been ``stored``, and loops of many small shuffles would fill the disk until the driver's next collection."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
