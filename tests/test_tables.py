@@ -266,3 +266,21 @@ def test_an_empty_store(spark, tmp_path):
     tb.compact(spark, out)
     tb.fold_write(spark, out, keys_of(spark, []), {"polls": many_files(spark, [])})
     assert tb.committed(spark, out) == (0, [])
+
+
+def test_a_fold_finds_its_rows_without_a_shuffle_of_the_table(spark, tmp_path, monkeypatch):
+    """Few sources out of a large table: their size is known, so they are broadcast."""
+    seen = []
+    monkeypatch.setattr(tb, "_commit", lambda spark, out, batch, tables, *rest: seen.append(tables["polls"]._jdf.queryExecution().sparkPlan().toString()))
+    wide = spark.range(3_000_000).select(F.concat(F.lit("a"), (F.col("id") % 3).cast("string")).alias("source_key"), F.lit("x" * 50).alias("note"))
+    tb.fold_write(spark, str(tmp_path), wide, {"polls": wide})
+    assert "BroadcastHashJoin" in seen[0] and "SortMergeJoin" not in seen[0]
+
+
+def test_only_the_tables_asked_for_are_made(spark, monkeypatch):
+    from spoor.operators import ingest
+
+    t = Tables(spark, SF)
+    monkeypatch.setattr(ingest, "ingest_spans", lambda *a: pytest.fail("spans were not asked for"))
+    from spoor.catalog.ingest import sources
+    assert list(ingest.ingest(t.events(), t.span_events(), t.cpu(), sources(t), tables=["polls"])) == ["polls"]
