@@ -9,25 +9,26 @@ from pyspark.sql import functions as F
 from spoor.llm.common import stored
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _open(edges: DataFrame) -> bool:
+    """Whether a node has two smaller neighbours, or one and a larger one: if none has, every component is a star around its smallest node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up + down > 1").agg(F.count("*")).first()[0] > 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)``, each a non-null bigint: node, root (the smallest node reachable), for every node that has an edge.
 
-    Each round rewires every node's larger neighbours, then its smaller ones, to the smallest; when nothing moves any more, each
-    component is a star around its smallest node. Rounds grow with the logarithm of the nodes, and no round adds edges.
+    Each round rewires every node's larger neighbours, then its smaller ones, to the smallest, until each component is a star around
+    its smallest node. Rounds grow with the logarithm of the nodes, and no round adds edges. Links found twice on the way to
+    ``large`` are as many as the edges at most and fall together in ``small``.
     """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while (now := _signature(edges)) != before:
-        before = now
+    edges, first = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), True
+    while first or _open(edges):
+        first = False
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = stored(large, "large-stars")
+        large = stored(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large-stars")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges = stored(small.distinct(), "small-stars")

@@ -347,6 +347,23 @@ def test_copies_of_copies_meet_by_sampling(spark, monkeypatch):
     assert before > 5 * len(rows) and left["x.node < y.node AND x.root <> y.root"] < len(rows), (before, left)
 
 
+def test_few_open_texts_meet_in_the_last_step(spark, monkeypatch):
+    """Many texts that are near to nothing and a few copies of copies: one round of sampling shows that few pairs are open, and no link is lost."""
+    rng = np.random.default_rng(6)
+    base, rounds = [f"w{x}" for x in rng.integers(0, 4000, 150)], []
+    rows = [" ".join(np.delete(base, rng.choice(150, int(rng.integers(2, 7)), replace=False))) for _ in range(60)]
+    for i in range(400):  # pairs, so that they are candidates, in 400 groups
+        own = [f"y{x}" for x in rng.integers(0, 1 << 30, 40)]
+        rows += [" ".join(own), " ".join([*own, f"z{i}"])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(4)
+    monkeypatch.setattr(jaccard, "stored", lambda df, label: rounds.append(label) or common.stored(df, label))
+    got = defaultdict(list)
+    for r in similar_components(docs).collect():
+        got[r.root].append(r.doc_id)
+    assert sorted(sorted(g) for g in got.values()) == sorted(sorted(g) for g in similar_groups(docs.orderBy("doc_id").collect()))
+    assert rounds.count("sampled-pairs") <= 1
+
+
 def test_parity_bits_lose_no_pair():
     rng = np.random.default_rng(6)
     for _ in range(300):
@@ -398,6 +415,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_end_at_stars(spark, monkeypatch):
+    """No round is spent on learning that nothing moves any more."""
+    module, rounds = sys.modules["spoor.llm.components"], []
+    monkeypatch.setattr(module, "stored", lambda df, label: rounds.append(label) or common.stored(df, label))
+    pairs = [(10 * i, 10 * i + k) for i in range(50) for k in (1, 2)] + [(7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert got == {10 * i + k: 10 * i for i in range(50) for k in range(3)}
+    assert rounds.count("small-stars") == 1
+
+
 def test_gear_and_chunks():
     raw = np.frombuffer(b"some bytes that roll", np.uint8)
     h = 0
